@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..config import DEFAULT, WEEKLY_EVENTS
-from ..operators import rfm
+from ..functions.dates import Calendar
+from ..operators import monthly, rfm
 from ..sources import tables
 
 _MEMO: dict[tuple, object] = {}
@@ -51,6 +52,26 @@ def rfm_score_df(spark, sf_dir):
     return _memo(spark, sf_dir, "rfm_score", lambda: rfm.rfm_score(rfm_base_df(spark, sf_dir)))
 
 
+def orders_calendar(spark, sf_dir, grain="month"):
+    """Every period from the first to the last order: the whole table."""
+    return _memo(spark, sf_dir, f"cal_orders_{grain}",
+                 lambda: Calendar.from_data(order_events(spark, sf_dir), grain=grain))
+
+
+def monthly_base_df(spark, sf_dir):
+    return _memo(spark, sf_dir, "monthly_base", lambda: monthly.monthly_rfm_base(
+        order_events(spark, sf_dir), orders_calendar(spark, sf_dir)))
+
+
+def monthly_rfm_df(spark, sf_dir):
+    return _memo(spark, sf_dir, "monthly_rfm",
+                 lambda: monthly.monthly_rfm(monthly_base_df(spark, sf_dir)))
+
+
+def _money_cols(df: DataFrame, *cols: str) -> DataFrame:
+    return df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 # ---------------------------------------------------------------------------
 # queries
 # ---------------------------------------------------------------------------
@@ -72,8 +93,33 @@ def q_rfm_segment_sales(spark, sf_dir):
     return present(rfm.rfm_segment_sales(rfm_score_df(spark, sf_dir)))
 
 
+def q_monthly_rfm_base(spark, sf_dir):
+    return present(_money_cols(monthly_base_df(spark, sf_dir), "month_monetary"))
+
+
+def q_monthly_rfm(spark, sf_dir):
+    return present(_money_cols(monthly_rfm_df(spark, sf_dir), "month_monetary"))
+
+
+def q_monthly_segment_stat(spark, sf_dir):
+    return present(monthly.monthly_segment_stat(monthly_rfm_df(spark, sf_dir)))
+
+
+def q_segment_transition_uplift(spark, sf_dir):
+    return present(monthly.segment_transition_uplift(monthly_rfm_df(spark, sf_dir)))
+
+
+def q_segment_path(spark, sf_dir):
+    return monthly.segment_path(monthly_rfm_df(spark, sf_dir), orders_calendar(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "monthly_rfm_base": q_monthly_rfm_base,
+        "monthly_rfm": q_monthly_rfm,
+        "monthly_segment_stat": q_monthly_segment_stat,
+        "segment_transition_uplift": q_segment_transition_uplift,
+        "segment_path": q_segment_path,
         "rfm_base": q_rfm_base,
         "rfm_score": q_rfm_score,
         "rfm_segment_share": q_rfm_segment_share,

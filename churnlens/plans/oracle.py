@@ -144,11 +144,107 @@ SELECT rfm_segment, count(DISTINCT user_id) AS user_cnt,
 FROM rfm_score GROUP BY rfm_segment"""
 
 
+# ---------------------------------------------------------------------------
+# A5, A6, A9-A11 snapshot RFM (naive: as-of history per snapshot)
+# ---------------------------------------------------------------------------
+def monthly_base_cte(p: Params = DEFAULT) -> str:
+    g = p.grain
+    return f"""hist AS (
+  SELECT c.snapshot_date, c.period_start, e.user_id, e.event_time, e.price
+  FROM cal c JOIN ev e ON CAST(e.event_time AS DATE) <= c.snapshot_date
+  WHERE e.event_type = '{p.purchase_type}'),
+sd AS (SELECT snapshot_date, max(CAST(event_time AS DATE)) + 1 AS standard_date
+       FROM hist GROUP BY snapshot_date),
+lp AS (SELECT snapshot_date, user_id, max(CAST(event_time AS DATE)) AS last_purchase
+       FROM hist GROUP BY snapshot_date, user_id),
+rec AS (SELECT lp.user_id, lp.snapshot_date, sd.standard_date,
+               CAST(datediff('day', lp.last_purchase, sd.standard_date) AS INTEGER) AS recency
+        FROM lp JOIN sd ON lp.snapshot_date = sd.snapshot_date),
+ms AS (SELECT snapshot_date, user_id, count(*) AS month_freq, sum(price) AS month_monetary
+       FROM hist WHERE {_pstart('event_time', g)} = period_start
+       GROUP BY snapshot_date, user_id),
+mbase AS (SELECT ms.user_id, ms.snapshot_date, rec.standard_date, rec.recency,
+                 ms.month_freq, ms.month_monetary
+          FROM ms LEFT JOIN rec ON ms.user_id = rec.user_id AND ms.snapshot_date = rec.snapshot_date)"""
+
+
+def monthly_rfm_cte(p: Params = DEFAULT) -> str:
+    n = p.tiles
+    return f"""msc AS (
+  SELECT user_id, snapshot_date, recency, month_freq, month_monetary,
+    CAST(ntile({n}) OVER (PARTITION BY snapshot_date ORDER BY recency DESC, user_id) AS INTEGER) AS recency_score,
+    CAST(ntile({n}) OVER (PARTITION BY snapshot_date ORDER BY month_freq ASC, user_id) AS INTEGER) AS frequency_score,
+    CAST(ntile({n}) OVER (PARTITION BY snapshot_date ORDER BY month_monetary ASC, user_id) AS INTEGER) AS monetary_score
+  FROM mbase),
+mrfm AS (
+  SELECT user_id, snapshot_date, {segment_case()} AS rfm_segment, recency, recency_score,
+         month_freq, frequency_score, month_monetary, monetary_score
+  FROM msc)"""
+
+
+def monthly_ctes(src: str = EV_ORDERS, p: Params = DEFAULT) -> list[str]:
+    return [src, cal(p.grain), monthly_base_cte(p), monthly_rfm_cte(p)]
+
+
+def q_monthly_rfm_base() -> str:
+    return with_(*monthly_ctes()[:3]) + f"""
+SELECT user_id, snapshot_date, standard_date, recency, month_freq,
+       {_r('month_monetary')} AS month_monetary FROM mbase"""
+
+
+def q_monthly_rfm() -> str:
+    return with_(*monthly_ctes()) + f"""
+SELECT user_id, snapshot_date, rfm_segment, recency, recency_score, month_freq,
+       frequency_score, {_r('month_monetary')} AS month_monetary, monetary_score FROM mrfm"""
+
+
+def q_monthly_segment_stat() -> str:
+    return with_(*monthly_ctes()) + f"""
+SELECT snapshot_date, rfm_segment, {_r('avg(recency)')} AS avg_recency,
+       {_r('avg(month_freq)')} AS avg_frequency,
+       {_ratio('sum(month_monetary)', 'count(month_monetary)')} AS arpu,
+       {_r('sum(month_monetary)')} AS total_monetary,
+       {_ratio('sum(month_monetary)', 'sum(sum(month_monetary)) OVER (PARTITION BY snapshot_date)')} AS monetary_ratio
+FROM mrfm GROUP BY snapshot_date, rfm_segment"""
+
+
+def q_segment_transition_uplift() -> str:
+    return with_(*monthly_ctes(), """tb AS (
+  SELECT user_id, snapshot_date AS snapshot_month, rfm_segment, month_monetary AS monetary,
+         lag(rfm_segment) OVER (PARTITION BY user_id ORDER BY snapshot_date) AS prev_segment,
+         lag(month_monetary) OVER (PARTITION BY user_id ORDER BY snapshot_date) AS prev_monetary
+  FROM mrfm)""", """tr AS (
+  SELECT snapshot_month, user_id, prev_segment, rfm_segment AS curr_segment, prev_monetary,
+         monetary AS curr_monetary, monetary - prev_monetary AS diff_amount,
+         CASE WHEN prev_monetary > 0
+              THEN CAST(monetary - prev_monetary AS DOUBLE) / CAST(prev_monetary AS DOUBLE)
+              ELSE NULL END AS uplift_pct
+  FROM tb WHERE prev_segment IS NOT NULL)""") + f"""
+SELECT snapshot_month, prev_segment, curr_segment, count(*) AS transition_cnt,
+       {_r('sum(prev_monetary)')} AS total_prev_amount,
+       {_r('sum(curr_monetary)')} AS total_curr_amount,
+       {_r('sum(diff_amount)')} AS total_diff_amount,
+       {_ratio('sum(diff_amount)', 'count(diff_amount)')} AS avg_diff_amount,
+       {_r('avg(uplift_pct)')} AS avg_uplift_pct
+FROM tr GROUP BY snapshot_month, prev_segment, curr_segment"""
+
+
+def q_segment_path() -> str:
+    return with_(*monthly_ctes()) + """
+PIVOT (SELECT user_id, strftime(snapshot_date, '%Y-%m') AS period, rfm_segment FROM mrfm)
+ON period USING max(rfm_segment) GROUP BY user_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "rfm_base": q_rfm_base(),
         "rfm_score": q_rfm_score(),
         "rfm_segment_share": q_rfm_segment_share(),
         "rfm_segment_sales": q_rfm_segment_sales(),
+        "monthly_rfm_base": q_monthly_rfm_base(),
+        "monthly_rfm": q_monthly_rfm(),
+        "monthly_segment_stat": q_monthly_segment_stat(),
+        "segment_transition_uplift": q_segment_transition_uplift(),
+        "segment_path": q_segment_path(),
     }
     return out
