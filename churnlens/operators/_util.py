@@ -20,5 +20,7 @@ def half_up(num: Column, den: Column, scale: int) -> Column:
     """round(num/den, scale) half-up, exact for non-negative integers
     (integer arithmetic, so no floating-point boundary cases)."""
     f = 10 ** scale
-    q = F.floor((num.cast("long") * (2 * f) + den.cast("long")) / (den.cast("long") * 2))
+    a = num.cast("long") * (2 * f) + den.cast("long")
+    b = den.cast("long") * 2
+    q = ((a - F.pmod(a, b)) / b).cast("long")  # exact integer quotient
     return F.try_divide(q.cast("double"), F.lit(float(f)))

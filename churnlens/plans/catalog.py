@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType
 
 from ..config import DEFAULT, WEEKLY_EVENTS
 from ..functions.dates import Calendar
-from ..operators import monthly, rfm
+from ..operators import churn, cohort, monthly, rfm
 from ..sources import tables
 
 _MEMO: dict[tuple, object] = {}
@@ -68,6 +68,15 @@ def monthly_rfm_df(spark, sf_dir):
                  lambda: monthly.monthly_rfm(monthly_base_df(spark, sf_dir)))
 
 
+def churn_df(spark, sf_dir):
+    return _memo(spark, sf_dir, "churn", lambda: churn.churn_status(
+        order_events(spark, sf_dir), orders_calendar(spark, sf_dir)))
+
+
+def churn_transition_df(spark, sf_dir):
+    return _memo(spark, sf_dir, "churn_trans", lambda: churn.churn_transition(churn_df(spark, sf_dir)))
+
+
 def _money_cols(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
 
@@ -113,8 +122,45 @@ def q_segment_path(spark, sf_dir):
     return monthly.segment_path(monthly_rfm_df(spark, sf_dir), orders_calendar(spark, sf_dir))
 
 
+def q_cohort_retention(spark, sf_dir):
+    return present(cohort.cohort_retention(order_events(spark, sf_dir)))
+
+
+def q_cohort_age_metrics(spark, sf_dir):
+    return present(cohort.cohort_age_metrics(order_events(spark, sf_dir)))
+
+
+def q_cohort_segment_retention(spark, sf_dir):
+    return present(cohort.cohort_segment_retention(order_events(spark, sf_dir),
+                                                   monthly_rfm_df(spark, sf_dir)))
+
+
+def q_churn_status(spark, sf_dir):
+    return present(_money_cols(churn_df(spark, sf_dir), "ltv"))
+
+
+def q_churn_stats(spark, sf_dir):
+    return present(churn.churn_stats(churn_df(spark, sf_dir)))
+
+
+def q_churn_transition(spark, sf_dir):
+    return present(churn_transition_df(spark, sf_dir))
+
+
+def q_churn_loss_estimate(spark, sf_dir):
+    return present(churn.churn_loss_estimate(churn_df(spark, sf_dir), churn_transition_df(spark, sf_dir),
+                                             orders_calendar(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "cohort_retention": q_cohort_retention,
+        "cohort_age_metrics": q_cohort_age_metrics,
+        "cohort_segment_retention": q_cohort_segment_retention,
+        "churn_status": q_churn_status,
+        "churn_stats": q_churn_stats,
+        "churn_transition": q_churn_transition,
+        "churn_loss_estimate": q_churn_loss_estimate,
         "monthly_rfm_base": q_monthly_rfm_base,
         "monthly_rfm": q_monthly_rfm,
         "monthly_segment_stat": q_monthly_segment_stat,

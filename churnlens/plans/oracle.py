@@ -235,6 +235,174 @@ PIVOT (SELECT user_id, strftime(snapshot_date, '%Y-%m') AS period, rfm_segment F
 ON period USING max(rfm_segment) GROUP BY user_id"""
 
 
+# ---------------------------------------------------------------------------
+# A12, A13, A26 cohorts
+# ---------------------------------------------------------------------------
+def _age(later: str, earlier: str, grain: str) -> str:
+    if grain == "month":
+        return f"CAST(datediff('month', {earlier}, {later}) AS INTEGER)"
+    return f"CAST(datediff('day', {earlier}, {later}) // 7 AS INTEGER)"
+
+
+def cohort_ctes(p: Params = DEFAULT) -> str:
+    g = p.grain
+    return f"""md AS (SELECT user_id, event_time, price FROM ev WHERE event_type = '{p.purchase_type}'),
+fd AS (SELECT user_id, {_pstart('min(event_time)', g)} AS cohort_date FROM md GROUP BY user_id),
+um AS (SELECT user_id, {_pstart('event_time', g)} AS order_date, sum(price) AS revenue, count(*) AS orders
+       FROM md GROUP BY user_id, {_pstart('event_time', g)}),
+cbase AS (SELECT f.user_id, f.cohort_date, u.order_date,
+                 {_age('u.order_date', 'f.cohort_date', g)} AS cohort_age, u.revenue, u.orders
+          FROM fd f JOIN um u ON f.user_id = u.user_id),
+ca AS (SELECT cohort_date, cohort_age, count(DISTINCT user_id) AS active_users,
+              sum(revenue) AS period_revenue, sum(orders) AS orders
+       FROM cbase GROUP BY cohort_date, cohort_age),
+cf AS (SELECT cohort_date, count(DISTINCT user_id) AS first_user FROM cbase GROUP BY cohort_date),
+cstat AS (SELECT a.cohort_date, a.cohort_age, b.first_user, a.active_users, a.period_revenue,
+                 CAST(a.active_users AS DOUBLE) / b.first_user AS retention_rate,
+                 CAST(a.period_revenue AS DOUBLE) / b.first_user AS revenue_per_user
+          FROM ca a JOIN cf b ON a.cohort_date = b.cohort_date),
+cohort AS (SELECT cohort_date, cohort_age, first_user, active_users, retention_rate, period_revenue,
+                  revenue_per_user,
+                  sum(period_revenue) OVER (PARTITION BY cohort_date ORDER BY cohort_age
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative_revenue,
+                  sum(revenue_per_user) OVER (PARTITION BY cohort_date ORDER BY cohort_age
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative_revenue_per_user
+           FROM cstat)"""
+
+
+def q_cohort_retention() -> str:
+    return with_(EV_ORDERS, cohort_ctes()) + f"""
+SELECT cohort_date, cohort_age, first_user, active_users, {_r('retention_rate')} AS retention_rate,
+       {_r('period_revenue')} AS period_revenue, {_r('revenue_per_user')} AS revenue_per_user,
+       {_r('cumulative_revenue')} AS cumulative_revenue,
+       {_r('cumulative_revenue_per_user')} AS cumulative_revenue_per_user
+FROM cohort"""
+
+
+def q_cohort_age_metrics() -> str:
+    return with_(EV_ORDERS, cohort_ctes()) + f"""
+SELECT cohort_date, cohort_age, {_ratio('orders', 'active_users')} AS avg_freq,
+       {_ratio('period_revenue', 'active_users')} AS arpu, active_users
+FROM ca"""
+
+
+def cohort_segment_cte(p: Params = DEFAULT) -> str:
+    g = p.grain
+    return f"""mseg AS (SELECT user_id, {_pstart('snapshot_date', g)} AS snap_month, rfm_segment
+         FROM mrfm GROUP BY user_id, {_pstart('snapshot_date', g)}, rfm_segment),
+crj AS (SELECT c.user_id, c.cohort_date, c.order_date, c.cohort_age, c.revenue, m.rfm_segment
+        FROM cbase c LEFT JOIN mseg m ON c.user_id = m.user_id AND c.order_date = m.snap_month),
+crs AS (SELECT rfm_segment, cohort_date, order_date, cohort_age,
+               count(DISTINCT user_id) AS active_number, sum(revenue) AS active_revenue
+        FROM crj GROUP BY rfm_segment, cohort_date, order_date, cohort_age),
+csr AS (SELECT rfm_segment, cohort_date, order_date, cohort_age, active_number,
+          CAST(active_number AS DOUBLE) / first_value(active_number) OVER (
+              PARTITION BY rfm_segment, cohort_date ORDER BY cohort_age) AS cnt_retention,
+          CAST(active_revenue AS DOUBLE) / CAST(first_value(active_revenue) OVER (
+              PARTITION BY rfm_segment, cohort_date ORDER BY cohort_age) AS DOUBLE) AS revenue_retention
+        FROM crs)"""
+
+
+def q_cohort_segment_retention() -> str:
+    return with_(*monthly_ctes(), cohort_ctes(), cohort_segment_cte()) + f"""
+SELECT rfm_segment, cohort_date, order_date, cohort_age, active_number,
+       {_r('cnt_retention')} AS cnt_retention, {_r('revenue_retention')} AS revenue_retention
+FROM csr"""
+
+
+# ---------------------------------------------------------------------------
+# A14-A17 churn (naive: as-of history per snapshot)
+# ---------------------------------------------------------------------------
+def churn_ctes(p: Params = DEFAULT) -> str:
+    g = p.grain
+    return f"""chist AS (SELECT c.snapshot_date, c.period_start, e.user_id, e.event_time, e.event_type, e.price
+          FROM cal c JOIN ev e ON CAST(e.event_time AS DATE) <= c.snapshot_date),
+od AS (SELECT snapshot_date, period_start, user_id, CAST(event_time AS DATE) AS order_date, price
+       FROM chist WHERE event_type = '{p.purchase_type}'),
+fp AS (SELECT snapshot_date, user_id FROM od GROUP BY snapshot_date, period_start, user_id
+       HAVING {_pstart('min(order_date)', g)} = period_start),
+csd AS (SELECT snapshot_date, max(CAST(event_time AS DATE)) + 1 AS standard_date
+        FROM chist GROUP BY snapshot_date),
+crec AS (SELECT o.snapshot_date, o.user_id,
+                datediff('day', max(o.order_date), max(s.standard_date)) AS recency
+         FROM od o JOIN csd s ON o.snapshot_date = s.snapshot_date GROUP BY o.snapshot_date, o.user_id),
+cseg AS (SELECT r.user_id, r.snapshot_date,
+           CASE WHEN fp.user_id IS NOT NULL THEN 'NEW'
+                WHEN r.recency <= {p.active_days} THEN 'ACTIVE'
+                WHEN r.recency > {p.active_days} AND r.recency <= {p.risk_days} THEN 'AT_RISK'
+                WHEN r.recency > {p.risk_days} THEN 'CHURNED' END AS segment
+         FROM crec r LEFT JOIN fp ON r.user_id = fp.user_id AND r.snapshot_date = fp.snapshot_date),
+churn AS (SELECT f.user_id, f.snapshot_date, f.segment, COALESCE(sum(o.price), 0) AS ltv
+          FROM cseg f LEFT JOIN od o ON f.user_id = o.user_id AND f.snapshot_date = o.snapshot_date
+                AND {_pstart('o.order_date', g)} = {_pstart('f.snapshot_date', g)}
+          GROUP BY f.user_id, f.snapshot_date, f.segment)"""
+
+
+TRANS_CTES = """uh AS (SELECT user_id, snapshot_date, segment AS curr_segment, ltv,
+              lag(segment) OVER (PARTITION BY user_id ORDER BY snapshot_date) AS prev_segment,
+              lag(ltv) OVER (PARTITION BY user_id ORDER BY snapshot_date) AS prev_ltv
+       FROM churn),
+tr2 AS (SELECT * FROM uh WHERE prev_segment IS NOT NULL),
+ap AS (SELECT snapshot_date, prev_segment, curr_segment, count(DISTINCT user_id) AS move_users,
+              sum(ltv) AS curr_total_ltv, sum(prev_ltv) AS prev_total_ltv
+       FROM tr2 GROUP BY snapshot_date, prev_segment, curr_segment),
+apv AS (SELECT snapshot_date, prev_segment, count(DISTINCT user_id) AS prev_total_users
+        FROM tr2 GROUP BY snapshot_date, prev_segment),
+trans AS (SELECT p.snapshot_date, p.prev_segment, p.curr_segment, p.move_users, a.prev_total_users,
+            CAST((p.move_users * 20000 + a.prev_total_users) // (2 * a.prev_total_users) AS DOUBLE) / 100
+              AS transition_rate_pct,
+            p.curr_total_ltv, p.prev_total_ltv
+          FROM ap p JOIN apv a ON p.snapshot_date = a.snapshot_date AND p.prev_segment = a.prev_segment)"""
+
+
+def churn_all(src: str = EV_ORDERS, p: Params = DEFAULT) -> list[str]:
+    return [src, cal(p.grain), churn_ctes(p)]
+
+
+def q_churn_status() -> str:
+    return with_(*churn_all()) + f"""
+SELECT user_id, snapshot_date, segment, {_r('ltv')} AS ltv FROM churn"""
+
+
+def q_churn_stats() -> str:
+    return with_(*churn_all()) + f"""
+SELECT snapshot_date, segment, count(DISTINCT user_id) AS cnt, {_r('sum(ltv)')} AS total_ltv
+FROM churn GROUP BY snapshot_date, segment"""
+
+
+def q_churn_transition() -> str:
+    return with_(*churn_all(), TRANS_CTES) + f"""
+SELECT snapshot_date, prev_segment, curr_segment, move_users, prev_total_users, transition_rate_pct,
+       {_r('curr_total_ltv')} AS curr_total_ltv, {_r('prev_total_ltv')} AS prev_total_ltv FROM trans"""
+
+
+def q_churn_loss_estimate(dedup: bool = False) -> str:
+    den = "m.cnt"
+    return with_(*churn_all(), TRANS_CTES, """lastcal AS (
+  SELECT snapshot_date, row_number() OVER (ORDER BY snapshot_date DESC) AS k FROM cal)""",
+                 """cu AS (SELECT user_id FROM churn
+       WHERE snapshot_date = (SELECT snapshot_date FROM lastcal WHERE k = 1) AND segment = 'CHURNED'),
+cus AS (SELECT count(DISTINCT c.user_id) AS churn_total_cnt, sum(m.ltv) AS churn_ago_total_ltv
+        FROM cu c LEFT JOIN churn m ON c.user_id = m.user_id),
+aa AS (SELECT count(DISTINCT CASE WHEN segment = 'ACTIVE' THEN user_id END) AS last_active_cnt,
+              CAST(sum(ltv) AS DOUBLE) / count(DISTINCT user_id) AS last_arpu
+       FROM churn WHERE snapshot_date = (SELECT snapshot_date FROM lastcal WHERE k = 1)),
+crs AS (SELECT t.snapshot_date, t.move_users, l.k FROM trans t JOIN lastcal l ON t.snapshot_date = l.snapshot_date
+        WHERE t.curr_segment = 'CHURNED' AND t.prev_segment != 'CHURNED' AND l.k <= 3),
+mu AS (SELECT c.snapshot_date, count(DISTINCT c.user_id) AS cnt FROM churn c
+       JOIN lastcal l ON c.snapshot_date = l.snapshot_date WHERE l.k <= 3 GROUP BY c.snapshot_date)""",
+                 f"""cr AS (SELECT
+  CAST(sum(CASE WHEN c.k = 3 THEN c.move_users END) AS DOUBLE) / sum(CASE WHEN c.k = 3 THEN {den} END) AS ratio_prev2,
+  CAST(sum(CASE WHEN c.k = 2 THEN c.move_users END) AS DOUBLE) / sum(CASE WHEN c.k = 2 THEN {den} END) AS ratio_prev1,
+  CAST(sum(CASE WHEN c.k = 1 THEN c.move_users END) AS DOUBLE) / sum(CASE WHEN c.k = 1 THEN {den} END) AS ratio_last
+  FROM crs c JOIN mu m ON c.snapshot_date = m.snapshot_date)""") + f"""
+SELECT churn_total_cnt, {_r('churn_ago_total_ltv')} AS churn_ago_total_ltv, last_active_cnt,
+       {_r('ratio_prev2')} AS ratio_prev2, {_r('ratio_prev1')} AS ratio_prev1, {_r('ratio_last')} AS ratio_last,
+       {_r('last_arpu')} AS last_arpu,
+       {_r('last_active_cnt * (((0.0 + ratio_prev2) + ratio_prev1) + ratio_last) / 3 * last_arpu')} AS lose_ltv
+FROM aa CROSS JOIN cr CROSS JOIN cus"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "rfm_base": q_rfm_base(),
@@ -246,5 +414,12 @@ def oracle_sql() -> dict[str, str]:
         "monthly_segment_stat": q_monthly_segment_stat(),
         "segment_transition_uplift": q_segment_transition_uplift(),
         "segment_path": q_segment_path(),
+        "cohort_retention": q_cohort_retention(),
+        "cohort_age_metrics": q_cohort_age_metrics(),
+        "cohort_segment_retention": q_cohort_segment_retention(),
+        "churn_status": q_churn_status(),
+        "churn_stats": q_churn_stats(),
+        "churn_transition": q_churn_transition(),
+        "churn_loss_estimate": q_churn_loss_estimate(),
     }
     return out
