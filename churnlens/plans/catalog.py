@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType
 
 from ..config import DEFAULT, WEEKLY_EVENTS
 from ..functions.dates import Calendar
-from ..operators import churn, cohort, monthly, rfm
+from ..operators import behaviour, category, churn, cohort, compare, monthly, rfm
 from ..sources import tables
 
 _MEMO: dict[tuple, object] = {}
@@ -77,6 +77,38 @@ def churn_transition_df(spark, sf_dir):
     return _memo(spark, sf_dir, "churn_trans", lambda: churn.churn_transition(churn_df(spark, sf_dir)))
 
 
+def category_events(spark, sf_dir):
+    return _memo(spark, sf_dir, "ev_lines", lambda: tables.category_purchase_events(spark, sf_dir))
+
+
+def click_events(spark, sf_dir):
+    return _memo(spark, sf_dir, "ev_clicks", lambda: tables.click_events(spark, sf_dir))
+
+
+def click_calendar(spark, sf_dir):
+    return _memo(spark, sf_dir, "cal_clicks", lambda: Calendar.from_data(
+        click_events(spark, sf_dir), grain=WEEKLY_EVENTS.grain))
+
+
+def click_churn_df(spark, sf_dir):
+    return _memo(spark, sf_dir, "click_churn", lambda: churn.churn_status(
+        click_events(spark, sf_dir), click_calendar(spark, sf_dir), WEEKLY_EVENTS))
+
+
+def click_mrfm_df(spark, sf_dir):
+    return _memo(spark, sf_dir, "click_mrfm", lambda: monthly.monthly_rfm(monthly.monthly_rfm_base(
+        click_events(spark, sf_dir), click_calendar(spark, sf_dir), WEEKLY_EVENTS), WEEKLY_EVENTS))
+
+
+def cohort_df(spark, sf_dir):
+    return _memo(spark, sf_dir, "cohort", lambda: cohort.cohort_retention(order_events(spark, sf_dir)))
+
+
+def cohort_seg_df(spark, sf_dir):
+    return _memo(spark, sf_dir, "cohort_seg", lambda: cohort.cohort_segment_retention(
+        order_events(spark, sf_dir), monthly_rfm_df(spark, sf_dir)))
+
+
 def _money_cols(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
 
@@ -123,7 +155,7 @@ def q_segment_path(spark, sf_dir):
 
 
 def q_cohort_retention(spark, sf_dir):
-    return present(cohort.cohort_retention(order_events(spark, sf_dir)))
+    return present(cohort_df(spark, sf_dir))
 
 
 def q_cohort_age_metrics(spark, sf_dir):
@@ -131,8 +163,7 @@ def q_cohort_age_metrics(spark, sf_dir):
 
 
 def q_cohort_segment_retention(spark, sf_dir):
-    return present(cohort.cohort_segment_retention(order_events(spark, sf_dir),
-                                                   monthly_rfm_df(spark, sf_dir)))
+    return present(cohort_seg_df(spark, sf_dir))
 
 
 def q_churn_status(spark, sf_dir):
@@ -152,8 +183,71 @@ def q_churn_loss_estimate(spark, sf_dir):
                                              orders_calendar(spark, sf_dir)))
 
 
+def q_category_dim_asof(spark, sf_dir):
+    return category.category_dim_asof(category_events(spark, sf_dir), orders_calendar(spark, sf_dir))
+
+
+def q_monthly_rfm_category(spark, sf_dir):
+    return present(category.monthly_rfm_category(category_events(spark, sf_dir), monthly_rfm_df(spark, sf_dir),
+                                                 orders_calendar(spark, sf_dir)))
+
+
+def q_last_purchase_category(spark, sf_dir):
+    return category.last_purchase_category(category_events(spark, sf_dir), churn_df(spark, sf_dir))
+
+
+def _activity(spark, sf_dir):
+    return behaviour.pre_snapshot_activity(click_events(spark, sf_dir), click_churn_df(spark, sf_dir),
+                                           click_calendar(spark, sf_dir), WEEKLY_EVENTS)
+
+
+def q_pre_snapshot_activity(spark, sf_dir):
+    return _activity(spark, sf_dir)
+
+
+def q_pre_snapshot_activity_by_type(spark, sf_dir):
+    return behaviour.pre_snapshot_activity_by_type(_activity(spark, sf_dir))
+
+
+def q_churn_event_funnel(spark, sf_dir):
+    return behaviour.churn_event_funnel(click_events(spark, sf_dir), click_churn_df(spark, sf_dir),
+                                        click_calendar(spark, sf_dir), WEEKLY_EVENTS)
+
+
+def q_next_period_behaviour(spark, sf_dir):
+    return behaviour.next_period_behaviour(click_events(spark, sf_dir), WEEKLY_EVENTS)
+
+
+def q_high_segment_behaviour(spark, sf_dir):
+    return behaviour.high_segment_behaviour(click_events(spark, sf_dir), click_mrfm_df(spark, sf_dir),
+                                            click_calendar(spark, sf_dir), WEEKLY_EVENTS)
+
+
+def q_high_segment_rm(spark, sf_dir):
+    return present(compare.high_segment_rm(monthly_rfm_df(spark, sf_dir), orders_calendar(spark, sf_dir)))
+
+
+def q_cohort_period_compare(spark, sf_dir):
+    return present(compare.cohort_period_compare(cohort_df(spark, sf_dir)))
+
+
+def q_segment_initial_retention(spark, sf_dir):
+    return compare.segment_initial_retention(cohort_seg_df(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "category_dim_asof": q_category_dim_asof,
+        "monthly_rfm_category": q_monthly_rfm_category,
+        "last_purchase_category": q_last_purchase_category,
+        "pre_snapshot_activity": q_pre_snapshot_activity,
+        "pre_snapshot_activity_by_type": q_pre_snapshot_activity_by_type,
+        "churn_event_funnel": q_churn_event_funnel,
+        "next_period_behaviour": q_next_period_behaviour,
+        "high_segment_behaviour": q_high_segment_behaviour,
+        "high_segment_rm": q_high_segment_rm,
+        "cohort_period_compare": q_cohort_period_compare,
+        "segment_initial_retention": q_segment_initial_retention,
         "cohort_retention": q_cohort_retention,
         "cohort_age_metrics": q_cohort_age_metrics,
         "cohort_segment_retention": q_cohort_segment_retention,

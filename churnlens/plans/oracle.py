@@ -23,7 +23,7 @@ EV_ORDERS = """ev AS (
          CAST(NULL AS VARCHAR) AS category_id, CAST(NULL AS VARCHAR) AS category_code
   FROM orders)"""
 
-EV_LINES = """ev AS (
+EV_LINES = """cev AS (
   SELECT o.o_custkey AS user_id, o.o_orderdate AS event_time, 'purchase' AS event_type,
          CAST(ROUND(CAST(l.l_extendedprice AS DECIMAL(18,2))
                * (1 - CAST(l.l_discount AS DECIMAL(18,2))), 2) AS DECIMAL(18,2)) AS price,
@@ -403,6 +403,174 @@ SELECT churn_total_cnt, {_r('churn_ago_total_ltv')} AS churn_ago_total_ltv, last
 FROM aa CROSS JOIN cr CROSS JOIN cus"""
 
 
+# ---------------------------------------------------------------------------
+# A7, A8, A19 categories (line items as categorised purchases)
+# ---------------------------------------------------------------------------
+CAT_DIM = """lc AS (SELECT c.snapshot_date, e.category_id, e.category_code, max(e.event_time) AS last_time
+       FROM cal c JOIN cev e ON CAST(e.event_time AS DATE) <= c.snapshot_date
+       WHERE e.event_type = 'purchase' AND e.category_code IS NOT NULL
+       GROUP BY c.snapshot_date, e.category_id, e.category_code),
+dim AS (SELECT snapshot_date, category_id, category_code FROM (
+          SELECT *, row_number() OVER (PARTITION BY snapshot_date, category_id
+                                       ORDER BY last_time DESC, category_code DESC) AS rn FROM lc) t
+        WHERE rn = 1)"""
+
+
+def q_category_dim_asof() -> str:
+    return with_(EV_ORDERS, cal("month"), EV_LINES, CAT_DIM) + """
+SELECT snapshot_date, category_id, category_code FROM dim"""
+
+
+def q_monthly_rfm_category() -> str:
+    return with_(*monthly_ctes(), EV_LINES, CAT_DIM, """ucat AS (
+  SELECT c.snapshot_date, e.user_id, e.category_id
+  FROM cal c JOIN cev e ON CAST(e.event_time AS DATE) <= c.snapshot_date
+  WHERE e.event_type = 'purchase' GROUP BY c.snapshot_date, e.user_id, e.category_id),
+ce AS (SELECT u.user_id, u.category_id, d.category_code, u.snapshot_date
+       FROM ucat u LEFT JOIN dim d ON u.category_id = d.category_id AND u.snapshot_date = d.snapshot_date),
+cb AS (SELECT c.snapshot_date, c.category_id, c.category_code, s.user_id, s.rfm_segment, s.recency,
+              s.month_freq, s.month_monetary
+       FROM ce c LEFT JOIN mrfm s ON c.snapshot_date = s.snapshot_date AND c.user_id = s.user_id),
+cs AS (SELECT snapshot_date, category_id, category_code, rfm_segment, avg(recency) AS avg_recency,
+              CAST(sum(month_freq) AS BIGINT) AS sum_frequency, sum(month_monetary) AS sum_monetary
+       FROM cb GROUP BY snapshot_date, category_id, category_code, rfm_segment)""") + f"""
+SELECT snapshot_date, category_id, category_code, rfm_segment, {_r('avg_recency')} AS avg_recency,
+       sum_frequency, {_r('sum_monetary')} AS sum_monetary,
+       {_ratio('sum_monetary', 'sum(sum_monetary) OVER (PARTITION BY snapshot_date)')} AS monetary_ratio
+FROM cs"""
+
+
+def q_last_purchase_category() -> str:
+    return with_(*churn_all(), EV_LINES, """lpt AS (
+  SELECT user_id, max(event_time) AS last_purchase_time FROM cev
+  WHERE event_type = 'purchase' GROUP BY user_id),
+us AS (SELECT user_id, segment,
+              row_number() OVER (PARTITION BY user_id ORDER BY snapshot_date DESC) AS rn FROM churn)""") + """
+SELECT us.segment, e.category_id, e.category_code, count(*) AS last_purchase_cnt
+FROM lpt JOIN cev e ON lpt.user_id = e.user_id AND lpt.last_purchase_time = e.event_time
+JOIN us ON lpt.user_id = us.user_id AND us.rn = 1
+GROUP BY us.segment, e.category_id, e.category_code"""
+
+
+# ---------------------------------------------------------------------------
+# A18, A20, A23, A25 behaviour on the click log (weekly snapshots)
+# ---------------------------------------------------------------------------
+W = WEEKLY_EVENTS
+
+
+def _trail(n: int) -> str:
+    return f"""SELECT c.snapshot_date, c.segment, e.event_type, '{n} day' AS "interval", count(*) AS event_cnt
+  FROM ev e JOIN cu c ON e.user_id = c.user_id
+  WHERE e.event_time >= c.snapshot_date - INTERVAL {n} DAY AND e.event_time < c.snapshot_date
+  GROUP BY c.snapshot_date, c.segment, e.event_type"""
+
+
+def _activity_ctes() -> list[str]:
+    parts = "\n  UNION ALL\n".join(_trail(n) for n in W.trailing_days)
+    return [*churn_all(EV_CLICKS, W),
+            "cu AS (SELECT DISTINCT user_id, snapshot_date, segment FROM churn)",
+            f"tot AS (\n{parts})",
+            """act AS (SELECT snapshot_date, segment, event_type, "interval",
+                CAST(sum(event_cnt) AS BIGINT) AS event_cnt
+         FROM tot GROUP BY snapshot_date, segment, event_type, "interval")"""]
+
+
+def q_pre_snapshot_activity() -> str:
+    return with_(*_activity_ctes()) + """
+SELECT snapshot_date, segment, event_type, "interval", event_cnt FROM act"""
+
+
+def q_pre_snapshot_activity_by_type() -> str:
+    return with_(*_activity_ctes()) + """
+SELECT event_type, "interval", CAST(sum(event_cnt) AS BIGINT) AS cnt
+FROM act GROUP BY event_type, "interval"
+"""
+
+
+def q_churn_event_funnel() -> str:
+    return with_(*churn_all(EV_CLICKS, W)) + f"""
+SELECT c.snapshot_date, c.segment, e.event_type, count(*) AS total_count
+FROM churn c JOIN ev e ON c.user_id = e.user_id
+ AND {_pstart('c.snapshot_date', W.grain)} = {_pstart('e.event_time', W.grain)}
+GROUP BY c.snapshot_date, c.segment, e.event_type"""
+
+
+def q_next_period_behaviour() -> str:
+    g = W.grain
+    return with_(EV_CLICKS, f"""fpu AS (SELECT user_id, {_pstart('min(event_time)', g)} AS first_date
+        FROM ev WHERE event_type = '{W.purchase_type}' GROUP BY user_id)""", f"""a1 AS (
+  SELECT a.user_id, f.first_date, a.category_id, a.event_type
+  FROM ev a JOIN fpu f ON a.user_id = f.user_id
+  WHERE {_pstart('a.event_time', g)} = CAST(f.first_date + {_step(g)} AS DATE))""") + f"""
+SELECT user_id, first_date, count(DISTINCT category_id) AS category_cnt,
+       CAST(sum(CASE WHEN event_type = '{W.view_type}' THEN 1 ELSE 0 END) AS BIGINT) AS view_cnt,
+       CAST(sum(CASE WHEN event_type = '{W.cart_type}' THEN 1 ELSE 0 END) AS BIGINT) AS cart_cnt,
+       max(CASE WHEN event_type = '{W.purchase_type}' THEN 1 ELSE 0 END) AS tf_purchase
+FROM a1 GROUP BY user_id, first_date"""
+
+
+LASTCAL = """lastcal AS (SELECT snapshot_date, row_number() OVER (ORDER BY snapshot_date DESC) AS k FROM cal)"""
+
+
+def q_high_segment_behaviour() -> str:
+    g = W.grain
+    return with_(*monthly_ctes(EV_CLICKS, W), LASTCAL, f"""evd AS (
+  SELECT {_pend(_pstart('event_time', g), g)} AS snapshot_date, user_id, event_type FROM ev)""", f"""vt AS (
+  SELECT d.snapshot_date, d.user_id, s.rfm_segment,
+         count(CASE WHEN d.event_type = '{W.view_type}' THEN 1 END) AS view_cnt,
+         count(CASE WHEN d.event_type = '{W.cart_type}' THEN 1 END) AS cart_cnt,
+         count(CASE WHEN d.event_type = '{W.purchase_type}' THEN 1 END) AS purchase_cnt
+  FROM evd d JOIN mrfm s ON d.snapshot_date = s.snapshot_date AND d.user_id = s.user_id
+  GROUP BY d.snapshot_date, d.user_id, s.rfm_segment)""") + f"""
+SELECT CASE WHEN l.k <= {W.current_n} THEN 'current' ELSE 'past' END AS point_of_view,
+       v.user_id, v.snapshot_date, v.view_cnt, v.cart_cnt, v.purchase_cnt
+FROM vt v JOIN lastcal l ON v.snapshot_date = l.snapshot_date
+WHERE v.rfm_segment IN ('VIP', 'GROWTH', 'LOYAL')"""
+
+
+# ---------------------------------------------------------------------------
+# A21, A22, A24 comparisons (orders, monthly)
+# ---------------------------------------------------------------------------
+def q_high_segment_rm() -> str:
+    return with_(*monthly_ctes(), LASTCAL) + f"""
+SELECT CASE WHEN l.k <= {DEFAULT.current_n} THEN 'current' ELSE 'past' END AS point_of_view, m.user_id,
+       {_r('avg(m.recency)')} AS avg_recency,
+       {_ratio('sum(m.month_monetary)', 'count(m.month_monetary)')} AS avg_monetary
+FROM mrfm m JOIN lastcal l ON m.snapshot_date = l.snapshot_date
+WHERE m.rfm_segment IN ('VIP', 'GROWTH', 'LOYAL')
+GROUP BY 1, 2"""
+
+
+def q_cohort_period_compare() -> str:
+    return with_(EV_ORDERS, cohort_ctes(), """lat AS (SELECT max(cohort_date) AS latest FROM cohort)""",
+                 """cbx AS (SELECT c.cohort_date, c.first_user, c.active_users,
+                CAST(l.latest - INTERVAL 1 MONTH AS DATE) AS c1, CAST(l.latest - INTERVAL 2 MONTH AS DATE) AS c2
+         FROM cohort c CROSS JOIN lat l WHERE c.cohort_age = 1 AND c.cohort_date != l.latest)""") + f"""
+SELECT 'past' AS point_of_view,
+       {_r('avg(CASE WHEN cohort_date < c2 THEN first_user END)')} AS first_user,
+       {_r('avg(CASE WHEN cohort_date < c2 THEN active_users END)')} AS active_user
+FROM cbx
+UNION ALL
+SELECT 'current' AS point_of_view,
+       {_r('avg(CASE WHEN cohort_date IN (c1, c2) THEN first_user END)')} AS first_user,
+       {_r('avg(CASE WHEN cohort_date IN (c1, c2) THEN active_users END)')} AS active_user
+FROM cbx"""
+
+
+def q_segment_initial_retention() -> str:
+    return with_(*monthly_ctes(), cohort_ctes(), cohort_segment_cte(),
+                 """lat AS (SELECT max(cohort_date) AS latest FROM csr)""", """sb AS (
+  SELECT rfm_segment, cohort_date AS curr_period,
+         sum(CASE WHEN cohort_age = 0 THEN active_number END) AS total_number,
+         sum(CASE WHEN cohort_age = 1 THEN active_number END) AS action_number
+  FROM csr GROUP BY rfm_segment, cohort_date)""") + """
+SELECT rfm_segment, curr_period, CAST(action_number AS BIGINT) AS action_number,
+       CAST(total_number - action_number AS BIGINT) AS non_action_number
+FROM sb CROSS JOIN lat
+WHERE curr_period IN (CAST(latest - INTERVAL 1 MONTH AS DATE), CAST(latest - INTERVAL 2 MONTH AS DATE))
+  AND rfm_segment IS NOT NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "rfm_base": q_rfm_base(),
@@ -421,5 +589,16 @@ def oracle_sql() -> dict[str, str]:
         "churn_stats": q_churn_stats(),
         "churn_transition": q_churn_transition(),
         "churn_loss_estimate": q_churn_loss_estimate(),
+        "category_dim_asof": q_category_dim_asof(),
+        "monthly_rfm_category": q_monthly_rfm_category(),
+        "last_purchase_category": q_last_purchase_category(),
+        "pre_snapshot_activity": q_pre_snapshot_activity(),
+        "pre_snapshot_activity_by_type": q_pre_snapshot_activity_by_type(),
+        "churn_event_funnel": q_churn_event_funnel(),
+        "next_period_behaviour": q_next_period_behaviour(),
+        "high_segment_behaviour": q_high_segment_behaviour(),
+        "high_segment_rm": q_high_segment_rm(),
+        "cohort_period_compare": q_cohort_period_compare(),
+        "segment_initial_retention": q_segment_initial_retention(),
     }
     return out
