@@ -19,6 +19,7 @@ from ..config import DEFAULT, WEEKLY_EVENTS
 from ..functions.dates import Calendar
 from ..operators import behaviour, category, churn, cohort, compare, monthly, rfm
 from ..sources import tables
+from ..stats import tests as st
 
 _MEMO: dict[tuple, object] = {}
 
@@ -235,8 +236,72 @@ def q_segment_initial_retention(spark, sf_dir):
     return compare.segment_initial_retention(cohort_seg_df(spark, sf_dir))
 
 
+# ---- statistics over the analytic tables ---------------------------------
+def _compare_df(spark, sf_dir):
+    return _memo(spark, sf_dir, "cmp", lambda: compare.cohort_period_compare(cohort_df(spark, sf_dir)))
+
+
+def _seg_ret_df(spark, sf_dir):
+    return _memo(spark, sf_dir, "segret", lambda: compare.segment_initial_retention(cohort_seg_df(spark, sf_dir)))
+
+
+def q_chi2_rate_test(spark, sf_dir):
+    return present(st.chi2_rate_test(_compare_df(spark, sf_dir), "point_of_view", "first_user", "active_user"))
+
+
+def q_chi2_rate_residuals(spark, sf_dir):
+    return present(st.chi2_residuals(_compare_df(spark, sf_dir), "point_of_view", "first_user", "active_user"))
+
+
+def q_anova_initial_retention(spark, sf_dir):
+    return present(st.anova_oneway(st.retention_rates(_seg_ret_df(spark, sf_dir))))
+
+
+def q_pairwise_mean_diff(spark, sf_dir):
+    return present(st.pairwise_mean_diff(st.retention_rates(_seg_ret_df(spark, sf_dir))))
+
+
+def q_logit_next_period(spark, sf_dir):
+    nb = behaviour.next_period_behaviour(click_events(spark, sf_dir), WEEKLY_EVENTS)
+    return present(st.logit_odds(nb, "tf_purchase", ["category_cnt", "view_cnt", "cart_cnt"]))
+
+
+def q_spearman_cohort_age(spark, sf_dir):
+    return present(st.spearman_cohort_age(cohort.cohort_age_metrics(order_events(spark, sf_dir))))
+
+
+def _rm_df(spark, sf_dir):
+    return compare.high_segment_rm(monthly_rfm_df(spark, sf_dir), orders_calendar(spark, sf_dir))
+
+
+def q_paired_periods(spark, sf_dir):
+    return present(st.paired_periods(_rm_df(spark, sf_dir), value_col="avg_recency"))
+
+
+def q_wilcoxon_battery(spark, sf_dir):
+    vcp = behaviour.high_segment_behaviour(click_events(spark, sf_dir), click_mrfm_df(spark, sf_dir),
+                                           click_calendar(spark, sf_dir), WEEKLY_EVENTS)
+    return present(st.test_battery({
+        "high_segment_rm": (_rm_df(spark, sf_dir), ["avg_recency", "avg_monetary"]),
+        "high_segment_behaviour": (vcp, ["view_cnt", "cart_cnt", "purchase_cnt"]),
+    }))
+
+
+def q_segment_age_regression(spark, sf_dir):
+    return present(st.segment_age_regression(cohort_seg_df(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "chi2_rate_test": q_chi2_rate_test,
+        "chi2_rate_residuals": q_chi2_rate_residuals,
+        "anova_initial_retention": q_anova_initial_retention,
+        "pairwise_mean_diff": q_pairwise_mean_diff,
+        "logit_next_period": q_logit_next_period,
+        "spearman_cohort_age": q_spearman_cohort_age,
+        "paired_periods": q_paired_periods,
+        "wilcoxon_battery": q_wilcoxon_battery,
+        "segment_age_regression": q_segment_age_regression,
         "category_dim_asof": q_category_dim_asof,
         "monthly_rfm_category": q_monthly_rfm_category,
         "last_purchase_category": q_last_purchase_category,
