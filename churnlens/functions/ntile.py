@@ -18,6 +18,10 @@ computed the way a distributed sort does it:
 4. ``row_number = offset + position``; NTILE follows from the row number and
    the group size with the same rule as SQL NTILE: the first ``N mod n`` tiles
    get one extra row.
+
+Size check: when the largest group has at most ``churnlens.rank.singleTaskRows``
+rows (default 2,000,000), one task per group sorts it faster than the extra
+jobs above cost, so the plain window is used.  Above it, the distributed path.
 """
 
 from __future__ import annotations
@@ -30,6 +34,21 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 _LOW33 = (1 << 33) - 1
+SINGLE_TASK_ROWS_CONF = "churnlens.rank.singleTaskRows"
+SINGLE_TASK_ROWS_DEFAULT = 2_000_000
+
+
+def largest_group_rows(df: DataFrame, group: Sequence[str] = ()) -> int:
+    """Row count of the largest group (one aggregate; only the number reaches the driver)."""
+    if not group:
+        return df.count()
+    r = df.groupBy(*group).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0]
+    return int(r or 0)
+
+
+def fits_one_task(df: DataFrame, group: Sequence[str] = ()) -> bool:
+    limit = int(df.sparkSession.conf.get(SINGLE_TASK_ROWS_CONF, str(SINGLE_TASK_ROWS_DEFAULT)))
+    return largest_group_rows(df, group) <= limit
 
 
 def ntile_from_rank(rn: Column, total: Column, n: int) -> Column:
@@ -44,13 +63,20 @@ def ntile_from_rank(rn: Column, total: Column, n: int) -> Column:
 
 def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "rn",
                       group: Sequence[str] = (), total_col: str | None = None,
-                      num_partitions: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None, check_size: bool = True) -> DataFrame:
     """Add the exact 1-based row number of each row in ``order`` (within ``group``).
 
     ``order`` must be a total order (end it with a unique column).  Optionally
-    adds the group size as ``total_col``.
+    adds the group size as ``total_col``.  ``check_size=False`` forces the
+    distributed path.
     """
     spark = df.sparkSession
+    if check_size and fits_one_task(df, group):
+        w = Window.partitionBy(*group).orderBy(*order)
+        cols = [F.row_number().over(w).cast("long").alias(out)]
+        if total_col:
+            cols.append(F.count(F.lit(1)).over(Window.partitionBy(*group)).cast("long").alias(total_col))
+        return df.select("*", *cols)
     ensure_checkpoint_dir(spark)
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g).asc() for g in group] + list(order)
@@ -82,12 +108,27 @@ def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "rn",
 
 def ntile(df: DataFrame, n: int, order: Sequence[Column], out: str,
           group: Sequence[str] = (), tie: str = "user_id",
-          num_partitions: int | None = None) -> DataFrame:
+          num_partitions: int | None = None, check_size: bool = True) -> DataFrame:
     """``NTILE(n) OVER (PARTITION BY group ORDER BY order, tie)`` computed distributed.
 
     ``tie`` makes the order total, so the result does not depend on the
     physical row order (plain SQL NTILE over tied keys does).
     """
     ordered = global_row_number(df, list(order) + [F.col(tie).asc()], out="_rn",
-                                group=group, total_col="_n", num_partitions=num_partitions)
+                                group=group, total_col="_n", num_partitions=num_partitions,
+                                check_size=check_size)
     return ordered.select(*df.columns, ntile_from_rank(F.col("_rn"), F.col("_n"), n).alias(out))
+
+
+def ntiles(df: DataFrame, n: int, specs: Sequence[tuple[Column, str]], group: Sequence[str] = (),
+           tie: str = "user_id") -> DataFrame:
+    """Several NTILEs over the same rows (one per (order column, output name)),
+    with one size check for all of them."""
+    if fits_one_task(df, group):
+        cols = [ntile_from_rank(F.row_number().over(Window.partitionBy(*group).orderBy(o, F.col(tie).asc())),
+                                F.count(F.lit(1)).over(Window.partitionBy(*group)), n).alias(name)
+                for o, name in specs]
+        return df.select("*", *cols)
+    for o, name in specs:
+        df = ntile(df, n, [o], name, group=group, tie=tie, check_size=False)
+    return df

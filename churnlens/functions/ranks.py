@@ -1,7 +1,7 @@
 """Ordered prefix sums, average (tie-aware) ranks and exact medians without a
 global single-partition window.
 
-Same technique as :mod:`ntile`: range-partition on the order (plus group),
+Same technique and the same size check as :mod:`ntile`: range-partition on the order (plus group),
 checkpoint so partition contents are fixed, then per-partition totals and
 their prefix offsets (a table with at most #partitions + #groups rows).
 The running sum inside a partition is a window partitioned by the range
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .ntile import fits_one_task
 
 _LOW33 = (1 << 33) - 1
 
@@ -25,6 +26,9 @@ def prefix_sum(df: DataFrame, order: Sequence[Column], weight: str, out: str,
     """Add ``out`` = sum of ``weight`` over the rows strictly before each row in
     ``order`` within ``group`` (``order`` must be a total order)."""
     spark = df.sparkSession
+    if fits_one_task(df, group):  # size-checked: small groups sort in one task each
+        w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", F.coalesce(F.sum(weight).over(w), F.lit(0)).alias(out))
     ensure_checkpoint_dir(spark)
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g).asc() for g in group] + list(order)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Params
-from ..functions.ntile import ntile
+from ..functions.ntile import ntiles
 from ..functions.segments import rfm_segment
 from ..sources.tables import purchases
 from ._util import money, ratio
@@ -38,10 +38,9 @@ def score(df: DataFrame, params: Params, group: tuple[str, ...] = (),
           freq_col: str = "frequency", money_col: str = "monetary") -> DataFrame:
     """Three exact NTILEs (recency DESC, frequency ASC, monetary ASC; user id breaks ties)
     and the ordered segment rule.  ``group`` = per-snapshot scoring."""
-    n = params.tiles
-    df = ntile(df, n, [F.col("recency").desc()], "recency_score", group=group)
-    df = ntile(df, n, [F.col(freq_col).asc()], "frequency_score", group=group)
-    df = ntile(df, n, [F.col(money_col).asc()], "monetary_score", group=group)
+    df = ntiles(df, params.tiles, [(F.col("recency").desc(), "recency_score"),
+                                   (F.col(freq_col).asc(), "frequency_score"),
+                                   (F.col(money_col).asc(), "monetary_score")], group=group)
     return df.withColumn("rfm_segment", rfm_segment())
 
 

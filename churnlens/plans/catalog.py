@@ -31,6 +31,12 @@ def _memo(spark: SparkSession, sf_dir: str, key: str, build: Callable[[], object
     return _MEMO[k]
 
 
+def mart(df: DataFrame) -> DataFrame:
+    """Materialize a shared table once (reliable checkpoint: survives executor
+    loss and cuts lineage); downstream queries read it instead of recomputing."""
+    return df.checkpoint(eager=True)
+
+
 def present(df: DataFrame) -> DataFrame:
     """Round every DOUBLE column to 6 places (presentation for the oracle compare)."""
     return df.select(*[F.round(F.col(f.name), 6).alias(f.name)
@@ -50,7 +56,7 @@ def rfm_base_df(spark, sf_dir):
 
 
 def rfm_score_df(spark, sf_dir):
-    return _memo(spark, sf_dir, "rfm_score", lambda: rfm.rfm_score(rfm_base_df(spark, sf_dir)))
+    return _memo(spark, sf_dir, "rfm_score", lambda: mart(rfm.rfm_score(rfm_base_df(spark, sf_dir))))
 
 
 def orders_calendar(spark, sf_dir, grain="month"):
@@ -66,12 +72,12 @@ def monthly_base_df(spark, sf_dir):
 
 def monthly_rfm_df(spark, sf_dir):
     return _memo(spark, sf_dir, "monthly_rfm",
-                 lambda: monthly.monthly_rfm(monthly_base_df(spark, sf_dir)))
+                 lambda: mart(monthly.monthly_rfm(monthly_base_df(spark, sf_dir))))
 
 
 def churn_df(spark, sf_dir):
-    return _memo(spark, sf_dir, "churn", lambda: churn.churn_status(
-        order_events(spark, sf_dir), orders_calendar(spark, sf_dir)))
+    return _memo(spark, sf_dir, "churn", lambda: mart(churn.churn_status(
+        order_events(spark, sf_dir), orders_calendar(spark, sf_dir))))
 
 
 def churn_transition_df(spark, sf_dir):
@@ -92,22 +98,22 @@ def click_calendar(spark, sf_dir):
 
 
 def click_churn_df(spark, sf_dir):
-    return _memo(spark, sf_dir, "click_churn", lambda: churn.churn_status(
-        click_events(spark, sf_dir), click_calendar(spark, sf_dir), WEEKLY_EVENTS))
+    return _memo(spark, sf_dir, "click_churn", lambda: mart(churn.churn_status(
+        click_events(spark, sf_dir), click_calendar(spark, sf_dir), WEEKLY_EVENTS)))
 
 
 def click_mrfm_df(spark, sf_dir):
-    return _memo(spark, sf_dir, "click_mrfm", lambda: monthly.monthly_rfm(monthly.monthly_rfm_base(
-        click_events(spark, sf_dir), click_calendar(spark, sf_dir), WEEKLY_EVENTS), WEEKLY_EVENTS))
+    return _memo(spark, sf_dir, "click_mrfm", lambda: mart(monthly.monthly_rfm(monthly.monthly_rfm_base(
+        click_events(spark, sf_dir), click_calendar(spark, sf_dir), WEEKLY_EVENTS), WEEKLY_EVENTS)))
 
 
 def cohort_df(spark, sf_dir):
-    return _memo(spark, sf_dir, "cohort", lambda: cohort.cohort_retention(order_events(spark, sf_dir)))
+    return _memo(spark, sf_dir, "cohort", lambda: mart(cohort.cohort_retention(order_events(spark, sf_dir))))
 
 
 def cohort_seg_df(spark, sf_dir):
-    return _memo(spark, sf_dir, "cohort_seg", lambda: cohort.cohort_segment_retention(
-        order_events(spark, sf_dir), monthly_rfm_df(spark, sf_dir)))
+    return _memo(spark, sf_dir, "cohort_seg", lambda: mart(cohort.cohort_segment_retention(
+        order_events(spark, sf_dir), monthly_rfm_df(spark, sf_dir))))
 
 
 def _money_cols(df: DataFrame, *cols: str) -> DataFrame:
@@ -160,7 +166,7 @@ def q_cohort_retention(spark, sf_dir):
 
 
 def q_cohort_age_metrics(spark, sf_dir):
-    return present(cohort.cohort_age_metrics(order_events(spark, sf_dir)))
+    return present(cohort_age_df(spark, sf_dir))
 
 
 def q_cohort_segment_retention(spark, sf_dir):
@@ -266,8 +272,12 @@ def q_logit_next_period(spark, sf_dir):
     return present(st.logit_odds(nb, "tf_purchase", ["category_cnt", "view_cnt", "cart_cnt"]))
 
 
+def cohort_age_df(spark, sf_dir):
+    return _memo(spark, sf_dir, "cohort_age", lambda: mart(cohort.cohort_age_metrics(order_events(spark, sf_dir))))
+
+
 def q_spearman_cohort_age(spark, sf_dir):
-    return present(st.spearman_cohort_age(cohort.cohort_age_metrics(order_events(spark, sf_dir))))
+    return present(st.spearman_cohort_age(cohort_age_df(spark, sf_dir)))
 
 
 def _rm_df(spark, sf_dir):
@@ -292,41 +302,42 @@ def q_segment_age_regression(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Registered queries in dependency order (upstream marts first)."""
     return {
-        "chi2_rate_test": q_chi2_rate_test,
-        "chi2_rate_residuals": q_chi2_rate_residuals,
-        "anova_initial_retention": q_anova_initial_retention,
-        "pairwise_mean_diff": q_pairwise_mean_diff,
-        "logit_next_period": q_logit_next_period,
-        "spearman_cohort_age": q_spearman_cohort_age,
-        "paired_periods": q_paired_periods,
-        "wilcoxon_battery": q_wilcoxon_battery,
-        "segment_age_regression": q_segment_age_regression,
+        "rfm_base": q_rfm_base,
+        "rfm_score": q_rfm_score,
+        "rfm_segment_share": q_rfm_segment_share,
+        "rfm_segment_sales": q_rfm_segment_sales,
+        "monthly_rfm_base": q_monthly_rfm_base,
+        "monthly_rfm": q_monthly_rfm,
+        "monthly_segment_stat": q_monthly_segment_stat,
+        "segment_transition_uplift": q_segment_transition_uplift,
+        "segment_path": q_segment_path,
         "category_dim_asof": q_category_dim_asof,
         "monthly_rfm_category": q_monthly_rfm_category,
+        "cohort_retention": q_cohort_retention,
+        "cohort_age_metrics": q_cohort_age_metrics,
+        "cohort_segment_retention": q_cohort_segment_retention,
+        "churn_status": q_churn_status,
+        "churn_stats": q_churn_stats,
+        "churn_transition": q_churn_transition,
+        "churn_loss_estimate": q_churn_loss_estimate,
         "last_purchase_category": q_last_purchase_category,
         "pre_snapshot_activity": q_pre_snapshot_activity,
         "pre_snapshot_activity_by_type": q_pre_snapshot_activity_by_type,
         "churn_event_funnel": q_churn_event_funnel,
         "next_period_behaviour": q_next_period_behaviour,
         "high_segment_behaviour": q_high_segment_behaviour,
-        "high_segment_rm": q_high_segment_rm,
         "cohort_period_compare": q_cohort_period_compare,
         "segment_initial_retention": q_segment_initial_retention,
-        "cohort_retention": q_cohort_retention,
-        "cohort_age_metrics": q_cohort_age_metrics,
-        "cohort_segment_retention": q_cohort_segment_retention,
-        "churn_status": q_churn_status,
-        "churn_stats": q_churn_stats,
-        "churn_transition": q_churn_transition,
-        "churn_loss_estimate": q_churn_loss_estimate,
-        "monthly_rfm_base": q_monthly_rfm_base,
-        "monthly_rfm": q_monthly_rfm,
-        "monthly_segment_stat": q_monthly_segment_stat,
-        "segment_transition_uplift": q_segment_transition_uplift,
-        "segment_path": q_segment_path,
-        "rfm_base": q_rfm_base,
-        "rfm_score": q_rfm_score,
-        "rfm_segment_share": q_rfm_segment_share,
-        "rfm_segment_sales": q_rfm_segment_sales,
+        "high_segment_rm": q_high_segment_rm,
+        "chi2_rate_test": q_chi2_rate_test,
+        "chi2_rate_residuals": q_chi2_rate_residuals,
+        "anova_initial_retention": q_anova_initial_retention,
+        "pairwise_mean_diff": q_pairwise_mean_diff,
+        "logit_next_period": q_logit_next_period,
+        "spearman_cohort_age": q_spearman_cohort_age,
+        "paired_periods": q_paired_periods,
+        "wilcoxon_battery": q_wilcoxon_battery,
+        "segment_age_regression": q_segment_age_regression,
     }

@@ -541,20 +541,54 @@ WHERE m.rfm_segment IN ('VIP', 'GROWTH', 'LOYAL')
 GROUP BY 1, 2"""
 
 
-def q_cohort_period_compare() -> str:
-    return with_(EV_ORDERS, cohort_ctes(), """lat AS (SELECT max(cohort_date) AS latest FROM cohort)""",
-                 """cbx AS (SELECT c.cohort_date, c.first_user, c.active_users,
+def cohort_compare_ctes() -> list[str]:
+    return [EV_ORDERS, cohort_ctes(), """lat AS (SELECT max(cohort_date) AS latest FROM cohort)""",
+            """cbx AS (SELECT c.cohort_date, c.first_user, c.active_users,
                 CAST(l.latest - INTERVAL 1 MONTH AS DATE) AS c1, CAST(l.latest - INTERVAL 2 MONTH AS DATE) AS c2
-         FROM cohort c CROSS JOIN lat l WHERE c.cohort_age = 1 AND c.cohort_date != l.latest)""") + f"""
-SELECT 'past' AS point_of_view,
-       {_r('avg(CASE WHEN cohort_date < c2 THEN first_user END)')} AS first_user,
-       {_r('avg(CASE WHEN cohort_date < c2 THEN active_users END)')} AS active_user
-FROM cbx
-UNION ALL
-SELECT 'current' AS point_of_view,
-       {_r('avg(CASE WHEN cohort_date IN (c1, c2) THEN first_user END)')} AS first_user,
-       {_r('avg(CASE WHEN cohort_date IN (c1, c2) THEN active_users END)')} AS active_user
-FROM cbx"""
+         FROM cohort c CROSS JOIN lat l WHERE c.cohort_age = 1 AND c.cohort_date != l.latest)""",
+            """cmp AS (
+  SELECT 'past' AS point_of_view,
+         avg(CASE WHEN cohort_date < c2 THEN first_user END) AS first_user,
+         avg(CASE WHEN cohort_date < c2 THEN active_users END) AS active_user
+  FROM cbx
+  UNION ALL
+  SELECT 'current' AS point_of_view,
+         avg(CASE WHEN cohort_date IN (c1, c2) THEN first_user END) AS first_user,
+         avg(CASE WHEN cohort_date IN (c1, c2) THEN active_users END) AS active_user
+  FROM cbx)"""]
+
+
+def q_cohort_period_compare() -> str:
+    return with_(*cohort_compare_ctes()) + f"""
+SELECT point_of_view, {_r('first_user')} AS first_user, {_r('active_user')} AS active_user FROM cmp"""
+
+
+def q_chi2_rate_residuals() -> str:
+    return with_(*cohort_compare_ctes(), """ct AS (
+  SELECT point_of_view AS "group", CAST(trunc(active_user) AS BIGINT) AS success,
+         CAST(trunc(first_user - active_user) AS BIGINT) AS failure
+  FROM cmp WHERE first_user IS NOT NULL AND active_user IS NOT NULL AND active_user <= first_user)""",
+                 """ex AS (
+  SELECT "group", success, failure,
+         CAST(success + failure AS DOUBLE) * sum(success) OVER () / (sum(success) OVER () + sum(failure) OVER ()) AS e1,
+         CAST(success + failure AS DOUBLE) * sum(failure) OVER () / (sum(success) OVER () + sum(failure) OVER ()) AS e2
+  FROM ct)""") + f"""
+SELECT "group", success, failure, {_r('e1')} AS expected_success, {_r('e2')} AS expected_failure,
+       {_r('(success - e1) / sqrt(e1)')} AS resid_success, {_r('(failure - e2) / sqrt(e2)')} AS resid_failure
+FROM ex"""
+
+
+def q_paired_periods() -> str:
+    return with_(*monthly_ctes(), LASTCAL, f"""rm AS (
+  SELECT CASE WHEN l.k <= {DEFAULT.current_n} THEN 'current' ELSE 'past' END AS point_of_view, m.user_id,
+         avg(m.recency) AS avg_recency
+  FROM mrfm m JOIN lastcal l ON m.snapshot_date = l.snapshot_date
+  WHERE m.rfm_segment IN ('VIP', 'GROWTH', 'LOYAL') GROUP BY 1, 2)""") + f"""
+SELECT user_id, {_r("avg(CASE WHEN point_of_view = 'past' THEN avg_recency END)")} AS before_value,
+       {_r("avg(CASE WHEN point_of_view = 'current' THEN avg_recency END)")} AS after_value
+FROM rm GROUP BY user_id
+HAVING avg(CASE WHEN point_of_view = 'past' THEN avg_recency END) IS NOT NULL
+   AND avg(CASE WHEN point_of_view = 'current' THEN avg_recency END) IS NOT NULL"""
 
 
 def q_segment_initial_retention() -> str:
@@ -600,5 +634,7 @@ def oracle_sql() -> dict[str, str]:
         "high_segment_rm": q_high_segment_rm(),
         "cohort_period_compare": q_cohort_period_compare(),
         "segment_initial_retention": q_segment_initial_retention(),
+        "chi2_rate_residuals": q_chi2_rate_residuals(),
+        "paired_periods": q_paired_periods(),
     }
     return out

@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,7 +171,12 @@ def logit_odds(df: DataFrame, target_col: str, numeric_cols: Sequence[str],
     terms = [*numeric_cols, *categorical_cols] or ["1"]
     rf = RFormula(formula=f"{target_col} ~ " + " + ".join(terms), featuresCol="features", labelCol="label")
     data = rf.fit(sub).transform(sub).select("features", F.col("label").cast("double").alias("label"))
-    model = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=100).fit(data)
+    # IRLS makes one pass per iteration: keep the (one row per unit) input cached
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=100).fit(data)
+    finally:
+        data.unpersist()
     s = model.summary
     names = ["Intercept", *numeric_cols]
     meta = data.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
@@ -346,7 +352,11 @@ def segment_age_regression(df: DataFrame, y: str = "cnt_retention", x: str = "co
     dm = flat.select((F.col("_y") - F.avg("_y").over(w)).alias("label"),
                      *[(F.col(f"_v{i}") - F.avg(f"_v{i}").over(w)).alias(f"_v{i}") for i in range(len(names))])
     data = VectorAssembler(inputCols=[f"_v{i}" for i in range(len(names))], outputCol="features").transform(dm)
-    model = LinearRegression(fitIntercept=False, solver="normal", regParam=0.0).fit(data)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = LinearRegression(fitIntercept=False, solver="normal", regParam=0.0).fit(data)
+    finally:
+        data.unpersist()
     s = model.summary
     coefs = model.coefficients.toArray().tolist()
     rows = [(names[i], float(coefs[i]), float(s.coefficientStandardErrors[i]), float(s.tValues[i]),
