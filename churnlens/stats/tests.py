@@ -24,6 +24,14 @@ from .distributions import chi2_sf_udf, f_sf_udf, norm_sf2_udf, t_sf2_udf
 Z975 = 1.959963984540054  # 97.5% normal quantile (95% two-sided intervals)
 
 
+def _exp(x: float) -> float:
+    """exp that saturates to +inf (separated data gives huge coefficients)."""
+    try:
+        return math.exp(x)
+    except OverflowError:
+        return float("inf")
+
+
 def _require(df: DataFrame, cols: Sequence[str]) -> None:
     missing = set(cols) - set(df.columns)
     if missing:
@@ -191,8 +199,8 @@ def logit_odds(df: DataFrame, target_col: str, numeric_cols: Sequence[str],
     llnull = -s.nullDeviance / 2.0
     n = int(s.numInstances)
     rows = [(names[i] if i < len(names) else f"x{i}", float(coefs[i]), float(ses[i]),
-             math.exp(coefs[i]), float(pvals[i]),
-             math.exp(coefs[i] - Z975 * ses[i]), math.exp(coefs[i] + Z975 * ses[i]),
+             _exp(coefs[i]), float(pvals[i]),
+             _exp(coefs[i] - Z975 * ses[i]), _exp(coefs[i] + Z975 * ses[i]),
              n, 1.0 - llf / llnull if llnull else None, llf, float(s.aic))
             for i in range(len(coefs))]
     schema = ("term string, coef double, std_err double, odds_ratio double, p_value double, "
