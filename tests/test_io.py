@@ -68,3 +68,15 @@ def test_stream_ingest_exactly_once(spark):
         q = ingest_log_stream(spark, f"{base}/raw", f"{base}/events", f"{base}/ckpt")
         q.awaitTermination(120)
     assert spark.read.parquet(f"{base}/events").count() == 3
+
+
+def test_build_marts_end_to_end(spark):
+    from churnlens.plans.marts import build_marts
+    from churnlens.sources import tables
+    root = _tmp()
+    sf = "/root/testdata/sf0.001"
+    out = build_marts(tables.order_events(spark, sf), root,
+                      category_events=tables.category_purchase_events(spark, sf))
+    assert len(out) == 26
+    assert mart.read_mart(spark, root, "monthly_rfm").count() > 0
+    assert mart.read_mart(spark, root, "churn_user_ltv_stat").count() == 1
