@@ -106,20 +106,47 @@ def monthly_rfm_category(events: DataFrame, mrfm: DataFrame, calendar: Calendar,
         ratio(F.col("_msum"), snap_total).alias("monetary_ratio"))
 
 
-def last_purchase_category(events: DataFrame, churn: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def monthly_rfm_category_attributed(events: DataFrame, mrfm: DataFrame, calendar: Calendar,
+                                    params: Params = DEFAULT) -> DataFrame:
+    """A7 option (D5): credit each snapshot only with the categories bought in
+    that snapshot's period and with the spend on them (no fan-out, no NULL
+    group).  sum_frequency / sum_monetary are the category's purchases and
+    spend in the period by users of the segment."""
+    g = calendar.grain
+    cp = purchases(events, params.purchase_type).groupBy(
+        "user_id", period_end(period_start(F.col("event_time"), g), g).alias("snapshot_date"), "category_id").agg(
+        F.count(F.lit(1)).alias("_f"), F.sum("price").alias("_m"))
+    j = cp.join(mrfm.select("user_id", "snapshot_date", "rfm_segment", "recency"), ["user_id", "snapshot_date"])
+    seg = j.groupBy("snapshot_date", "category_id", "rfm_segment").agg(
+        F.avg("recency").alias("avg_recency"), F.sum("_f").alias("sum_frequency"), F.sum("_m").alias("_msum"))
+    dim = category_dim_asof(events, calendar, params)
+    seg = seg.join(dim, ["snapshot_date", "category_id"], "left")
+    snap_total = F.sum("_msum").over(Window.partitionBy("snapshot_date"))
+    return seg.select("snapshot_date", "category_id", "category_code", "rfm_segment", "avg_recency",
+                      "sum_frequency", money(F.col("_msum")).alias("sum_monetary"),
+                      ratio(F.col("_msum"), snap_total).alias("monetary_ratio"))
+
+
+def last_purchase_category(events: DataFrame, churn: DataFrame, params: Params = DEFAULT,
+                           purchases_only: bool = False) -> DataFrame:
     """A19. Categories of the events at each user's last purchase instant, counted
     by the user's latest churn status.
 
     As in the original every event at that instant counts, whatever its type.
-    The join is on (user_id, event_time), so a user with a huge share of the
-    rows is still spread over many tasks; the latest status is a MAX_BY
-    aggregate, not a window.
+    Events are first aggregated per (user, instant, category), so a burst of
+    identical events ships as one row; the last-purchase time is a per-user
+    MAX over the same aggregate.  The join is on (user_id, event_time), which
+    spreads a user with a huge share of the rows over many tasks; the latest
+    status is a MAX_BY aggregate, not a window.
     """
-    last = purchases(events, params.purchase_type).groupBy("user_id").agg(
-        F.max("event_time").alias("event_time"))
-    at_last = events.select("user_id", "event_time", "category_id", "category_code").join(
-        last, ["user_id", "event_time"])
+    if purchases_only:  # D9 option: count only the purchase events at that instant
+        events = purchases(events, params.purchase_type)
+    inst = events.groupBy("user_id", "event_time", "category_id", "category_code").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max((F.col("event_type") == F.lit(params.purchase_type)).cast("int")).alias("bought"))
+    last = inst.where(F.col("bought") == 1).groupBy("user_id").agg(F.max("event_time").alias("event_time"))
+    at_last = inst.join(last, ["user_id", "event_time"])
     status = churn.groupBy("user_id").agg(F.max_by("segment", "snapshot_date").alias("segment"))
     return (at_last.join(status, "user_id")
             .groupBy("segment", "category_id", "category_code")
-            .agg(F.count(F.lit(1)).alias("last_purchase_cnt")))
+            .agg(F.sum("n").alias("last_purchase_cnt")))

@@ -85,7 +85,8 @@ def churn_transition_df(spark, sf_dir):
 
 
 def category_events(spark, sf_dir):
-    return _memo(spark, sf_dir, "ev_lines", lambda: tables.category_purchase_events(spark, sf_dir))
+    """Line items joined to orders and parts once, then read by A7, A8 and A19."""
+    return _memo(spark, sf_dir, "ev_lines", lambda: mart(tables.category_purchase_events(spark, sf_dir)))
 
 
 def click_events(spark, sf_dir):
@@ -199,6 +200,21 @@ def q_monthly_rfm_category(spark, sf_dir):
                                                  orders_calendar(spark, sf_dir)))
 
 
+def q_monthly_rfm_category_attributed(spark, sf_dir):
+    return present(category.monthly_rfm_category_attributed(
+        category_events(spark, sf_dir), monthly_rfm_df(spark, sf_dir), orders_calendar(spark, sf_dir)))
+
+
+def q_last_purchase_category_purchases_only(spark, sf_dir):
+    return category.last_purchase_category(category_events(spark, sf_dir), churn_df(spark, sf_dir),
+                                           purchases_only=True)
+
+
+def q_churn_loss_estimate_dedup(spark, sf_dir):
+    return present(churn.churn_loss_estimate(churn_df(spark, sf_dir), churn_transition_df(spark, sf_dir),
+                                             orders_calendar(spark, sf_dir), dedup=True))
+
+
 def q_last_purchase_category(spark, sf_dir):
     return category.last_purchase_category(category_events(spark, sf_dir), churn_df(spark, sf_dir))
 
@@ -315,6 +331,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "segment_path": q_segment_path,
         "category_dim_asof": q_category_dim_asof,
         "monthly_rfm_category": q_monthly_rfm_category,
+        "monthly_rfm_category_attributed": q_monthly_rfm_category_attributed,
         "cohort_retention": q_cohort_retention,
         "cohort_age_metrics": q_cohort_age_metrics,
         "cohort_segment_retention": q_cohort_segment_retention,
@@ -322,7 +339,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "churn_stats": q_churn_stats,
         "churn_transition": q_churn_transition,
         "churn_loss_estimate": q_churn_loss_estimate,
+        "churn_loss_estimate_dedup": q_churn_loss_estimate_dedup,
         "last_purchase_category": q_last_purchase_category,
+        "last_purchase_category_purchases_only": q_last_purchase_category_purchases_only,
         "pre_snapshot_activity": q_pre_snapshot_activity,
         "pre_snapshot_activity_by_type": q_pre_snapshot_activity_by_type,
         "churn_event_funnel": q_churn_event_funnel,

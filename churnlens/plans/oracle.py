@@ -377,7 +377,10 @@ SELECT snapshot_date, prev_segment, curr_segment, move_users, prev_total_users,
 
 
 def q_churn_loss_estimate(dedup: bool = False) -> str:
+    # as written the join repeats a snapshot's user count once per feeding status;
+    # dedup divides by it once (MAX over the repeated rows)
     den = "m.cnt"
+    agg = "max" if dedup else "sum"
     return with_(*churn_all(), TRANS_CTES, """lastcal AS (
   SELECT snapshot_date, row_number() OVER (ORDER BY snapshot_date DESC) AS k FROM cal)""",
                  """cu AS (SELECT user_id FROM churn
@@ -392,9 +395,9 @@ crs AS (SELECT t.snapshot_date, t.move_users, l.k FROM trans t JOIN lastcal l ON
 mu AS (SELECT c.snapshot_date, count(DISTINCT c.user_id) AS cnt FROM churn c
        JOIN lastcal l ON c.snapshot_date = l.snapshot_date WHERE l.k <= 3 GROUP BY c.snapshot_date)""",
                  f"""cr AS (SELECT
-  CAST(sum(CASE WHEN c.k = 3 THEN c.move_users END) AS DOUBLE) / sum(CASE WHEN c.k = 3 THEN {den} END) AS ratio_prev2,
-  CAST(sum(CASE WHEN c.k = 2 THEN c.move_users END) AS DOUBLE) / sum(CASE WHEN c.k = 2 THEN {den} END) AS ratio_prev1,
-  CAST(sum(CASE WHEN c.k = 1 THEN c.move_users END) AS DOUBLE) / sum(CASE WHEN c.k = 1 THEN {den} END) AS ratio_last
+  CAST(sum(CASE WHEN c.k = 3 THEN c.move_users END) AS DOUBLE) / {agg}(CASE WHEN c.k = 3 THEN {den} END) AS ratio_prev2,
+  CAST(sum(CASE WHEN c.k = 2 THEN c.move_users END) AS DOUBLE) / {agg}(CASE WHEN c.k = 2 THEN {den} END) AS ratio_prev1,
+  CAST(sum(CASE WHEN c.k = 1 THEN c.move_users END) AS DOUBLE) / {agg}(CASE WHEN c.k = 1 THEN {den} END) AS ratio_last
   FROM crs c JOIN mu m ON c.snapshot_date = m.snapshot_date)""") + f"""
 SELECT churn_total_cnt, {_r('churn_ago_total_ltv')} AS churn_ago_total_ltv, last_active_cnt,
        {_r('ratio_prev2')} AS ratio_prev2, {_r('ratio_prev1')} AS ratio_prev1, {_r('ratio_last')} AS ratio_last,
@@ -440,16 +443,33 @@ SELECT snapshot_date, category_id, category_code, rfm_segment, {_r('avg_recency'
 FROM cs"""
 
 
-def q_last_purchase_category() -> str:
+def q_monthly_rfm_category_attributed() -> str:
+    return with_(*monthly_ctes(), EV_LINES, CAT_DIM, """cpm AS (
+  SELECT user_id, CAST(last_day(event_time) AS DATE) AS snapshot_date, category_id,
+         count(*) AS f, sum(price) AS m
+  FROM cev WHERE event_type = 'purchase' GROUP BY 1, 2, 3)""", """ca2 AS (
+  SELECT c.snapshot_date, c.category_id, d.category_code, s.rfm_segment, avg(s.recency) AS avg_recency,
+         CAST(sum(c.f) AS BIGINT) AS sum_frequency, sum(c.m) AS sum_monetary
+  FROM cpm c JOIN mrfm s ON c.user_id = s.user_id AND c.snapshot_date = s.snapshot_date
+  LEFT JOIN dim d ON c.category_id = d.category_id AND c.snapshot_date = d.snapshot_date
+  GROUP BY 1, 2, 3, 4)""") + f"""
+SELECT snapshot_date, category_id, category_code, rfm_segment, {_r('avg_recency')} AS avg_recency, sum_frequency,
+       {_r('sum_monetary')} AS sum_monetary,
+       {_ratio('sum_monetary', 'sum(sum_monetary) OVER (PARTITION BY snapshot_date)')} AS monetary_ratio
+FROM ca2"""
+
+
+def q_last_purchase_category(purchases_only: bool = False) -> str:
+    only = "AND e.event_type = 'purchase'" if purchases_only else ""
     return with_(*churn_all(), EV_LINES, """lpt AS (
   SELECT user_id, max(event_time) AS last_purchase_time FROM cev
   WHERE event_type = 'purchase' GROUP BY user_id),
 us AS (SELECT user_id, segment,
               row_number() OVER (PARTITION BY user_id ORDER BY snapshot_date DESC) AS rn FROM churn)""") + """
 SELECT us.segment, e.category_id, e.category_code, count(*) AS last_purchase_cnt
-FROM lpt JOIN cev e ON lpt.user_id = e.user_id AND lpt.last_purchase_time = e.event_time
+FROM lpt JOIN cev e ON lpt.user_id = e.user_id AND lpt.last_purchase_time = e.event_time {only}
 JOIN us ON lpt.user_id = us.user_id AND us.rn = 1
-GROUP BY us.segment, e.category_id, e.category_code"""
+GROUP BY us.segment, e.category_id, e.category_code""".format(only=only)
 
 
 # ---------------------------------------------------------------------------
@@ -626,6 +646,9 @@ def oracle_sql() -> dict[str, str]:
         "category_dim_asof": q_category_dim_asof(),
         "monthly_rfm_category": q_monthly_rfm_category(),
         "last_purchase_category": q_last_purchase_category(),
+        "last_purchase_category_purchases_only": q_last_purchase_category(purchases_only=True),
+        "monthly_rfm_category_attributed": q_monthly_rfm_category_attributed(),
+        "churn_loss_estimate_dedup": q_churn_loss_estimate(dedup=True),
         "pre_snapshot_activity": q_pre_snapshot_activity(),
         "pre_snapshot_activity_by_type": q_pre_snapshot_activity_by_type(),
         "churn_event_funnel": q_churn_event_funnel(),
