@@ -49,7 +49,7 @@ def category_dim_asof(events: DataFrame, calendar: Calendar, params: Params = DE
 
 
 def monthly_rfm_category(events: DataFrame, mrfm: DataFrame, calendar: Calendar,
-                         params: Params = DEFAULT) -> DataFrame:
+                         params: Params = DEFAULT, dim: DataFrame | None = None) -> DataFrame:
     """A7. Per (snapshot, category, segment): mean recency and summed frequency /
     spend of the users who bought the category on or before the snapshot, and
     the share of the snapshot's spend.
@@ -84,18 +84,21 @@ def monthly_rfm_category(events: DataFrame, mrfm: DataFrame, calendar: Calendar,
         Window.unboundedPreceding, Window.currentRow)
     cum = _expand_to_snapshots(new.select("category_id", "period_start",
                                           F.sum("_new").over(wc).alias("_buyers")), "category_id", calendar)
-    cum = cum.select("category_id", period_end(F.col("snap_start"), g).alias("snapshot_date"), "_buyers")
-    active_pairs = seg.groupBy("snapshot_date", "category_id").agg(F.sum("_pairs").alias("_active"))
-    nulls = (cum.join(active_pairs, ["snapshot_date", "category_id"], "left")
-             .where(F.col("_buyers") > F.coalesce(F.col("_active"), F.lit(0)))
-             .select("snapshot_date", "category_id",
+    cum = cum.select(period_end(F.col("snap_start"), g).alias("snapshot_date"),
+                     "category_id",
                      F.lit(None).cast("string").alias("rfm_segment"),
                      F.lit(None).cast("long").alias("_rsum"), F.lit(0).cast("long").alias("_rn"),
                      F.lit(None).cast("long").alias("sum_frequency"),
                      F.lit(None).cast(seg.schema["_msum"].dataType).alias("_msum"),
-                     F.lit(0).cast("long").alias("_pairs")))
-    allg = seg.unionByName(nulls)
-    dim = category_dim_asof(events, calendar, params)
+                     F.lit(0).cast("long").alias("_pairs"), "_buyers")
+    # one row per segment plus one candidate NULL row per (snapshot, category); the
+    # NULL row stays when more users had bought the category than were active
+    u = seg.withColumn("_buyers", F.lit(None).cast("long")).unionByName(cum)
+    key = Window.partitionBy("snapshot_date", "category_id")
+    u = u.select("*", F.sum("_pairs").over(key).alias("_active"))
+    allg = u.where(F.col("_buyers").isNull() | (F.col("_buyers") > F.col("_active"))).drop(
+        "_buyers", "_active", "_pairs")
+    dim = dim if dim is not None else category_dim_asof(events, calendar, params)
     allg = allg.join(dim, ["snapshot_date", "category_id"], "left")
     snap_total = F.sum("_msum").over(Window.partitionBy("snapshot_date"))
     return allg.select(
@@ -107,7 +110,7 @@ def monthly_rfm_category(events: DataFrame, mrfm: DataFrame, calendar: Calendar,
 
 
 def monthly_rfm_category_attributed(events: DataFrame, mrfm: DataFrame, calendar: Calendar,
-                                    params: Params = DEFAULT) -> DataFrame:
+                                    params: Params = DEFAULT, dim: DataFrame | None = None) -> DataFrame:
     """A7 option (D5): credit each snapshot only with the categories bought in
     that snapshot's period and with the spend on them (no fan-out, no NULL
     group).  sum_frequency / sum_monetary are the category's purchases and
@@ -119,7 +122,7 @@ def monthly_rfm_category_attributed(events: DataFrame, mrfm: DataFrame, calendar
     j = cp.join(mrfm.select("user_id", "snapshot_date", "rfm_segment", "recency"), ["user_id", "snapshot_date"])
     seg = j.groupBy("snapshot_date", "category_id", "rfm_segment").agg(
         F.avg("recency").alias("avg_recency"), F.sum("_f").alias("sum_frequency"), F.sum("_m").alias("_msum"))
-    dim = category_dim_asof(events, calendar, params)
+    dim = dim if dim is not None else category_dim_asof(events, calendar, params)
     seg = seg.join(dim, ["snapshot_date", "category_id"], "left")
     snap_total = F.sum("_msum").over(Window.partitionBy("snapshot_date"))
     return seg.select("snapshot_date", "category_id", "category_code", "rfm_segment", "avg_recency",

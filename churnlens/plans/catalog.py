@@ -191,18 +191,24 @@ def q_churn_loss_estimate(spark, sf_dir):
                                              orders_calendar(spark, sf_dir)))
 
 
+def category_dim_df(spark, sf_dir):
+    return _memo(spark, sf_dir, "cat_dim", lambda: mart(category.category_dim_asof(
+        category_events(spark, sf_dir), orders_calendar(spark, sf_dir))))
+
+
 def q_category_dim_asof(spark, sf_dir):
-    return category.category_dim_asof(category_events(spark, sf_dir), orders_calendar(spark, sf_dir))
+    return category_dim_df(spark, sf_dir)
 
 
 def q_monthly_rfm_category(spark, sf_dir):
     return present(category.monthly_rfm_category(category_events(spark, sf_dir), monthly_rfm_df(spark, sf_dir),
-                                                 orders_calendar(spark, sf_dir)))
+                                                 orders_calendar(spark, sf_dir), dim=category_dim_df(spark, sf_dir)))
 
 
 def q_monthly_rfm_category_attributed(spark, sf_dir):
     return present(category.monthly_rfm_category_attributed(
-        category_events(spark, sf_dir), monthly_rfm_df(spark, sf_dir), orders_calendar(spark, sf_dir)))
+        category_events(spark, sf_dir), monthly_rfm_df(spark, sf_dir), orders_calendar(spark, sf_dir),
+        dim=category_dim_df(spark, sf_dir)))
 
 
 def q_last_purchase_category_purchases_only(spark, sf_dir):

@@ -75,3 +75,15 @@ def test_exact_median(spark, forced_distributed, n):
     vals = [float(x) for x in random.Random(n).choices(range(5), k=n)]
     df = spark.createDataFrame([(v,) for v in vals], "d double")
     assert exact_median(df, "d").first()["median"] == statistics.median(vals)
+
+
+def test_hot_key_is_split_across_range_partitions(spark):
+    """One key value holding a third of the rows still spreads over many range
+    partitions, because the user id is part of the range key."""
+    n = 3000
+    rows = [(i, 0 if i % 3 == 0 else i) for i in range(n)]
+    df = spark.createDataFrame(rows, "user_id long, k long")
+    parts = (df.repartitionByRange(8, F.col("k").asc(), F.col("user_id").asc())
+             .groupBy(F.spark_partition_id().alias("p")).count().collect())
+    sizes = [r["count"] for r in parts]
+    assert len(sizes) == 8 and max(sizes) < 2 * n / 8
