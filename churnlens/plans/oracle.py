@@ -39,11 +39,12 @@ EV_CLICKS = """ev AS (
 
 
 def _r(x: str) -> str:
-    return f"ROUND(CAST({x} AS DOUBLE), 6)"
+    # "+ 0.0" turns a rounded -0.0 into 0.0 (Spark's round never yields -0.0)
+    return f"(ROUND(CAST({x} AS DOUBLE), 6) + 0.0)"
 
 
 def _ratio(num: str, den: str) -> str:
-    return f"ROUND(CAST({num} AS DOUBLE) / NULLIF(CAST({den} AS DOUBLE), 0), 6)"
+    return f"(ROUND(CAST({num} AS DOUBLE) / NULLIF(CAST({den} AS DOUBLE), 0), 6) + 0.0)"
 
 
 def _pstart(x: str, grain: str) -> str:
