@@ -7,8 +7,9 @@ by (user, period):
 * an output row exists only for users who bought in the snapshot's period,
   so "last purchase on or before the snapshot" is that period's last purchase
   day, and the as-of standard date is the period's last purchase day + 1;
-* both are read from the same (user, period) aggregate, whose exchange Spark
-  reuses for the per-period maximum.
+* the per-period maximum is a second, narrow branch: Catalyst prunes it to
+  the event time and purchase flag, and its partial aggregate leaves one row
+  per task and period, so it adds a one-column scan and no real shuffle.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def monthly_rfm_base(events: DataFrame, calendar: Calendar, params: Params = DEF
     if calendar.grain != params.grain:
         params = params.with_(grain=calendar.grain)
     up = user_period(events, params).where(calendar.contains(F.col("period_start")))
-    # one row per calendar period: the size of what is broadcast is the calendar length
+    # one row per calendar period: what is broadcast is bounded by the calendar length
     std = up.groupBy("period_start").agg(F.date_add(F.max("last_date"), 1).alias("standard_date"))
     return up.join(F.broadcast(std), "period_start").select(
         "user_id",
