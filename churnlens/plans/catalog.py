@@ -24,8 +24,17 @@ from ..stats import tests as st
 _MEMO: dict[tuple, object] = {}
 
 
+def _session_key(spark: SparkSession):
+    """Identity of the live session: the application id changes whenever a new
+    SparkContext starts, so a stopped session's frames are never reused."""
+    try:
+        return (spark.sparkContext.applicationId, id(spark))
+    except Exception:  # noqa: BLE001 - sessions without a local SparkContext
+        return (getattr(spark, "session_id", None), id(spark))
+
+
 def _memo(spark: SparkSession, sf_dir: str, key: str, build: Callable[[], object]):
-    k = (id(spark._jsparkSession), sf_dir.rstrip("/"), key)
+    k = (_session_key(spark), sf_dir.rstrip("/"), key)
     if k not in _MEMO:
         _MEMO[k] = build()
     return _MEMO[k]

@@ -48,7 +48,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     a cluster session without a shared checkpoint folder is an error, because a
     local folder would not survive the loss of an executor.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote (Connect) sessions: the server owns the setting
+        return spark.conf.get("spark.checkpoint.dir", "")
     current = sc._jsc.getCheckpointDir()
     if current.isPresent():
         return current.get()
