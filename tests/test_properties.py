@@ -54,3 +54,19 @@ def test_transitions_count_users_with_previous_row(spark):
     moves = E.queries()["churn_transition"](spark, SF).agg(F.sum("move_users")).first()[0]
     users = ch.select("user_id").distinct().count()
     assert moves == ch.count() - users
+
+
+def test_single_pass_equals_naive_snapshot_loops(spark):
+    """A5 and A14 single-pass plans vs the original one-scan-per-snapshot loops."""
+    import bench
+    from churnlens.operators.churn import churn_status
+    from churnlens.operators.monthly import monthly_rfm_base
+    ev = catalog.order_events(spark, SF)
+    cal = catalog.orders_calendar(spark, SF)
+    a = churn_status(ev, cal).selectExpr("user_id", "snapshot_date", "segment", "cast(ltv as double) ltv")
+    b = bench.naive_churn(ev, cal).selectExpr("user_id", "snapshot_date", "segment", "cast(ltv as double) ltv")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    cols = ["user_id", "snapshot_date", "standard_date", "recency", "month_freq", "month_monetary"]
+    c = monthly_rfm_base(ev, cal).select(*cols)
+    d = bench.naive_monthly_base(ev, cal).select(*cols)
+    assert c.exceptAll(d).count() == 0 and d.exceptAll(c).count() == 0
