@@ -118,9 +118,13 @@ class Calendar:
         row = df.agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi")).first()
         if row is None or row["lo"] is None:
             raise ValueError("cannot derive a calendar from an empty table")
-        lo, hi = row["lo"], row["hi"]
-        lo = lo.date() if isinstance(lo, dt.datetime) else lo
-        hi = hi.date() if isinstance(hi, dt.datetime) else hi
+        def as_date(v):
+            if isinstance(v, dt.datetime):
+                return v.date()
+            if isinstance(v, str):
+                return dt.date.fromisoformat(v[:10])
+            return v
+        lo, hi = as_date(row["lo"]), as_date(row["hi"])
         return Calendar(py_period_start(lo, grain), py_period_start(hi, grain), grain)
 
     @property

@@ -31,9 +31,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def canonical(df: DataFrame) -> DataFrame:
     """Project an event-shaped frame onto the canonical columns and types."""
     cols = set(df.columns)
+    t = F.col("event_time")
+    if dict(df.dtypes)["event_time"] == "string":  # ISO text times, as raw logs may carry them
+        t = t.cast("timestamp_ntz")
     return df.select(
         F.col("user_id").cast("bigint").alias("user_id"),
-        F.col("event_time").alias("event_time"),
+        t.alias("event_time"),
         F.col("event_type").cast("string").alias("event_type"),
         F.col("price").cast(MONEY).alias("price"),
         (F.col("category_id") if "category_id" in cols else F.lit(None)).cast("string").alias("category_id"),

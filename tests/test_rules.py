@@ -168,3 +168,13 @@ def test_trailing_windows_half_open(spark, events):
            for r in behaviour.pre_snapshot_activity(ev, ch, cal, DEFAULT).collect()}
     assert act[("view", "3 day")] == 1 and act[("view", "7 day")] == 2 and act[("view", "14 day")] == 2
     assert act[("purchase", "14 day")] is None if ("purchase", "14 day") in act else True
+
+
+def test_string_event_times_are_accepted(spark):
+    from churnlens.sources.tables import canonical
+    raw = spark.createDataFrame([(1, "2020-01-10 10:00:00", "purchase", 3.5), (1, "2020-02-01 00:00:00", "purchase", 1.0)],
+                                "user_id long, event_time string, event_type string, price double")
+    ev = canonical(raw)
+    cal = Calendar.from_data(ev)
+    assert (cal.first, cal.last) == (D(2020, 1, 1), D(2020, 2, 1))
+    assert monthly.monthly_rfm_base(ev, cal).count() == 2
