@@ -79,6 +79,14 @@ def py_period_end(start: dt.date, grain: str) -> dt.date:
     return py_add_periods(start, 1, "month") - dt.timedelta(days=1)
 
 
+def _as_date(v) -> dt.date:
+    if isinstance(v, dt.datetime):
+        return v.date()
+    if isinstance(v, str):  # ISO text times
+        return dt.date.fromisoformat(v[:10])
+    return v
+
+
 @dataclass(frozen=True)
 class Calendar:
     """Contiguous run of snapshot periods ``first..last`` (period starts).
@@ -118,13 +126,7 @@ class Calendar:
         row = df.agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi")).first()
         if row is None or row["lo"] is None:
             raise ValueError("cannot derive a calendar from an empty table")
-        def as_date(v):
-            if isinstance(v, dt.datetime):
-                return v.date()
-            if isinstance(v, str):
-                return dt.date.fromisoformat(v[:10])
-            return v
-        lo, hi = as_date(row["lo"]), as_date(row["hi"])
+        lo, hi = _as_date(row["lo"]), _as_date(row["hi"])
         return Calendar(py_period_start(lo, grain), py_period_start(hi, grain), grain)
 
     @property

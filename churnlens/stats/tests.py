@@ -169,16 +169,21 @@ def logit_odds(df: DataFrame, target_col: str, numeric_cols: Sequence[str],
     Wald p-value and 95% CI of the odds ratio, plus n, McFadden pseudo-R2,
     log-likelihood and AIC; sorted by p-value.  Fitted by IRLS over the
     distributed rows (``GeneralizedLinearRegression``)."""
-    from pyspark.ml.feature import RFormula
+    from pyspark.ml.feature import RFormula, VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
     cols = [target_col, *numeric_cols, *categorical_cols]
     _require(df, cols)
     sub = df.select(*cols).dropna()
     sub = sub.withColumn(target_col, F.col(target_col).try_cast("int")).dropna()
-    terms = [*numeric_cols, *categorical_cols] or ["1"]
-    rf = RFormula(formula=f"{target_col} ~ " + " + ".join(terms), featuresCol="features", labelCol="label")
-    data = rf.fit(sub).transform(sub).select("features", F.col("label").cast("double").alias("label"))
+    if categorical_cols or not numeric_cols:
+        terms = [*numeric_cols, *categorical_cols] or ["1"]
+        rf = RFormula(formula=f"{target_col} ~ " + " + ".join(terms), featuresCol="features", labelCol="label")
+        data = rf.fit(sub).transform(sub).select("features", F.col("label").cast("double").alias("label"))
+    else:  # numeric terms only: no formula fitting pass needed
+        va = VectorAssembler(inputCols=list(numeric_cols), outputCol="features")
+        data = va.transform(sub.select(*[F.col(c).cast("double").alias(c) for c in numeric_cols],
+                                       F.col(target_col).cast("double").alias("label"))).select("features", "label")
     # IRLS makes one pass per iteration: keep the (one row per unit) input cached
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
