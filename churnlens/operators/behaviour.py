@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import config as C
 from ..config import DEFAULT, Params
 from ..functions.dates import Calendar, add_periods, period_end, period_sequence, period_start
 from ..functions.segments import point_of_view

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import DEFAULT, Params
-from ..functions.dates import Calendar, add_periods, period_end, period_sequence, period_start
+from ..functions.dates import Calendar, add_periods, period_sequence, period_start
 from ..functions.segments import churn_segment
 from ._util import half_up, money, ratio
 from .monthly import transitions, user_period

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..config import DEFAULT, WEEKLY_EVENTS
+from ..config import WEEKLY_EVENTS
 from ..functions.dates import Calendar
 from ..operators import behaviour, category, churn, cohort, compare, monthly, rfm
 from ..sources import tables

@@ -2,7 +2,6 @@
 import datetime as dt
 from decimal import Decimal
 
-from pyspark.sql import functions as F
 
 from churnlens.config import DEFAULT
 from churnlens.functions.dates import Calendar
