@@ -19,9 +19,11 @@ computed the way a distributed sort does it:
    the group size with the same rule as SQL NTILE: the first ``N mod n`` tiles
    get one extra row.
 
-Size check: when the largest group has at most ``churnlens.rank.singleTaskRows``
-rows (default 2,000,000), one task per group sorts it faster than the extra
-jobs above cost, so the plain window is used.  Above it, the distributed path.
+Size check: when Catalyst estimates the whole input below
+``churnlens.rank.singleTaskBytes`` (default 128 MB), one task per group sorts
+it faster than the extra jobs above cost, so the plain window is used.  The
+check reads the plan statistics (no job, so the upstream aggregate is not
+computed twice); above the limit, or without an estimate, the distributed path.
 """
 
 from __future__ import annotations
@@ -34,21 +36,26 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 _LOW33 = (1 << 33) - 1
-SINGLE_TASK_ROWS_CONF = "churnlens.rank.singleTaskRows"
-SINGLE_TASK_ROWS_DEFAULT = 2_000_000
+SINGLE_TASK_CONF = "churnlens.rank.singleTaskBytes"
+SINGLE_TASK_DEFAULT = 128 * 1024 * 1024
 
 
-def largest_group_rows(df: DataFrame, group: Sequence[str] = ()) -> int:
-    """Row count of the largest group (one aggregate; only the number reaches the driver)."""
-    if not group:
-        return df.count()
-    r = df.groupBy(*group).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0]
-    return int(r or 0)
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df`` (the statistic Spark itself uses to
+    decide broadcast joins).  No job runs; it is an upper bound for any one
+    group.  None when the session does not expose it."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001
+        return None
 
 
 def fits_one_task(df: DataFrame, group: Sequence[str] = ()) -> bool:
-    limit = int(df.sparkSession.conf.get(SINGLE_TASK_ROWS_CONF, str(SINGLE_TASK_ROWS_DEFAULT)))
-    return largest_group_rows(df, group) <= limit
+    """True when the whole input (hence every group) is estimated below
+    ``churnlens.rank.singleTaskBytes``; unknown sizes take the distributed path."""
+    limit = int(df.sparkSession.conf.get(SINGLE_TASK_CONF, str(SINGLE_TASK_DEFAULT)))
+    est = estimated_bytes(df)
+    return est is not None and est < limit
 
 
 def ntile_from_rank(rn: Column, total: Column, n: int) -> Column:

@@ -6,15 +6,15 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from churnlens.functions.ntile import SINGLE_TASK_ROWS_CONF, ntile, ntiles
+from churnlens.functions.ntile import SINGLE_TASK_CONF, ntile, ntiles
 from churnlens.functions.ranks import average_ranks, exact_median, prefix_sum
 
 
 @pytest.fixture
 def forced_distributed(spark):
-    spark.conf.set(SINGLE_TASK_ROWS_CONF, "0")
+    spark.conf.set(SINGLE_TASK_CONF, "0")
     yield
-    spark.conf.unset(SINGLE_TASK_ROWS_CONF)
+    spark.conf.unset(SINGLE_TASK_CONF)
 
 
 def _frame(spark, n=600, keys=7, groups=3, seed=1):
@@ -36,11 +36,11 @@ def test_ntiles_both_paths_agree(spark):
     df = _frame(spark, n=333)
     specs = [(F.col("k").desc(), "a"), (F.col("v").asc(), "b")]
     small = sorted(ntiles(df, 5, specs, group=("g",)).collect())
-    spark.conf.set(SINGLE_TASK_ROWS_CONF, "0")
+    spark.conf.set(SINGLE_TASK_CONF, "0")
     try:
         big = sorted(ntiles(df, 5, specs, group=("g",)).collect())
     finally:
-        spark.conf.unset(SINGLE_TASK_ROWS_CONF)
+        spark.conf.unset(SINGLE_TASK_CONF)
     assert small == big
 
 

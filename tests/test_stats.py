@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from churnlens.functions.ntile import SINGLE_TASK_ROWS_CONF
+from churnlens.functions.ntile import SINGLE_TASK_CONF
 from churnlens.stats import distributions as D
 from churnlens.stats import tests as st
 
@@ -80,11 +80,11 @@ def test_wilcoxon_against_brute_force(spark, distributed):
     after = [b + rnd.choice([-2.0, -1.0, 0.0, 0.0, 1.0, 2.0, 3.0]) for b in before]
     wide = spark.createDataFrame(list(zip(before, after)), "before_value double, after_value double")
     if distributed:
-        spark.conf.set(SINGLE_TASK_ROWS_CONF, "0")
+        spark.conf.set(SINGLE_TASK_CONF, "0")
     try:
         r = st.wilcoxon_signed_rank(wide).first()
     finally:
-        spark.conf.unset(SINGLE_TASK_ROWS_CONF)
+        spark.conf.unset(SINGLE_TASK_CONF)
     t, p, n_all, wp, wm, m = _wilcoxon_reference(before, after)
     assert r.stat == pytest.approx(t) and r.p_value == pytest.approx(p) and r.n == n_all
     d = [a - b for a, b in zip(after, before)]
