@@ -67,3 +67,22 @@ def build_marts(events: DataFrame, root: str, calendar: Calendar | None = None,
     put("high_segment_rm", compare.high_segment_rm(mrfm, cal, params))
     put("high_segment_vcp", behaviour.high_segment_behaviour(events, mrfm, cal, params))
     return out
+
+
+def main(argv: list[str]) -> None:
+    """python -m churnlens.plans.marts <table folder> <mart root>"""
+    import json
+
+    from ..session import local_session
+    from ..sources import tables
+    sf_dir, root = argv[1], argv[2]
+    spark = local_session()
+    out = build_marts(tables.order_events(spark, sf_dir), root,
+                      category_events=tables.category_purchase_events(spark, sf_dir))
+    print(json.dumps(out, indent=1))
+    spark.stop()
+
+
+if __name__ == "__main__":
+    import sys
+    main(sys.argv)
