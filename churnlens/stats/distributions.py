@@ -134,6 +134,21 @@ def t_sf2(t: float, dof: float) -> float:
     return betainc(dof / 2.0, 0.5, dof / (dof + t * t))
 
 
+def wilcoxon_exact_p2(t: float, n: float) -> float:
+    """Two-sided exact p-value of the signed-rank statistic T = min(W+, W-) for
+    n untied, non-zero differences: 2 P(W <= T) under H0, capped at 1.
+    The null distribution counts subsets of ranks 1..n by their sum."""
+    n = int(n)
+    top = n * (n + 1) // 2
+    counts = [0] * (top + 1)
+    counts[0] = 1
+    for r in range(1, n + 1):
+        for s in range(top, r - 1, -1):
+            counts[s] += counts[s - r]
+    k = int(math.floor(t + 1e-9))
+    return min(1.0, 2.0 * sum(counts[: k + 1]) / float(2 ** n))
+
+
 # --- Arrow-batched wrappers (one call per batch of result rows) -------------
 def _vec(fn, *cols: pd.Series) -> pd.Series:
     return pd.Series([None if any(v is None or (isinstance(v, float) and math.isnan(v)) for v in vals)
@@ -158,3 +173,8 @@ def t_sf2_udf(t: pd.Series, dof: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def norm_sf2_udf(z: pd.Series) -> pd.Series:
     return _vec(lambda v: 2.0 * norm_sf(abs(v)), z)
+
+
+@F.pandas_udf(DoubleType())
+def wilcoxon_exact_p2_udf(t: pd.Series, n: pd.Series) -> pd.Series:
+    return _vec(wilcoxon_exact_p2, t, n)

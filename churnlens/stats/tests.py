@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.ranks import average_ranks, exact_median
-from .distributions import chi2_sf_udf, f_sf_udf, norm_sf2_udf, t_sf2_udf
+from .distributions import chi2_sf_udf, f_sf_udf, norm_sf2_udf, t_sf2_udf, wilcoxon_exact_p2_udf
+
+EXACT_WILCOXON_MAX_N = 50  # small untied samples use the exact null distribution
 
 Z975 = 1.959963984540054  # 97.5% normal quantile (95% two-sided intervals)
 
@@ -267,7 +269,9 @@ def paired_periods(df: DataFrame, id_col: str = "user_id", period_col: str = "po
 def wilcoxon_signed_rank(wide: DataFrame, before_col: str = "before_value", after_col: str = "after_value",
                          group: Sequence[str] = ()) -> DataFrame:
     """T7. Two-sided Wilcoxon signed-rank test per group (zero differences
-    dropped, average ranks for ties, normal approximation with tie correction).
+    dropped, average ranks for ties).  The p-value is exact for at most 50
+    pairs without ties or zeros, else the normal approximation with tie
+    correction.
 
     stat = min(W+, W-); n counts all pairs (zeros included) as in the original;
     rank_biserial = 1 - 2 stat / (n (n + 1)) as in the original,
@@ -297,9 +301,12 @@ def wilcoxon_signed_rank(wide: DataFrame, before_col: str = "before_value", afte
     var = m * (m + 1) * (2 * m + 1) / 24.0 - F.coalesce(F.col("ties"), F.lit(0)) / 48.0
     z = F.try_divide(stat - mean, F.sqrt(var))
     n_all = F.col("n_all").cast("double")
+    exact = (m <= EXACT_WILCOXON_MAX_N) & (F.coalesce(F.col("ties"), F.lit(0)) == 0) & \
+        (F.col("n_all") == F.col("m")) & (m > 0)
+    p = F.when(exact, wilcoxon_exact_p2_udf(stat, m)).otherwise(norm_sf2_udf(z))
     return j.select(
         *group, F.lit("wilcoxon_signed_rank").alias("test"), stat.alias("stat"),
-        norm_sf2_udf(z).alias("p_value"), F.col("n_all").cast("long").alias("n"),
+        p.alias("p_value"), F.col("n_all").cast("long").alias("n"),
         F.col("median").alias("median_diff"), "mean_diff",
         (1.0 - 2.0 * stat / (n_all * (n_all + 1))).alias("rank_biserial"),
         F.try_divide(F.col("w_plus") - F.col("w_minus"), m * (m + 1) / 2.0).alias("rank_biserial_std"))

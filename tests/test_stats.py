@@ -159,3 +159,18 @@ def test_fixed_effects_regression(spark):
     assert got["cohort_age"] == pytest.approx(0.1, abs=0.01)
     assert got["rfm_segment[T.B]"] == pytest.approx(0.3, abs=0.02)
     assert got["cohort_age:rfm_segment[T.B]"] == pytest.approx(-0.05, abs=0.01)
+
+
+def test_wilcoxon_exact_small_sample(spark):
+    from itertools import combinations
+    n = 9
+    # brute force: all subsets of ranks 1..n
+    sums = [sum(c) for k in range(n + 1) for c in combinations(range(1, n + 1), k)]
+    for t in (0, 5, 11, 22):
+        assert D.wilcoxon_exact_p2(t, n) == pytest.approx(min(1.0, 2 * sum(s <= t for s in sums) / 2 ** n))
+    assert D.wilcoxon_exact_p2(8, 10) == pytest.approx(0.048828125)
+    # untied, no zeros, n <= 50 -> exact path inside the Spark operator
+    d = [1.5, -2.5, 3.5, 4.5, 5.5, -6.5, 7.5, 8.5, 9.5]
+    wide = spark.createDataFrame([(0.0, x) for x in d], "before_value double, after_value double")
+    r = st.wilcoxon_signed_rank(wide).first()
+    assert r.stat == 8.0 and r.p_value == pytest.approx(D.wilcoxon_exact_p2(8, 9))
