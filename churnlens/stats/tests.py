@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.ranks import average_ranks, exact_median
+from ..functions.ranks import average_ranks, exact_median, prefix_sum
 from .distributions import chi2_sf_udf, f_sf_udf, norm_sf2_udf, t_sf2_udf, wilcoxon_exact_p2_udf
 
 EXACT_WILCOXON_MAX_N = 50  # small untied samples use the exact null distribution
@@ -283,12 +283,14 @@ def wilcoxon_signed_rank(wide: DataFrame, before_col: str = "before_value", afte
     base = d.groupBy(*group).agg(F.count(F.lit(1)).alias("n_all"), F.avg("d").alias("mean_diff"))
     med = exact_median(d, "d", group)
     nz = d.where(F.col("d") != 0).select(*group, F.abs("d").alias("ad"), (F.col("d") > 0).alias("pos"))
-    signed = nz.groupBy(*group, "ad").agg(F.count(F.when(F.col("pos"), 1)).alias("npos"),
-                                          F.count(F.when(~F.col("pos"), 1)).alias("nneg"))
-    ranks = average_ranks(nz, "ad", group)
-    rs = ranks.join(signed, [*group, "ad"]).groupBy(*group).agg(
-        F.sum(F.col("avg_rank") * F.col("npos")).alias("w_plus"),
-        F.sum(F.col("avg_rank") * F.col("nneg")).alias("w_minus"),
+    # one row per distinct |d|: tie count and positive count; ranks from a prefix sum
+    counts = nz.groupBy(*group, "ad").agg(F.count(F.lit(1)).alias("cnt"),
+                                          F.count(F.when(F.col("pos"), 1)).alias("npos"))
+    ranked = prefix_sum(counts, [F.col("ad").asc()], "cnt", "_before", group)
+    avg_rank = F.col("_before") + (F.col("cnt") + 1) / 2.0
+    rs = ranked.groupBy(*group).agg(
+        F.sum(avg_rank * F.col("npos")).alias("w_plus"),
+        F.sum(avg_rank * (F.col("cnt") - F.col("npos"))).alias("w_minus"),
         F.sum("cnt").alias("m"),
         F.sum(F.pow(F.col("cnt"), 3) - F.col("cnt")).alias("ties"))
     if group:
