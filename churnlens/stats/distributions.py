@@ -137,8 +137,11 @@ def t_sf2(t: float, dof: float) -> float:
 def wilcoxon_exact_p2(t: float, n: float) -> float:
     """Two-sided exact p-value of the signed-rank statistic T = min(W+, W-) for
     n untied, non-zero differences: 2 P(W <= T) under H0, capped at 1.
-    The null distribution counts subsets of ranks 1..n by their sum."""
+    The null distribution counts subsets of ranks 1..n by their sum
+    (O(n^3) work: meant for n <= 50)."""
     n = int(n)
+    if n > 200:
+        raise ValueError("exact signed-rank distribution is for small samples")
     top = n * (n + 1) // 2
     counts = [0] * (top + 1)
     counts[0] = 1

@@ -305,7 +305,8 @@ def wilcoxon_signed_rank(wide: DataFrame, before_col: str = "before_value", afte
     n_all = F.col("n_all").cast("double")
     exact = (m <= EXACT_WILCOXON_MAX_N) & (F.coalesce(F.col("ties"), F.lit(0)) == 0) & \
         (F.col("n_all") == F.col("m")) & (m > 0)
-    p = F.when(exact, wilcoxon_exact_p2_udf(stat, m)).otherwise(norm_sf2_udf(z))
+    # both UDFs see every row, so the exact one only gets n where it applies
+    p = F.coalesce(wilcoxon_exact_p2_udf(stat, F.when(exact, m)), norm_sf2_udf(z))
     return j.select(
         *group, F.lit("wilcoxon_signed_rank").alias("test"), stat.alias("stat"),
         p.alias("p_value"), F.col("n_all").cast("long").alias("n"),
