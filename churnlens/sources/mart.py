@@ -11,6 +11,7 @@ parallel and read back with column pruning and filter pushdown.
 * ``create_if_absent`` S5/S6: write each table only if it does not exist yet.
 * ``read_mart``        S9: projected / filtered load (pushed to the scan).
 * ``read_jdbc``        S4: partitioned JDBC read for an external SQL store.
+* ``write_bucketed``   user-keyed marts bucketed for shuffle-free joins.
 * ``register``         S3: named temp view for SQL users.
 """
 
@@ -103,6 +104,22 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: Mapping[str
     return r.load()
 
 
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None,
+                   mode: str = "overwrite") -> str:
+    """Save ``df`` as a catalog table bucketed and sorted by ``key``.
+
+    Tables bucketed the same way on the join key (e.g. the user-keyed marts
+    ``monthly_rfm`` and ``monthly_churn`` by ``user_id``) join without a
+    shuffle of either side.  ``path`` makes it an external table at a shared
+    location.
+    """
+    w = df.write.mode(mode).format("parquet").bucketBy(buckets, key).sortBy(key)
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(table)
+    return table
+
+
 def register(df: DataFrame, name: str) -> DataFrame:
     """S3: expose a frame to ``spark.sql`` under ``name``."""
     df.createOrReplaceTempView(name)

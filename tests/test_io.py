@@ -89,3 +89,21 @@ def test_build_marts_end_to_end(spark):
                        for c, t in m.dtypes])
         q = q.select(*[F.col(c).cast(t) for c, t in m.dtypes])
         assert m.exceptAll(q).count() == 0 and q.exceptAll(m).count() == 0, name
+
+
+def test_bucketed_marts_join_without_shuffle(spark):
+    root = _tmp()
+    a = spark.range(2000).select((F.col("id") % 300).alias("user_id"), F.col("id").alias("a"))
+    b = spark.range(900).select((F.col("id") % 300).alias("user_id"), F.col("id").alias("b"))
+    mart.write_bucketed(a, "bk_a", "user_id", 8, path=f"{root}/bk_a")
+    mart.write_bucketed(b, "bk_b", "user_id", 8, path=f"{root}/bk_b")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.table("bk_a").join(spark.table("bk_b"), "user_id")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert j.count() == 2000 * 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS bk_a")
+        spark.sql("DROP TABLE IF EXISTS bk_b")
