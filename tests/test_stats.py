@@ -174,3 +174,15 @@ def test_wilcoxon_exact_small_sample(spark):
     wide = spark.createDataFrame([(0.0, x) for x in d], "before_value double, after_value double")
     r = st.wilcoxon_signed_rank(wide).first()
     assert r.stat == 8.0 and r.p_value == pytest.approx(D.wilcoxon_exact_p2(8, 9))
+
+
+def test_spearman_agrees_with_spark_ml(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    rnd = random.Random(9)
+    rows = [(rnd.randrange(1, 5), float(rnd.randrange(20)), rnd.random()) for _ in range(80)]
+    df = spark.createDataFrame(rows, "age int, f double, a double")
+    ours = {r.metric: r.spearman_rho for r in st.spearman(df, "age", ["f", "a"]).collect()}
+    vec = VectorAssembler(inputCols=["age", "f", "a"], outputCol="v").transform(df.withColumn("age", df.age.cast("double")))
+    m = Correlation.corr(vec, "v", "spearman").head()[0].toArray()
+    assert ours["f"] == pytest.approx(m[0, 1]) and ours["a"] == pytest.approx(m[0, 2])
