@@ -186,3 +186,16 @@ def test_spearman_agrees_with_spark_ml(spark):
     vec = VectorAssembler(inputCols=["age", "f", "a"], outputCol="v").transform(df.withColumn("age", df.age.cast("double")))
     m = Correlation.corr(vec, "v", "spearman").head()[0].toArray()
     assert ours["f"] == pytest.approx(m[0, 1]) and ours["a"] == pytest.approx(m[0, 2])
+
+
+def test_chi2_agrees_with_spark_ml_on_raw_rows(spark):
+    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.stat import ChiSquareTest
+    table = [("past", 100, 30), ("current", 100, 45), ("other", 80, 20)]
+    agg = spark.createDataFrame(table, "g string, total long, success long")
+    ours = st.chi2_rate_test(agg, "g", "total", "success").first()
+    raw = [(Vectors.dense([float(i)]), float(y)) for i, (_, tot, suc) in enumerate(table)
+           for y in [1] * suc + [0] * (tot - suc)]
+    r = ChiSquareTest.test(spark.createDataFrame(raw, ["features", "label"]), "features", "label").head()
+    assert ours.chi2 == pytest.approx(r.statistics[0]) and ours.dof == r.degreesOfFreedom[0]
+    assert ours.p_value == pytest.approx(r.pValues[0], abs=1e-9)
