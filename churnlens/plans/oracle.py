@@ -599,6 +599,34 @@ SELECT "group", success, failure, {_r('e1')} AS expected_success, {_r('e2')} AS
 FROM ex"""
 
 
+def q_chi2_rate_test() -> str:
+    """Upper chi-square tail as 1 - P(dof/2, chi2/2), P by its power series
+    (an independent method from the engine's continued fraction)."""
+    return with_(*cohort_compare_ctes(), """ct AS (
+  SELECT point_of_view AS "group", CAST(trunc(active_user) AS BIGINT) AS success,
+         CAST(trunc(first_user - active_user) AS BIGINT) AS failure
+  FROM cmp WHERE first_user IS NOT NULL AND active_user IS NOT NULL AND active_user <= first_user)""",
+                 """ex AS (
+  SELECT success, failure,
+         CAST(success + failure AS DOUBLE) * sum(success) OVER () / (sum(success) OVER () + sum(failure) OVER ()) AS e1,
+         CAST(success + failure AS DOUBLE) * sum(failure) OVER () / (sum(success) OVER () + sum(failure) OVER ()) AS e2
+  FROM ct)""", """agg AS (
+  SELECT sum(power(success - e1, 2) / e1 + power(failure - e2, 2) / e2) AS chi2,
+         count(*) AS nrows, sum(success + failure) AS n FROM ex)""", """pv AS (
+  SELECT g.chi2, g.n, g.nrows - 1 AS dof,
+         CASE WHEN g.chi2 <= 0 THEN 1.0 ELSE
+           1 - exp(((g.nrows - 1) / 2.0) * ln(g.chi2 / 2) - g.chi2 / 2 - lgamma((g.nrows - 1) / 2.0 + 1))
+             * (SELECT sum(exp(k * ln(g.chi2 / 2) - (lgamma((g.nrows - 1) / 2.0 + k + 1)
+                                                     - lgamma((g.nrows - 1) / 2.0 + 1))))
+                FROM range(0, 3000) t(k))
+         END AS p_value
+  FROM agg g)""") + f"""
+SELECT 'chi_square' AS test, {_r('chi2')} AS chi2, {_r('p_value')} AS p_value, CAST(dof AS BIGINT) AS dof,
+       CASE WHEN least(dof, 1) > 0 THEN {_r('sqrt(chi2 / n / least(dof, 1))')} END AS cramers_v,
+       CAST(n AS BIGINT) AS n
+FROM pv"""
+
+
 def q_paired_periods() -> str:
     return with_(*monthly_ctes(), LASTCAL, f"""rm AS (
   SELECT CASE WHEN l.k <= {DEFAULT.current_n} THEN 'current' ELSE 'past' END AS point_of_view, m.user_id,
@@ -658,6 +686,7 @@ def oracle_sql() -> dict[str, str]:
         "high_segment_rm": q_high_segment_rm(),
         "cohort_period_compare": q_cohort_period_compare(),
         "segment_initial_retention": q_segment_initial_retention(),
+        "chi2_rate_test": q_chi2_rate_test(),
         "chi2_rate_residuals": q_chi2_rate_residuals(),
         "paired_periods": q_paired_periods(),
     }

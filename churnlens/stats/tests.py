@@ -83,7 +83,8 @@ def chi2_rate_test(df: DataFrame, group_col: str, total_col: str, success_col: s
     mindim = F.least(F.col("rows") - 1, F.lit(1))
     return agg.select(
         F.lit("chi_square").alias("test"), "chi2",
-        chi2_sf_udf(F.col("chi2"), dof.cast("double")).alias("p_value"),
+        # a one-row table has no degrees of freedom: chi2 = 0 and p = 1
+        F.when(dof == 0, F.lit(1.0)).otherwise(chi2_sf_udf(F.col("chi2"), dof.cast("double"))).alias("p_value"),
         dof.alias("dof"),
         F.when(mindim > 0, F.sqrt(F.col("chi2") / F.col("n") / mindim)).alias("cramers_v"),
         F.col("n").cast("long").alias("n"))
