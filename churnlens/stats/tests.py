@@ -115,7 +115,8 @@ def _anova_parts(gv: DataFrame) -> DataFrame:
     between = gs.agg(F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("_s2"),
                      F.sum(F.col("n") * F.col("mean")).alias("_s1"),
                      F.sum("n").alias("n_obs"), F.count(F.lit(1)).alias("n_groups"))
-    ssb = F.greatest(F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("n_obs"), F.lit(0.0))
+    ssb = F.when(F.col("n_obs") > 0,
+                 F.greatest(F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("n_obs"), F.lit(0.0)))
     return between.select("n_obs", "n_groups", ssb.alias("ss_between"), within.scalar().alias("ss_within"))
 
 
@@ -123,8 +124,9 @@ def anova_oneway(gv: DataFrame, alpha: float = 0.05, name: str = "Initial Retent
     """T2. One-way ANOVA of ``value`` by ``group``: F, p_value, eta_squared,
     significant, n_obs, n_groups (plus the sums of squares)."""
     p = _anova_parts(gv)
-    dfb = (F.col("n_groups") - 1).cast("double")
-    dfw = (F.col("n_obs") - F.col("n_groups")).cast("double")
+    has_groups = F.col("n_groups") > 0  # empty input: every statistic is NULL
+    dfb = F.when(has_groups, (F.col("n_groups") - 1).cast("double"))
+    dfw = F.when(has_groups, (F.col("n_obs") - F.col("n_groups")).cast("double"))
     f = F.try_divide(F.col("ss_between") / dfb, F.col("ss_within") / dfw)
     out = p.select("*", dfb.alias("df_between"), dfw.alias("df_within"), f.alias("F"))
     out = out.select("*", f_sf_udf(F.col("F"), F.col("df_between"), F.col("df_within")).alias("p_value"))
