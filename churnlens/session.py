@@ -15,8 +15,9 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "churnlens") -> SparkSession:
-    """Session used by tests and bench (local mode, UI off, UTC)."""
+                  app: str = "churnlens", extra: dict[str, str] | None = None) -> SparkSession:
+    """Session used by tests and bench (local mode, UI off, UTC).  ``extra``
+    adds settings, e.g. an event log folder for stage and task times."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -34,6 +35,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.parquet.aggregatePushdown", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    for k, v in (extra or {}).items():
+        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
