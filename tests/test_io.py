@@ -23,6 +23,9 @@ def test_mart_modes(spark):
     mart.write_mart(jan, root, "t", partition_by=("snapshot_date",))
     got = sorted((r.snapshot_date, r.v) for r in mart.read_mart(spark, root, "t").collect())
     assert got == [(dt.date(2020, 1, 31), 9), (dt.date(2020, 2, 29), 2), (dt.date(2020, 2, 29), 2)]
+    # 'ignore' leaves an existing table untouched
+    mart.write_mart(jan, root, "t", mode="ignore", partition_by=("snapshot_date",))
+    assert mart.read_mart(spark, root, "t").count() == 3
     # create-if-absent skips existing tables
     assert mart.create_if_absent({"t": df, "u": df}, root) == {"t": "skipped", "u": "written"}
     assert not mart.mart_exists(spark, root, "nope")
