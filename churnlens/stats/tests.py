@@ -64,12 +64,13 @@ def chi2_residuals(df: DataFrame, group_col: str, total_col: str, success_col: s
                   (F.col("success") + F.col("failure")).alias("_row"),
                   F.sum("success").over(w).alias("_c1"), F.sum("failure").over(w).alias("_c2"))
     x = x.select("*", (F.col("_c1") + F.col("_c2")).alias("_n"))
-    e1 = F.col("_row") * F.col("_c1") / F.col("_n")
-    e2 = F.col("_row") * F.col("_c2") / F.col("_n")
+    # degenerate tables (an empty row or column) give NULL, not a divide error
+    e1 = F.try_divide(F.col("_row") * F.col("_c1"), F.col("_n").cast("double"))
+    e2 = F.try_divide(F.col("_row") * F.col("_c2"), F.col("_n").cast("double"))
     return x.select("group", "success", "failure", e1.alias("expected_success"),
                     e2.alias("expected_failure"),
-                    ((F.col("success") - e1) / F.sqrt(e1)).alias("resid_success"),
-                    ((F.col("failure") - e2) / F.sqrt(e2)).alias("resid_failure"))
+                    F.try_divide(F.col("success") - e1, F.sqrt(e1)).alias("resid_success"),
+                    F.try_divide(F.col("failure") - e2, F.sqrt(e2)).alias("resid_failure"))
 
 
 def chi2_rate_test(df: DataFrame, group_col: str, total_col: str, success_col: str) -> DataFrame:
@@ -86,7 +87,7 @@ def chi2_rate_test(df: DataFrame, group_col: str, total_col: str, success_col: s
         # a one-row table has no degrees of freedom: chi2 = 0 and p = 1
         F.when(dof == 0, F.lit(1.0)).otherwise(chi2_sf_udf(F.col("chi2"), dof.cast("double"))).alias("p_value"),
         dof.alias("dof"),
-        F.when(mindim > 0, F.sqrt(F.col("chi2") / F.col("n") / mindim)).alias("cramers_v"),
+        F.when(mindim > 0, F.sqrt(F.try_divide(F.col("chi2"), F.col("n") * mindim))).alias("cramers_v"),
         F.col("n").cast("long").alias("n"))
 
 
@@ -127,7 +128,8 @@ def anova_oneway(gv: DataFrame, alpha: float = 0.05, name: str = "Initial Retent
     has_groups = F.col("n_groups") > 0  # empty input: every statistic is NULL
     dfb = F.when(has_groups, (F.col("n_groups") - 1).cast("double"))
     dfw = F.when(has_groups, (F.col("n_obs") - F.col("n_groups")).cast("double"))
-    f = F.try_divide(F.col("ss_between") / dfb, F.col("ss_within") / dfw)
+    # one group (df_between 0) or one row per group (df_within 0): F is NULL
+    f = F.try_divide(F.try_divide(F.col("ss_between"), dfb), F.try_divide(F.col("ss_within"), dfw))
     out = p.select("*", dfb.alias("df_between"), dfw.alias("df_within"), f.alias("F"))
     out = out.select("*", f_sf_udf(F.col("F"), F.col("df_between"), F.col("df_within")).alias("p_value"))
     ss_total = F.col("ss_between") + F.col("ss_within")
@@ -146,7 +148,7 @@ def pairwise_mean_diff(gv: DataFrame, alpha: float = 0.05) -> DataFrame:
     statistics (one row per group), never from the raw rows."""
     gs = _group_stats(gv)
     p = _anova_parts(gv)
-    mse = p.select((F.col("ss_within") / (F.col("n_obs") - F.col("n_groups"))).alias("mse"),
+    mse = p.select(F.try_divide(F.col("ss_within"), (F.col("n_obs") - F.col("n_groups")).cast("double")).alias("mse"),
                    (F.col("n_groups") - 1).cast("double").alias("k1"),
                    (F.col("n_obs") - F.col("n_groups")).cast("double").alias("dfw"))
     a = gs.select(F.col("group").alias("group1"), F.col("n").alias("n1"), F.col("mean").alias("m1"))

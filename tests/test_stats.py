@@ -199,3 +199,16 @@ def test_chi2_agrees_with_spark_ml_on_raw_rows(spark):
     r = ChiSquareTest.test(spark.createDataFrame(raw, ["features", "label"]), "features", "label").head()
     assert ours.chi2 == pytest.approx(r.statistics[0]) and ours.dof == r.degreesOfFreedom[0]
     assert ours.p_value == pytest.approx(r.pValues[0], abs=1e-9)
+
+
+def test_degenerate_inputs_give_nulls_not_errors(spark):
+    one_group = spark.createDataFrame([("a", 0.1), ("a", 0.3)], "group string, value double")
+    r = st.anova_oneway(one_group).first()
+    assert r.F is None and r.p_value is None and r.n_groups == 1
+    assert st.pairwise_mean_diff(one_group).count() == 0
+    per_row = spark.createDataFrame([("a", 0.1), ("b", 0.3)], "group string, value double")
+    assert st.anova_oneway(per_row).first().F is None
+    assert st.pairwise_mean_diff(per_row).first().p_adj is None
+    no_success = spark.createDataFrame([("x", 10.0, 0.0), ("y", 5.0, 0.0)], "g string, total double, success double")
+    c = st.chi2_rate_test(no_success, "g", "total", "success").first()
+    assert c.chi2 is None and c.n == 15
