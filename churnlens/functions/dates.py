@@ -141,6 +141,12 @@ class Calendar:
     def snapshots(self) -> list[dt.date]:
         return [py_period_end(s, self.grain) for s in self.starts()]
 
+    def current_from(self, current_n: int) -> dt.date:
+        """First snapshot of the 'current' window: the last ``current_n``
+        snapshots (the whole calendar when it is shorter)."""
+        snaps = self.snapshots()
+        return snaps[max(0, len(snaps) - current_n)]
+
     @property
     def last_snapshot(self) -> dt.date:
         return py_period_end(self.last, self.grain)

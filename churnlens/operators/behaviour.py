@@ -101,7 +101,7 @@ def high_segment_behaviour(events: DataFrame, mrfm: DataFrame, calendar: Calenda
         F.count(F.when(t == params.cart_type, 1)).alias("cart_cnt"),
         F.count(F.when(t == params.purchase_type, 1)).alias("purchase_cnt"))
     hs = mrfm.where(F.col("rfm_segment").isin(*params.high_segments)).select("user_id", "snapshot_date")
-    current_from = F.lit(calendar.snapshots()[-params.current_n])
+    current_from = F.lit(calendar.current_from(params.current_n))
     return e.join(hs, ["user_id", "snapshot_date"]).select(
         point_of_view(F.col("snapshot_date"), current_from).alias("point_of_view"),
         "user_id", "snapshot_date", "view_cnt", "cart_cnt", "purchase_cnt")

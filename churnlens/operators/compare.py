@@ -57,7 +57,7 @@ def segment_initial_retention(cohort_seg: DataFrame, params: Params = DEFAULT) -
 
 def high_segment_rm(mrfm: DataFrame, calendar: Calendar, params: Params = DEFAULT) -> DataFrame:
     """A24. Mean recency and mean period spend of high-segment users, past vs current."""
-    current_from = F.lit(calendar.snapshots()[-params.current_n])
+    current_from = F.lit(calendar.current_from(params.current_n))
     m = mrfm.where(F.col("rfm_segment").isin(*params.high_segments))
     g = m.groupBy(point_of_view(F.col("snapshot_date"), current_from).alias("point_of_view"), "user_id").agg(
         F.avg("recency").alias("avg_recency"),

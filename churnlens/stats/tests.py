@@ -183,6 +183,10 @@ def logit_odds(df: DataFrame, target_col: str, numeric_cols: Sequence[str],
     _require(df, cols)
     sub = df.select(*cols).dropna()
     sub = sub.withColumn(target_col, F.col(target_col).try_cast("int")).dropna()
+    schema = ("term string, coef double, std_err double, odds_ratio double, p_value double, "
+              "ci_low_or double, ci_high_or double, n long, pseudo_r2 double, llf double, aic double")
+    if sub.isEmpty():  # nothing to fit (one small job)
+        return df.sparkSession.createDataFrame([], schema)
     if categorical_cols or not numeric_cols:
         terms = [*numeric_cols, *categorical_cols] or ["1"]
         rf = RFormula(formula=f"{target_col} ~ " + " + ".join(terms), featuresCol="features", labelCol="label")
@@ -215,8 +219,6 @@ def logit_odds(df: DataFrame, target_col: str, numeric_cols: Sequence[str],
              _exp(coefs[i] - Z975 * ses[i]), _exp(coefs[i] + Z975 * ses[i]),
              n, 1.0 - llf / llnull if llnull else None, llf, float(s.aic))
             for i in range(len(coefs))]
-    schema = ("term string, coef double, std_err double, odds_ratio double, p_value double, "
-              "ci_low_or double, ci_high_or double, n long, pseudo_r2 double, llf double, aic double")
     return df.sparkSession.createDataFrame(rows, schema).orderBy("p_value")
 
 
@@ -367,6 +369,9 @@ def segment_age_regression(df: DataFrame, y: str = "cnt_retention", x: str = "co
     d = df.select(y, x, cat, cluster).dropna()
     # segment labels: a handful of distinct values (bounded by the label map)
     levels = sorted(r[0] for r in d.select(cat).distinct().collect())
+    schema = "term string, coef double, std_err double, t_value double, p_value double, n_obs long, reference string"
+    if not levels:  # nothing to fit
+        return df.sparkSession.createDataFrame([], schema)
     ref, others = levels[0], levels[1:]
     cols = {x: F.col(x).cast("double")}
     for lv in others:
@@ -389,5 +394,4 @@ def segment_age_regression(df: DataFrame, y: str = "cnt_retention", x: str = "co
     coefs = model.coefficients.toArray().tolist()
     rows = [(names[i], float(coefs[i]), float(s.coefficientStandardErrors[i]), float(s.tValues[i]),
              float(s.pValues[i]), int(s.numInstances), ref) for i in range(len(names))]
-    schema = "term string, coef double, std_err double, t_value double, p_value double, n_obs long, reference string"
     return df.sparkSession.createDataFrame(rows, schema)

@@ -177,3 +177,9 @@ def test_string_event_times_are_accepted(spark):
     cal = Calendar.from_data(ev)
     assert (cal.first, cal.last) == (D(2020, 1, 1), D(2020, 2, 1))
     assert monthly.monthly_rfm_base(ev, cal).count() == 2
+
+
+def test_current_window_on_short_calendar():
+    cal = Calendar(D(2020, 1, 1), D(2020, 1, 1))
+    assert cal.current_from(2) == D(2020, 1, 31)
+    assert Calendar(D(2020, 1, 1), D(2020, 3, 1)).current_from(2) == D(2020, 2, 29)

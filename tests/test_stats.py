@@ -212,3 +212,10 @@ def test_degenerate_inputs_give_nulls_not_errors(spark):
     no_success = spark.createDataFrame([("x", 10.0, 0.0), ("y", 5.0, 0.0)], "g string, total double, success double")
     c = st.chi2_rate_test(no_success, "g", "total", "success").first()
     assert c.chi2 is None and c.n == 15
+
+
+def test_model_fits_on_empty_input(spark):
+    empty = spark.createDataFrame([], "y int, x1 double, cohort_date string, rfm_segment string, "
+                                      "cohort_age int, cnt_retention double")
+    assert st.logit_odds(empty, "y", ["x1"]).count() == 0
+    assert st.segment_age_regression(empty).count() == 0
