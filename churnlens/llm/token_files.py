@@ -28,6 +28,8 @@ from __future__ import annotations
 import array
 import functools
 import hashlib
+import string
+import unicodedata
 import zlib
 
 import pyarrow as pa
@@ -47,27 +49,68 @@ CACHE = 400_000
 LEVEL = 3
 
 
+#: The byte-level alphabet of the tokenizer: a printable byte stands for itself, the
+#: others for the characters from 256 on, in order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: b if b in _PRINTABLE else 256 + k for k, b in
+             enumerate(sorted(range(256), key=lambda b: (b in _PRINTABLE, b)))}
+_PUNCTUATION = string.punctuation.encode()
+
+
 class Encoder:
-    """Token ids of whole texts as bytes.  The tokenizer never joins what white space
-    parts, so ids are looked up word by word and each word is encoded once."""
+    """Token ids of whole texts as bytes.
+
+    The tokenizer never joins what white space parts, lower-cases, and parts letters from
+    marks.  So a text is looked up word by word, each word is encoded once, and a word that
+    is Latin letters followed by marks goes as letters straight to the tokenizer's merges.
+    Other words, and texts that may hold a special token, go through the whole tokenizer."""
 
     def __init__(self, tokenizer_file: str, end_id: int):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.merge = self.tokenizer.model.tokenize
         self.end = array.array("I", [end_id]).tobytes()
         self.known: dict[bytes, bytes] = {}
 
+    def _whole(self, raw: bytes) -> bytes:
+        return array.array("I", self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        """The ids of a word whose ASCII letters are lower-cased."""
+        letters = word.rstrip(_PUNCTUATION)
+        marks = word[len(letters):]
+        if marks and letters:
+            return self._part(letters) + self._part(marks)
+        if not marks and (word.isalpha() or self._latin(word)):
+            text = word.decode("latin-1").translate(_ALPHABET)
+            return array.array("I", [t.id for t in self.merge(text)]).tobytes()
+        return self._whole(word)
+
+    @staticmethod
+    def _latin(word: bytes) -> bool:
+        text = word.decode()
+        return text.isalpha() and max(text) < "\u0250" and text == text.lower() and unicodedata.is_normalized("NFC", text)
+
+    def _part(self, word: bytes) -> bytes:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self.known[word] = self._word(word)
+        return ids
+
     def __call__(self, raws: list[bytes]) -> list[bytes]:
-        words = [r.split() for r in raws]
-        known = self.known
-        if len(known) > CACHE:
-            known = self.known = {}
-        new = list({w for ws in words for w in ws if w not in known})
-        for s in range(0, len(new), 10_000):
-            part = new[s:s + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                known[w] = array.array("I", e.ids).tobytes()
-        return [b"".join([known[w] for w in ws]) + self.end for ws in words]
+        out = []
+        for raw in raws:
+            if b"<|" in raw:
+                out.append(self._whole(raw) + self.end)
+                continue
+            if len(self.known) > CACHE:
+                self.known.clear()
+            words, known = raw.lower().split(), self.known
+            for w in words:
+                if w not in known:
+                    known[w] = self._word(w)
+            out.append(b"".join([known[w] for w in words]) + self.end)
+        return out
 
 
 @functools.cache
@@ -106,8 +149,14 @@ def train_dictionary(docs: DataFrame, tokenizer_file: str, end_id: int) -> bytes
         return b"".join(samples)[:DICTIONARY]
 
 
-def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
-    return zstandard.ZstdCompressionDict(raw) if raw else None
+def _dictionary(raw: bytes, level: int | None = None) -> zstandard.ZstdCompressionDict | None:
+    """The dictionary, digested once for compression where a level is given."""
+    if not raw:
+        return None
+    d = zstandard.ZstdCompressionDict(raw)
+    if level is not None:
+        d.precompute_compress(level=level)
+    return d
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2) -> None:
@@ -120,7 +169,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
     shared = spark.sparkContext.broadcast(raw_dict)      # at most DICTIONARY bytes
 
     def encode(batches):
-        pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(shared.value))
+        pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(shared.value, LEVEL))
         for b in batches:
             doc, at = b.column("doc"), 0
             for raws in _chunks(utf8(b.column("text"))):
