@@ -11,7 +11,7 @@ Three steps, used by line and by substring deduplication:
 * ``apply``: texts and answers meet by block.  A task streams its blocks: first a
   block's answers, then its texts one Arrow batch at a time.
 
-A block is ``doc_id // BLOCK``: rows that share an id share a block.  Ids far apart
+A block is ``2 ** BLOCK_BITS`` consecutive ids: rows that share an id share a block.  Ids far apart
 make small blocks, which costs some pre-aggregation and nothing else.
 """
 
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import doc_key, partitions, utf8
 
-#: Documents in a block of consecutive ids.
-BLOCK = 4096
+#: Bits of an id that count within its block.
+BLOCK_BITS = 12
 #: Records that a scan task holds before it sums them up and sends them.
 HELD = 1_000_000
 #: Shards for each shuffle partition.
@@ -35,7 +35,7 @@ SHARDS = 4
 
 
 def _block():
-    return F.floor(doc_key() / BLOCK).cast("long")
+    return F.shiftright(doc_key(), BLOCK_BITS)
 
 
 def summarise(docs: DataFrame, units: Callable[[int, bytes], np.ndarray | None],
@@ -47,7 +47,7 @@ def summarise(docs: DataFrame, units: Callable[[int, bytes], np.ndarray | None],
 
     def send(held: list[np.ndarray]):
         r = np.concatenate(held)
-        block = r["doc"] // BLOCK
+        block = r["doc"] >> BLOCK_BITS
         order = np.lexsort((r["doc"], r["lo"], r["hi"], block))
         r, block = r[order], block[order]
         cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
