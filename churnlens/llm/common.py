@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +25,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def utf8(column: pa.Array) -> list[bytes]:
-    """The UTF-8 bytes of each text; null is empty."""
-    return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
+#: Bytes of text that are copied out of an Arrow batch at a time.
+PIECE = 4 << 20
+
+
+def each_text(column: pa.Array):
+    """The UTF-8 bytes of each text; null is empty.  An Arrow batch holds up to 64 MB, so
+    its texts are copied out of it piece by piece."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    piece = (np.cumsum(sizes) - sizes) // PIECE
+    cuts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]]) if len(column) else []
+    for s, e in zip(cuts, np.r_[cuts[1:], len(column)] if len(column) else []):
+        for b in column.slice(s, e - s).cast(pa.binary()).to_pylist():
+            yield b or b""
+    pa.default_memory_pool().release_unused()
 
 
 def doc_key(name: str = "doc_id") -> Column:

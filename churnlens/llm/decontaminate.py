@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import documents, utf8
+from .common import documents, each_text
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 23
 ITEM_BYTES = 4 << 20
 #: Words whose hashes a task remembers.
-CACHE = 400_000
+CACHE = 200_000
 
 _PUNCTUATION = string.punctuation.encode()
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -226,7 +226,7 @@ def _searcher(shared):
     @F.arrow_udf(_HITS)
     def search(text: pa.Array) -> pa.Array:
         items = _loaded(shared)
-        return pa.array([items.search(x) for x in utf8(text)], pa.list_(pa.struct(
+        return pa.array([items.search(x) for x in each_text(text)], pa.list_(pa.struct(
             [("item_id", pa.int64()), ("similarity", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])))
     return search
 

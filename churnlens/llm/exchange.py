@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, partitions, utf8
+from .common import doc_key, each_text, partitions
 
 #: Bits of an id that count within its block.
 BLOCK_BITS = 12
@@ -65,7 +65,7 @@ def summarise(docs: DataFrame, units: Callable[[int, bytes], np.ndarray | None],
     def run(batches):
         held, size = [], 0
         for b in batches:
-            for doc, text in zip(b.column("doc").to_pylist(), utf8(b.column("text"))):
+            for doc, text in zip(b.column("doc").to_pylist(), each_text(b.column("text"))):
                 r = units(doc, text)
                 if r is not None and len(r):
                     held.append(r)
@@ -111,7 +111,7 @@ def apply(docs: DataFrame, answers: DataFrame, rewrite: Callable[[int, bytes, di
         for b in batches:
             out: list[list] = [[] for _ in range(len(fields) + 1)]
             for at, doc, text, payload in zip(b.column("block").to_pylist(), b.column("doc").to_pylist(),
-                                              utf8(b.column("text")), b.column("payload").to_pylist()):
+                                              each_text(b.column("text")), b.column("payload").to_pylist()):
                 if at != block:
                     block, known = at, {}
                 if payload is not None:

@@ -18,13 +18,15 @@ language first in code-point order; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, held_out, utf8
+from .common import documents, each_text, held_out
 
 BITS, SAMPLE, SHARDS = 16, 16_000, 8
 #: Log-probability that changing the language within a text costs.
@@ -95,7 +97,7 @@ def learn(docs: DataFrame) -> dict | None:
 
     def count(table: pa.Table) -> pa.Table:
         counts, scripts = np.zeros(1 << BITS, np.int64), np.zeros(16, np.int64)
-        for raw in utf8(table.column("text").combine_chunks()):
+        for raw in each_text(table.column("text").combine_chunks()):
             w = Words(raw)
             counts += np.bincount(w.gram[w.letter], minlength=1 << BITS)
             for bit in range(16):
@@ -158,16 +160,16 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     return labels
 
 
-def label_texts(raws: list[bytes], model: dict, switch: float = SWITCH) -> list[tuple[str, float, list[dict]]]:
+def label_texts(raws: Iterable[bytes], model: dict, switch: float = SWITCH) -> list[tuple[str, float, list[dict]]]:
     """(language, score, spans in code points) of each text."""
     out, held, size = [], [], 0
-    for k, raw in enumerate(raws):
+    for raw in raws:
         held.append(raw)
         size += len(raw)
-        if size >= CHUNK or k == len(raws) - 1:
+        if size >= CHUNK:
             out += _label_chunk(held, model, switch)
             held, size = [], 0
-    return out
+    return out + _label_chunk(held, model, switch)
 
 
 def _label_chunk(raws, model, switch):
@@ -222,7 +224,7 @@ def identify(docs: DataFrame, switch: float = SWITCH) -> DataFrame:
 
     @F.arrow_udf(_OUT)
     def labelled(text: pa.Array) -> pa.Array:
-        found = label_texts(utf8(text), shared.value, switch)
+        found = label_texts(each_text(text), shared.value, switch)
         lang, score, spans = zip(*found) if found else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()),
                                            pa.array(spans, _SPANS)], ["lang_pred", "score", "spans"])

@@ -30,9 +30,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import doc_key, documents, join_small, settle, utf8
+from .common import PIECE, doc_key, documents, each_text, join_small, settle
 
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -146,15 +145,26 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows with the columns of ``docs``: for each document and pass one row
     that holds the words taken, from the first to the last of each run as they stand
     in the text (a text taken whole stays as it is); n_chars follows the text."""
-    m = mix_sources(docs, **options).where("taken > 0")
-    m = m.select("row", F.explode(_texts("row.text", "size", "pieces")).alias("new"))
-    made = {"text": F.col("new"), "n_chars": F.char_length("new").cast("long")}
-    return m.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
-
-
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def _texts(text: pa.Array, size: pa.Array, pieces: pa.Array) -> pa.Array:
-    return pa.array([_cut(*x) for x in zip(utf8(text), size.to_pylist(), pieces.to_pylist())], pa.list_(pa.string()))
+    schema = docs.schema
+
+    def cut(batches):
+        for b in batches:
+            row, sizes, pieces = b.column("row"), b.column("size").to_pylist(), b.column("pieces").to_pylist()
+            columns = {f.name: row.field(k) for k, f in enumerate(row.type)}
+            at, texts, held = [], [], 0
+            for k, raw in enumerate(each_text(columns["text"])):
+                for text in _cut(raw, sizes[k], pieces[k]):
+                    at.append(k)
+                    texts.append(text)
+                    held += len(text)
+                if held >= PIECE or k == b.num_rows - 1:
+                    made = {"text": texts, "n_chars": [len(x) for x in texts]}
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(made[c], a.type) if c in made else a.take(pa.array(at, pa.int64()))
+                         for c, a in columns.items()], list(columns))
+                    at, texts, held = [], [], 0
+
+    return mix_sources(docs, **options).where("taken > 0").select("row", "size", "pieces").mapInArrow(cut, schema)
 
 
 def _cut(raw: bytes, size: int, pieces: list[dict]) -> list[str]:

@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh32_intdigest
 
-from .common import documents, held_out, utf8
+from .common import documents, each_text, held_out
 
 BITS = 18
 SAMPLE, SHARDS, EPOCHS = 16_000, 8, 3
 #: FTRL-proximal: step size, its smoothing, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.2, 1.0, 0.05, 0.1
 #: Words whose hashes a task remembers.
-CACHE = 400_000
+CACHE = 200_000
 
 _MASK = np.uint64((1 << BITS) - 1)
 _MARKS = re.compile(rb"[A-Z]+|[a-z\x80-\xff]+|[0-9]+|(.)\1*", re.DOTALL)
@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndar
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by("at")
-        w = ftrl([(*features(x), y) for x, y in zip(utf8(table.column("text").combine_chunks()), table.column("y").to_pylist())])
+        w = ftrl([(*features(x), y) for x, y in zip(each_text(table.column("text").combine_chunks()), table.column("y").to_pylist())])
         return pa.table({"weights": pa.array([w.tobytes()], pa.binary()), "shard": table.column("shard")[:1].cast(pa.int32())})
     fitted = rows.groupBy("shard").applyInArrow(fit, "weights binary, shard int").collect()   # SHARDS rows of fixed size
     if not fitted:
@@ -139,7 +139,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
 
         @F.arrow_udf(T.DoubleType())
         def scored(text: pa.Array) -> pa.Array:
-            return pa.array([score(x, shared.value) for x in utf8(text)], pa.float64())
+            return pa.array([score(x, shared.value) for x in each_text(text)], pa.float64())
         rows = rows.withColumn("score", scored("text"))
     return rows.select("row", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, join_small, utf8
+from .common import documents, each_text, join_small
 
 #: Fixed by the contract: the characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -66,7 +66,7 @@ def measure(raw: bytes) -> dict:
 
 @F.arrow_udf(_MEASURES)
 def _measured(text: pa.Array) -> pa.Array:
-    return pa.array([measure(x) for x in utf8(text)], pa.struct([(k, pa.int64()) for k in MEASURES]))
+    return pa.array([measure(x) for x in each_text(text)], pa.struct([(k, pa.int64()) for k in MEASURES]))
 
 
 def base_failed(m: Column, min_words: int, max_repeat_pct: int) -> Column:

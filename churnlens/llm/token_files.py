@@ -31,6 +31,7 @@ import hashlib
 import string
 import unicodedata
 import zlib
+from collections.abc import Iterable
 
 import pyarrow as pa
 import zstandard
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_key, documents, from_key, partitions, scratch_path, utf8
+from .common import doc_key, documents, each_text, from_key, partitions, scratch_path
 
 #: Documents that the dictionary is trained on, and its size in bytes.
 SAMPLE, DICTIONARY = 1000, 65536
@@ -63,11 +64,11 @@ class Encoder:
     The tokenizer never joins what white space parts, lower-cases, and parts letters from
     marks.  So a text is looked up word by word, each word is encoded once, and a word that
     is Latin letters followed by marks goes as letters straight to the tokenizer's merges.
-    Other words, and texts that may hold a special token, go through the whole tokenizer."""
+    Other words, and texts that may hold a special token, go through the whole tokenizer.
+    The ids of known words are the task's: they go when it ends."""
 
     def __init__(self, tokenizer_file: str, end_id: int):
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.tokenizer = _tokenizer(tokenizer_file)
         self.merge = self.tokenizer.model.tokenize
         self.end = array.array("I", [end_id]).tobytes()
         self.known: dict[bytes, bytes] = {}
@@ -114,11 +115,12 @@ class Encoder:
 
 
 @functools.cache
-def encoder(tokenizer_file: str, end_id: int) -> Encoder:
-    return Encoder(tokenizer_file, end_id)
+def _tokenizer(tokenizer_file: str):
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(tokenizer_file)
 
 
-def _chunks(raws: list[bytes], limit: int = 4 << 20):
+def _chunks(raws: Iterable[bytes], limit: int = 4 << 20):
     """Runs of texts of about ``limit`` bytes."""
     held, size = [], 0
     for r in raws:
@@ -134,10 +136,10 @@ def _chunks(raws: list[bytes], limit: int = 4 << 20):
 def train_dictionary(docs: DataFrame, tokenizer_file: str, end_id: int) -> bytes:
     """A dictionary from at most ``SAMPLE`` documents, each cut after 64 KB of ids."""
     def ids(batches):
+        encode = Encoder(tokenizer_file, end_id)
         for b in batches:
-            for raws in _chunks(utf8(b.column("text"))):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[:65536] for x in encoder(tokenizer_file, end_id)(raws)], pa.binary())], ["ids"])
+            for raws in _chunks(each_text(b.column("text"))):
+                yield pa.RecordBatch.from_arrays([pa.array([x[:65536] for x in encode(raws)], pa.binary())], ["ids"])
     keys = docs.select(doc_key().alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
     rows = docs.select(doc_key().alias("k"), "text").join(F.broadcast(keys), "k", "left_semi") \
         .orderBy(F.xxhash64("k"), F.xxhash64("text")).limit(SAMPLE) \
@@ -169,11 +171,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
     shared = spark.sparkContext.broadcast(raw_dict)      # at most DICTIONARY bytes
 
     def encode(batches):
+        to_ids = Encoder(tokenizer_file, end_id)
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(shared.value, LEVEL))
         for b in batches:
             doc, at = b.column("doc"), 0
-            for raws in _chunks(utf8(b.column("text"))):
-                ids = encoder(tokenizer_file, end_id)(raws)
+            for raws in _chunks(each_text(b.column("text"))):
+                ids = to_ids(raws)
                 yield pa.RecordBatch.from_arrays(
                     [doc[at:at + len(raws)], pa.array([len(x) // 4 for x in ids], pa.int64()),
                      pa.array([pack.compress(x) for x in ids], pa.binary())], ["doc", "n_tokens", "frame"])
