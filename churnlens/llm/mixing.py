@@ -97,7 +97,7 @@ def mix_sources(docs: DataFrame, seed: int = 17, block: int = 64, shard_words: i
                     F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
                     doc_key().alias("id"))
     d = d.withColumn("order", _hash(F.col("id"), seed))
-    sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = settle(d.groupBy("source").agg(F.sum("size").alias("source_size")))
     s = source_targets(sizes, budget, max_repeat, weights)
     blocks = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block)
     s = sainte_lague(s, [], "target", "rank", blocks)
@@ -106,7 +106,7 @@ def mix_sources(docs: DataFrame, seed: int = 17, block: int = 64, shard_words: i
     d = join_small(d, s, "source", F.col("id"))
     d = d.withColumn("shard", F.pmod(_hash(F.col("id"), seed + 1), F.col("shards")))
 
-    parts = d.groupBy("rank", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("seats"))
+    parts = settle(d.groupBy("rank", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("seats")))
     parts = sainte_lague(parts, ["rank"], "words", "shard", F.col("seats"))
     m = F.floor(F.col("words") / block)
     parts = parts.withColumn("blocks", m).withColumn("all_blocks", F.floor(F.lit(max_repeat) * F.col("words") / block)) \
