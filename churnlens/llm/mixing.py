@@ -87,7 +87,7 @@ def sainte_lague(parties: DataFrame, within: list[str], weight: str, order: str,
         .drop("_all", "_n", "_seats", "_sure", "_most", "_open", "_won")
 
 
-def mix_sources(docs: DataFrame, seed: int = 17, block: int = 64, shard_words: int = 8_000_000,
+def mix_sources(docs: DataFrame, seed: int = 17, block: int = 64, shard_words: int = 1_000_000,
                 budget: float = 1.5, max_repeat: int = 2, weights: tuple[int, ...] = WEIGHTS,
                 keep: list[str] | None = None) -> DataFrame:
     """Every row of ``docs`` (of it the columns ``keep``, or all) in the struct ``row``, with size, source_size, target,
@@ -210,7 +210,7 @@ s4 AS (SELECT source, source_size, rk, least(cap::DOUBLE, w * fits) AS target FR
 q AS (SELECT sum(target) AS total, CAST(round(sum(target) / 64) AS BIGINT) AS seats, count(*) AS n FROM s4),
 quo AS (SELECT rk, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, rk, k) AS r, seats
         FROM (SELECT rk, target, seats, unnest(range(1, CAST(ceil(target * (seats + n + 2) / total + 2) AS BIGINT))) AS k FROM s4, q)),
-s5 AS (SELECT s4.*, CAST(ceil(greatest(source_size / 8000000.0, 0.0000001)) AS BIGINT) AS shards,
+s5 AS (SELECT s4.*, CAST(ceil(greatest(source_size / 1000000.0, 0.0000001)) AS BIGINT) AS shards,
          (SELECT count(*) FROM quo WHERE quo.rk = s4.rk AND r <= seats) AS quota FROM s4),
 e AS (SELECT d.*, rk, source_size, target, quota, h2 % shards AS shard FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source),
 p0 AS (SELECT rk, shard, CAST(sum(size) AS BIGINT) AS words, any_value(quota) AS quota FROM e GROUP BY rk, shard),
