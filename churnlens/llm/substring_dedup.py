@@ -1,14 +1,14 @@
-"""Removal of repeated passages by hashing sentences and lines (operator 9).
+"""Removal of repeated passages by hashing clauses and lines (operator 9).
 
-A text is cut at line ends and after sentence ends; short sentences of a line are put
-together until a unit has ``UNIT_WORDS`` words.  A unit is normalised (A-Z lower-cased, white
+A text is cut at line ends and after the marks that end a clause or a sentence; short
+clauses of a line are put together until a unit has ``UNIT_WORDS`` words.  A unit is normalised (A-Z lower-cased, white
 space made single spaces) and hashed to 128 bits.  Digests are grouped over all documents;
 the first occurrence by (doc_id, position) stays, every other is a repeat.  Repeats that
 follow each other make a passage; a passage of ``min_words`` words or more is removed.
 
-Units are sentences because passages also repeat in the middle of lines, which digests of
-whole lines would miss; neighbouring units make the line or the paragraph up again.  The
-words at a passage's ends that share a sentence with other text are not part of it, so
+Units are parts of lines because passages also repeat in the middle of lines, which digests
+of whole lines would miss; neighbouring units make the line or the paragraph up again.  The
+words at a passage's ends that share a clause with other text are not part of it, so
 ``min_words`` lies well under the length of the passages that are to be found.
 
 Cases: a null or empty text has no repeats; a null doc_id ranks before all others; rows that
@@ -32,7 +32,7 @@ from .exchange import apply, by_block, judge, summarise
 UNIT_WORDS, MIN_WORDS = 5, 25
 RECORD = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("n", "<u4")])
 
-_END = re.compile(rb"(?<=[.!?])[\x20\x09\x0B-\x0D]+|[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*")
+_END = re.compile(rb"(?<=[.!?,;:])[\x20\x09\x0B-\x0D]+|[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*")
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()),
                             ("first_doc_id", pa.int64())]))
 
