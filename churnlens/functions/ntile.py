@@ -5,25 +5,21 @@ single-partition window.
 ``Exchange SinglePartition``: one task sorts every row.  Here the order is
 computed the way a distributed sort does it:
 
-1. ``repartitionByRange`` on (group, key, tie) and sort inside partitions, so
-   range partition *i* holds a contiguous slice of the global order.  A hot key
-   value is still split, because the tie column (user id) is part of the range.
+1. Only the sort columns (group, key, tie) go through ``repartitionByRange`` and
+   are sorted inside partitions, so range partition *i* holds a contiguous slice of
+   the global order.  A hot key value is still split, because the tie column (user
+   id) is part of the range.
 2. ``checkpoint()`` to the reliable checkpoint folder.  Range boundaries come
    from sampling and could differ on a recomputation after an executor loss;
    the checkpoint fixes partition contents, so positions stay consistent.
 3. Position inside a partition from ``monotonically_increasing_id`` (partition
    index in the upper 31 bits, row index in the lower 33), row counts per
-   (partition, group) and their prefix sums.  That offsets table has at most
-   ``partitions + groups`` rows, which bounds what is broadcast.
+   (partition, group) and their prefix sums.
 4. ``row_number = offset + position``; NTILE follows from the row number and
    the group size with the same rule as SQL NTILE: the first ``N mod n`` tiles
    get one extra row.
 
-Size check: when Catalyst estimates the whole input below
-``churnlens.rank.singleTaskBytes`` (default 128 MB), one task per group sorts
-it faster than the extra jobs above cost, so the plain window is used.  The
-check reads the plan statistics (no job, so the upstream aggregate is not
-computed twice); above the limit, or without an estimate, the distributed path.
+The same path runs at every size.
 """
 
 from __future__ import annotations
@@ -36,26 +32,22 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 _LOW33 = (1 << 33) - 1
-SINGLE_TASK_CONF = "churnlens.rank.singleTaskBytes"
-SINGLE_TASK_DEFAULT = 128 * 1024 * 1024
+#: Rows (partitions + groups) up to which a table of offsets is broadcast.
+OFFSETS_TO_BROADCAST = 200_000
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df`` (the statistic Spark itself uses to
-    decide broadcast joins).  No job runs; it is an upper bound for any one
-    group.  None when the session does not expose it."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001
-        return None
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read from there."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
-def fits_one_task(df: DataFrame, group: Sequence[str] = ()) -> bool:
-    """True when the whole input (hence every group) is estimated below
-    ``churnlens.rank.singleTaskBytes``; unknown sizes take the distributed path."""
-    limit = int(df.sparkSession.conf.get(SINGLE_TASK_CONF, str(SINGLE_TASK_DEFAULT)))
-    est = estimated_bytes(df)
-    return est is not None and est < limit
+def join_counted(df: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join with ``small``, which is broadcast once its rows were counted and
+    are few, and joined by a shuffle otherwise."""
+    small = settled(small)
+    few = small.limit(OFFSETS_TO_BROADCAST + 1).count() <= OFFSETS_TO_BROADCAST
+    return df.join(F.broadcast(small) if few else small, on=on, how="inner")
 
 
 def ntile_from_rank(rn: Column, total: Column, n: int) -> Column:
@@ -68,74 +60,72 @@ def ntile_from_rank(rn: Column, total: Column, n: int) -> Column:
     return F.when(rn <= big, first).otherwise(rest).cast("int")
 
 
+def in_order(df: DataFrame, keys: Sequence[Column], num_partitions: int | None = None) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``keys`` (not yet checkpointed)."""
+    parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+
+
 def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "rn",
                       group: Sequence[str] = (), total_col: str | None = None,
-                      num_partitions: int | None = None, check_size: bool = True) -> DataFrame:
+                      num_partitions: int | None = None) -> DataFrame:
     """Add the exact 1-based row number of each row in ``order`` (within ``group``).
 
     ``order`` must be a total order (end it with a unique column).  Optionally
-    adds the group size as ``total_col``.  ``check_size=False`` forces the
-    distributed path.
+    adds the group size as ``total_col``.  All columns of ``df`` are sorted, so
+    pass only what the order needs.
     """
-    spark = df.sparkSession
-    if check_size and fits_one_task(df, group):
-        w = Window.partitionBy(*group).orderBy(*order)
-        cols = [F.row_number().over(w).cast("long").alias(out)]
-        if total_col:
-            cols.append(F.count(F.lit(1)).over(Window.partitionBy(*group)).cast("long").alias(total_col))
-        return df.select("*", *cols)
-    ensure_checkpoint_dir(spark)
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(g).asc() for g in group] + list(order)
-    ranged = (df.repartitionByRange(parts, *keys)
-              .sortWithinPartitions(*keys)
-              .checkpoint(eager=True))
+    ranged = settled(in_order(df, [F.col(g).asc() for g in group] + list(order), num_partitions))
     mid = F.monotonically_increasing_id()
     pos = ranged.select("*", mid.alias("_mid")).select(
         "*", F.shiftright("_mid", 33).alias("_pid"),
         F.col("_mid").bitwiseAND(F.lit(_LOW33)).alias("_pos"))
-    counts = pos.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_cnt"),
-                                             F.min("_pos").alias("_first"))
-    w_prefix = Window.partitionBy(*group).orderBy("_pid").rowsBetween(
-        Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(*group)
+    keys = [F.coalesce(F.col(g).cast("string"), F.lit("\0null")).alias(f"_g{i}") for i, g in enumerate(group)]
+    pos = pos.select("*", *keys)
+    by = [f"_g{i}" for i in range(len(group))]
+    counts = pos.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first"))
+    w_prefix = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(*by)
     offsets = counts.select(
-        "_pid", *group, "_first",
+        "_pid", *by, "_first",
         F.coalesce(F.sum("_cnt").over(w_prefix), F.lit(0)).alias("_off"),
         F.sum("_cnt").over(w_all).alias("_total"))
-    # bounded: at most (#range partitions + #groups) rows
-    joined = pos.join(F.broadcast(offsets), on=["_pid", *group], how="inner")
-    rn = (F.col("_off") + F.col("_pos") - F.col("_first") + 1).cast("long")
-    out_cols = [rn.alias(out)]
+    joined = join_counted(pos, offsets, ["_pid", *by])
+    out_cols = [(F.col("_off") + F.col("_pos") - F.col("_first") + 1).cast("long").alias(out)]
     if total_col:
         out_cols.append(F.col("_total").cast("long").alias(total_col))
-    keep = [c for c in df.columns]
-    return joined.select(*[F.col(c) for c in keep], *out_cols)
+    return joined.select(*df.columns, *out_cols)
 
 
 def ntile(df: DataFrame, n: int, order: Sequence[Column], out: str,
           group: Sequence[str] = (), tie: str = "user_id",
-          num_partitions: int | None = None, check_size: bool = True) -> DataFrame:
+          num_partitions: int | None = None) -> DataFrame:
     """``NTILE(n) OVER (PARTITION BY group ORDER BY order, tie)`` computed distributed.
 
     ``tie`` makes the order total, so the result does not depend on the
     physical row order (plain SQL NTILE over tied keys does).
     """
     ordered = global_row_number(df, list(order) + [F.col(tie).asc()], out="_rn",
-                                group=group, total_col="_n", num_partitions=num_partitions,
-                                check_size=check_size)
+                                group=group, total_col="_n", num_partitions=num_partitions)
     return ordered.select(*df.columns, ntile_from_rank(F.col("_rn"), F.col("_n"), n).alias(out))
 
 
-def ntiles(df: DataFrame, n: int, specs: Sequence[tuple[Column, str]], group: Sequence[str] = (),
+def ntiles(df: DataFrame, n: int, specs: Sequence[tuple[str, bool, str]], group: Sequence[str] = (),
            tie: str = "user_id") -> DataFrame:
-    """Several NTILEs over the same rows (one per (order column, output name)),
-    with one size check for all of them."""
-    if fits_one_task(df, group):
-        cols = [ntile_from_rank(F.row_number().over(Window.partitionBy(*group).orderBy(o, F.col(tie).asc())),
-                                F.count(F.lit(1)).over(Window.partitionBy(*group)), n).alias(name)
-                for o, name in specs]
-        return df.select("*", *cols)
-    for o, name in specs:
-        df = ntile(df, n, [o], name, group=group, tie=tie, check_size=False)
-    return df
+    """Several NTILEs over the same rows, one per (order column, descending, output
+    name); ``tie`` is unique within a group.
+
+    The input is checkpointed once.  Each order sorts only (group, column, tie); the
+    tiles come together in one aggregation and are joined back once.
+    """
+    base = settled(df)
+    narrow = None
+    for column, descending, name in specs:
+        order = F.col(column).desc() if descending else F.col(column).asc()
+        tiles = ntile(base.select(*group, tie, column), n, [order], name, group, tie).select(*group, tie, name)
+        narrow = tiles if narrow is None else narrow.unionByName(tiles, allowMissingColumns=True)
+    names = [name for _, _, name in specs]
+    tiles = narrow.groupBy(*[F.col(k).alias(f"_{k}") for k in (*group, tie)]).agg(
+        *[F.max(x).alias(x) for x in names])
+    same = [base[k].eqNullSafe(tiles[f"_{k}"]) for k in (*group, tie)]
+    return base.join(tiles, same).select(*[base[c] for c in base.columns], *[tiles[x] for x in names])

@@ -1,50 +1,53 @@
 """Ordered prefix sums, average (tie-aware) ranks and exact medians without a
 global single-partition window.
 
-Same technique and the same size check as :mod:`ntile`: range-partition on the order (plus group),
-checkpoint so partition contents are fixed, then per-partition totals and
-their prefix offsets (a table with at most #partitions + #groups rows).
-The running sum inside a partition is a window partitioned by the range
-partition id: each task holds one balanced range partition.
+Same technique as :mod:`ntile`: range-partition on the order (plus group) and sort.
+A running sum is then carried through each partition's Arrow batches, so it needs no
+further shuffle; the checkpoint fixes partition contents, and the partitions' totals
+and their prefix offsets (#partitions + #groups rows) complete the sum.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..session import ensure_checkpoint_dir
-from .ntile import fits_one_task
+from .ntile import in_order, join_counted, settled
 
-_LOW33 = (1 << 33) - 1
+
+def _running(batches):
+    """Adds the partition's number and the sum of ``_w`` before each row."""
+    pid, carry = TaskContext.get().partitionId(), 0
+    for b in batches:
+        w = b.column("_w").to_numpy(zero_copy_only=False).astype(np.int64)
+        upto = np.cumsum(w) + carry
+        yield pa.RecordBatch.from_arrays(
+            [*b.columns, pa.array(np.full(b.num_rows, pid, np.int64)), pa.array(upto - w)],
+            [*b.schema.names, "_pid", "_in"])
+        carry = int(upto[-1]) if len(upto) else carry
 
 
 def prefix_sum(df: DataFrame, order: Sequence[Column], weight: str, out: str,
                group: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
-    """Add ``out`` = sum of ``weight`` over the rows strictly before each row in
-    ``order`` within ``group`` (``order`` must be a total order)."""
-    spark = df.sparkSession
-    if fits_one_task(df, group):  # size-checked: small groups sort in one task each
-        w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.select("*", F.coalesce(F.sum(weight).over(w), F.lit(0)).alias(out))
-    ensure_checkpoint_dir(spark)
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(g).asc() for g in group] + list(order)
-    ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
-    mid = F.monotonically_increasing_id()
-    pos = ranged.select("*", mid.alias("_mid")).select(
-        "*", F.shiftright("_mid", 33).alias("_pid"),
-        F.col("_mid").bitwiseAND(F.lit(_LOW33)).alias("_pos"))
-    within = Window.partitionBy("_pid", *group).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-    pos = pos.select("*", F.coalesce(F.sum(weight).over(within), F.lit(0)).alias("_in"))
-    totals = pos.groupBy("_pid", *group).agg(F.sum(weight).alias("_tot"))
-    w_prefix = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *group, F.coalesce(F.sum("_tot").over(w_prefix), F.lit(0)).alias("_off"))
-    # bounded: at most (#range partitions + #groups) rows
-    joined = pos.join(F.broadcast(offsets), ["_pid", *group])
-    return joined.select(*df.columns, (F.col("_off") + F.col("_in")).alias(out))
+    """Add ``out`` = sum of the integer column ``weight`` over the rows strictly before
+    each row in ``order`` within ``group`` (``order`` must be a total order)."""
+    keys = [F.coalesce(F.col(g).cast("string"), F.lit("\0null")).alias(f"_g{i}") for i, g in enumerate(group)]
+    by = [f"_g{i}" for i in range(len(group))]
+    src = df.select("*", *keys, F.coalesce(F.col(weight).cast("long"), F.lit(0)).alias("_w"))
+    schema = StructType([*src.schema.fields, StructField("_pid", LongType()), StructField("_in", LongType())])
+    pos = settled(in_order(src, [F.col(g).asc() for g in group] + list(order), num_partitions)
+                  .mapInArrow(_running, schema))
+    totals = pos.groupBy("_pid", *by).agg(F.sum("_w").alias("_tot"), F.min("_in").alias("_first"))
+    w_prefix = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *by, "_first", F.coalesce(F.sum("_tot").over(w_prefix), F.lit(0)).alias("_off"))
+    joined = join_counted(pos, offsets, ["_pid", *by])
+    return joined.select(*df.columns, (F.col("_off") + F.col("_in") - F.col("_first")).alias(out))
 
 
 def average_ranks(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
@@ -61,9 +64,9 @@ def exact_median(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFr
     """Exact median per group (mean of the two middle values for even counts)."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("cnt"))
     before = prefix_sum(counts, [F.col(value).asc()], "cnt", "_before", group)
-    if group:  # one row per group: bounded by the number of groups
+    if group:
         totals = counts.groupBy(*group).agg(F.sum("cnt").alias("_n"))
-        b = before.join(F.broadcast(totals), list(group))
+        b = join_counted(before, totals, list(group))
     else:
         b = before.select("*", counts.agg(F.sum("cnt")).scalar().alias("_n"))
     k1 = F.floor((F.col("_n") + 1) / 2)

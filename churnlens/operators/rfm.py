@@ -38,9 +38,9 @@ def score(df: DataFrame, params: Params, group: tuple[str, ...] = (),
           freq_col: str = "frequency", money_col: str = "monetary") -> DataFrame:
     """Three exact NTILEs (recency DESC, frequency ASC, monetary ASC; user id breaks ties)
     and the ordered segment rule.  ``group`` = per-snapshot scoring."""
-    df = ntiles(df, params.tiles, [(F.col("recency").desc(), "recency_score"),
-                                   (F.col(freq_col).asc(), "frequency_score"),
-                                   (F.col(money_col).asc(), "monetary_score")], group=group)
+    df = ntiles(df, params.tiles, [("recency", True, "recency_score"),
+                                   (freq_col, False, "frequency_score"),
+                                   (money_col, False, "monetary_score")], group=group)
     return df.withColumn("rfm_segment", rfm_segment())
 
 
@@ -63,7 +63,7 @@ def rfm_segment_sales(scores: DataFrame) -> DataFrame:
     """A4. Per-segment KPIs.  The scores already carry R, F and M, so the
     original self-join of base and scores is not needed."""
     seg = scores.groupBy("rfm_segment").agg(
-        F.count_distinct("user_id").alias("user_cnt"),
+        F.count("user_id").alias("user_cnt"),  # one row per user
         F.sum("monetary").alias("monetary_dec"),
         F.count("monetary").alias("_n_m"),
         F.avg("frequency").alias("frequency_avg"),

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from churnlens.functions.ntile import SINGLE_TASK_CONF, ntile
+from churnlens.functions.ntile import ntile
 from churnlens.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -14,15 +14,10 @@ SF = "/root/testdata/sf0.001"
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(keys=st.lists(st.integers(0, 3), min_size=0, max_size=40), n=st.integers(1, 7))
 def test_distributed_ntile_equals_sql_ntile(spark, keys, n):
-    spark.conf.set(SINGLE_TASK_CONF, "0")
-    try:
-        df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "user_id long, k int")
-        got = sorted(ntile(df, n, [F.col("k").desc()], "t").collect())
-        exp = sorted(df.select("*", F.ntile(n).over(Window.orderBy(F.col("k").desc(), "user_id")).alias("t"))
-                     .collect())
-        assert got == exp
-    finally:
-        spark.conf.unset(SINGLE_TASK_CONF)
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "user_id long, k int")
+    got = sorted(ntile(df, n, [F.col("k").desc()], "t").collect())
+    exp = sorted(df.select("*", F.ntile(n).over(Window.orderBy(F.col("k").desc(), "user_id")).alias("t")).collect())
+    assert got == exp
 
 
 def test_segment_shares_sum_to_one(spark):

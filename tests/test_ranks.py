@@ -6,17 +6,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from churnlens.functions.ntile import SINGLE_TASK_CONF, ntile, ntiles
+from churnlens.functions.ntile import ntile, ntiles
 from churnlens.functions.ranks import average_ranks, exact_median, prefix_sum
 
 
-@pytest.fixture
-def forced_distributed(spark):
-    spark.conf.set(SINGLE_TASK_CONF, "0")
-    yield
-    spark.conf.unset(SINGLE_TASK_CONF)
-
-
 def _frame(spark, n=600, keys=7, groups=3, seed=1):
     rnd = random.Random(seed)
     rows = [(i, rnd.randrange(groups), rnd.randrange(keys), rnd.random()) for i in range(n)]
@@ -24,7 +17,7 @@ def _frame(spark, n=600, keys=7, groups=3, seed=1):
 
 
 @pytest.mark.parametrize("group", [(), ("g",)])
-def test_ntile_matches_window(spark, forced_distributed, group):
+def test_ntile_matches_window(spark, group):
     df = _frame(spark)
     got = ntile(df, 5, [F.col("k").desc()], "t", group=group)
     w = Window.partitionBy(*group).orderBy(F.col("k").desc(), F.col("user_id"))
@@ -32,31 +25,36 @@ def test_ntile_matches_window(spark, forced_distributed, group):
     assert sorted(got.select("user_id", "t").collect()) == sorted(exp.select("user_id", "t").collect())
 
 
-def test_ntiles_both_paths_agree(spark):
+def test_ntiles_match_windows(spark):
     df = _frame(spark, n=333)
-    specs = [(F.col("k").desc(), "a"), (F.col("v").asc(), "b")]
-    small = sorted(ntiles(df, 5, specs, group=("g",)).collect())
-    spark.conf.set(SINGLE_TASK_CONF, "0")
-    try:
-        big = sorted(ntiles(df, 5, specs, group=("g",)).collect())
-    finally:
-        spark.conf.unset(SINGLE_TASK_CONF)
-    assert small == big
+    got = ntiles(df, 5, [("k", True, "a"), ("v", False, "b")], group=("g",))
+    w = Window.partitionBy("g")
+    exp = df.select("*", F.ntile(5).over(w.orderBy(F.col("k").desc(), "user_id")).alias("a"),
+                    F.ntile(5).over(w.orderBy("v", "user_id")).alias("b"))
+    assert got.columns == exp.columns and sorted(got.collect()) == sorted(exp.collect())
+
+
+def test_ntiles_keep_null_keys(spark):
+    df = spark.createDataFrame([(None, 1, 5), (1, None, None), (2, 1, 7), (3, None, 9)], "user_id long, g int, k int")
+    got = ntiles(df, 2, [("k", False, "t")], group=("g",))
+    w = Window.partitionBy("g").orderBy("k", "user_id")
+    exp = df.select("*", F.ntile(2).over(w).alias("t"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, exp.collect()))
 
 
-def test_fewer_rows_than_tiles(spark, forced_distributed):
+def test_fewer_rows_than_tiles(spark):
     df = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "user_id long, k int")
     got = {r.user_id: r.t for r in ntile(df, 5, [F.col("k").asc()], "t").collect()}
     assert got == {1: 1, 2: 2, 3: 3}
 
 
-def test_ties_broken_by_user_id(spark, forced_distributed):
+def test_ties_broken_by_user_id(spark):
     df = spark.createDataFrame([(u, 4) for u in range(7, 0, -1)], "user_id long, k int")
     got = {r.user_id: r.t for r in ntile(df, 5, [F.col("k").asc()], "t").collect()}
     assert got == {1: 1, 2: 1, 3: 2, 4: 2, 5: 3, 6: 4, 7: 5}
 
 
-def test_prefix_sum_and_ranks(spark, forced_distributed):
+def test_prefix_sum_and_ranks(spark):
     df = _frame(spark, n=400, keys=12)
     got = {(r.g, r.k): r.ps for r in prefix_sum(
         df.groupBy("g", "k").count(), [F.col("k").asc()], "count", "ps", group=("g",)).collect()}
@@ -71,7 +69,7 @@ def test_prefix_sum_and_ranks(spark, forced_distributed):
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 10])
-def test_exact_median(spark, forced_distributed, n):
+def test_exact_median(spark, n):
     vals = [float(x) for x in random.Random(n).choices(range(5), k=n)]
     df = spark.createDataFrame([(v,) for v in vals], "d double")
     assert exact_median(df, "d").first()["median"] == statistics.median(vals)
