@@ -2,8 +2,7 @@
 
 The raw log arrives as gzip CSV files (one per month in the original data).
 Gzip is not splittable, so each file is read by one task; the rows are then
-spread by ``repartition`` on the month and written partitioned by
-``event_month`` so that as-of and same-month filters prune whole folders.
+rebalanced by month and written partitioned by ``event_month`` so that as-of and same-month filters prune whole folders.
 """
 
 from __future__ import annotations
@@ -39,17 +38,15 @@ def with_event_month(df: DataFrame, time_col: str = "event_time") -> DataFrame:
     return df.withColumn("event_month", F.date_format(F.col(time_col), "yyyy-MM"))
 
 
-def load_events(df: DataFrame, out_path: str, partitions_per_month: int = 8) -> str:
+def load_events(df: DataFrame, out_path: str) -> str:
     """Write the log as parquet partitioned by ``event_month``.
 
-    ``repartition(k, event_month, salt)`` splits each month over ``k`` tasks
-    (a month can hold a large share of the rows) while keeping files per
-    folder bounded; dynamic partition overwrite makes re-loading a month
-    idempotent.
+    The rebalance hint deals the rows by month and lets AQE split what is large into
+    parts of the advisory partition size and put small months together, so a month
+    gets as many tasks and files as its size needs.  Dynamic partition overwrite makes
+    re-loading a month idempotent.
     """
-    salt = F.pmod(F.xxhash64("user_id", "event_time"), F.lit(partitions_per_month))
-    staged = with_event_month(df).withColumn("_salt", salt)
-    (staged.repartition("event_month", "_salt").drop("_salt")
+    (with_event_month(df).hint("rebalance", "event_month")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("event_month").parquet(out_path))
     return out_path

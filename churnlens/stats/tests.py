@@ -18,10 +18,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.ntile import join_counted, settled
 from ..functions.ranks import average_ranks, exact_median, prefix_sum
-from .distributions import chi2_sf_udf, f_sf_udf, norm_sf2_udf, t_sf2_udf, wilcoxon_exact_p2_udf
-
-EXACT_WILCOXON_MAX_N = 50  # small untied samples use the exact null distribution
+from .distributions import chi2_sf_udf, f_sf_udf, norm_sf2_udf, t_sf2, t_sf2_udf
 
 Z975 = 1.959963984540054  # 97.5% normal quantile (95% two-sided intervals)
 
@@ -96,38 +95,41 @@ def chi2_rate_test(df: DataFrame, group_col: str, total_col: str, success_col: s
 # ---------------------------------------------------------------------------
 def retention_rates(df: DataFrame, segment_col: str = "rfm_segment", month_col: str = "curr_period",
                     active_col: str = "action_number", non_active_col: str = "non_action_number") -> DataFrame:
-    """(group, value) = (segment, active / (active + non-active)); undefined rates dropped."""
+    """(group, value) = (segment, active / (active + non-active)), NULL where that is undefined."""
     _require(df, [segment_col, month_col, active_col, non_active_col])
     total = F.col(active_col) + F.col(non_active_col)
     rate = F.try_divide(F.col(active_col).cast("double"), total.cast("double"))
-    return df.select(F.col(segment_col).alias("group"), rate.alias("value")).dropna()
+    return df.select(F.col(segment_col).alias("group"), rate.alias("value")).where(F.col(segment_col).isNotNull())
 
 
 def _group_stats(gv: DataFrame) -> DataFrame:
-    return gv.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
-
-
-def _anova_parts(gv: DataFrame) -> DataFrame:
-    """One row: n_obs, n_groups, ss_between, ss_within (two-pass, numerically stable).
-    The group means join back to the rows; AQE broadcasts them when small."""
-    gs = _group_stats(gv)
-    within = gv.join(gs, "group").agg(F.sum(F.pow(F.col("value") - F.col("mean"), 2)))
-    # SS_between = sum(n m^2) - (sum(n m))^2 / N over the per-group rows
-    between = gs.agg(F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("_s2"),
-                     F.sum(F.col("n") * F.col("mean")).alias("_s1"),
-                     F.sum("n").alias("n_obs"), F.count(F.lit(1)).alias("n_groups"))
-    ssb = F.when(F.col("n_obs") > 0,
-                 F.greatest(F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("n_obs"), F.lit(0.0)))
-    return between.select("n_obs", "n_groups", ssb.alias("ss_between"), within.scalar().alias("ss_within"))
+    """One row per group: all rows, defined values, their mean and sum of squares
+    around it (Spark's one-pass, mergeable variance)."""
+    spread = F.coalesce(F.var_pop("value") * F.count("value"), F.lit(0.0))
+    return gv.groupBy("group").agg(F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("n"),
+                                   F.avg("value").alias("mean"), spread.alias("ss"))
+
+
+def _anova_parts(gs: DataFrame) -> DataFrame:
+    """One row from the group statistics: n_obs (all rows), n_used (defined values),
+    n_groups (with a defined value), ss_between and ss_within."""
+    some = gs.agg(F.sum("n_rows").alias("n_obs"), F.sum("n").alias("n_used"),
+                  F.count(F.when(F.col("n") > 0, 1)).alias("n_groups"),
+                  F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("_s2"),
+                  F.sum(F.col("n") * F.col("mean")).alias("_s1"), F.sum("ss").alias("_ss"))
+    used = F.col("n_used") > 0
+    ssb = F.when(used, F.greatest(F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("n_used"), F.lit(0.0)))
+    return some.select(F.coalesce("n_obs", F.lit(0)).alias("n_obs"), F.coalesce("n_used", F.lit(0)).alias("n_used"),
+                       "n_groups", ssb.alias("ss_between"), F.when(used, F.col("_ss")).alias("ss_within"))
 
 
 def anova_oneway(gv: DataFrame, alpha: float = 0.05, name: str = "Initial Retention ANOVA") -> DataFrame:
     """T2. One-way ANOVA of ``value`` by ``group``: F, p_value, eta_squared,
     significant, n_obs, n_groups (plus the sums of squares)."""
-    p = _anova_parts(gv)
+    p = _anova_parts(_group_stats(gv))
     has_groups = F.col("n_groups") > 0  # empty input: every statistic is NULL
     dfb = F.when(has_groups, (F.col("n_groups") - 1).cast("double"))
-    dfw = F.when(has_groups, (F.col("n_obs") - F.col("n_groups")).cast("double"))
+    dfw = F.when(has_groups, (F.col("n_used") - F.col("n_groups")).cast("double"))
     # one group (df_between 0) or one row per group (df_within 0): F is NULL
     f = F.try_divide(F.try_divide(F.col("ss_between"), dfb), F.try_divide(F.col("ss_within"), dfw))
     out = p.select("*", dfb.alias("df_between"), dfw.alias("df_within"), f.alias("F"))
@@ -145,18 +147,19 @@ def pairwise_mean_diff(gv: DataFrame, alpha: float = 0.05) -> DataFrame:
     """T3. All group pairs (group1 < group2): mean difference, Tukey-Kramer
     standard error and q statistic, and a simultaneous p-value by Scheffe's
     method (F distribution).  The pair table is built from the per-group
-    statistics (one row per group), never from the raw rows."""
-    gs = _group_stats(gv)
-    p = _anova_parts(gv)
-    mse = p.select(F.try_divide(F.col("ss_within"), (F.col("n_obs") - F.col("n_groups")).cast("double")).alias("mse"),
-                   (F.col("n_groups") - 1).cast("double").alias("k1"),
-                   (F.col("n_obs") - F.col("n_groups")).cast("double").alias("dfw"))
-    a = gs.select(F.col("group").alias("group1"), F.col("n").alias("n1"), F.col("mean").alias("m1"))
-    b = gs.select(F.col("group").alias("group2"), F.col("n").alias("n2"), F.col("mean").alias("m2"))
-    # pairs of groups (the test's output), built from the per-group statistics
+    statistics (one row per group), never from the raw rows.  The output has a row
+    for each pair of groups, so the group column should be a label."""
+    gs = settled(_group_stats(gv))   # one row per group, read three times below
+    p = _anova_parts(gs)
+    dfw = (F.col("n_used") - F.col("n_groups")).cast("double")
+    whole = p.select(F.struct(F.try_divide(F.col("ss_within"), dfw).alias("mse"),
+                              (F.col("n_groups") - 1).cast("double").alias("k1"), dfw.alias("dfw")).alias("a"))
+    side = gs.where("n > 0")
+    a = side.select(F.col("group").alias("group1"), F.col("n").alias("n1"), F.col("mean").alias("m1"))
+    b = side.select(F.col("group").alias("group2"), F.col("n").alias("n2"), F.col("mean").alias("m2"))
+    # pairs of groups are the test's output; they come from the per-group statistics
     pairs = a.join(b, F.col("group1") < F.col("group2"))
-    pairs = pairs.select("*", mse.select("mse").scalar().alias("mse"), mse.select("k1").scalar().alias("k1"),
-                         mse.select("dfw").scalar().alias("dfw"))
+    pairs = pairs.withColumn("a", whole.scalar()).select("*", "a.*").drop("a")
     inv = 1.0 / F.col("n1") + 1.0 / F.col("n2")
     diff = F.col("m2") - F.col("m1")
     se = F.sqrt(F.col("mse") / 2.0 * inv)
@@ -170,56 +173,71 @@ def pairwise_mean_diff(gv: DataFrame, alpha: float = 0.05) -> DataFrame:
 # ---------------------------------------------------------------------------
 # T4 logistic regression (pyspark.ml)
 # ---------------------------------------------------------------------------
+LOGIT_SCHEMA = ("term string, coef double, std_err double, odds_ratio double, p_value double, "
+                "ci_low_or double, ci_high_or double, n long, pseudo_r2 double, llf double, aic double")
+
+
 def logit_odds(df: DataFrame, target_col: str, numeric_cols: Sequence[str],
-               categorical_cols: Sequence[str] = ()) -> DataFrame:
+               categorical_cols: Sequence[str] = (), alpha: float | None = None) -> DataFrame:
     """T4. Binary logit of ``target_col``: per term coef, std_err, odds ratio,
     Wald p-value and 95% CI of the odds ratio, plus n, McFadden pseudo-R2,
-    log-likelihood and AIC; sorted by p-value.  Fitted by IRLS over the
-    distributed rows (``GeneralizedLinearRegression``)."""
+    log-likelihood and AIC; sorted by p-value, and only the terms with a p-value
+    under ``alpha`` where that is given.  Fitted by IRLS over the distributed rows
+    (``GeneralizedLinearRegression``); no rows give no terms."""
     from pyspark.ml.feature import RFormula, VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
+    spark = df.sparkSession
     cols = [target_col, *numeric_cols, *categorical_cols]
     _require(df, cols)
     sub = df.select(*cols).dropna()
     sub = sub.withColumn(target_col, F.col(target_col).try_cast("int")).dropna()
-    schema = ("term string, coef double, std_err double, odds_ratio double, p_value double, "
-              "ci_low_or double, ci_high_or double, n long, pseudo_r2 double, llf double, aic double")
-    if sub.isEmpty():  # nothing to fit (one small job)
-        return df.sparkSession.createDataFrame([], schema)
-    if categorical_cols or not numeric_cols:
-        terms = [*numeric_cols, *categorical_cols] or ["1"]
-        rf = RFormula(formula=f"{target_col} ~ " + " + ".join(terms), featuresCol="features", labelCol="label")
-        data = rf.fit(sub).transform(sub).select("features", F.col("label").cast("double").alias("label"))
-    else:  # numeric terms only: no formula fitting pass needed
-        va = VectorAssembler(inputCols=list(numeric_cols), outputCol="features")
-        data = va.transform(sub.select(*[F.col(c).cast("double").alias(c) for c in numeric_cols],
-                                       F.col(target_col).cast("double").alias("label"))).select("features", "label")
-    # IRLS makes one pass per iteration: keep the (one row per unit) input cached
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    # IRLS makes one pass per iteration and the summary some more: keep the rows until then
+    sub = sub.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=100).fit(data)
+        if sub.isEmpty():
+            return spark.createDataFrame([], LOGIT_SCHEMA)
+        if categorical_cols or not numeric_cols:
+            terms = [*numeric_cols, *categorical_cols] or ["1"]
+            rf = RFormula(formula=f"{target_col} ~ " + " + ".join(terms), featuresCol="features", labelCol="label")
+            data = rf.fit(sub).transform(sub).select("features", F.col("label").cast("double").alias("label"))
+        else:  # numeric terms only: no formula fitting pass needed
+            va = VectorAssembler(inputCols=list(numeric_cols), outputCol="features")
+            data = va.transform(sub.select(*[F.col(c).cast("double").alias(c) for c in numeric_cols],
+                                           F.col(target_col).cast("double").alias("label"))).select("features", "label")
+        model = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=100, tol=1e-12).fit(data)
+        s = model.summary
+        names = ["Intercept", *numeric_cols]
+        meta = data.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
+        if categorical_cols and meta:
+            names = ["Intercept"] + [a["name"] for kind in ("numeric", "binary") for a in meta.get(kind, [])]
+        coefs = [model.intercept, *model.coefficients.toArray().tolist()]
+        ses, pvals = list(s.coefficientStandardErrors), list(s.pValues)
+        deviance, null_deviance, n, aic = s.deviance, s.nullDeviance, int(s.numInstances), float(s.aic)
     finally:
-        data.unpersist()
-    s = model.summary
-    names = ["Intercept", *numeric_cols]
-    meta = data.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
-    if categorical_cols and meta:
-        names = ["Intercept"] + [a["name"] for kind in ("numeric", "binary") for a in meta.get(kind, [])]
-    coefs = [model.intercept, *model.coefficients.toArray().tolist()]
-    ses = list(s.coefficientStandardErrors)
-    pvals = list(s.pValues)
+        sub.unpersist()
     ses = [ses[-1], *ses[:-1]]
     pvals = [pvals[-1], *pvals[:-1]]
-    llf = -s.deviance / 2.0
-    llnull = -s.nullDeviance / 2.0
-    n = int(s.numInstances)
+    llf, llnull = -deviance / 2.0, -null_deviance / 2.0
     rows = [(names[i] if i < len(names) else f"x{i}", float(coefs[i]), float(ses[i]),
              _exp(coefs[i]), float(pvals[i]),
              _exp(coefs[i] - Z975 * ses[i]), _exp(coefs[i] + Z975 * ses[i]),
-             n, 1.0 - llf / llnull if llnull else None, llf, float(s.aic))
-            for i in range(len(coefs))]
-    return df.sparkSession.createDataFrame(rows, schema).orderBy("p_value")
+             n, 1.0 - llf / llnull if llnull else None, llf, aic)
+            for i in range(len(coefs)) if alpha is None or pvals[i] < alpha]
+    return spark.createDataFrame(rows, LOGIT_SCHEMA).orderBy("p_value")
+
+
+def logit_scores(df: DataFrame, fitted: DataFrame, target_col: str, numeric_cols: Sequence[str]) -> DataFrame:
+    """(term, score): the derivative of the log-likelihood in each coefficient at the
+    fitted ones; zero at the maximum."""
+    coef = {r["term"]: r["coef"] for r in fitted.select("term", "coef").collect()}
+    terms = ["Intercept", *numeric_cols]
+    sub = df.select(F.col(target_col).try_cast("int").alias("_y"),
+                    *[F.col(c).cast("double").alias(c) for c in numeric_cols]).dropna()
+    eta = sum((F.col(c) * coef[c] for c in numeric_cols), F.lit(coef["Intercept"]))
+    resid = F.col("_y") - 1 / (1 + F.exp(-eta))
+    sums = sub.agg(F.sum(resid).alias("Intercept"), *[F.sum(resid * F.col(c)).alias(c) for c in numeric_cols])
+    return sums.selectExpr(f"stack({len(terms)}, " + ", ".join(f"'{t}', `{t}`" for t in terms) + ") AS (term, score)")
 
 
 # ---------------------------------------------------------------------------
@@ -230,10 +248,11 @@ def spearman(df: DataFrame, x: str, ys: Sequence[str]) -> DataFrame:
     t-approximation p-value.  Ranks come from distributed prefix sums over
     distinct values; Pearson correlation of the ranks is a Spark aggregate."""
     sub = df.select(x, *ys).dropna()
+    # a value's rank is joined to its rows behind a count, so one with many rows needs no shuffle
     ranked = sub
-    for c in [x, *ys]:
+    for c in dict.fromkeys([x, *ys]):
         r = average_ranks(sub, c).select(F.col(c), F.col("avg_rank").alias(f"_r_{c}"))
-        ranked = ranked.join(r, c)
+        ranked = join_counted(ranked, r, [c])
     outs = []
     for y in ys:
         outs.append(ranked.agg(F.lit(y).alias("metric"),
@@ -276,9 +295,8 @@ def paired_periods(df: DataFrame, id_col: str = "user_id", period_col: str = "po
 def wilcoxon_signed_rank(wide: DataFrame, before_col: str = "before_value", after_col: str = "after_value",
                          group: Sequence[str] = ()) -> DataFrame:
     """T7. Two-sided Wilcoxon signed-rank test per group (zero differences
-    dropped, average ranks for ties).  The p-value is exact for at most 50
-    pairs without ties or zeros, else the normal approximation with tie
-    correction.
+    dropped, average ranks for ties).  The p-value is the normal approximation with
+    tie correction for every n.
 
     stat = min(W+, W-); n counts all pairs (zeros included) as in the original;
     rank_biserial = 1 - 2 stat / (n (n + 1)) as in the original,
@@ -287,6 +305,7 @@ def wilcoxon_signed_rank(wide: DataFrame, before_col: str = "before_value", afte
     _require(wide, [before_col, after_col, *group])
     d = wide.select(*group, (F.col(after_col).try_cast("double") - F.col(before_col).try_cast("double"))
                     .alias("d")).dropna()
+    d = settled(d)   # read by the mean, the median and the ranks
     base = d.groupBy(*group).agg(F.count(F.lit(1)).alias("n_all"), F.avg("d").alias("mean_diff"))
     med = exact_median(d, "d", group)
     nz = d.where(F.col("d") != 0).select(*group, F.abs("d").alias("ad"), (F.col("d") > 0).alias("pos"))
@@ -310,10 +329,7 @@ def wilcoxon_signed_rank(wide: DataFrame, before_col: str = "before_value", afte
     var = m * (m + 1) * (2 * m + 1) / 24.0 - F.coalesce(F.col("ties"), F.lit(0)) / 48.0
     z = F.try_divide(stat - mean, F.sqrt(var))
     n_all = F.col("n_all").cast("double")
-    exact = (m <= EXACT_WILCOXON_MAX_N) & (F.coalesce(F.col("ties"), F.lit(0)) == 0) & \
-        (F.col("n_all") == F.col("m")) & (m > 0)
-    # both UDFs see every row, so the exact one only gets n where it applies
-    p = F.coalesce(wilcoxon_exact_p2_udf(stat, F.when(exact, m)), norm_sf2_udf(z))
+    p = norm_sf2_udf(z)
     return j.select(
         *group, F.lit("wilcoxon_signed_rank").alias("test"), stat.alias("stat"),
         p.alias("p_value"), F.col("n_all").cast("long").alias("n"),
@@ -351,47 +367,101 @@ def test_battery(tables: dict[str, tuple[DataFrame, Sequence[str]]], id_col: str
 # ---------------------------------------------------------------------------
 # T9 segment x age regression with cohort fixed effects
 # ---------------------------------------------------------------------------
+def _levels(d: DataFrame, cat: str, max_levels: int) -> list[str]:
+    levels = sorted(r[0] for r in d.select(cat).distinct().limit(max_levels + 1).collect())
+    if len(levels) > max_levels:
+        raise ValueError(f"{cat} has more than {max_levels} levels")
+    return levels
+
+
+def _demeaned(df: DataFrame, y: str, x: str, cat: str, cluster: str, levels: list[str]) -> tuple[list[str], DataFrame]:
+    """Names of the terms, and label, cluster and one column _v0, _v1, ... per term,
+    each less its mean within the cluster."""
+    d = df.select(y, x, cat, cluster).dropna()
+    cols = {x: F.col(x).cast("double")}
+    for lv in levels[1:]:
+        dummy = (F.col(cat) == F.lit(lv)).cast("double")
+        cols[f"{cat}[T.{lv}]"] = dummy
+        cols[f"{x}:{cat}[T.{lv}]"] = dummy * F.col(x).cast("double")
+    w = Window.partitionBy(cluster)
+    flat = d.select(F.col(y).cast("double").alias("_y"), cluster, *[c.alias(f"_v{i}") for i, c in enumerate(cols.values())])
+    return list(cols), flat.select((F.col("_y") - F.avg("_y").over(w)).alias("label"), cluster, *[
+        (F.col(f"_v{i}") - F.avg(f"_v{i}").over(w)).alias(f"_v{i}") for i in range(len(cols))])
+
+
+def regression_scores(df: DataFrame, fitted: DataFrame, y: str = "cnt_retention", x: str = "cohort_age",
+                      cat: str = "rfm_segment", cluster: str = "cohort_date", max_levels: int = 100) -> DataFrame:
+    """(term, score): the inner product of each demeaned column with the residuals at the
+    fitted coefficients; zero where the normal equations hold."""
+    coef = {r["term"]: r["coef"] for r in fitted.select("term", "coef").collect()}
+    names, dm = _demeaned(df, y, x, cat, cluster, _levels(df.select(y, x, cat, cluster).dropna(), cat, max_levels))
+    resid = F.col("label") - sum((F.col(f"_v{i}") * coef[t] for i, t in enumerate(names)), F.lit(0.0))
+    sums = dm.agg(*[F.sum(resid * F.col(f"_v{i}")).alias(f"_s{i}") for i in range(len(names))])
+    pairs = ", ".join(f"'{t}', _s{i}" for i, t in enumerate(names))
+    return sums.selectExpr(f"stack({len(names)}, {pairs}) AS (term, score)")
+
+
 def segment_age_regression(df: DataFrame, y: str = "cnt_retention", x: str = "cohort_age",
-                           cat: str = "rfm_segment", cluster: str = "cohort_date") -> DataFrame:
+                           cat: str = "rfm_segment", cluster: str = "cohort_date",
+                           max_levels: int = 100) -> DataFrame:
     """T9. ``y ~ x * C(cat)`` with cohort fixed effects (the original fits a
     random cohort intercept with an iterative single-machine solver).
 
     Every variable is demeaned within its cohort by a window over the cohort's
     rows, then an OLS without intercept is fitted by ``LinearRegression``
     (normal equations, distributed).  The first segment (sorted) is the
-    reference level; interaction columns are built explicitly.  Standard
-    errors are not adjusted for the absorbed cohort means.
+    reference level; interaction columns are built explicitly.  The absorbed cohort
+    means cost a degree of freedom each, so standard errors, t and p are those of the
+    regression with one dummy variable per cohort.  More than ``max_levels`` levels of
+    ``cat`` are an error: the model is for labels.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
-    _require(df, [y, x, cat, cluster])
-    d = df.select(y, x, cat, cluster).dropna()
-    # segment labels: a handful of distinct values (bounded by the label map)
-    levels = sorted(r[0] for r in d.select(cat).distinct().collect())
+    levels = _levels(df.select(y, x, cat, cluster).dropna(), cat, max_levels)
     schema = "term string, coef double, std_err double, t_value double, p_value double, n_obs long, reference string"
     if not levels:  # nothing to fit
         return df.sparkSession.createDataFrame([], schema)
-    ref, others = levels[0], levels[1:]
-    cols = {x: F.col(x).cast("double")}
-    for lv in others:
-        dummy = (F.col(cat) == F.lit(lv)).cast("double")
-        cols[f"{cat}[T.{lv}]"] = dummy
-        cols[f"{x}:{cat}[T.{lv}]"] = dummy * F.col(x).cast("double")
-    w = Window.partitionBy(cluster)
-    names = list(cols)
-    flat = d.select(F.col(y).cast("double").alias("_y"), cluster,
-                    *[c.alias(f"_v{i}") for i, c in enumerate(cols.values())])
-    dm = flat.select((F.col("_y") - F.avg("_y").over(w)).alias("label"),
-                     *[(F.col(f"_v{i}") - F.avg(f"_v{i}").over(w)).alias(f"_v{i}") for i in range(len(names))])
-    data = VectorAssembler(inputCols=[f"_v{i}" for i in range(len(names))], outputCol="features").transform(dm)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    ref = levels[0]
+    names, dm = _demeaned(df, y, x, cat, cluster, levels)
+    dm = dm.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        data = VectorAssembler(inputCols=[f"_v{i}" for i in range(len(names))], outputCol="features").transform(dm)
         model = LinearRegression(fitIntercept=False, solver="normal", regParam=0.0).fit(data)
+        s = model.summary
+        ses, n = list(s.coefficientStandardErrors), int(s.numInstances)
+        clusters = dm.agg(F.count_distinct(cluster)).first()[0]
     finally:
-        data.unpersist()
-    s = model.summary
+        dm.unpersist()
     coefs = model.coefficients.toArray().tolist()
-    rows = [(names[i], float(coefs[i]), float(s.coefficientStandardErrors[i]), float(s.tValues[i]),
-             float(s.pValues[i]), int(s.numInstances), ref) for i in range(len(names))]
+    free, k = n - len(names) - clusters, len(names)
+    rows = []
+    for name, coef, se in zip(names, coefs, ses):
+        se = float(se) * math.sqrt((n - k) / free) if free > 0 else float("nan")
+        t = coef / se if se else float("nan")
+        rows.append((name, float(coef), se, t, t_sf2(t, free), n, ref))
     return df.sparkSession.createDataFrame(rows, schema)
+
+
+# ---------------------------------------------------------------------------
+# Summary of all tests
+# ---------------------------------------------------------------------------
+SUMMARY = "test string, name string, n long, statistic double, p_value double, effect_size double, significant boolean"
+
+
+def test_summary(chi2: DataFrame, anova: DataFrame, logit: DataFrame, rank_corr: DataFrame, battery: DataFrame,
+                 alpha: float = 0.05) -> DataFrame:
+    """One row per test or model term: what was tested, n, the statistic, its p-value,
+    the effect size and whether p is under ``alpha``; sorted by p.
+
+    Effect sizes: Cramer's V, eta squared, odds ratio, Spearman's rho, rank-biserial."""
+    def rows(df: DataFrame, test: str, name, n, statistic, effect) -> DataFrame:
+        return df.select(F.lit(test).alias("test"), name.alias("name"), F.col(n).cast("long").alias("n"),
+                         F.col(statistic).cast("double").alias("statistic"), F.col("p_value").cast("double"),
+                         F.col(effect).cast("double").alias("effect_size"))
+    out = rows(chi2, "chi_square", F.lit("retention by period"), "n", "chi2", "cramers_v") \
+        .unionByName(rows(anova, "anova", F.col("test_name"), "n_obs", "F", "eta_squared")) \
+        .unionByName(rows(logit, "logit", F.col("term"), "n", "coef", "odds_ratio")) \
+        .unionByName(rows(rank_corr, "spearman", F.col("metric"), "n", "spearman_rho", "spearman_rho")) \
+        .unionByName(rows(battery, "wilcoxon", F.concat_ws(".", "table", "metric"), "n", "stat", "rank_biserial"))
+    return out.select("*", (F.col("p_value") < alpha).alias("significant")).orderBy("p_value", "test", "name")

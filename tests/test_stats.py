@@ -5,7 +5,6 @@ import random
 import numpy as np
 import pytest
 
-from churnlens.functions.ntile import SINGLE_TASK_CONF
 from churnlens.stats import distributions as D
 from churnlens.stats import tests as st
 
@@ -73,18 +72,12 @@ def _wilcoxon_reference(before, after):
     return t, 2 * D.norm_sf(abs(z)), len(d), wp, wm, n
 
 
-@pytest.mark.parametrize("distributed", [False, True])
-def test_wilcoxon_against_brute_force(spark, distributed):
+def test_wilcoxon_against_brute_force(spark):
     rnd = random.Random(7)
     before = [float(rnd.randrange(10)) for _ in range(60)]
     after = [b + rnd.choice([-2.0, -1.0, 0.0, 0.0, 1.0, 2.0, 3.0]) for b in before]
     wide = spark.createDataFrame(list(zip(before, after)), "before_value double, after_value double")
-    if distributed:
-        spark.conf.set(SINGLE_TASK_CONF, "0")
-    try:
-        r = st.wilcoxon_signed_rank(wide).first()
-    finally:
-        spark.conf.unset(SINGLE_TASK_CONF)
+    r = st.wilcoxon_signed_rank(wide).first()
     t, p, n_all, wp, wm, m = _wilcoxon_reference(before, after)
     assert r.stat == pytest.approx(t) and r.p_value == pytest.approx(p) and r.n == n_all
     d = [a - b for a, b in zip(after, before)]
@@ -161,19 +154,58 @@ def test_fixed_effects_regression(spark):
     assert got["cohort_age:rfm_segment[T.B]"] == pytest.approx(-0.05, abs=0.01)
 
 
-def test_wilcoxon_exact_small_sample(spark):
-    from itertools import combinations
-    n = 9
-    # brute force: all subsets of ranks 1..n
-    sums = [sum(c) for k in range(n + 1) for c in combinations(range(1, n + 1), k)]
-    for t in (0, 5, 11, 22):
-        assert D.wilcoxon_exact_p2(t, n) == pytest.approx(min(1.0, 2 * sum(s <= t for s in sums) / 2 ** n))
-    assert D.wilcoxon_exact_p2(8, 10) == pytest.approx(0.048828125)
-    # untied, no zeros, n <= 50 -> exact path inside the Spark operator
+def test_wilcoxon_small_sample_uses_the_normal_form(spark):
     d = [1.5, -2.5, 3.5, 4.5, 5.5, -6.5, 7.5, 8.5, 9.5]
     wide = spark.createDataFrame([(0.0, x) for x in d], "before_value double, after_value double")
     r = st.wilcoxon_signed_rank(wide).first()
-    assert r.stat == 8.0 and r.p_value == pytest.approx(D.wilcoxon_exact_p2(8, 9))
+    t, p, *_ = _wilcoxon_reference([0.0] * len(d), d)
+    assert r.stat == t == 8.0 and r.p_value == pytest.approx(p)
+
+
+def test_large_arguments_converge():
+    assert D.chi2_sf(1e6, 1e6) == pytest.approx(0.49981, abs=2e-4)
+    assert D.chi2_sf(1e8, 1e8) == pytest.approx(0.49998, abs=2e-4)
+    with pytest.raises(ArithmeticError):
+        D.gammaincc(float("nan"), 1.0)
+
+
+def test_anova_counts_all_rows_and_uses_defined_rates(spark):
+    df = spark.createDataFrame([("a", 1, 3), ("a", 2, 2), ("b", 3, 1), ("b", 0, 0), ("c", None, 5), ("b", 1, 1)],
+                               "rfm_segment string, action_number int, non_action_number int") \
+        .selectExpr("*", "1 AS curr_period")
+    r = st.anova_oneway(st.retention_rates(df)).first()
+    a, b = np.array([0.25, 0.5]), np.array([0.75, 0.5])
+    allv = np.concatenate([a, b])
+    ssb = sum(len(x) * (x.mean() - allv.mean()) ** 2 for x in (a, b))
+    ssw = sum(((x - x.mean()) ** 2).sum() for x in (a, b))
+    assert r.n_obs == 6 and r.n_groups == 2 and r.df_within == 2
+    assert r.F == pytest.approx(ssb / (ssw / 2))
+
+
+def test_significant_terms_of_the_logit(spark):
+    rnd = random.Random(4)
+    rows = [(int(rnd.random() < 1 / (1 + math.exp(-2 * x))), x, rnd.gauss(0, 1)) for x in
+            (rnd.gauss(0, 1) for _ in range(200))]
+    df = spark.createDataFrame(rows, "y int, x1 double, noise double")
+    every = {r.term: r.p_value for r in st.logit_odds(df, "y", ["x1", "noise"]).collect()}
+    some = {r.term for r in st.logit_odds(df, "y", ["x1", "noise"], alpha=0.05).collect()}
+    assert some == {t for t, p in every.items() if p < 0.05} and "x1" in some
+
+
+def test_fixed_effects_errors_equal_dummy_variables(spark):
+    rnd = random.Random(8)
+    rows = [(f"c{c}", seg, age, 0.4 + 0.05 * c - 0.02 * age * (seg == "B") + rnd.gauss(0, 0.1))
+            for c in range(5) for seg in "AB" for age in range(6)]
+    df = spark.createDataFrame(rows, "cohort_date string, rfm_segment string, cohort_age int, cnt_retention double")
+    got = {r.term: r for r in st.segment_age_regression(df).collect()}
+    X = np.array([[age, seg == "B", age * (seg == "B"), *[c == f"c{k}" for k in range(5)]] for c, seg, age, _ in rows], float)
+    y = np.array([r[3] for r in rows])
+    b, rss = np.linalg.lstsq(X, y, rcond=None)[:2]
+    free = len(y) - X.shape[1]
+    se = np.sqrt(np.diag(np.linalg.inv(X.T @ X)) * rss[0] / free)
+    for k, term in enumerate(["cohort_age", "rfm_segment[T.B]", "cohort_age:rfm_segment[T.B]"]):
+        assert got[term].coef == pytest.approx(b[k]) and got[term].std_err == pytest.approx(se[k])
+        assert got[term].p_value == pytest.approx(D.t_sf2(b[k] / se[k], free))
 
 
 def test_spearman_agrees_with_spark_ml(spark):
