@@ -48,19 +48,21 @@ def standard_dates(events: DataFrame, calendar: Calendar) -> DataFrame:
             .select("period_start", "snapshot_date", F.date_add("asof", 1).alias("standard_date")))
 
 
-def churn_status(events: DataFrame, calendar: Calendar, params: Params = DEFAULT) -> DataFrame:
+def churn_status(events: DataFrame, calendar: Calendar, params: Params = DEFAULT,
+                 up: DataFrame | None = None) -> DataFrame:
     """A14. (user_id, snapshot_date, segment, ltv) for every snapshot on or after
     the user's first purchase period.
 
     segment: NEW when the first purchase is in the snapshot's period; else by
     recency = standard date - last purchase day: <= active_days ACTIVE,
     <= risk_days AT_RISK, above CHURNED.  ltv = spend in the snapshot's period
-    (0 when none).
+    (0 when none).  ``up`` is the shared (user, period) table where that is already
+    written.
     """
     g = calendar.grain
     if params.grain != g:
         params = params.with_(grain=g)
-    up = user_period(events, params)
+    up = up if up is not None else user_period(events, params)
     w = Window.partitionBy("user_id").orderBy("period_start")
     u = up.select("user_id", "period_start", "spend", "last_date",
                   F.lead("period_start").over(w).alias("next_start"),

@@ -17,9 +17,10 @@ from ._util import money, ratio
 from .monthly import user_period
 
 
-def cohort_base(events: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """(user_id, cohort_date, order_date, cohort_age, revenue, orders)."""
-    up = user_period(events, params)
+def cohort_base(events: DataFrame, params: Params = DEFAULT, up: DataFrame | None = None) -> DataFrame:
+    """(user_id, cohort_date, order_date, cohort_age, revenue, orders).  ``up`` is the
+    shared (user, period) table where that is already written."""
+    up = up if up is not None else user_period(events, params)
     w = Window.partitionBy("user_id").orderBy("period_start")
     cb = up.select("user_id", F.col("period_start").alias("order_date"),
                    F.col("spend").alias("revenue"), F.col("cnt").alias("orders"),
@@ -27,8 +28,9 @@ def cohort_base(events: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return cb.withColumn("cohort_age", periods_between(F.col("order_date"), F.col("cohort_date"), params.grain))
 
 
-def _cohort_age_agg(events: DataFrame, params: Params) -> DataFrame:
-    cb = cohort_base(events, params)
+def cohort_ages(events: DataFrame, params: Params = DEFAULT, up: DataFrame | None = None) -> DataFrame:
+    """Per (cohort, age): active users, revenue and orders; what A12 and A26 share."""
+    cb = cohort_base(events, params, up)
     # a user has one row per order period, so COUNT(*) = COUNT(DISTINCT user_id)
     return cb.groupBy("cohort_date", "cohort_age").agg(
         F.count(F.lit(1)).alias("active_users"),
@@ -36,10 +38,10 @@ def _cohort_age_agg(events: DataFrame, params: Params) -> DataFrame:
         F.sum("orders").alias("orders"))
 
 
-def cohort_retention(events: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def cohort_retention(events: DataFrame, params: Params = DEFAULT, ages: DataFrame | None = None) -> DataFrame:
     """A12. Per (cohort, age): cohort size, active users, retention, revenue and
     running revenue totals over age."""
-    g = _cohort_age_agg(events, params)
+    g = ages if ages is not None else cohort_ages(events, params)
     by_cohort = Window.partitionBy("cohort_date")
     running = Window.partitionBy("cohort_date").orderBy("cohort_age").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -57,23 +59,24 @@ def cohort_retention(events: DataFrame, params: Params = DEFAULT) -> DataFrame:
     )
 
 
-def cohort_age_metrics(events: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def cohort_age_metrics(events: DataFrame, params: Params = DEFAULT, ages: DataFrame | None = None) -> DataFrame:
     """A26. Per (cohort, age): orders per active user, revenue per active user, actives."""
-    g = _cohort_age_agg(events, params)
+    g = ages if ages is not None else cohort_ages(events, params)
     return g.select("cohort_date", "cohort_age",
                     ratio(F.col("orders"), F.col("active_users")).alias("avg_freq"),
                     ratio(F.col("period_revenue"), F.col("active_users")).alias("arpu"),
                     "active_users")
 
 
-def cohort_segment_retention(events: DataFrame, mrfm: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def cohort_segment_retention(events: DataFrame, mrfm: DataFrame, params: Params = DEFAULT,
+                             up: DataFrame | None = None) -> DataFrame:
     """A13. Cohort activity split by the user's RFM segment in the order period.
 
     Order periods without a snapshot row keep a NULL segment (own group).  The
     retention base is the first age present in the (segment, cohort) group,
     which need not be age 0.
     """
-    cb = cohort_base(events, params)
+    cb = cohort_base(events, params, up)
     seg = mrfm.select("user_id", period_start(F.col("snapshot_date"), params.grain).alias("order_date"),
                       "rfm_segment")
     # both sides hold one row per (user, period), so COUNT(*) counts distinct users

@@ -40,12 +40,14 @@ def user_period(events: DataFrame, params: Params = DEFAULT) -> DataFrame:
     )
 
 
-def monthly_rfm_base(events: DataFrame, calendar: Calendar, params: Params = DEFAULT) -> DataFrame:
+def monthly_rfm_base(events: DataFrame, calendar: Calendar, params: Params = DEFAULT,
+                     up: DataFrame | None = None) -> DataFrame:
     """A5. Per snapshot: users who bought in its period with that period's count and spend,
-    and recency to the as-of standard date (last purchase day on/before the snapshot + 1)."""
+    and recency to the as-of standard date (last purchase day on/before the snapshot + 1).
+    ``up`` is the shared (user, period) table where that is already written."""
     if calendar.grain != params.grain:
         params = params.with_(grain=calendar.grain)
-    up = user_period(events, params).where(calendar.contains(F.col("period_start")))
+    up = (up if up is not None else user_period(events, params)).where(calendar.contains(F.col("period_start")))
     # one row per calendar period: what is broadcast is bounded by the calendar length
     std = up.groupBy("period_start").agg(F.date_add(F.max("last_date"), 1).alias("standard_date"))
     return up.join(F.broadcast(std), "period_start").select(

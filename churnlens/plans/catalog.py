@@ -9,6 +9,8 @@ the SQL oracle; money is exact DECIMAL until then.
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +20,12 @@ from pyspark.sql.types import DoubleType
 from ..config import WEEKLY_EVENTS
 from ..functions.dates import Calendar
 from ..operators import behaviour, category, churn, cohort, compare, monthly, rfm
+from ..session import ensure_checkpoint_dir
 from ..sources import tables
+from ..sources.logs import load_events, read_events, read_raw_log
+from ..sources.mart import create_if_absent, mart_exists, read_mart, register, write_mart
 from ..stats import tests as st
+from .calendars import ORDERS_CALENDAR, RETENTION_TESTS, SPEARMAN_MIN_USERS
 
 _MEMO: dict[tuple, object] = {}
 
@@ -74,9 +80,20 @@ def orders_calendar(spark, sf_dir, grain="month"):
                  lambda: Calendar.from_data(order_events(spark, sf_dir), grain=grain))
 
 
+def user_period_df(spark, sf_dir):
+    """The (user, month) purchases, built by one scan of the orders and read by A5, A12,
+    A13, A14 and A26."""
+    return _memo(spark, sf_dir, "user_period", lambda: mart(monthly.user_period(order_events(spark, sf_dir))))
+
+
+def cohort_ages_df(spark, sf_dir):
+    return _memo(spark, sf_dir, "cohort_ages", lambda: mart(cohort.cohort_ages(
+        order_events(spark, sf_dir), up=user_period_df(spark, sf_dir))))
+
+
 def monthly_base_df(spark, sf_dir):
     return _memo(spark, sf_dir, "monthly_base", lambda: monthly.monthly_rfm_base(
-        order_events(spark, sf_dir), orders_calendar(spark, sf_dir)))
+        order_events(spark, sf_dir), orders_calendar(spark, sf_dir), up=user_period_df(spark, sf_dir)))
 
 
 def monthly_rfm_df(spark, sf_dir):
@@ -86,7 +103,7 @@ def monthly_rfm_df(spark, sf_dir):
 
 def churn_df(spark, sf_dir):
     return _memo(spark, sf_dir, "churn", lambda: mart(churn.churn_status(
-        order_events(spark, sf_dir), orders_calendar(spark, sf_dir))))
+        order_events(spark, sf_dir), orders_calendar(spark, sf_dir), up=user_period_df(spark, sf_dir))))
 
 
 def churn_transition_df(spark, sf_dir):
@@ -94,8 +111,13 @@ def churn_transition_df(spark, sf_dir):
 
 
 def category_events(spark, sf_dir):
-    """Line items joined to orders and parts once, then read by A7, A8 and A19."""
-    return _memo(spark, sf_dir, "ev_lines", lambda: mart(tables.category_purchase_events(spark, sf_dir)))
+    """Line items joined to orders and parts once, written as a columnar table by month,
+    then read by A7, A8 and A19."""
+    def build():
+        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/marts-{uuid.uuid4().hex}"
+        load_events(tables.category_purchase_events(spark, sf_dir), f"{root}/category_events")
+        return read_events(spark, f"{root}/category_events").drop("event_month")
+    return _memo(spark, sf_dir, "ev_lines", build)
 
 
 def click_events(spark, sf_dir):
@@ -118,12 +140,13 @@ def click_mrfm_df(spark, sf_dir):
 
 
 def cohort_df(spark, sf_dir):
-    return _memo(spark, sf_dir, "cohort", lambda: mart(cohort.cohort_retention(order_events(spark, sf_dir))))
+    return _memo(spark, sf_dir, "cohort", lambda: mart(cohort.cohort_retention(
+        order_events(spark, sf_dir), ages=cohort_ages_df(spark, sf_dir))))
 
 
 def cohort_seg_df(spark, sf_dir):
     return _memo(spark, sf_dir, "cohort_seg", lambda: mart(cohort.cohort_segment_retention(
-        order_events(spark, sf_dir), monthly_rfm_df(spark, sf_dir))))
+        order_events(spark, sf_dir), monthly_rfm_df(spark, sf_dir), up=user_period_df(spark, sf_dir))))
 
 
 def _money_cols(df: DataFrame, *cols: str) -> DataFrame:
@@ -168,7 +191,7 @@ def q_segment_transition_uplift(spark, sf_dir):
 
 
 def q_segment_path(spark, sf_dir):
-    return monthly.segment_path(monthly_rfm_df(spark, sf_dir), orders_calendar(spark, sf_dir))
+    return monthly.segment_path(monthly_rfm_df(spark, sf_dir), ORDERS_CALENDAR)
 
 
 def q_cohort_retention(spark, sf_dir):
@@ -279,7 +302,8 @@ def _compare_df(spark, sf_dir):
 
 
 def _seg_ret_df(spark, sf_dir):
-    return _memo(spark, sf_dir, "segret", lambda: compare.segment_initial_retention(cohort_seg_df(spark, sf_dir)))
+    return _memo(spark, sf_dir, "segret", lambda: mart(compare.segment_initial_retention(
+        cohort_seg_df(spark, sf_dir), RETENTION_TESTS)))
 
 
 def q_chi2_rate_test(spark, sf_dir):
@@ -298,17 +322,46 @@ def q_pairwise_mean_diff(spark, sf_dir):
     return present(st.pairwise_mean_diff(st.retention_rates(_seg_ret_df(spark, sf_dir))))
 
 
+LOGIT_TERMS = ["category_cnt", "view_cnt", "cart_cnt"]
+
+
+def _next_period_df(spark, sf_dir):
+    return _memo(spark, sf_dir, "next_period", lambda: mart(
+        behaviour.next_period_behaviour(click_events(spark, sf_dir), WEEKLY_EVENTS)))
+
+
+def _logit_df(spark, sf_dir):
+    return _memo(spark, sf_dir, "logit", lambda: st.logit_odds(
+        _next_period_df(spark, sf_dir), "tf_purchase", LOGIT_TERMS))
+
+
 def q_logit_next_period(spark, sf_dir):
-    nb = behaviour.next_period_behaviour(click_events(spark, sf_dir), WEEKLY_EVENTS)
-    return present(st.logit_odds(nb, "tf_purchase", ["category_cnt", "view_cnt", "cart_cnt"]))
+    return present(_logit_df(spark, sf_dir))
+
+
+def q_logit_significant(spark, sf_dir):
+    """The terms of the logit with p < 0.05 (none is a valid answer)."""
+    return present(st.logit_odds(_next_period_df(spark, sf_dir), "tf_purchase", LOGIT_TERMS, alpha=0.05))
+
+
+def q_logit_score_equations(spark, sf_dir):
+    """The derivative of the log-likelihood in each coefficient at the fitted ones."""
+    scores = st.logit_scores(_next_period_df(spark, sf_dir), _logit_df(spark, sf_dir), "tf_purchase", LOGIT_TERMS)
+    return scores.select("term", (F.round("score", 3) + 0.0).alias("score"))
 
 
 def cohort_age_df(spark, sf_dir):
-    return _memo(spark, sf_dir, "cohort_age", lambda: mart(cohort.cohort_age_metrics(order_events(spark, sf_dir))))
+    return _memo(spark, sf_dir, "cohort_age", lambda: cohort.cohort_age_metrics(
+        order_events(spark, sf_dir), ages=cohort_ages_df(spark, sf_dir)))
 
 
 def q_spearman_cohort_age(spark, sf_dir):
-    return present(st.spearman_cohort_age(cohort_age_df(spark, sf_dir)))
+    return present(_spearman_df(spark, sf_dir))
+
+
+def _spearman_df(spark, sf_dir):
+    return _memo(spark, sf_dir, "spearman", lambda: mart(st.spearman_cohort_age(
+        cohort_age_df(spark, sf_dir), min_active_users=SPEARMAN_MIN_USERS)))
 
 
 def _rm_df(spark, sf_dir):
@@ -319,19 +372,79 @@ def q_paired_periods(spark, sf_dir):
     return present(st.paired_periods(_rm_df(spark, sf_dir), value_col="avg_recency"))
 
 
+def _battery_df(spark, sf_dir):
+    def build():
+        vcp = behaviour.high_segment_behaviour(click_events(spark, sf_dir), click_mrfm_df(spark, sf_dir),
+                                               click_calendar(spark, sf_dir), WEEKLY_EVENTS)
+        return mart(st.test_battery({
+            "high_segment_rm": (_rm_df(spark, sf_dir), ["avg_recency", "avg_monetary"]),
+            "high_segment_behaviour": (vcp, ["view_cnt", "cart_cnt", "purchase_cnt"])}))
+    return _memo(spark, sf_dir, "battery", build)
+
+
 def q_wilcoxon_battery(spark, sf_dir):
-    vcp = behaviour.high_segment_behaviour(click_events(spark, sf_dir), click_mrfm_df(spark, sf_dir),
-                                           click_calendar(spark, sf_dir), WEEKLY_EVENTS)
-    return present(st.test_battery({
-        "high_segment_rm": (_rm_df(spark, sf_dir), ["avg_recency", "avg_monetary"]),
-        "high_segment_behaviour": (vcp, ["view_cnt", "cart_cnt", "purchase_cnt"]),
-    }))
+    return present(_battery_df(spark, sf_dir))
+
+
+def q_test_summary(spark, sf_dir):
+    """All tests of the analysis in one table."""
+    return present(st.test_summary(
+        st.chi2_rate_test(_compare_df(spark, sf_dir), "point_of_view", "first_user", "active_user"),
+        st.anova_oneway(st.retention_rates(_seg_ret_df(spark, sf_dir))),
+        _logit_df(spark, sf_dir), _spearman_df(spark, sf_dir), _battery_df(spark, sf_dir)))
 
 
 def q_segment_age_regression(spark, sf_dir):
     return present(st.segment_age_regression(cohort_seg_df(spark, sf_dir)))
 
 
+def q_segment_age_normal_equations(spark, sf_dir):
+    """The inner products of the regression's residuals with its demeaned columns."""
+    scores = st.regression_scores(cohort_seg_df(spark, sf_dir), st.segment_age_regression(cohort_seg_df(spark, sf_dir)))
+    return scores.select("term", (F.round("score", 4) + 0.0).alias("score"))
+
+
+# ---- sources and sinks ----------------------------------------------------
+def _scratch(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/marts-{uuid.uuid4().hex}"
+
+
+def q_log_round_trip(spark, sf_dir):
+    """The click log as gzip CSV, loaded with the declared schema, written by month,
+    read back through a named view and summed by month and type."""
+    root = _scratch(spark)
+    ev = click_events(spark, sf_dir)
+    raw = ev.select(F.date_format("event_time", "yyyy-MM-dd HH:mm:ss").alias("event_time"), "event_type",
+                    F.lit(None).cast("long").alias("product_id"), F.col("category_id").cast("long").alias("category_id"),
+                    "category_code", F.lit(None).cast("string").alias("brand"), "price", "user_id",
+                    F.lit(None).cast("string").alias("user_session"))
+    raw.write.option("header", "true").option("compression", "gzip").csv(f"{root}/raw")
+    loaded = read_raw_log(spark, f"{root}/raw", timestamp_format="yyyy-MM-dd HH:mm:ss")
+    load_events(loaded, f"{root}/events")
+    view = f"event_log_{uuid.uuid4().hex}"
+    register(read_events(spark, f"{root}/events"), view)
+    return spark.sql(f"""SELECT event_month, event_type, count(*) AS n, count(DISTINCT user_id) AS users,
+                                sum(category_id) AS category_sum, CAST(sum(price) AS DOUBLE) AS price_sum
+                         FROM {view} GROUP BY event_month, event_type""")
+
+
+def q_mart_round_trip(spark, sf_dir):
+    """The snapshot table written by append in two parts, one snapshot overwritten
+    twice, creation of what exists skipped, then loaded with a projection and a filter."""
+    root, m = _scratch(spark), monthly_rfm_df(spark, sf_dir)
+    cut, again = dt.date(1998, 1, 31), dt.date(1997, 6, 30)
+    assert not mart_exists(spark, root, "monthly_rfm")
+    create_if_absent({"monthly_rfm": m.where(F.col("snapshot_date") <= F.lit(cut))}, root,
+                     {"monthly_rfm": ("snapshot_date",)})
+    write_mart(m.where(F.col("snapshot_date") > F.lit(cut)), root, "monthly_rfm", "append", ("snapshot_date",))
+    create_if_absent({"monthly_rfm": m.limit(0)}, root)
+    for _ in range(2):
+        write_mart(m.where(F.col("snapshot_date") == F.lit(again)), root, "monthly_rfm", "overwrite", ("snapshot_date",))
+    back = read_mart(spark, root, "monthly_rfm", ["user_id", "snapshot_date", "rfm_segment", "month_monetary"],
+                     "rfm_segment <> 'REGULAR'")
+    return back.select("user_id", "snapshot_date", "rfm_segment", F.col("month_monetary").cast("double").alias("month_monetary"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Registered queries in dependency order (upstream marts first)."""
     return {
@@ -370,8 +483,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "anova_initial_retention": q_anova_initial_retention,
         "pairwise_mean_diff": q_pairwise_mean_diff,
         "logit_next_period": q_logit_next_period,
+        "logit_significant": q_logit_significant,
+        "logit_score_equations": q_logit_score_equations,
         "spearman_cohort_age": q_spearman_cohort_age,
         "paired_periods": q_paired_periods,
         "wilcoxon_battery": q_wilcoxon_battery,
         "segment_age_regression": q_segment_age_regression,
+        "segment_age_normal_equations": q_segment_age_normal_equations,
+        "test_summary": q_test_summary,
+        "log_round_trip": q_log_round_trip,
+        "mart_round_trip": q_mart_round_trip,
     }

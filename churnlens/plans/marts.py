@@ -11,18 +11,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..config import DEFAULT, Params
+from ..config import DEFAULT, WEEKLY_EVENTS, Params
 from ..functions.dates import Calendar
 from ..operators import behaviour, category, churn, cohort, compare, monthly, rfm
+from ..sources.logs import load_events, read_events
 from ..sources.mart import read_mart, write_mart
 
 
 def build_marts(events: DataFrame, root: str, calendar: Calendar | None = None,
-                params: Params = DEFAULT, category_events: DataFrame | None = None) -> dict[str, str]:
+                params: Params = DEFAULT, category_events: DataFrame | None = None,
+                behaviour_events: DataFrame | None = None, behaviour_params: Params = WEEKLY_EVENTS) -> dict[str, str]:
     """Write the analytic marts under ``root``; returns table name -> path.
 
     ``events`` is a canonical event table (see ``sources.tables``);
-    ``category_events`` (default: ``events``) feeds the category tables.
+    ``category_events`` (default: ``events``) feeds the category tables, and
+    ``behaviour_events`` (a log with views and carts; default: ``events``) the
+    behaviour tables, with a calendar and parameters of its own.
     """
     spark = events.sparkSession
     cal = calendar or Calendar.from_data(events, grain=params.grain)
@@ -34,38 +38,53 @@ def build_marts(events: DataFrame, root: str, calendar: Calendar | None = None,
         out[name] = write_mart(df, root, name, partition_by=part)
         return read_mart(spark, root, name)
 
+    # the shared (user, period) table, and the category events as a table by month
+    up = put("user_period", monthly.user_period(events, params))
+    if category_events is not None:
+        out["category_events"] = load_events(cev, f"{root.rstrip('/')}/category_events")
+        cev = read_events(spark, out["category_events"]).drop("event_month")
     # whole-history RFM
     base = put("rfm_base", rfm.rfm_base(events, params))
     score = put("rfm_score", rfm.rfm_score(base, params))
     put("rfm_stat", rfm.rfm_segment_share(score))
     put("rfm_detail_stat", rfm.rfm_segment_sales(score))
     # snapshot RFM
-    mbase = monthly.monthly_rfm_base(events, cal, params)
+    mbase = monthly.monthly_rfm_base(events, cal, params, up=up)
     mrfm = put("monthly_rfm", monthly.monthly_rfm(mbase, params), ("snapshot_date",))
     put("monthly_rfm_detail_stat", monthly.monthly_segment_stat(mrfm))
     put("monthly_rfm_detail_funnel", monthly.segment_transition_uplift(mrfm))
     put("monthly_rfm_funnel", monthly.segment_path(mrfm, cal))
-    put("category_dim", category.category_dim_asof(cev, cal, params), ("snapshot_date",))
-    put("monthly_rfm_category", category.monthly_rfm_category(cev, mrfm, cal, params), ("snapshot_date",))
+    dim = put("category_dim", category.category_dim_asof(cev, cal, params), ("snapshot_date",))
+    put("monthly_rfm_category", category.monthly_rfm_category(cev, mrfm, cal, params, dim=dim), ("snapshot_date",))
     # cohorts
-    cstat = put("cohort_stat", cohort.cohort_retention(events, params))
-    cseg = put("cohort_rfm_stat", cohort.cohort_segment_retention(events, mrfm, params))
-    put("cohort_age_metrics", cohort.cohort_age_metrics(events, params))
+    ages = put("cohort_ages", cohort.cohort_ages(events, params, up=up))
+    cstat = put("cohort_stat", cohort.cohort_retention(events, params, ages=ages))
+    cseg = put("cohort_rfm_stat", cohort.cohort_segment_retention(events, mrfm, params, up=up))
+    put("cohort_age_metrics", cohort.cohort_age_metrics(events, params, ages=ages))
     # churn
-    ch = put("monthly_churn", churn.churn_status(events, cal, params), ("snapshot_date",))
+    ch = put("monthly_churn", churn.churn_status(events, cal, params, up=up), ("snapshot_date",))
     put("monthly_churn_stats", churn.churn_stats(ch))
     moving = put("churn_moving", churn.churn_transition(ch))
     put("churn_user_ltv_stat", churn.churn_loss_estimate(ch, moving, cal))
-    activity = put("churn_interval", behaviour.pre_snapshot_activity(events, ch, cal, params))
+    if behaviour_events is None:
+        bev, bcal, bparams, bch, bmrfm = events, cal, params, ch, mrfm
+    else:
+        bev, bcal = behaviour_events, Calendar.from_data(behaviour_events, grain=behaviour_params.grain)
+        bparams = behaviour_params.with_(grain=bcal.grain)
+        bup = put("behaviour_user_period", monthly.user_period(bev, bparams))
+        bch = put("behaviour_churn", churn.churn_status(bev, bcal, bparams, up=bup), ("snapshot_date",))
+        bmrfm = put("behaviour_rfm", monthly.monthly_rfm(monthly.monthly_rfm_base(bev, bcal, bparams, up=bup), bparams),
+                    ("snapshot_date",))
+    activity = put("churn_interval", behaviour.pre_snapshot_activity(bev, bch, bcal, bparams))
     put("churn_interval_by_type", behaviour.pre_snapshot_activity_by_type(activity))
     put("churn_category", category.last_purchase_category(cev, ch, params))
-    put("churn_monthly_funnel", behaviour.churn_event_funnel(events, ch, cal, params))
+    put("churn_monthly_funnel", behaviour.churn_event_funnel(bev, bch, bcal, bparams))
     # comparison tables for the statistical tests
     put("retention", compare.cohort_period_compare(cstat, params))
     put("rfm_segment", compare.segment_initial_retention(cseg, params))
-    put("retention_view_cart", behaviour.next_period_behaviour(events, params))
+    put("retention_view_cart", behaviour.next_period_behaviour(bev, bparams))
     put("high_segment_rm", compare.high_segment_rm(mrfm, cal, params))
-    put("high_segment_vcp", behaviour.high_segment_behaviour(events, mrfm, cal, params))
+    put("high_segment_vcp", behaviour.high_segment_behaviour(bev, bmrfm, bcal, bparams))
     return out
 
 
@@ -78,7 +97,8 @@ def main(argv: list[str]) -> None:
     sf_dir, root = argv[1], argv[2]
     spark = local_session()
     out = build_marts(tables.order_events(spark, sf_dir), root,
-                      category_events=tables.category_purchase_events(spark, sf_dir))
+                      category_events=tables.category_purchase_events(spark, sf_dir),
+                      behaviour_events=tables.click_events(spark, sf_dir))
     print(json.dumps(out, indent=1))
     spark.stop()
 

@@ -1,9 +1,8 @@
-"""Independent DuckDB SQL twins of the registered queries (correctness oracle).
+"""DuckDB SQL twins of the registered queries (correctness oracle).
 
-These are written as the *naive* definitions: one as-of filter per snapshot
-via a join with the calendar, plain windows, no single-pass tricks, so that
-they cross-check the Spark plans instead of repeating them.  The calendar is
-derived in SQL from the table's own time span.
+Each states what an operator means over the raw events: as-of values come from ASOF
+joins and correlated subqueries against the calendar, where the Spark plans expand one
+(user, period) aggregate.  The calendar is derived in SQL from the table's own time span.
 
 Each oracle casts to the engine's output types: counts BIGINT, scores INT,
 dates DATE, money and ratios DOUBLE rounded to 6 places (money is summed as
@@ -13,6 +12,7 @@ DECIMAL(18,2) first, so sums are exact in both engines).
 from __future__ import annotations
 
 from ..config import DEFAULT, WEEKLY_EVENTS, Params
+from .calendars import ORDERS_CALENDAR, RETENTION_TESTS, SPEARMAN_MIN_USERS
 
 # ---------------------------------------------------------------------------
 # event sources
@@ -210,30 +210,27 @@ FROM mrfm GROUP BY snapshot_date, rfm_segment"""
 
 
 def q_segment_transition_uplift() -> str:
-    return with_(*monthly_ctes(), """tb AS (
-  SELECT user_id, snapshot_date AS snapshot_month, rfm_segment, month_monetary AS monetary,
-         lag(rfm_segment) OVER (PARTITION BY user_id ORDER BY snapshot_date) AS prev_segment,
-         lag(month_monetary) OVER (PARTITION BY user_id ORDER BY snapshot_date) AS prev_monetary
-  FROM mrfm)""", """tr AS (
-  SELECT snapshot_month, user_id, prev_segment, rfm_segment AS curr_segment, prev_monetary,
-         monetary AS curr_monetary, monetary - prev_monetary AS diff_amount,
-         CASE WHEN prev_monetary > 0
-              THEN CAST(monetary - prev_monetary AS DOUBLE) / CAST(prev_monetary AS DOUBLE)
-              ELSE NULL END AS uplift_pct
-  FROM tb WHERE prev_segment IS NOT NULL)""") + f"""
-SELECT snapshot_month, prev_segment, curr_segment, count(*) AS transition_cnt,
-       {_r('sum(prev_monetary)')} AS total_prev_amount,
-       {_r('sum(curr_monetary)')} AS total_curr_amount,
-       {_r('sum(diff_amount)')} AS total_diff_amount,
-       {_ratio('sum(diff_amount)', 'count(diff_amount)')} AS avg_diff_amount,
-       {_r('avg(uplift_pct)')} AS avg_uplift_pct
-FROM tr GROUP BY snapshot_month, prev_segment, curr_segment"""
+    before, now = "old.month_monetary", "new.month_monetary"
+    return with_(*monthly_ctes()) + f"""
+SELECT new.snapshot_date AS snapshot_month, old.rfm_segment AS prev_segment, new.rfm_segment AS curr_segment,
+       count(*) AS transition_cnt,
+       {_r(f'sum({before})')} AS total_prev_amount, {_r(f'sum({now})')} AS total_curr_amount,
+       {_r(f'sum({now} - {before})')} AS total_diff_amount,
+       {_ratio(f'sum({now} - {before})', f'count({now} - {before})')} AS avg_diff_amount,
+       {_r(f'avg(CAST({now} - {before} AS DOUBLE) / CAST({before} AS DOUBLE)) FILTER (WHERE {before} > 0)')}
+         AS avg_uplift_pct
+FROM mrfm new ASOF JOIN mrfm old ON new.user_id = old.user_id AND new.snapshot_date > old.snapshot_date
+GROUP BY ALL"""
 
 
 def q_segment_path() -> str:
-    return with_(*monthly_ctes()) + """
-PIVOT (SELECT user_id, strftime(snapshot_date, '%Y-%m') AS period, rfm_segment FROM mrfm)
-ON period USING max(rfm_segment) GROUP BY user_id"""
+    """One column per month of the stated calendar."""
+    months = ",\n       ".join(
+        f"any_value(rfm_segment) FILTER (WHERE strftime(snapshot_date, '%Y-%m') = '{m}') AS \"{m}\""
+        for m in map(ORDERS_CALENDAR.label, ORDERS_CALENDAR.starts()))
+    return with_(*monthly_ctes()) + f"""
+SELECT user_id, {months}
+FROM mrfm GROUP BY user_id"""
 
 
 # ---------------------------------------------------------------------------
@@ -245,69 +242,57 @@ def _age(later: str, earlier: str, grain: str) -> str:
     return f"CAST(datediff('day', {earlier}, {later}) // 7 AS INTEGER)"
 
 
+def activity_cte(p: Params = DEFAULT) -> str:
+    """Every purchase with its period and its buyer's first period."""
+    period = _pstart("event_time", p.grain)
+    return f"""activity AS (
+  SELECT user_id, price, {period} AS period, min({period}) OVER (PARTITION BY user_id) AS joined
+  FROM ev WHERE event_type = '{p.purchase_type}')"""
+
+
 def cohort_ctes(p: Params = DEFAULT) -> str:
-    g = p.grain
-    return f"""md AS (SELECT user_id, event_time, price FROM ev WHERE event_type = '{p.purchase_type}'),
-fd AS (SELECT user_id, {_pstart('min(event_time)', g)} AS cohort_date FROM md GROUP BY user_id),
-um AS (SELECT user_id, {_pstart('event_time', g)} AS order_date, sum(price) AS revenue, count(*) AS orders
-       FROM md GROUP BY user_id, {_pstart('event_time', g)}),
-cbase AS (SELECT f.user_id, f.cohort_date, u.order_date,
-                 {_age('u.order_date', 'f.cohort_date', g)} AS cohort_age, u.revenue, u.orders
-          FROM fd f JOIN um u ON f.user_id = u.user_id),
-ca AS (SELECT cohort_date, cohort_age, count(DISTINCT user_id) AS active_users,
-              sum(revenue) AS period_revenue, sum(orders) AS orders
-       FROM cbase GROUP BY cohort_date, cohort_age),
-cf AS (SELECT cohort_date, count(DISTINCT user_id) AS first_user FROM cbase GROUP BY cohort_date),
-cstat AS (SELECT a.cohort_date, a.cohort_age, b.first_user, a.active_users, a.period_revenue,
-                 CAST(a.active_users AS DOUBLE) / b.first_user AS retention_rate,
-                 CAST(a.period_revenue AS DOUBLE) / b.first_user AS revenue_per_user
-          FROM ca a JOIN cf b ON a.cohort_date = b.cohort_date),
-cohort AS (SELECT cohort_date, cohort_age, first_user, active_users, retention_rate, period_revenue,
-                  revenue_per_user,
-                  sum(period_revenue) OVER (PARTITION BY cohort_date ORDER BY cohort_age
-                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative_revenue,
-                  sum(revenue_per_user) OVER (PARTITION BY cohort_date ORDER BY cohort_age
-                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative_revenue_per_user
-           FROM cstat)"""
+    size = "(SELECT count(DISTINCT user_id) FROM activity m WHERE m.joined = a.joined)"
+    return activity_cte(p) + f""",
+cohort AS (
+  SELECT a.joined AS cohort_date, {_age('a.period', 'a.joined', p.grain)} AS cohort_age, {size} AS first_user,
+         count(DISTINCT a.user_id) AS active_users, sum(a.price) AS period_revenue, count(*) AS orders
+  FROM activity a GROUP BY a.joined, a.period)"""
 
 
 def q_cohort_retention() -> str:
+    earlier = "FROM cohort e WHERE e.cohort_date = c.cohort_date AND e.cohort_age <= c.cohort_age"
     return with_(EV_ORDERS, cohort_ctes()) + f"""
-SELECT cohort_date, cohort_age, first_user, active_users, {_r('retention_rate')} AS retention_rate,
-       {_r('period_revenue')} AS period_revenue, {_r('revenue_per_user')} AS revenue_per_user,
-       {_r('cumulative_revenue')} AS cumulative_revenue,
-       {_r('cumulative_revenue_per_user')} AS cumulative_revenue_per_user
-FROM cohort"""
+SELECT cohort_date, cohort_age, first_user, active_users, {_ratio('active_users', 'first_user')} AS retention_rate,
+       {_r('period_revenue')} AS period_revenue, {_ratio('period_revenue', 'first_user')} AS revenue_per_user,
+       {_r(f'(SELECT sum(e.period_revenue) {earlier})')} AS cumulative_revenue,
+       {_r(f'(SELECT sum(CAST(e.period_revenue AS DOUBLE) / e.first_user) {earlier})')} AS cumulative_revenue_per_user
+FROM cohort c"""
 
 
 def q_cohort_age_metrics() -> str:
     return with_(EV_ORDERS, cohort_ctes()) + f"""
 SELECT cohort_date, cohort_age, {_ratio('orders', 'active_users')} AS avg_freq,
        {_ratio('period_revenue', 'active_users')} AS arpu, active_users
-FROM ca"""
+FROM cohort"""
 
 
 def cohort_segment_cte(p: Params = DEFAULT) -> str:
-    g = p.grain
-    return f"""mseg AS (SELECT user_id, {_pstart('snapshot_date', g)} AS snap_month, rfm_segment
-         FROM mrfm GROUP BY user_id, {_pstart('snapshot_date', g)}, rfm_segment),
-crj AS (SELECT c.user_id, c.cohort_date, c.order_date, c.cohort_age, c.revenue, m.rfm_segment
-        FROM cbase c LEFT JOIN mseg m ON c.user_id = m.user_id AND c.order_date = m.snap_month),
-crs AS (SELECT rfm_segment, cohort_date, order_date, cohort_age,
-               count(DISTINCT user_id) AS active_number, sum(revenue) AS active_revenue
-        FROM crj GROUP BY rfm_segment, cohort_date, order_date, cohort_age),
-csr AS (SELECT rfm_segment, cohort_date, order_date, cohort_age, active_number,
-          CAST(active_number AS DOUBLE) / first_value(active_number) OVER (
-              PARTITION BY rfm_segment, cohort_date ORDER BY cohort_age) AS cnt_retention,
-          CAST(active_revenue AS DOUBLE) / CAST(first_value(active_revenue) OVER (
-              PARTITION BY rfm_segment, cohort_date ORDER BY cohort_age) AS DOUBLE) AS revenue_retention
-        FROM crs)"""
+    """Cohort activity by the segment that the buyer has at the period's snapshot."""
+    return f"""csr AS (
+  SELECT m.rfm_segment, a.joined AS cohort_date, a.period AS order_date,
+         {_age('a.period', 'a.joined', p.grain)} AS cohort_age,
+         count(DISTINCT a.user_id) AS active_number, sum(a.price) AS spent
+  FROM activity a LEFT JOIN mrfm m
+    ON m.user_id = a.user_id AND m.snapshot_date = {_pend('a.period', p.grain)}
+  GROUP BY ALL)"""
 
 
 def q_cohort_segment_retention() -> str:
+    group = "OVER (PARTITION BY rfm_segment, cohort_date)"
     return with_(*monthly_ctes(), cohort_ctes(), cohort_segment_cte()) + f"""
 SELECT rfm_segment, cohort_date, order_date, cohort_age, active_number,
-       {_r('cnt_retention')} AS cnt_retention, {_r('revenue_retention')} AS revenue_retention
+       {_ratio('active_number', f'arg_min(active_number, cohort_age) {group}')} AS cnt_retention,
+       {_ratio('spent', f'arg_min(spent, cohort_age) {group}')} AS revenue_retention
 FROM csr"""
 
 
@@ -315,45 +300,31 @@ FROM csr"""
 # A14-A17 churn (naive: as-of history per snapshot)
 # ---------------------------------------------------------------------------
 def churn_ctes(p: Params = DEFAULT) -> str:
-    g = p.grain
-    return f"""chist AS (SELECT c.snapshot_date, c.period_start, e.user_id, e.event_time, e.event_type, e.price
-          FROM cal c JOIN ev e ON CAST(e.event_time AS DATE) <= c.snapshot_date),
-od AS (SELECT snapshot_date, period_start, user_id, CAST(event_time AS DATE) AS order_date, price
-       FROM chist WHERE event_type = '{p.purchase_type}'),
-fp AS (SELECT snapshot_date, user_id FROM od GROUP BY snapshot_date, period_start, user_id
-       HAVING {_pstart('min(order_date)', g)} = period_start),
-csd AS (SELECT snapshot_date, max(CAST(event_time AS DATE)) + 1 AS standard_date
-        FROM chist GROUP BY snapshot_date),
-crec AS (SELECT o.snapshot_date, o.user_id,
-                datediff('day', max(o.order_date), max(s.standard_date)) AS recency
-         FROM od o JOIN csd s ON o.snapshot_date = s.snapshot_date GROUP BY o.snapshot_date, o.user_id),
-cseg AS (SELECT r.user_id, r.snapshot_date,
-           CASE WHEN fp.user_id IS NOT NULL THEN 'NEW'
-                WHEN r.recency <= {p.active_days} THEN 'ACTIVE'
-                WHEN r.recency > {p.active_days} AND r.recency <= {p.risk_days} THEN 'AT_RISK'
-                WHEN r.recency > {p.risk_days} THEN 'CHURNED' END AS segment
-         FROM crec r LEFT JOIN fp ON r.user_id = fp.user_id AND r.snapshot_date = fp.snapshot_date),
-churn AS (SELECT f.user_id, f.snapshot_date, f.segment, COALESCE(sum(o.price), 0) AS ltv
-          FROM cseg f LEFT JOIN od o ON f.user_id = o.user_id AND f.snapshot_date = o.snapshot_date
-                AND {_pstart('o.order_date', g)} = {_pstart('f.snapshot_date', g)}
-          GROUP BY f.user_id, f.snapshot_date, f.segment)"""
-
-
-TRANS_CTES = """uh AS (SELECT user_id, snapshot_date, segment AS curr_segment, ltv,
-              lag(segment) OVER (PARTITION BY user_id ORDER BY snapshot_date) AS prev_segment,
-              lag(ltv) OVER (PARTITION BY user_id ORDER BY snapshot_date) AS prev_ltv
-       FROM churn),
-tr2 AS (SELECT * FROM uh WHERE prev_segment IS NOT NULL),
-ap AS (SELECT snapshot_date, prev_segment, curr_segment, count(DISTINCT user_id) AS move_users,
-              sum(ltv) AS curr_total_ltv, sum(prev_ltv) AS prev_total_ltv
-       FROM tr2 GROUP BY snapshot_date, prev_segment, curr_segment),
-apv AS (SELECT snapshot_date, prev_segment, count(DISTINCT user_id) AS prev_total_users
-        FROM tr2 GROUP BY snapshot_date, prev_segment),
-trans AS (SELECT p.snapshot_date, p.prev_segment, p.curr_segment, p.move_users, a.prev_total_users,
-            CAST((p.move_users * 20000 + a.prev_total_users) // (2 * a.prev_total_users) AS DOUBLE) / 100
-              AS transition_rate_pct,
-            p.curr_total_ltv, p.prev_total_ltv
-          FROM ap p JOIN apv a ON p.snapshot_date = a.snapshot_date AND p.prev_segment = a.prev_segment)"""
+    gap = "datediff('day', d.day, c.today)"
+    return f"""days AS (
+  SELECT user_id, CAST(event_time AS DATE) AS day, sum(price) AS spent
+  FROM ev WHERE event_type = '{p.purchase_type}' GROUP BY ALL),
+people AS (SELECT user_id, min(day) AS since FROM days GROUP BY user_id),
+clock AS (
+  SELECT period_start, snapshot_date,
+         (SELECT max(CAST(event_time AS DATE)) + 1 FROM ev WHERE CAST(event_time AS DATE) <= snapshot_date) AS today
+  FROM cal),
+churn AS (
+  SELECT p.user_id, c.snapshot_date,
+         CASE WHEN p.since >= c.period_start THEN 'NEW' WHEN {gap} > {p.risk_days} THEN 'CHURNED'
+              WHEN {gap} > {p.active_days} THEN 'AT_RISK' ELSE 'ACTIVE' END AS segment,
+         coalesce((SELECT sum(s.spent) FROM days s WHERE s.user_id = p.user_id
+                   AND s.day BETWEEN c.period_start AND c.snapshot_date), 0) AS ltv
+  FROM clock c JOIN people p ON p.since <= c.snapshot_date
+  ASOF JOIN days d ON d.user_id = p.user_id AND c.snapshot_date >= d.day)"""
+
+
+MOVES = """trans AS (
+  SELECT new.snapshot_date, old.segment AS prev_segment, new.segment AS curr_segment, count(*) AS move_users,
+         sum(new.ltv) AS curr_total_ltv, sum(old.ltv) AS prev_total_ltv,
+         CAST(sum(count(*)) OVER (PARTITION BY new.snapshot_date, old.segment) AS BIGINT) AS prev_total_users
+  FROM churn new ASOF JOIN churn old ON new.user_id = old.user_id AND new.snapshot_date > old.snapshot_date
+  GROUP BY new.snapshot_date, old.segment, new.segment)"""
 
 
 def churn_all(src: str = EV_ORDERS, p: Params = DEFAULT) -> list[str]:
@@ -372,52 +343,48 @@ FROM churn GROUP BY snapshot_date, segment"""
 
 
 def q_churn_transition() -> str:
-    return with_(*churn_all(), TRANS_CTES) + f"""
-SELECT snapshot_date, prev_segment, curr_segment, move_users, prev_total_users, transition_rate_pct,
-       {_r('curr_total_ltv')} AS curr_total_ltv, {_r('prev_total_ltv')} AS prev_total_ltv FROM trans"""
+    # percent to two places, half up, in integers
+    return with_(*churn_all(), MOVES) + f"""
+SELECT snapshot_date, prev_segment, curr_segment, move_users, prev_total_users,
+       CAST((move_users * 20000 + prev_total_users) // (2 * prev_total_users) AS DOUBLE) / 100 AS transition_rate_pct,
+       {_r('curr_total_ltv')} AS curr_total_ltv, {_r('prev_total_ltv')} AS prev_total_ltv
+FROM trans"""
 
 
 def q_churn_loss_estimate(dedup: bool = False) -> str:
-    # as written the join repeats a snapshot's user count once per feeding status;
-    # dedup divides by it once (MAX over the repeated rows)
-    den = "m.cnt"
-    agg = "max" if dedup else "sum"
-    return with_(*churn_all(), TRANS_CTES, """lastcal AS (
-  SELECT snapshot_date, row_number() OVER (ORDER BY snapshot_date DESC) AS k FROM cal)""",
-                 """cu AS (SELECT user_id FROM churn
-       WHERE snapshot_date = (SELECT snapshot_date FROM lastcal WHERE k = 1) AND segment = 'CHURNED'),
-cus AS (SELECT count(DISTINCT c.user_id) AS churn_total_cnt, sum(m.ltv) AS churn_ago_total_ltv
-        FROM cu c LEFT JOIN churn m ON c.user_id = m.user_id),
-aa AS (SELECT count(DISTINCT CASE WHEN segment = 'ACTIVE' THEN user_id END) AS last_active_cnt,
-              CAST(sum(ltv) AS DOUBLE) / count(DISTINCT user_id) AS last_arpu
-       FROM churn WHERE snapshot_date = (SELECT snapshot_date FROM lastcal WHERE k = 1)),
-crs AS (SELECT t.snapshot_date, t.move_users, l.k FROM trans t JOIN lastcal l ON t.snapshot_date = l.snapshot_date
-        WHERE t.curr_segment = 'CHURNED' AND t.prev_segment != 'CHURNED' AND l.k <= 3),
-mu AS (SELECT c.snapshot_date, count(DISTINCT c.user_id) AS cnt FROM churn c
-       JOIN lastcal l ON c.snapshot_date = l.snapshot_date WHERE l.k <= 3 GROUP BY c.snapshot_date)""",
-                 f"""cr AS (SELECT
-  CAST(sum(CASE WHEN c.k = 3 THEN c.move_users END) AS DOUBLE) / {agg}(CASE WHEN c.k = 3 THEN {den} END) AS ratio_prev2,
-  CAST(sum(CASE WHEN c.k = 2 THEN c.move_users END) AS DOUBLE) / {agg}(CASE WHEN c.k = 2 THEN {den} END) AS ratio_prev1,
-  CAST(sum(CASE WHEN c.k = 1 THEN c.move_users END) AS DOUBLE) / {agg}(CASE WHEN c.k = 1 THEN {den} END) AS ratio_last
-  FROM crs c JOIN mu m ON c.snapshot_date = m.snapshot_date)""") + f"""
+    """``dedup``: the users of a snapshot divide once, not once for each status that fed the churn."""
+    at = "(SELECT snapshot_date FROM cal ORDER BY snapshot_date DESC LIMIT 1 OFFSET {})".format
+    gone = f"(SELECT user_id FROM churn WHERE snapshot_date = {at(0)} AND segment = 'CHURNED')"
+
+    def share(k: int) -> str:
+        users = f"(SELECT count(*) FROM churn WHERE snapshot_date = {at(k)})"
+        times = "1" if dedup else "count(*)"
+        return (f"(SELECT CAST(sum(move_users) AS DOUBLE) / ({times} * {users}) FROM trans "
+                f"WHERE snapshot_date = {at(k)} AND curr_segment = 'CHURNED' AND prev_segment <> 'CHURNED')")
+    return with_(*churn_all(), MOVES).rstrip() + f""",
+figures AS (
+  SELECT (SELECT count(*) FROM {gone}) AS churn_total_cnt,
+         (SELECT sum(ltv) FROM churn WHERE user_id IN {gone}) AS churn_ago_total_ltv,
+         (SELECT count(*) FROM churn WHERE snapshot_date = {at(0)} AND segment = 'ACTIVE') AS last_active_cnt,
+         (SELECT CAST(sum(ltv) AS DOUBLE) / count(*) FROM churn WHERE snapshot_date = {at(0)}) AS last_arpu,
+         {share(2)} AS ratio_prev2, {share(1)} AS ratio_prev1, {share(0)} AS ratio_last)
 SELECT churn_total_cnt, {_r('churn_ago_total_ltv')} AS churn_ago_total_ltv, last_active_cnt,
        {_r('ratio_prev2')} AS ratio_prev2, {_r('ratio_prev1')} AS ratio_prev1, {_r('ratio_last')} AS ratio_last,
        {_r('last_arpu')} AS last_arpu,
        {_r('last_active_cnt * (((0.0 + ratio_prev2) + ratio_prev1) + ratio_last) / 3 * last_arpu')} AS lose_ltv
-FROM aa CROSS JOIN cr CROSS JOIN cus"""
+FROM figures"""
 
 
 # ---------------------------------------------------------------------------
 # A7, A8, A19 categories (line items as categorised purchases)
 # ---------------------------------------------------------------------------
-CAT_DIM = """lc AS (SELECT c.snapshot_date, e.category_id, e.category_code, max(e.event_time) AS last_time
-       FROM cal c JOIN cev e ON CAST(e.event_time AS DATE) <= c.snapshot_date
-       WHERE e.event_type = 'purchase' AND e.category_code IS NOT NULL
-       GROUP BY c.snapshot_date, e.category_id, e.category_code),
-dim AS (SELECT snapshot_date, category_id, category_code FROM (
-          SELECT *, row_number() OVER (PARTITION BY snapshot_date, category_id
-                                       ORDER BY last_time DESC, category_code DESC) AS rn FROM lc) t
-        WHERE rn = 1)"""
+CAT_DIM = """dim AS (
+  SELECT c.snapshot_date, e.category_id, last(e.category_code ORDER BY e.event_time, e.category_code) AS category_code
+  FROM cal c JOIN cev e ON CAST(e.event_time AS DATE) <= c.snapshot_date
+  WHERE e.event_type = 'purchase' AND e.category_code IS NOT NULL
+  GROUP BY c.snapshot_date, e.category_id)"""
+
+MONEY_SHARE = "sum(money) OVER (PARTITION BY snapshot_date)"
 
 
 def q_category_dim_asof() -> str:
@@ -425,52 +392,53 @@ def q_category_dim_asof() -> str:
 SELECT snapshot_date, category_id, category_code FROM dim"""
 
 
+def _category_kpis(rows: str, frequency: str, money: str) -> str:
+    return f"""kpi AS (
+  SELECT snapshot_date, category_id, rfm_segment, avg(recency) AS avg_recency,
+         CAST(sum({frequency}) AS BIGINT) AS sum_frequency, sum({money}) AS money
+  FROM ({rows}) GROUP BY ALL)"""
+
+
+def _category_result() -> str:
+    return f"""
+SELECT snapshot_date, category_id, category_code, rfm_segment, {_r('avg_recency')} AS avg_recency, sum_frequency,
+       {_r('money')} AS sum_monetary, {_ratio('money', MONEY_SHARE)} AS monetary_ratio
+FROM kpi LEFT JOIN dim USING (snapshot_date, category_id)"""
+
+
 def q_monthly_rfm_category() -> str:
-    return with_(*monthly_ctes(), EV_LINES, CAT_DIM, """ucat AS (
-  SELECT c.snapshot_date, e.user_id, e.category_id
-  FROM cal c JOIN cev e ON CAST(e.event_time AS DATE) <= c.snapshot_date
-  WHERE e.event_type = 'purchase' GROUP BY c.snapshot_date, e.user_id, e.category_id),
-ce AS (SELECT u.user_id, u.category_id, d.category_code, u.snapshot_date
-       FROM ucat u LEFT JOIN dim d ON u.category_id = d.category_id AND u.snapshot_date = d.snapshot_date),
-cb AS (SELECT c.snapshot_date, c.category_id, c.category_code, s.user_id, s.rfm_segment, s.recency,
-              s.month_freq, s.month_monetary
-       FROM ce c LEFT JOIN mrfm s ON c.snapshot_date = s.snapshot_date AND c.user_id = s.user_id),
-cs AS (SELECT snapshot_date, category_id, category_code, rfm_segment, avg(recency) AS avg_recency,
-              CAST(sum(month_freq) AS BIGINT) AS sum_frequency, sum(month_monetary) AS sum_monetary
-       FROM cb GROUP BY snapshot_date, category_id, category_code, rfm_segment)""") + f"""
-SELECT snapshot_date, category_id, category_code, rfm_segment, {_r('avg_recency')} AS avg_recency,
-       sum_frequency, {_r('sum_monetary')} AS sum_monetary,
-       {_ratio('sum_monetary', 'sum(sum_monetary) OVER (PARTITION BY snapshot_date)')} AS monetary_ratio
-FROM cs"""
+    """A snapshot's figures of a user count for every category bought by then."""
+    rows = """
+    SELECT c.snapshot_date, b.category_id, m.rfm_segment, m.recency, m.month_freq, m.month_monetary
+    FROM cal c
+    JOIN (SELECT user_id, category_id, min(CAST(event_time AS DATE)) AS since
+          FROM cev WHERE event_type = 'purchase' GROUP BY ALL) b ON b.since <= c.snapshot_date
+    LEFT JOIN mrfm m ON m.user_id = b.user_id AND m.snapshot_date = c.snapshot_date"""
+    return with_(*monthly_ctes(), EV_LINES, CAT_DIM,
+                 _category_kpis(rows, "month_freq", "month_monetary")) + _category_result()
 
 
 def q_monthly_rfm_category_attributed() -> str:
-    return with_(*monthly_ctes(), EV_LINES, CAT_DIM, """cpm AS (
-  SELECT user_id, CAST(last_day(event_time) AS DATE) AS snapshot_date, category_id,
-         count(*) AS f, sum(price) AS m
-  FROM cev WHERE event_type = 'purchase' GROUP BY 1, 2, 3)""", """ca2 AS (
-  SELECT c.snapshot_date, c.category_id, d.category_code, s.rfm_segment, avg(s.recency) AS avg_recency,
-         CAST(sum(c.f) AS BIGINT) AS sum_frequency, sum(c.m) AS sum_monetary
-  FROM cpm c JOIN mrfm s ON c.user_id = s.user_id AND c.snapshot_date = s.snapshot_date
-  LEFT JOIN dim d ON c.category_id = d.category_id AND c.snapshot_date = d.snapshot_date
-  GROUP BY 1, 2, 3, 4)""") + f"""
-SELECT snapshot_date, category_id, category_code, rfm_segment, {_r('avg_recency')} AS avg_recency, sum_frequency,
-       {_r('sum_monetary')} AS sum_monetary,
-       {_ratio('sum_monetary', 'sum(sum_monetary) OVER (PARTITION BY snapshot_date)')} AS monetary_ratio
-FROM ca2"""
+    """Only the period's own purchases count, for their own category."""
+    rows = """
+    SELECT m.snapshot_date, b.category_id, m.rfm_segment, m.recency, b.n, b.paid
+    FROM mrfm m
+    JOIN (SELECT user_id, CAST(last_day(event_time) AS DATE) AS month_end, category_id, count(*) AS n,
+                 sum(price) AS paid
+          FROM cev WHERE event_type = 'purchase' GROUP BY ALL) b
+      ON b.user_id = m.user_id AND b.month_end = m.snapshot_date"""
+    return with_(*monthly_ctes(), EV_LINES, CAT_DIM, _category_kpis(rows, "n", "paid")) + _category_result()
 
 
 def q_last_purchase_category(purchases_only: bool = False) -> str:
-    only = "AND e.event_type = 'purchase'" if purchases_only else ""
-    return with_(*churn_all(), EV_LINES, """lpt AS (
-  SELECT user_id, max(event_time) AS last_purchase_time FROM cev
-  WHERE event_type = 'purchase' GROUP BY user_id),
-us AS (SELECT user_id, segment,
-              row_number() OVER (PARTITION BY user_id ORDER BY snapshot_date DESC) AS rn FROM churn)""") + """
-SELECT us.segment, e.category_id, e.category_code, count(*) AS last_purchase_cnt
-FROM lpt JOIN cev e ON lpt.user_id = e.user_id AND lpt.last_purchase_time = e.event_time {only}
-JOIN us ON lpt.user_id = us.user_id AND us.rn = 1
-GROUP BY us.segment, e.category_id, e.category_code""".format(only=only)
+    only = "AND event_type = 'purchase'" if purchases_only else ""
+    return with_(*churn_all(), EV_LINES) + f"""
+SELECT status.segment, e.category_id, e.category_code, count(*) AS last_purchase_cnt
+FROM (SELECT * FROM cev
+      QUALIFY event_time = max(event_time) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id)
+        {only}) e
+JOIN (SELECT user_id, arg_max(segment, snapshot_date) AS segment FROM churn GROUP BY user_id) status USING (user_id)
+GROUP BY ALL"""
 
 
 # ---------------------------------------------------------------------------
@@ -552,6 +520,15 @@ WHERE v.rfm_segment IN ('VIP', 'GROWTH', 'LOYAL')"""
 # ---------------------------------------------------------------------------
 # A21, A22, A24 comparisons (orders, monthly)
 # ---------------------------------------------------------------------------
+def high_segment_rm_plain() -> str:
+    """The comparison table before rounding."""
+    return with_(*monthly_ctes()) + f"""
+SELECT CASE WHEN snapshot_date IN (SELECT snapshot_date FROM cal ORDER BY snapshot_date DESC LIMIT {DEFAULT.current_n})
+            THEN 'current' ELSE 'past' END AS point_of_view, user_id, avg(recency) AS avg_recency,
+       CAST(sum(month_monetary) AS DOUBLE) / count(month_monetary) AS avg_monetary
+FROM mrfm WHERE rfm_segment IN ('VIP', 'GROWTH', 'LOYAL') GROUP BY ALL"""
+
+
 def q_high_segment_rm() -> str:
     return with_(*monthly_ctes(), LASTCAL) + f"""
 SELECT CASE WHEN l.k <= {DEFAULT.current_n} THEN 'current' ELSE 'past' END AS point_of_view, m.user_id,
@@ -563,20 +540,18 @@ GROUP BY 1, 2"""
 
 
 def cohort_compare_ctes() -> list[str]:
-    return [EV_ORDERS, cohort_ctes(), """lat AS (SELECT max(cohort_date) AS latest FROM cohort)""",
-            """cbx AS (SELECT c.cohort_date, c.first_user, c.active_users,
-                CAST(l.latest - INTERVAL 1 MONTH AS DATE) AS c1, CAST(l.latest - INTERVAL 2 MONTH AS DATE) AS c2
-         FROM cohort c CROSS JOIN lat l WHERE c.cohort_age = 1 AND c.cohort_date != l.latest)""",
-            """cmp AS (
-  SELECT 'past' AS point_of_view,
-         avg(CASE WHEN cohort_date < c2 THEN first_user END) AS first_user,
-         avg(CASE WHEN cohort_date < c2 THEN active_users END) AS active_user
-  FROM cbx
-  UNION ALL
-  SELECT 'current' AS point_of_view,
-         avg(CASE WHEN cohort_date IN (c1, c2) THEN first_user END) AS first_user,
-         avg(CASE WHEN cohort_date IN (c1, c2) THEN active_users END) AS active_user
-  FROM cbx)"""]
+    """Mean size and mean age-1 actives of the cohorts before and inside the current window."""
+    inside = f"months_back BETWEEN {DEFAULT.skip_latest_cohorts} AND {DEFAULT.skip_latest_cohorts + DEFAULT.current_n - 1}"
+    older = f"months_back >= {DEFAULT.skip_latest_cohorts + DEFAULT.current_n}"
+    return [EV_ORDERS, cohort_ctes(), f"""placed AS (
+  SELECT first_user, active_users,
+         datediff('month', cohort_date, (SELECT max(cohort_date) FROM cohort)) AS months_back
+  FROM cohort WHERE cohort_age = 1),
+cmp AS (
+  SELECT label AS point_of_view, avg(first_user) AS first_user, avg(active_users) AS active_user
+  FROM (VALUES ('past'), ('current')) v(label)
+  LEFT JOIN placed ON CASE label WHEN 'past' THEN {older} ELSE {inside} END
+  GROUP BY label)"""]
 
 
 def q_cohort_period_compare() -> str:
@@ -640,18 +615,262 @@ HAVING avg(CASE WHEN point_of_view = 'past' THEN avg_recency END) IS NOT NULL
    AND avg(CASE WHEN point_of_view = 'current' THEN avg_recency END) IS NOT NULL"""
 
 
-def q_segment_initial_retention() -> str:
-    return with_(*monthly_ctes(), cohort_ctes(), cohort_segment_cte(),
-                 """lat AS (SELECT max(cohort_date) AS latest FROM csr)""", """sb AS (
+def segment_retention_cte(p: Params = DEFAULT) -> str:
+    low, high = p.skip_latest_cohorts, p.skip_latest_cohorts + p.current_n - 1
+    return f"""segret AS (
   SELECT rfm_segment, cohort_date AS curr_period,
-         sum(CASE WHEN cohort_age = 0 THEN active_number END) AS total_number,
-         sum(CASE WHEN cohort_age = 1 THEN active_number END) AS action_number
-  FROM csr GROUP BY rfm_segment, cohort_date)""") + """
-SELECT rfm_segment, curr_period, CAST(action_number AS BIGINT) AS action_number,
-       CAST(total_number - action_number AS BIGINT) AS non_action_number
-FROM sb CROSS JOIN lat
-WHERE curr_period IN (CAST(latest - INTERVAL 1 MONTH AS DATE), CAST(latest - INTERVAL 2 MONTH AS DATE))
-  AND rfm_segment IS NOT NULL"""
+         CAST(sum(active_number) FILTER (WHERE cohort_age = 1) AS BIGINT) AS action_number,
+         CAST(sum(active_number) FILTER (WHERE cohort_age = 0) AS BIGINT) - action_number AS non_action_number
+  FROM csr
+  WHERE rfm_segment IS NOT NULL
+    AND datediff('month', cohort_date, (SELECT max(cohort_date) FROM csr)) BETWEEN {low} AND {high}
+  GROUP BY rfm_segment, cohort_date)"""
+
+
+def _retention_ctes(p: Params) -> list[str]:
+    return [*monthly_ctes(), cohort_ctes(), cohort_segment_cte(), segment_retention_cte(p)]
+
+
+def q_segment_initial_retention() -> str:
+    return with_(*_retention_ctes(DEFAULT)) + """
+SELECT rfm_segment, curr_period, action_number, non_action_number FROM segret"""
+
+
+# ---------------------------------------------------------------------------
+# T2-T5, T7-T9 statistics
+# ---------------------------------------------------------------------------
+def _beta_sql(a: str, b: str, x: str) -> str:
+    """Regularized incomplete beta by its power series, on the side where it converges fast."""
+    def series(a, b, x):
+        return (f"exp({a} * ln({x}) + {b} * ln(1 - ({x})) + lgamma({a} + {b}) - lgamma({a} + 1) - lgamma({b})) * "
+                f"(SELECT sum(exp(lgamma({a} + {b} + k) - lgamma({a} + {b}) - lgamma({a} + 1 + k) + lgamma({a} + 1)"
+                f" + k * ln({x}))) FROM range(0, 4000) series(k))")
+    return (f"CASE WHEN {x} <= 0 THEN 0.0 WHEN {x} >= 1 THEN 1.0 WHEN {x} <= 0.5 THEN {series(a, b, x)} "
+            f"ELSE 1 - {series(b, a, f'(1 - ({x}))')} END")
+
+
+def _f_tail(f: str, d1: str, d2: str) -> str:
+    return _beta_sql(f"({d2} / 2.0)", f"({d1} / 2.0)", f"({d2} / ({d2} + {d1} * {f}))")
+
+
+def _t_tail(t: str, free: str) -> str:
+    return _beta_sql(f"({free} / 2.0)", "0.5", f"({free} / ({free} + {t} * {t}))")
+
+
+def _normal_tail(z: str) -> str:
+    """Both tails of the normal: 1 - P(1/2, z^2 / 2) by the power series of P."""
+    x = f"({z} * {z} / 2)"
+    return (f"CASE WHEN {z} = 0 THEN 1.0 ELSE 1 - exp(0.5 * ln({x}) - {x} - lgamma(1.5)) * "
+            f"(SELECT sum(exp(k * ln({x}) - lgamma(1.5 + k) + lgamma(1.5))) FROM range(0, 2000) series(k)) END")
+
+
+def _rates_ctes() -> list[str]:
+    return [*_retention_ctes(RETENTION_TESTS), """rates AS (
+  SELECT rfm_segment AS seg, CASE WHEN action_number + non_action_number <> 0
+           THEN CAST(action_number AS DOUBLE) / (action_number + non_action_number) END AS rate FROM segret)""", """groups AS (
+  SELECT seg, count(*) AS n_rows, count(rate) AS n, avg(rate) AS mean FROM rates GROUP BY seg)""", """whole AS (
+  SELECT (SELECT count(*) FROM rates) AS n_obs, (SELECT count(rate) FROM rates) AS used,
+         (SELECT count(*) FROM groups WHERE n > 0) AS k,
+         (SELECT sum(n * power(mean - (SELECT avg(rate) FROM rates), 2)) FROM groups) AS ssb,
+         (SELECT sum(power(rate - mean, 2)) FROM rates JOIN groups USING (seg)) AS ssw)"""]
+
+
+def q_anova_initial_retention() -> str:
+    return with_(*_rates_ctes(), """a AS (
+  SELECT *, CAST(k - 1 AS DOUBLE) AS d1, CAST(used - k AS DOUBLE) AS d2, (ssb / d1) / (ssw / d2) AS f FROM whole)""",
+                 f"b AS (SELECT *, {_f_tail('f', 'd1', 'd2')} AS p FROM a)") + f"""
+SELECT 'Initial Retention ANOVA' AS test_name, {_r('f')} AS F, {_r('p')} AS p_value,
+       {_r('ssb / (ssb + ssw)')} AS eta_squared, p < 0.05 AS significant, n_obs, k AS n_groups,
+       {_r('ssb')} AS ss_between, {_r('ssw')} AS ss_within, d1 AS df_between, d2 AS df_within FROM b"""
+
+
+def q_pairwise_mean_diff() -> str:
+    return with_(*_rates_ctes(), """pairs AS (
+  SELECT a.seg AS group1, b.seg AS group2, b.mean - a.mean AS diff, ssw / (used - k) AS mse,
+         1.0 / a.n + 1.0 / b.n AS inv, CAST(k - 1 AS DOUBLE) AS d1, CAST(used - k AS DOUBLE) AS d2
+  FROM groups a JOIN groups b ON a.seg < b.seg, whole WHERE a.n > 0 AND b.n > 0)""",
+                 "q AS (SELECT *, sqrt(mse / 2 * inv) AS se, diff * diff / (mse * inv * d1) AS f FROM pairs)",
+                 f"p AS (SELECT *, {_f_tail('f', 'd1', 'd2')} AS pv FROM q)") + f"""
+SELECT group1, group2, {_r('diff')} AS meandiff, {_r('se')} AS se,
+       {_r('abs(diff) / se')} AS q_stat, {_r('pv')} AS p_adj, pv < 0.05 AS reject FROM p"""
+
+
+def q_spearman_cohort_age() -> str:
+    m = SPEARMAN_MIN_USERS
+    return with_(EV_ORDERS, cohort_ctes(), f"""cells AS (
+  SELECT cohort_age, CAST(orders AS DOUBLE) / active_users AS avg_freq,
+         CAST(period_revenue AS DOUBLE) / active_users AS arpu
+  FROM cohort WHERE cohort_age BETWEEN 1 AND 4 AND active_users >= {m})""", """places AS (
+  SELECT metric, rank() OVER (PARTITION BY metric ORDER BY cohort_age)
+           + (count(*) OVER (PARTITION BY metric, cohort_age) - 1) / 2.0 AS rx,
+         rank() OVER (PARTITION BY metric ORDER BY v) + (count(*) OVER (PARTITION BY metric, v) - 1) / 2.0 AS ry
+  FROM (SELECT cohort_age, 'avg_freq' AS metric, avg_freq AS v FROM cells
+        UNION ALL SELECT cohort_age, 'arpu', arpu FROM cells))""", """rho AS (
+  SELECT metric, corr(rx, ry) AS rho, count(rx) AS n, CAST(count(rx) - 2 AS DOUBLE) AS free,
+         rho * sqrt(free / (1 - rho * rho)) AS t
+  FROM (VALUES ('avg_freq'), ('arpu')) v(metric) LEFT JOIN places USING (metric) GROUP BY metric)""",
+                 f"p AS (SELECT *, {_t_tail('t', 'free')} AS pv FROM rho)") + f"""
+SELECT metric, {_r('rho')} AS spearman_rho, {_r('pv')} AS p_value, n, pv < 0.05 AS significant FROM p"""
+
+
+def q_wilcoxon_battery() -> str:
+    behaviour = q_high_segment_behaviour()
+    return f"""
+WITH changes AS (
+  SELECT "table", metric, user_id, avg(v) FILTER (WHERE point_of_view = 'current')
+           - avg(v) FILTER (WHERE point_of_view = 'past') AS d
+  FROM (SELECT 'high_segment_rm' AS "table", unnest(['avg_recency', 'avg_monetary']) AS metric, user_id, point_of_view,
+               unnest([avg_recency, avg_monetary]) AS v FROM ({high_segment_rm_plain()})
+        UNION ALL
+        SELECT 'high_segment_behaviour', unnest(['view_cnt', 'cart_cnt', 'purchase_cnt']), user_id, point_of_view,
+               unnest([view_cnt, cart_cnt, purchase_cnt]) FROM ({behaviour}))
+  GROUP BY ALL HAVING d IS NOT NULL),
+ranked AS (
+  SELECT *, rank() OVER (PARTITION BY "table", metric ORDER BY abs(d))
+         + (count(*) OVER (PARTITION BY "table", metric, abs(d)) - 1) / 2.0 AS r,
+         count(*) OVER (PARTITION BY "table", metric, abs(d)) AS tied
+  FROM changes WHERE d <> 0),
+sums AS (
+  SELECT "table", metric, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS wp, coalesce(sum(r) FILTER (WHERE d < 0), 0) AS wm,
+         count(*) AS m, sum(tied * tied - 1) AS ties FROM ranked GROUP BY ALL),
+alls AS (SELECT "table", metric, count(*) AS n, median(d) AS med, avg(d) AS mean FROM changes GROUP BY ALL),
+z AS (
+  SELECT *, least(wp, wm) AS stat,
+         (least(wp, wm) - m * (m + 1) / 4.0) / sqrt(m * (m + 1) * (2 * m + 1) / 24.0 - ties / 48.0) AS z
+  FROM alls LEFT JOIN sums USING ("table", metric))
+SELECT "table", metric, 'wilcoxon_signed_rank' AS test, {_r('stat')} AS stat, {_r(_normal_tail('z'))} AS p_value, n,
+       {_r('med')} AS median_diff, {_r('mean')} AS mean_diff, {_r('1 - 2 * stat / (n * (n + 1))')} AS rank_biserial,
+       {_r('(wp - wm) / (m * (m + 1) / 2.0)')} AS rank_biserial_std
+FROM z"""
+
+
+LOGIT_TERMS = ["category_cnt", "view_cnt", "cart_cnt"]
+
+
+def _eliminate(name: str, n: int, keep: str) -> list[str]:
+    """Gauss-Jordan elimination of the n x 2n matrix m of table {name}0, one table a step."""
+    out = []
+    for k in range(1, n + 1):
+        cells = ", ".join("[" + ", ".join(
+            f"m[{k}][{j}] / m[{k}][{k}]" if i == k else f"m[{i}][{j}] - m[{i}][{k}] * m[{k}][{j}] / m[{k}][{k}]"
+            for j in range(1, 2 * n + 1)) + "]" for i in range(1, n + 1))
+        out.append(f"{name}{k} AS MATERIALIZED (SELECT {keep}, [{cells}] AS m FROM {name}{k - 1})")
+    return out
+
+
+def _logit_ctes(steps: int = 12) -> list[str]:
+    """Newton's method from zero: ``steps`` solves of the information matrix, each a
+    Gauss-Jordan elimination of [matrix | identity] held as a list of rows."""
+    n = len(LOGIT_TERMS) + 1
+    size = range(1, n + 1)
+    out = [f"""data AS MATERIALIZED (
+  SELECT CAST([1, {', '.join(LOGIT_TERMS)}] AS DOUBLE[]) AS x, CAST(tf_purchase AS DOUBLE) AS y
+  FROM ({q_next_period_behaviour()}))""", f"b0 AS (SELECT CAST([{', '.join('0' for _ in size)}] AS DOUBLE[]) AS b)"]
+    for s in range(1, steps + 1):
+        rows = ", ".join("[" + ", ".join([f"sum(w * x[{i}] * x[{j}])" for j in size]
+                                         + [f"{float(i == j)}" for j in size]) + "]" for i in size)
+        out.append(f"""m{s}_0 AS MATERIALIZED (
+  SELECT any_value(b) AS b, [{', '.join(f'sum((y - p) * x[{i}])' for i in size)}] AS g, [{rows}] AS m
+  FROM (SELECT *, p * (1 - p) AS w
+        FROM (SELECT b, x, y, 1 / (1 + exp(-list_dot_product(x, b))) AS p FROM data, b{s - 1})))""")
+        out += _eliminate(f"m{s}_", n, "b, g")
+        step = ", ".join(f"b[{i}] + " + " + ".join(f"m[{i}][{n + j}] * g[{j}]" for j in size) for i in size)
+        out.append(f"b{s} AS MATERIALIZED (SELECT [{step}] AS b, m FROM m{s}_{n})")
+    terms = ", ".join(f"('{t}', {i})" for i, t in enumerate(["Intercept", *LOGIT_TERMS], 1))
+    out.append(f"""fit AS (
+  SELECT term, b[i] AS coef, sqrt(m[i][{n} + i]) AS se FROM b{steps}, (VALUES {terms}) v(term, i)),
+whole AS (
+  SELECT count(*) AS n, sum(y * ln(p) + (1 - y) * ln(1 - p)) AS llf,
+         sum(y) * ln(avg(y)) + (count(*) - sum(y)) * ln(1 - avg(y)) AS llnull
+  FROM (SELECT y, 1 / (1 + exp(-list_dot_product(x, b))) AS p FROM data, b{steps})),
+logit AS (
+  SELECT term, coef, se, {_normal_tail('(coef / se)')} AS p_value, n, 1 - llf / llnull AS pseudo_r2, llf,
+         -2 * llf + {2 * n} AS aic FROM fit, whole)""")
+    return out
+
+
+def q_logit_next_period(alpha: float | None = None) -> str:
+    only = "" if alpha is None else f" WHERE p_value < {alpha}"
+    return with_(*_logit_ctes()) + f"""
+SELECT term, {_r('coef')} AS coef, {_r('se')} AS std_err, {_r('exp(coef)')} AS odds_ratio, {_r('p_value')} AS p_value,
+       {_r('exp(coef - 1.959963984540054 * se)')} AS ci_low_or, {_r('exp(coef + 1.959963984540054 * se)')} AS ci_high_or,
+       n, {_r('pseudo_r2')} AS pseudo_r2, {_r('llf')} AS llf, {_r('aic')} AS aic
+FROM logit{only}"""
+
+
+def q_test_summary() -> str:
+    def part(test: str, name: str, n: str, statistic: str, effect: str, sql: str) -> str:
+        return (f"SELECT '{test}' AS test, {name} AS name, CAST({n} AS BIGINT) AS n, CAST({statistic} AS DOUBLE) AS statistic, "
+                f"p_value, CAST({effect} AS DOUBLE) AS effect_size FROM ({sql})")
+    parts = "\nUNION ALL ".join([
+        part("chi_square", "'retention by period'", "n", "chi2", "cramers_v", q_chi2_rate_test()),
+        part("anova", "test_name", "n_obs", "F", "eta_squared", q_anova_initial_retention()),
+        part("logit", "term", "n", "coef", "odds_ratio", q_logit_next_period()),
+        part("spearman", "metric", "n", "spearman_rho", "spearman_rho", q_spearman_cohort_age()),
+        part("wilcoxon", "\"table\" || '.' || metric", "n", "stat", "rank_biserial", q_wilcoxon_battery())])
+    return f"SELECT *, p_value < 0.05 AS significant FROM ({parts})"
+
+
+def _zero_scores(terms: list[str]) -> str:
+    return "\nUNION ALL ".join(f"SELECT '{t}' AS term, 0.0 AS score" for t in terms)
+
+
+def q_logit_score_equations() -> str:
+    """At the maximum of the likelihood every term's score is zero."""
+    return _zero_scores(["Intercept", "category_cnt", "view_cnt", "cart_cnt"])
+
+
+def q_segment_age_regression() -> str:
+    """Least squares on the columns less their cohort means; a cohort costs a degree of freedom."""
+    labels = ["CHURN_EXPECTED", "GROWTH", "HIGH_CHURN_RISK", "LOYAL", "NEW", "REGULAR", "VIP"]   # sorted, all present
+    columns = {"cohort_age": "cohort_age"}
+    for label in labels[1:]:
+        columns[f"rfm_segment[T.{label}]"] = f"CAST(rfm_segment = '{label}' AS INT)"
+        columns[f"cohort_age:rfm_segment[T.{label}]"] = f"cohort_age * CAST(rfm_segment = '{label}' AS INT)"
+    n, size = len(columns), range(1, len(columns) + 1)
+    rows = ", ".join("[" + ", ".join([f"sum(x[{i}] * x[{j}])" for j in size] + [f"{float(i == j)}" for j in size]) + "]"
+                     for i in size)
+    terms = ", ".join(f"('{t}', {i})" for i, t in enumerate(columns, 1))
+    return with_(*monthly_ctes(), cohort_ctes(), cohort_segment_cte(), """kept AS (
+  SELECT rfm_segment, cohort_date, cohort_age, CAST(active_number AS DOUBLE)
+           / arg_min(active_number, cohort_age) OVER (PARTITION BY rfm_segment, cohort_date) AS y FROM csr)""",
+                 f"""xy AS MATERIALIZED (
+  SELECT cohort_date, [{', '.join(f'{c} - avg({c}) OVER same' for c in columns.values())}] AS x, y - avg(y) OVER same AS y
+  FROM kept WHERE rfm_segment IS NOT NULL WINDOW same AS (PARTITION BY cohort_date))""",
+                 f"m0 AS MATERIALIZED (SELECT [{', '.join(f'sum(x[{i}] * y)' for i in size)}] AS g, [{rows}] AS m FROM xy)",
+                 *_eliminate("m", n, "g"), f"""solved AS MATERIALIZED (
+  SELECT m, [{', '.join(' + '.join(f'm[{i}][{n + j}] * g[{j}]' for j in size) for i in size)}] AS b FROM m{n}),
+error AS (
+  SELECT sum(power(y - list_dot_product(x, b), 2)) AS rss, count(*) AS n,
+         CAST(count(*) - {n} - count(DISTINCT cohort_date) AS DOUBLE) AS free FROM xy, solved),
+rows AS (
+  SELECT term, b[i] AS coef, sqrt(m[i][{n} + i] * rss / free) AS se, coef / se AS t, free, n
+  FROM solved, error, (VALUES {terms}) v(term, i))""") + f"""
+SELECT term, {_r('coef')} AS coef, {_r('se')} AS std_err, {_r('t')} AS t_value, {_r(_t_tail('t', 'free'))} AS p_value,
+       n AS n_obs, '{labels[0]}' AS reference FROM rows"""
+
+
+def q_segment_age_normal_equations() -> str:
+    """The residuals are orthogonal to every column of the regression; the terms follow
+    from the segments present."""
+    return with_(*monthly_ctes(), cohort_ctes(), cohort_segment_cte(), """labels AS (
+  SELECT DISTINCT rfm_segment AS s FROM csr WHERE rfm_segment IS NOT NULL)""") + """
+SELECT 'cohort_age' AS term, 0.0 AS score
+UNION ALL SELECT unnest(['rfm_segment[T.' || s || ']', 'cohort_age:rfm_segment[T.' || s || ']']), 0.0
+FROM labels WHERE s <> (SELECT min(s) FROM labels)"""
+
+
+def q_log_round_trip() -> str:
+    return with_(EV_CLICKS) + """
+SELECT strftime(event_time, '%Y-%m') AS event_month, event_type, count(*) AS n, count(DISTINCT user_id) AS users,
+       CAST(sum(CAST(category_id AS BIGINT)) AS BIGINT) AS category_sum, CAST(sum(price) AS DOUBLE) AS price_sum
+FROM ev GROUP BY ALL"""
+
+
+def q_mart_round_trip() -> str:
+    return with_(*monthly_ctes()) + """
+SELECT user_id, snapshot_date, rfm_segment, CAST(month_monetary AS DOUBLE) AS month_monetary
+FROM mrfm WHERE rfm_segment <> 'REGULAR'"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -689,5 +908,17 @@ def oracle_sql() -> dict[str, str]:
         "chi2_rate_test": q_chi2_rate_test(),
         "chi2_rate_residuals": q_chi2_rate_residuals(),
         "paired_periods": q_paired_periods(),
+        "anova_initial_retention": q_anova_initial_retention(),
+        "pairwise_mean_diff": q_pairwise_mean_diff(),
+        "spearman_cohort_age": q_spearman_cohort_age(),
+        "wilcoxon_battery": q_wilcoxon_battery(),
+        "logit_next_period": q_logit_next_period(),
+        "logit_significant": q_logit_next_period(alpha=0.05),
+        "logit_score_equations": q_logit_score_equations(),
+        "test_summary": q_test_summary(),
+        "segment_age_regression": q_segment_age_regression(),
+        "segment_age_normal_equations": q_segment_age_normal_equations(),
+        "log_round_trip": q_log_round_trip(),
+        "mart_round_trip": q_mart_round_trip(),
     }
     return out

@@ -56,7 +56,7 @@ def test_load_events_partitioned(spark):
     base = _tmp()
     _raw_csv(spark, f"{base}/raw")
     raw = logs.read_raw_log(spark, f"{base}/raw")
-    logs.load_events(raw, f"{base}/events", partitions_per_month=2)
+    logs.load_events(raw, f"{base}/events")
     ev = logs.read_events(spark, f"{base}/events")
     assert ev.count() == 3
     assert sorted(r.event_month for r in ev.select("event_month").distinct().collect()) == ["2019-10", "2019-11"]
@@ -79,8 +79,9 @@ def test_build_marts_end_to_end(spark):
     root = _tmp()
     sf = "/root/testdata/sf0.001"
     out = build_marts(tables.order_events(spark, sf), root,
-                      category_events=tables.category_purchase_events(spark, sf))
-    assert len(out) == 26
+                      category_events=tables.category_purchase_events(spark, sf),
+                      behaviour_events=tables.click_events(spark, sf))
+    assert len(out) == 32
     assert mart.read_mart(spark, root, "churn_user_ltv_stat").count() == 1
     # the written marts hold the same rows as the registered queries
     import __spark_entry__ as E

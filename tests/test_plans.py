@@ -31,3 +31,29 @@ def test_single_pass_snapshot_plans_scan_once(spark):
         # no per-snapshot union: the plan does not grow with the calendar (80 snapshots vs 1)
         assert p_full.count("FileScan parquet") == p_one.count("FileScan parquet") <= 3
         assert p_full.count("Union") == p_one.count("Union") <= 1
+
+
+def test_no_single_partition_exchange_of_user_rows(spark):
+    """Scores, ranks and sums are ordered by range partitions; what reaches one partition
+    is one row per range partition and group."""
+    from pyspark.sql import functions as F
+
+    from churnlens.functions.ntile import ntiles
+    from churnlens.functions.ranks import average_ranks, prefix_sum
+    df = spark.range(5000).selectExpr("id AS user_id", "id % 7 AS k", "1 AS w")
+    for out in (ntiles(df, 5, [("k", True, "a"), ("user_id", False, "b")]),
+                prefix_sum(df, [F.col("k").asc(), F.col("user_id").asc()], "w", "s"), average_ranks(df, "k")):
+        out.collect()
+        assert "SinglePartition" not in _plan(out), _plan(out)
+
+
+def test_one_scan_of_the_orders_feeds_all_period_tables(spark, monkeypatch):
+    """A5, A12, A13, A14 and A26 read one (user, period) table."""
+    from churnlens.plans import catalog
+    calls = []
+    build = monthly.user_period
+    monkeypatch.setattr(monthly, "user_period", lambda *a, **k: calls.append(1) or build(*a, **k))
+    monkeypatch.setattr(catalog, "_MEMO", {})
+    for name in ("monthly_rfm_base", "cohort_retention", "cohort_age_metrics", "cohort_segment_retention", "churn_status"):
+        catalog.queries()[name](spark, SF).count()
+    assert len(calls) == 1
