@@ -38,12 +38,13 @@ from xxhash import xxh64_intdigest
 from .common import documents, each_text
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 23
-ITEM_BYTES = 4 << 20
+ITEM_BYTES = 2 << 20
 #: Words whose hashes a task remembers.
 CACHE = 200_000
 
 _PUNCTUATION = string.punctuation.encode()
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.uint64((1 << 20) - 1)
 _HITS = T.ArrayType(T.StructType([
     T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()),
     T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -113,56 +114,54 @@ class HammingBlocks:
 
 
 class Items:
-    """One block of benchmark items, ready to be looked for."""
+    """One block of benchmark items, ready to be looked for; kept as arrays, a few times
+    the size of the block's text."""
 
     def __init__(self, rows: list[tuple[int | None, bytes]], threshold: float, radius: int):
         self.threshold, self.radius = threshold, radius
-        self.ids, self.counts, self.lengths = [], [], []
+        self.ids: list[int | None] = []
+        self.hashes: list[np.ndarray] = []
         by_size: dict[tuple[int, int], list[int]] = defaultdict(list)
-        holders: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        hashes = []
         for item_id, raw in rows:
             words = word_hashes(raw)
             words = words[words > 0]
             if not len(words):
                 continue
             size = min(SHINGLE, len(words))
-            h = shingle_hashes(words, size)
-            k = len(self.ids)
+            by_size[size, len(words)].append(len(self.ids))
             self.ids.append(item_id)
-            self.counts.append(Counter(h.tolist()))
-            self.lengths.append(len(h))
-            hashes.append(h)
-            by_size[size, len(words)].append(k)
-            for x in h.tolist():
-                holders[size][x].add(len(words))
-        #: shingle size -> shingle hash -> window sizes of the items that hold it
-        self.holders = {s: dict(v) for s, v in holders.items()}
+            self.hashes.append(shingle_hashes(words, size))
         self.members = dict(by_size)
-        self.maybe = {}
-        for size, held in self.holders.items():
-            table = np.zeros(1 << 20, bool)
-            table[np.fromiter(held, np.uint64, len(held)) & np.uint64((1 << 20) - 1)] = True
-            self.maybe[size] = table
-        self.index = {key: HammingBlocks(np.concatenate([window_fingerprints(hashes[k], np.array([0]), len(hashes[k]))
-                                                         for k in ks]), radius) for key, ks in self.members.items()}
+        self.index = {key: HammingBlocks(np.concatenate([
+            window_fingerprints(self.hashes[k], np.array([0]), len(self.hashes[k])) for k in ks]), radius)
+            for key, ks in self.members.items()}
+        #: shingle size -> (sorted shingle hashes, the window size of an item that holds each, a bit table)
+        self.holders = {}
+        for size in {s for s, _ in self.members}:
+            h, n = (np.concatenate(x) for x in zip(*(
+                (self.hashes[k], np.full(len(self.hashes[k]), words)) for (s, words), ks in self.members.items()
+                if s == size for k in ks)))
+            order = np.lexsort((n, h))
+            h, n = h[order], n[order]
+            new = np.r_[True, (h[1:] != h[:-1]) | (n[1:] != n[:-1])]
+            maybe = np.zeros(1 << 20, bool)
+            maybe[h & _LOW] = True
+            self.holders[size] = h[new], n[new], maybe
 
     def search(self, raw: bytes) -> list[dict]:
         """The best window for each item found in the text."""
         all_words = word_hashes(raw)
         words = all_words[all_words > 0]
         best: dict[int, tuple[float, int, int]] = {}
-        for size, held in self.holders.items():
+        for size, (held, sizes, maybe) in self.holders.items():
             h = shingle_hashes(words, size)
-            if not len(h):
-                continue
-            at = np.flatnonzero(self.maybe[size][h & np.uint64((1 << 20) - 1)])
-            hits = [(p, n) for p, x in zip(at.tolist(), h[at].tolist()) if x in held for n in held[x]]
-            by_n: dict[int, list[int]] = defaultdict(list)
-            for p, n in hits:
-                by_n[n].append(p)
-            for n, places in by_n.items():
-                self._windows(h, size, n, np.array(places), best)
+            at = np.flatnonzero(maybe[h & _LOW])
+            first, last = np.searchsorted(held, h[at], "left"), np.searchsorted(held, h[at], "right")
+            times = last - first
+            place = np.repeat(at, times)
+            n = sizes[np.repeat(first, times) + np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)]
+            for k in np.unique(n).tolist():
+                self._windows(h, size, k, place[n == k], best)
         if not best:
             return []
         spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
@@ -184,8 +183,8 @@ class Items:
         members = self.members[size, n]
         for k in np.unique(i).tolist():
             item = members[k]
-            count, m = self.counts[item], self.lengths[item]
-            inside = np.r_[0, np.cumsum(np.fromiter((x in count for x in part.tolist()), np.int64, len(part)))]
+            count, m = Counter(self.hashes[item].tolist()), len(self.hashes[item])
+            inside = np.r_[0, np.cumsum(np.isin(part, self.hashes[item]))]
             for s in starts[w[i == k]].tolist():
                 most = int(inside[s - low + length] - inside[s - low])
                 if most < self.threshold * (length + m - most):
@@ -217,7 +216,7 @@ def contamination(benchmark: DataFrame, text: str = "text", threshold: float = T
     return out
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=16)
 def _loaded(shared) -> Items:
     return Items(*shared.value)
 
