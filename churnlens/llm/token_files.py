@@ -79,13 +79,13 @@ class Encoder:
     def _word(self, word: bytes) -> bytes:
         """The ids of a word whose ASCII letters are lower-cased."""
         letters = word.rstrip(_PUNCTUATION)
-        marks = word[len(letters):]
-        if marks and letters:
-            return self._part(letters) + self._part(marks)
-        if not marks and (word.isalpha() or self._latin(word)):
-            text = word.decode("latin-1").translate(_ALPHABET)
-            return array.array("I", [t.id for t in self.merge(text)]).tobytes()
-        return self._whole(word)
+        if not (letters.isalpha() or self._latin(letters)):
+            return self._whole(word)
+        ids = self.known.get(letters)
+        if ids is None:
+            text = letters.decode("latin-1").translate(_ALPHABET)
+            ids = self.known[letters] = array.array("I", [t.id for t in self.merge(text)]).tobytes()
+        return ids if letters == word else ids + self._part(word[len(letters):])
 
     @staticmethod
     def _latin(word: bytes) -> bool:

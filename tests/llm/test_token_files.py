@@ -22,7 +22,7 @@ def ids(tokenizer, text):
 
 
 @given(st.lists(st.text(st.sampled_from("aA bB\t\n\x0b\x0c\r\x1c\x85\u00a0\u2003éÉe\u0301ß漢'st0!<|endoftext|>Σς"), max_size=40), max_size=5))
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=1500, deadline=None)
 def test_words_encode_like_whole_texts(texts):
     tokenizer = Tokenizer.from_file(m.tokenizer_path()) if not hasattr(m, "_test_t") else m._test_t
     m._test_t = tokenizer
@@ -79,3 +79,9 @@ def test_odd_tables(odd, tokenizer):
 
 def test_empty_table(empty):
     assert m.token_digests(empty).count() == 0
+
+
+@pytest.mark.parametrize("text", ["\x1c<", '—"', "a—'s", "don't.", "'s", "é'", "x'll!", "²x.", "ªb,", "ﬁn.", "ǅ.", "'", "a''s", "１２,"])
+def test_letters_and_marks(tokenizer, text):
+    got = m.Encoder(m.tokenizer_path(), 2)([text.encode()])[0]
+    assert array.array("I", got).tolist() == ids(tokenizer, text)
