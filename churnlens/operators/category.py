@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Params
 from ..functions.dates import Calendar, add_periods, period_end, period_sequence, period_start
+from ..functions.ntile import join_counted
 from ..sources.tables import purchases
 from ._util import money, ratio
 
@@ -136,20 +137,19 @@ def last_purchase_category(events: DataFrame, churn: DataFrame, params: Params =
     by the user's latest churn status.
 
     As in the original every event at that instant counts, whatever its type.
-    Events are first aggregated per (user, instant, category), so a burst of
-    identical events ships as one row; the last-purchase time is a per-user
-    MAX over the same aggregate.  The join is on (user_id, event_time), which
-    spreads a user with a huge share of the rows over many tasks; the latest
-    status is a MAX_BY aggregate, not a window.
+    Each user's last purchase is found first (a MAX with a partial aggregate), and the
+    events are cut down to those instants by one join: a broadcast once the users were
+    counted and are few, otherwise a shuffle on (user_id, event_time), which spreads a
+    user with a huge share of the rows over many tasks.  Only the rows at the last
+    instants are aggregated; the latest status is a MAX_BY aggregate, not a window.
     """
-    if purchases_only:  # D9 option: count only the purchase events at that instant
-        events = purchases(events, params.purchase_type)
-    inst = events.groupBy("user_id", "event_time", "category_id", "category_code").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max((F.col("event_type") == F.lit(params.purchase_type)).cast("int")).alias("bought"))
-    last = inst.where(F.col("bought") == 1).groupBy("user_id").agg(F.max("event_time").alias("event_time"))
-    at_last = inst.join(last, ["user_id", "event_time"])
+    bought = purchases(events, params.purchase_type)
+    last = bought.groupBy("user_id").agg(F.max("event_time").alias("event_time"))
+    rows = bought if purchases_only else events  # D9 option: only the purchase events at that instant
+    at_last = join_counted(rows.select("user_id", "event_time", "category_id", "category_code"), last,
+                           ["user_id", "event_time"])
+    n = at_last.groupBy("user_id", "category_id", "category_code").agg(F.count(F.lit(1)).alias("n"))
     status = churn.groupBy("user_id").agg(F.max_by("segment", "snapshot_date").alias("segment"))
-    return (at_last.join(status, "user_id")
+    return (n.join(status, "user_id")
             .groupBy("segment", "category_id", "category_code")
             .agg(F.sum("n").alias("last_purchase_cnt")))
