@@ -25,13 +25,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: Bytes of text that are copied out of an Arrow batch at a time.
+#: Bytes of an Arrow batch between the JVM and Python, and of text copied out of it at a time.
 PIECE = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bounds the session's Arrow batches by PIECE (a smaller bound stays): texts can be
+    long, and a task holds a batch several times over in the JVM and in Python."""
+    conf = df.sparkSession.conf
+    now = conf.get(_BATCH).rstrip("b")
+    if now.isdigit() and int(now) > PIECE:
+        conf.set(_BATCH, f"{PIECE}b")
+    return df
 
 
 def each_text(column: pa.Array):
-    """The UTF-8 bytes of each text; null is empty.  An Arrow batch holds up to 64 MB, so
-    its texts are copied out of it piece by piece."""
+    """The UTF-8 bytes of each text; null is empty.  Texts are copied out of a large batch
+    piece by piece."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     piece = (np.cumsum(sizes) - sizes) // PIECE
     cuts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]]) if len(column) else []

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import documents, each_text
+from .common import documents, each_text, small_batches
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 23
 ITEM_BYTES = 2 << 20
@@ -205,7 +205,7 @@ def contamination(benchmark: DataFrame, text: str = "text", threshold: float = T
                   radius: int = RADIUS) -> Column:
     """array<struct<item_id, similarity, start, end>>: the items found in a text, each
     with its best window (code points of the text)."""
-    sc = benchmark.sparkSession.sparkContext
+    sc = small_batches(benchmark).sparkSession.sparkContext
     blocks = item_blocks(benchmark)
     out = F.array().cast(_HITS)
     block = F.pmod(F.xxhash64("text"), F.lit(max(1, len(blocks))))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, each_text, partitions
+from .common import doc_key, each_text, partitions, small_batches
 
 #: Bits of an id that count within its block.
 BLOCK_BITS = 12
@@ -76,7 +76,7 @@ def summarise(docs: DataFrame, units: Callable[[int, bytes], np.ndarray | None],
         if size:
             yield from send(held)
 
-    return docs.select(doc_key().alias("doc"), "text").mapInArrow(run, "shard int, block long, payload binary")
+    return small_batches(docs).select(doc_key().alias("doc"), "text").mapInArrow(run, "shard int, block long, payload binary")
 
 
 def judge(summary: DataFrame, verdicts: Callable[[np.ndarray, np.ndarray], Iterable[tuple[int, bytes]]],

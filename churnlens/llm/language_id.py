@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, each_text, held_out
+from .common import documents, each_text, held_out, small_batches
 
 BITS, SAMPLE, SHARDS = 16, 16_000, 8
 #: Log-probability that changing the language within a text costs.
@@ -213,7 +213,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang"
 def identify(docs: DataFrame, switch: float = SWITCH) -> DataFrame:
     """Every row of ``docs`` in the struct ``row``, with held_out, lang_pred, score and
     spans (array<struct<start, end, lang>> in code points of the text)."""
-    model = learn(docs)
+    model = learn(small_batches(docs))
     rows = docs.select(F.struct("*").alias("row"), held_out().alias("held_out"), F.col("text"))
     if model is None:
         none = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"),

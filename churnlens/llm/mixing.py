@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PIECE, doc_key, documents, each_text, join_small, settle
+from .common import PIECE, doc_key, documents, each_text, join_small, settle, small_batches
 
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -164,7 +164,7 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
                          for c, a in columns.items()], list(columns))
                     at, texts, held = [], [], 0
 
-    return mix_sources(docs, **options).where("taken > 0").select("row", "size", "pieces").mapInArrow(cut, schema)
+    return mix_sources(small_batches(docs), **options).where("taken > 0").select("row", "size", "pieces").mapInArrow(cut, schema)
 
 
 def _cut(raw: bytes, size: int, pieces: list[dict]) -> list[str]:

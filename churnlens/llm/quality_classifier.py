@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh32_intdigest
 
-from .common import documents, each_text, held_out
+from .common import documents, each_text, held_out, small_batches
 
 BITS = 18
 SAMPLE, SHARDS, EPOCHS = 16_000, 8, 3
@@ -130,7 +130,7 @@ def score(raw: bytes, weights: np.ndarray) -> float:
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Every row of ``docs`` in the struct ``row``, with held_out, score and predicted."""
-    weights = train(docs, labels)
+    weights = train(small_batches(docs), labels)
     rows = docs.select(F.struct("*").alias("row"), held_out().alias("held_out"), F.col("text"))
     if weights is None:
         rows = rows.withColumn("score", F.lit(0.5))

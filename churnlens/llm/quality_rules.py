@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, each_text, join_small
+from .common import documents, each_text, join_small, small_batches
 
 #: Fixed by the contract: the characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -97,7 +97,7 @@ def quality_rules(docs: DataFrame, host: str = "source", min_words: int = 50, ma
                   max_host_rate: float = 0.5, default_weight: float = 10.0) -> DataFrame:
     """Every row of ``docs`` with the struct column ``_quality`` (which replaces one of
     that name): the measures, ``base_failed``, ``host_rate`` (shrunk) and ``kept``."""
-    m = docs.select(F.struct("*").alias("row"), F.col(host).alias("host"), _measured(F.col("text")).alias("m"))
+    m = small_batches(docs).select(F.struct("*").alias("row"), F.col(host).alias("host"), _measured(F.col("text")).alias("m"))
     m = m.withColumn("bad", base_failed(F.col("m"), min_words, max_repeat_pct))
     hosts = m.groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("failed"))

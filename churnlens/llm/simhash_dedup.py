@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import NO_ID, doc_key, documents, each_text, partitions, settle
+from .common import NO_ID, doc_key, documents, each_text, partitions, settle, small_batches
 
 #: Nodes of a cell above which it is split.
 SPLIT = 8192
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
             fp = np.array([fingerprint(x, size) for x in each_text(b.column("text"))], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("h"), pa.array(fp.view(np.int64))], ["doc_id", "h", "fp"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text") \
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text") \
         .mapInArrow(run, "doc_id long, h long, fp long")
 
 

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_key, documents, each_text, from_key, partitions, scratch_path
+from .common import doc_key, documents, each_text, from_key, partitions, scratch_path, small_batches
 
 #: Documents that the dictionary is trained on, and its size in bytes.
 SAMPLE, DICTIONARY = 1000, 65536
@@ -163,7 +163,7 @@ def _dictionary(raw: bytes, level: int | None = None) -> zstandard.ZstdCompressi
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2) -> None:
     """Encode every row of ``docs`` and write the files into the folder ``path``."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     raw_dict = train_dictionary(docs, tokenizer_file, end_id)
     digest = hashlib.sha256(raw_dict).hexdigest()
     spark.createDataFrame([(digest, raw_dict)], "sha256 string, dictionary binary").coalesce(1) \
