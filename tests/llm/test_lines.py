@@ -157,5 +157,56 @@ def test_many_copies_keep_the_first(docs, prose):
     assert len(spans) == len(rows) - 1 and {s[4] for s in spans} == {min(d for d, _ in rows)}
 
 
+def repeated_words(rows, n=51):
+    """For each document whether each word is in a window of n words that an earlier one has."""
+    first, out = {}, {}
+    for doc, text in sorted(rows):
+        words = text.lower().split()
+        flags = [False] * len(words)
+        grams = [" ".join(words[k:k + n]) for k in range(len(words) - n + 1)]
+        for k, g in enumerate(grams):
+            if first.setdefault(g, doc) != doc:
+                flags[k:k + n] = [True] * n
+        out[doc] = flags
+    return out
+
+
+@pytest.mark.parametrize("clause", [10, 45, 10_000])
+def test_passages_cut_anywhere_against_all_windows(docs, clause):
+    """Loss for each passage and each word, with clauses of 10 and 45 words and without marks."""
+    rnd = random.Random(clause)
+
+    def words(n):
+        made = [f"{rnd.choice('bcdfgh')}{rnd.randrange(3000)}" for _ in range(n)]
+        return [w + "," if k % clause == clause - 1 else w for k, w in enumerate(made)]
+    base = [words(400) for _ in range(30)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(base)]
+    for i in range(90):
+        size, host = (51, 60, 100)[i % 3], words(200)
+        at, to, b = rnd.randrange(400 - size), rnd.randrange(200), rnd.choice(base)
+        rows.append((100 + i, " ".join(host[:to] + b[at:at + size] + host[to:])))
+    gone = {d: [False] * len(t.split()) for d, t in rows}
+    for doc, start, end, *_ in got_spans(docs(rows)):
+        text = dict(rows)[doc]
+        lo = len(text[:start].split())
+        hi = lo + len(text[start:end].split())
+        gone[doc][lo:hi] = [True] * (hi - lo)
+    held = repeated_words(rows)
+    share = {d: sum(g and h for g, h in zip(gone[d], held[d])) / sum(held[d]) for d in held if any(held[d])}
+    assert set(share) == set(range(100, 190))
+    assert min(share.values()) >= 25 / 51                                        # no passage is missed
+    words_held = sum(sum(h) for h in held.values())
+    kept = sum(h and not g for d in held for g, h in zip(gone[d], held[d]))
+    assert kept <= 0.2 * words_held
+    assert not any(g and not h for d in held for g, h in zip(gone[d], held[d]))  # nothing else goes
+
+
+def test_units_are_short_and_loops_make_few():
+    text = " ".join(f"w{k}" for k in range(5000)).encode()
+    assert max(u[2] for u in units(text)) <= 11 and len(units(text)) <= 1200
+    assert len(units(b"x " * 60_000)) <= 6000
+    assert len({u[3] for u in units(b"x y z " * 1000)}) <= 6
+
+
 def test_blank_lines_of_the_brute_key():
     assert key_of("\x0b A ") == "a " and re.match(r"a", key_of(" A "))
