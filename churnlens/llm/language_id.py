@@ -1,9 +1,10 @@
 """Language identification with spans (operator 10).
 
 Model: counts of the byte trigrams of words, by language, in ``2 ** BITS`` hash buckets,
-and the scripts in which a language writes; both from a bounded sample (``SAMPLE`` documents
-of a known language outside the held-out fold, those with the smallest id hashes, counted
-in ``SHARDS`` tasks).
+and the scripts in which a language writes; both from a bounded sample (about ``SAMPLE``
+documents of each known language outside the held-out fold, those with the smallest id
+hashes, counted in ``SHARDS`` tasks), so a rare language is learned however many documents
+the others have.
 
 Prediction: the script ranges of a word's letters narrow the languages (all stay where none
 writes in that script); a word's score in a language is the log-probability of its
@@ -91,9 +92,13 @@ class Words:
 def learn(docs: DataFrame) -> dict | None:
     """languages, log-probabilities (language, bucket) and script masks."""
     known = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()
-    keys = docs.where(known).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = docs.where(known).select("doc_id", "lang", "text").join(F.broadcast(keys), "doc_id", "left_semi") \
-        .withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)))
+    # each language has its own share of the ids, all of them where there are few; HLL counts
+    # do not depend on how rows are dealt, so neither does the sample
+    order = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    bound = docs.where(known).groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.01).alias("ids")) \
+        .select("lang", (F.least(F.lit(1.0), SAMPLE / F.col("ids")) * 2.0 ** 63).alias("bound"))
+    rows = docs.where(known).select("doc_id", "lang", "text").join(F.broadcast(bound), "lang").where(order <= F.col("bound")) \
+        .select("doc_id", "lang", "text").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)))
 
     def count(table: pa.Table) -> pa.Table:
         counts, scripts = np.zeros(1 << BITS, np.int64), np.zeros(16, np.int64)

@@ -114,6 +114,14 @@ def test_script_ranges_narrow_the_languages(docs):
     assert [x[0] for x in out][:2] == ["ru", "en"] and out[2][0] in ("ru", "en")
 
 
+def test_a_rare_language_is_learned(docs, monkeypatch):
+    monkeypatch.setattr(lid, "SAMPLE", 10)
+    rows = [(i, f"a simple english text as example {i}", "en") for i in range(600)]
+    rows += [(1000 + i, "это простой русский текст для примера", "ru") for i in range(4)]
+    got = {r.row.doc_id: r.lang_pred for r in lid.identify(docs(rows)).collect()}
+    assert {got[1000 + i] for i in range(4)} == {"ru"} and {got[i] for i in range(600)} == {"en"}
+
+
 def test_language_odd_and_empty(odd, empty):
     out = {(r.row.doc_id, r.row.text): r for r in lid.identify(odd).collect()}
     assert all(r.lang_pred == ("en" if t and any(c.isalpha() for c in t) else "und") for (_, t), r in out.items())
