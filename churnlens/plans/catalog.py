@@ -25,7 +25,7 @@ from ..sources import tables
 from ..sources.logs import load_events, read_events, read_raw_log
 from ..sources.mart import create_if_absent, mart_exists, read_mart, register, write_mart
 from ..stats import tests as st
-from .calendars import ORDERS_CALENDAR, RETENTION_TESTS, SPEARMAN_MIN_USERS
+from .calendars import ORDERS_CALENDAR, RETENTION_TESTS, SPEARMAN_MIN_USERS, covering
 
 _MEMO: dict[tuple, object] = {}
 
@@ -191,7 +191,8 @@ def q_segment_transition_uplift(spark, sf_dir):
 
 
 def q_segment_path(spark, sf_dir):
-    return monthly.segment_path(monthly_rfm_df(spark, sf_dir), ORDERS_CALENDAR)
+    cal = covering(ORDERS_CALENDAR, orders_calendar(spark, sf_dir))
+    return monthly.segment_path(monthly_rfm_df(spark, sf_dir), cal)
 
 
 def q_cohort_retention(spark, sf_dir):

@@ -1,4 +1,8 @@
 """Physical plan properties: pushdown, pruning, no single-partition sort of raw rows."""
+import datetime as dt
+
+import pytest
+
 from churnlens.functions.dates import Calendar
 from churnlens.operators import churn, monthly, rfm
 from churnlens.sources import tables
@@ -57,3 +61,12 @@ def test_one_scan_of_the_orders_feeds_all_period_tables(spark, monkeypatch):
     for name in ("monthly_rfm_base", "cohort_retention", "cohort_age_metrics", "cohort_segment_retention", "churn_status"):
         catalog.queries()[name](spark, SF).count()
     assert len(calls) == 1
+
+
+@pytest.mark.parametrize("first, last", [((1995, 2, 1), (2001, 8, 1)), ((1995, 1, 1), (2001, 7, 1))])
+def test_segment_path_fails_on_orders_outside_its_calendar(spark, monkeypatch, first, last):
+    """The pivot would drop the first or the last month of the orders."""
+    from churnlens.plans import catalog
+    monkeypatch.setattr(catalog, "ORDERS_CALENDAR", Calendar(dt.date(*first), dt.date(*last)))
+    with pytest.raises(ValueError, match="1995-01-01 to 2001-08-01"):
+        catalog.queries()["segment_path"](spark, SF)
