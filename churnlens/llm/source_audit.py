@@ -212,12 +212,11 @@ def pair_divergence(cells: DataFrame, groups: DataFrame) -> DataFrame:
     g = settle(groups.join(sizes, "lang", "left").na.fill(1, ["buckets"]))
     sides = F.explode(F.sequence(F.lit(0), F.floor((F.col("sources") - 1) / SIDE)))
     left = g.select("lang", "number", "least", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"), "sources") \
-        .select("lang", "bucket", sides.alias("side"), "number", "least")
+        .select("lang", "bucket", sides.alias("side"), "number", "least").toDF("of", "deal", "row", "number", "least")
     by_lang = g.select("lang", "buckets").distinct().withColumnRenamed("lang", "of")
     right = cells.join(by_lang, F.col("lang") == F.col("of")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.col("buckets"))) \
         .select("lang", "bucket", sides.alias("side"), "term", "number", "p")
-    key = ("lang", "bucket", "side")
-    sums = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_tiles, "lang string, a long, b long, value long") \
+    sums = left.groupBy("of", "deal", "row").cogroup(right.groupBy("lang", "bucket", "side")).applyInArrow(_tiles, "lang string, a long, b long, value long") \
         .groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     names = g.select(F.col("lang").alias("l"), F.col("number").cast("long").alias("n"), "source")
     out = sums.join(names, (F.col("lang") == F.col("l")) & (F.col("a") == F.col("n"))).drop("l", "n") \

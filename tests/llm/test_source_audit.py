@@ -64,14 +64,14 @@ def test_against_plain_python(docs, prose, monkeypatch, first, side, tile, held)
 
 
 def test_prefixes_are_refined_and_discarded(spark, docs):
-    rows = docs([(i, f"shared{i % 2} rare{i}x own{i} zz", "en", "a") for i in range(12)])
+    rows = docs([(i, f"shared{'ab'[i % 2]} rare{'abcdefghijkl'[i]} own{'abcdefghijkl'[i]} zz", "en", "a") for i in range(12)])
     rows = rows.selectExpr("doc_id AS doc", "text", "lang", "source")
     level = m._level(rows, 3, 0, None, 3)
     prefixes = {bytes(r.key) for r in level.collect() if r.open}
     assert prefixes == {b"sha", b"rar", b"own"}
     one = spark.createDataFrame([(m._slot("en", b"sha"),)], "slot long")
     kept = spark.sparkContext.broadcast(prefilter.bitmap(one))
-    assert {bytes(r.key) for r in m._level(rows, 7, 3, kept, 3).collect()} == {b"shared0", b"shared1"}
+    assert {bytes(r.key) for r in m._level(rows, 7, 3, kept, 3).collect()} == {b"shareda", b"sharedb"}
 
 
 def test_a_full_filter_changes_nothing(docs, prose, monkeypatch):
