@@ -28,9 +28,11 @@ size: a long run of one byte is one chunk.
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import os
+import string
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -41,14 +43,14 @@ from pyspark.sql import functions as F
 from . import prefilter
 from .common import doc_key, documents, each_text, from_key, partitions, small_batches
 
-#: A chunk ends where this many low bits of the rolling hash are zero.
+#: A chunk ends where this many high bits of the rolling hash are zero.
 CHUNK_BITS = 9
 #: Groups of documents for each shuffle partition.
 GROUPS = 4
 #: Digests that a scan task holds before it sends them, and pieces whose ids it remembers.
 HELD, CACHE = 1_000_000, 400_000
 
-_GEAR = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, 256, np.uint64)
+_GEAR = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 32, 256, np.uint32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: First bytes of characters that are no white space and begin no special token: the lead bytes of
@@ -58,18 +60,35 @@ _START[33:127] = _START[0xC3:0xF5] = True
 _START[[ord("<"), 0xE1, 0xE2, 0xE3]] = False
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+#: Marks before which a piece ends if a letter is there: not the apostrophe of contractions.
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in string.punctuation.encode() if b not in b"'<"]] = True
+
+
 def agreement_points(raw: np.ndarray) -> np.ndarray:
     return np.flatnonzero(_SPACE[raw[:-1]] & _START[raw[1:]])
 
 
+def piece_starts(raw: np.ndarray) -> np.ndarray:
+    """Agreement points, and marks after a letter, where a piece ends just as surely in a
+    text without special tokens."""
+    here = _SPACE[raw[:-1]] & _START[raw[1:]]
+    here[1:] |= _LETTER[raw[:-2]] & _MARK[raw[1:-1]]
+    if _LETTER[raw[-2]] and _MARK[raw[-1]]:
+        return np.append(np.flatnonzero(here), len(raw) - 1)
+    return np.flatnonzero(here)
+
+
 def chunk_ends(raw: np.ndarray) -> np.ndarray:
     """Where the chunks of a text end: before a byte that starts a character, where the
     rolling hash of the 32 bytes up to it says so; the last end is the text's."""
     h = _GEAR[raw]
     for step in (1, 2, 4, 8, 16):       # after each, h covers twice as many bytes
-        h[step:] = h[step:] + (h[:-step] << np.uint64(step))
-    # the low bits depend on the last few bytes only, so the bits from 23 on decide
-    cut = (h >> np.uint64(23)) & np.uint64((1 << CHUNK_BITS) - 1) == 0
+        h[step:] += h[:-step] << np.uint32(step)
+    # the low bits depend on the last few bytes only, so the highest decide
+    cut = h < np.uint32(1 << (32 - CHUNK_BITS))
     at = np.flatnonzero(cut[:-1] & (raw[1:] & 0xC0 != 0x80)) + 1
     return np.append(at, len(raw))
 
@@ -94,6 +113,12 @@ def _slot(digest: bytes) -> int:
     return int.from_bytes(digest[:4], "little") & ((1 << prefilter.BITS) - 1)
 
 
+#: The tokenizer's alphabet stands for bytes: a printable byte for itself, the others in
+#: order from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: b for b in _PRINTABLE} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 @functools.cache
 def _tokenizer(tokenizer_file: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -105,17 +130,27 @@ def _tokenizer(tokenizer_file: str):
 
 
 class Encoder:
-    """Ids of texts as bytes.  A text is cut at its agreement points, and a piece's ids are
-    remembered for the task.  The strings of special tokens are cut out first."""
+    """Ids of texts as bytes.  A text is cut where pieces surely begin, and a piece's ids are
+    remembered for the task.  A Latin word goes straight to the tokenizer's merges.  A text
+    that holds the string of a special token goes through the whole tokenizer."""
 
     def __init__(self, tokenizer_file: str):
         self.tokenizer = _tokenizer(tokenizer_file)
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() < 65536 else np.uint32
+        self.merge = self.tokenizer.model.tokenize
+        self.code, self.dtype = ("H", np.uint16) if self.tokenizer.get_vocab_size() < 65536 else ("I", np.uint32)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array.array(self.code, ids).tobytes()
+
+    @staticmethod
+    def _latin(piece: bytes) -> bool:
+        word = piece[1:] if piece[:1] == b" " else piece
+        if word.isascii():
+            return word.isalpha()
+        text = word.decode()
+        return text.isalpha() and max(text) < "\u0250"
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > CACHE:
@@ -125,11 +160,16 @@ class Encoder:
             if any(s in text for s in self.special):
                 cut.append([text])
                 continue
-            at = [0, *(agreement_points(np.frombuffer(text, np.uint8)).tolist() if len(text) > 1 else []), len(text)]
+            at = [0, *(piece_starts(np.frombuffer(text, np.uint8)).tolist() if len(text) > 1 else []), len(text)]
             cut.append([text[a:b] for a, b in zip(at, at[1:]) if a < b])
-        new = list(set().union(*cut).difference(self.known))
-        for k in range(0, len(new), 4096):
-            some = new[k:k + 4096]
+        others = []
+        for piece in set().union(*cut).difference(self.known):
+            if self._latin(piece):
+                self.known[piece] = self._bytes([t.id for t in self.merge(piece.decode("latin-1").translate(_ALPHABET))])
+            else:
+                others.append(piece)
+        for k in range(0, len(others), 4096):
+            some = others[k:k + 4096]
             made = self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)
             self.known.update(zip(some, (self._bytes(e.ids) for e in made)))
         return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
@@ -137,11 +177,8 @@ class Encoder:
 
 @functools.cache
 def _byte_table(tokenizer_file: str) -> list[bytes]:
-    """The bytes of each id: the tokenizer's alphabet stands for bytes (a printable byte for
-    itself, the others in order from U+0100 on)."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in printable}
-    byte_of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in byte_of.values())}
+    """The bytes of each id."""
+    byte_of = {chr(c): b for b, c in _ALPHABET.items()}
     t = _tokenizer(tokenizer_file)
     names = [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
     return [bytes(byte_of[c] for c in n) if all(c in byte_of for c in n) else n.encode() for n in names]

@@ -13,7 +13,7 @@ from samples import ODD
 
 PATH = m.tokenizer_path()
 WHOLE = Tokenizer.from_file(PATH)
-PIECES = [*"aZ'sx1.<| \t\n\r\x0b\x0c\x1c\x85  　 é漢ß́", "don't", " the", "\n\n", "  ", "<|endoftext|>", "\n<", "'ll"]
+PIECES = [*"aZ'sx1.<| \t\n\r\x0b\x0c\x1c\x85  　 é漢ß́", "don't", "a.", "b,", "é!", " naïve", "x<", " the", "\n\n", "  ", "<|endoftext|>", "\n<", "'ll"]
 
 
 def ids(text):
@@ -27,6 +27,8 @@ def test_any_two_encodings_agree_at_agreement_points(text):
     at = m.agreement_points(np.frombuffer(raw, np.uint8)).tolist() if len(raw) > 1 else []
     for p in at:
         assert ids(raw[:p].decode()) + ids(raw[p:].decode()) == ids(text)
+    for p in m.piece_starts(np.frombuffer(raw, np.uint8)).tolist() if len(raw) > 1 and b"<|" not in raw else []:
+        assert ids(raw[:p].decode()) + ids(raw[p:].decode()) == ids(text)
     assert np.frombuffer(m.Encoder(PATH)([raw])[0], np.uint16).tolist() == ids(text)
     assert m.decode(np.array(ids(text), np.int64), PATH) == WHOLE.decode(ids(text), skip_special_tokens=False)
 
