@@ -2,7 +2,7 @@
 
 Counts are exact and held in counting quotient filters (``quotient_filter``):
 
-* ``_tokens``: scan tasks cut texts into pieces and words and write, for each *segment* of about a million
+* ``_tokens``: scan tasks cut texts into pieces and words and write, for each *segment* of about two million
   words, the words as numbers of the segment's own, and the segment's words with their counts.
 * ``_lexicon``: word counts are added up by language; words found ``least`` times or more are
   numbered.  A phrase that holds any other word is too rare to be a candidate.
@@ -37,7 +37,7 @@ from . import quotient_filter as qf
 from .common import documents, each_text, partitions, scratch_path, settle, small_batches
 
 #: Words after which a segment ends, and different words.
-SEGMENT_WORDS, SEGMENT_LEXICON = 1_000_000, 300_000
+SEGMENT_WORDS, SEGMENT_LEXICON = 2_000_000, 600_000
 #: Phrase entries that a shard is meant to hold (before equal ones are added up).
 SHARD_ENTRIES = 2_000_000
 
@@ -83,7 +83,8 @@ def _tokens(docs: DataFrame, path: str) -> None:
         if stream:
             yield from send()
     small_batches(docs).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text") \
-        .mapInArrow(run, "segment long, lang string, word string, local int, n long, tokens binary").write.parquet(path)
+        .mapInArrow(run, "segment long, lang string, word string, local int, n long, tokens binary") \
+        .write.option("compression", "zstd").parquet(path)
 
 
 def _numbered(words: DataFrame) -> DataFrame:
@@ -112,14 +113,15 @@ def _filters(streams: DataFrame, numbering: DataFrame, bits: int, shard_bits: in
             number = np.zeros(int(tokens.max()) + 1, np.int64)
             number[numbers.column("local").to_numpy()] = numbers.column("id").to_numpy()
             ids = number[tokens]
-            grams = np.zeros((2 * len(ids), 3), np.int64)
             two = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
             three = two[:-1][two[1:] == two[:-1] + 1]
-            grams[:len(two), 0], grams[:len(two), 1] = ids[two], ids[two + 1]
-            end = len(two) + len(three)
-            for k in range(3):
-                grams[len(two):end, k] = ids[three + k]
-            left, right, counts = qf.summed(*qf.permute(*qf.pack(grams[:end], bits), bits), np.ones(end, np.int64))
+            found = []
+            for at, width in ((two, 2), (three, 3)):
+                grams = np.zeros((len(at), 3), np.int64)
+                for k in range(width):
+                    grams[:, k] = ids[at + k]
+                found.append(qf.summed(*qf.permute(*qf.pack(grams, bits), bits), np.ones(len(at), np.int64)))
+            left, right, counts = qf.summed(*map(np.concatenate, zip(*found)))
             if not len(left):
                 continue
             shard = (left >> np.uint64(qf.half_bits(bits) - shard_bits)).astype(np.int64)
