@@ -1,6 +1,6 @@
 """How far the sources of a language differ in their terms (operator 13).
 
-*Kept terms* are found by iceberg prefix refinement.  Level by level (3, 6, 12, ... bytes)
+*Kept terms* are found by iceberg prefix refinement.  Level by level (8, 16, 32, ... bytes)
 a scan of the texts counts, for each language, the documents of every byte prefix whose
 parent prefix was kept; prefixes in too few documents are discarded, and with them all
 their terms.  A term no longer than the level's bytes is complete: its documents are
@@ -8,9 +8,8 @@ counted exactly and its occurrences by source come with it, so each term is coun
 one level.  The kept prefixes of a level reach the next scan as a bit filter of fixed size
 (``prefilter``): a prefix that passes it by chance is discarded a level later.
 
-Documents are counted up to the threshold only: a partial row carries that many different
-ids at most, and ``count(DISTINCT id)`` over them is exact for the decision, also for rows that
-share a doc_id (they are one document; the null id is one as well).
+Rows that share a doc_id are one document (the null id is one as well).  Ids that several
+rows have are found first; their documents are counted by id, all others as they come.
 
 *Divergence*: every group (language, source) and every language gives a kept term
 p = 1 + floor(10^9 (count + 1) / (N + V)).  The ``term`` part compares a group with its language.  The
@@ -24,6 +23,8 @@ kept terms gives pairs of value 0; a group without terms takes part in the pairs
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -34,14 +35,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from . import prefilter
-from .common import doc_key, documents, each_text, join_small, scratch_path, settle, small_batches
+from .common import doc_key, documents, each_text, join_small, partitions, settle, small_batches
 
 #: Bytes of the first level; each further level has twice as many.
-FIRST_LEVEL = 3
-#: Entries that a scan task holds before it sends them.
-HELD = 400_000
+FIRST_LEVEL = 8
+#: Different terms that a scan task holds before it sends their counts.
+HELD = 500_000
+#: Words whose numbers it holds before it adds them up.
+WORDS = 1_000_000
 #: Cells (terms x sources) of a tile, and sources on one side of a tile.
 TILE, SIDE = 1_000_000, 256
+#: Counts of (term, source) in a task's bucket of terms: more where a bucket gives more sums of pairs, up to TILE.
+BUCKET = 100_000
 SCALE = 1_000_000_000
 
 #: A-Z lower-cased; bytes of other ASCII characters become spaces.
@@ -52,85 +57,171 @@ def _slot(lang: str, prefix: bytes) -> int:
     return xxhash.xxh3_64_intdigest(prefix, xxhash.xxh3_64_intdigest(lang.encode())) & ((1 << prefilter.BITS) - 1)
 
 
-def _level(rows: DataFrame, length: int, parent: int, kept, threshold: int) -> DataFrame:
-    """Partial counts (lang, source, key, open, n, ids, slot) of the terms with more than
-    ``parent`` bytes whose first ``parent`` bytes pass the filter ``kept``.  A term of at most
-    ``length`` bytes is a key of its own with its occurrences by source; of a longer one
-    only its prefix is (``open``, no source)."""
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("key", pa.binary()), ("open", pa.bool_()),
-                        ("n", pa.int64()), ("ids", pa.list_(pa.int64())), ("slot", pa.int64())])
-
+class _Keys(dict):
+    """Term -> the number of its key, which ``number`` gives to a new term."""
+
+    def __init__(self, number):
+        self.number = number
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = at = self.number(term)
+        return at
+
+
+class _Held:
+    """What a scan task has counted of one level: occurrences and documents of
+    (group, key, repeated id), summed up as numbers of the task's own."""
+
+    def __init__(self, length: int, parent: int, bits: np.ndarray | None):
+        self.length, self.parent, self.bits = length, parent, bits
+        self.find = re.compile(rb"[^ ]{%d,}" % (parent + 1)).findall if parent else bytes.split
+        self.key_of: dict[str, _Keys] = {}      # by language; discarded terms have the key 0
+        self.number: dict[tuple[str, bytes, bool], int] = {}
+        self.keys: list[tuple[str, bytes, bool]] = [("", b"", False)]
+        self.groups: dict[tuple[str, str, int | None], int] = {}
+        self.texts: list[tuple[int, np.ndarray]] = []
+        self.cells: list[np.ndarray] = []
+        self.words = self.size = 0
+
+    def _key(self, lang: str, term: bytes) -> int:
+        """The number of the term's key at this level."""
+        if self.parent:
+            if len(term) <= self.parent:
+                return 0
+            slot = _slot(lang, term[:self.parent])
+            if not self.bits[slot >> 3] >> (slot & 7) & 1:
+                return 0
+        key = (lang, term[:self.length], len(term) > self.length)
+        at = self.number.setdefault(key, len(self.keys))
+        if at == len(self.keys):
+            self.keys.append(key)
+        return at
+
+    def add(self, lang: str, source: str, doc: int | None, text: bytes) -> None:
+        """``doc``: the id if other rows may have it too."""
+        known = self.key_of.get(lang)
+        if known is None:
+            known = self.key_of[lang] = _Keys(functools.partial(self._key, lang))
+        words = self.find(text.translate(_TO_TERMS))
+        group = self.groups.setdefault((lang, source, doc), len(self.groups))
+        self.texts.append((group, np.fromiter(map(known.__getitem__, words), np.int64, len(words))))
+        self.words += len(words)
+        if self.words > WORDS:
+            self.add_up()
+
+    def add_up(self) -> None:
+        """Texts to cells: group and key, occurrences, documents."""
+        if not self.texts:
+            return
+        group = np.array([g for g, _ in self.texts])
+        text = np.repeat(np.arange(len(group)), [len(k) for _, k in self.texts])
+        key = np.concatenate([k for _, k in self.texts])
+        pair, n = np.unique((text[key > 0] << 32) | key[key > 0], return_counts=True)
+        self.cells.append(np.stack([(group[pair >> 32] << 32) | (pair & 0xFFFFFFFF), n, np.ones(len(pair), np.int64)]))
+        self.size += len(pair)
+        self.texts, self.words = [], 0
+        if self.size > 4 * WORDS:
+            self.cells = [self.summed()]
+            self.size = self.cells[0].shape[1]
+
+    def summed(self) -> np.ndarray:
+        cells, counts, documents_ = np.concatenate([np.zeros((3, 0), np.int64), *self.cells], axis=1)
+        order = np.argsort(cells, kind="stable")
+        cells, first = cells[order], np.flatnonzero(np.r_[True, np.diff(cells[order]) != 0][:len(order)])
+        return np.stack([cells[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in (counts, documents_))])
+
+    def full(self) -> bool:
+        return len(self.keys) + len(self.groups) > HELD or sum(map(len, self.key_of.values())) > 2 * HELD or self.size > 4 * WORDS
+
+    def rows(self) -> pa.RecordBatch:
+        """The partial counts, and nothing held after."""
+        self.add_up()
+        cells, n, d = self.summed()
+        group, key = cells >> 32, cells & 0xFFFFFFFF
+        groups = pa.array([g[1] for g in self.groups], pa.string()), pa.array([g[2] for g in self.groups], pa.int64())
+        lang, name, open_ = (pa.array([k[i] for k in self.keys], t)
+                             for i, t in enumerate((pa.string(), pa.binary(), pa.bool_())))
+        is_open = np.array([k[2] for k in self.keys])[key]
+        ids = groups[1].take(group)
+        out = pa.RecordBatch.from_arrays(
+            [lang.take(key), groups[0].take(group), name.take(key), open_.take(key), pa.array(np.where(is_open, 0, n)),
+             pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), d, 0)), ids],
+            ["lang", "source", "key", "open", "n", "documents", "id"])
+        self.__init__(self.length, self.parent, self.bits)
+        return out
+
+
+def _level(rows: DataFrame, length: int, parent: int, kept, repeated, threshold: int) -> DataFrame:
+    """(lang, source, key, open, n, total, first) of the keys in ``threshold`` documents or
+    more; ``total`` is the language's n, and ``first`` marks one row of each key.
+
+    The terms with more than ``parent`` bytes whose first ``parent`` bytes pass the
+    filter ``kept`` are counted.  A term of at most ``length`` bytes is a key of its own; of a longer one its
+    first ``length`` bytes are (``open``).  Documents whose id other rows may have, by the
+    filter ``repeated``, are counted by id."""
     def run(batches: Iterable[pa.RecordBatch]):
-        bits = None if kept is None else kept.value
-        fate: dict[tuple[str, bytes], bool] = {}        # whether a parent prefix was kept
-        held: dict[tuple, list] = {}
-
-        def passes(lang: str, term: bytes) -> bool:
-            at = (lang, term[:parent])
-            known = fate.get(at)
-            if known is None:
-                slot = _slot(*at)
-                known = fate[at] = bool(bits[slot >> 3] >> (slot & 7) & 1)
-            return known
-
-        def send():
-            rows_ = [(lang, source, key, open_, v[0], v[1], _slot(lang, key) if open_ else None)
-                     for (lang, source, key, open_), v in held.items()]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows_], f.type) for k, f in enumerate(schema)],
-                                              schema=schema)
+        held = _Held(length, parent, None if kept is None else kept.value)
+        again = None if repeated is None else repeated.value
         for b in batches:
-            for doc, lang, source, text in zip(*(b.column(c).to_pylist() for c in ("doc", "lang", "source")),
+            docs_ = b.column("doc")
+            own = [None] * b.num_rows
+            if again is not None:
+                at = b.column("slot").to_numpy()
+                own = [d if r else None for d, r in zip(docs_.to_pylist(), prefilter.has(again, at).tolist())]
+            for doc, lang, source, text in zip(own, b.column("lang").to_pylist(), b.column("source").to_pylist(),
                                                each_text(b.column("text"))):
-                counts: dict[bytes, int] = {}
-                for term in text.translate(_TO_TERMS).split():
-                    counts[term] = counts.get(term, 0) + 1
-                for term, n in counts.items():
-                    if parent and (len(term) <= parent or not passes(lang, term)):
-                        continue
-                    open_ = len(term) > length
-                    at = (lang, None, term[:length], True) if open_ else (lang, source, term, False)
-                    entry = held.get(at)
-                    if entry is None:
-                        held[at] = [0 if open_ else n, [doc]]
-                        continue
-                    if not open_:
-                        entry[0] += n
-                    ids = entry[1]
-                    if len(ids) < threshold and doc not in ids:
-                        ids.append(doc)
-            if len(held) > HELD or len(fate) > HELD:
-                yield send()
-                held, fate = {}, {}
-        yield send()
-    return rows.mapInArrow(run, "lang string, source string, key binary, open boolean, n long, ids array<long>, slot long")
+                held.add(lang, source, doc, text)
+                if held.full():
+                    yield held.rows()
+        yield held.rows()
+    schema = "lang string, source string, key binary, open boolean, n long, documents long, id long"
+    # one shuffle: by language and key, which is enough for all that follows
+    t = rows.mapInArrow(run, schema).repartition(partitions(rows.sparkSession), "lang", "key")
+    if repeated is not None:
+        first = F.row_number().over(Window.partitionBy("lang", "key", "open", "id").orderBy("source")) == 1
+        t = t.withColumn("documents", F.when(F.col("id").isNull(), F.col("documents")).otherwise(first.cast("long")))
+    t = t.groupBy("lang", "key", "open", "source").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+    key = Window.partitionBy("lang", "key", "open")             # a row for each source
+    t = t.select("*", F.sum("documents").over(key).alias("everywhere"), F.sum("n").over(key).alias("total"),
+                 (F.row_number().over(key.orderBy("source")) == 1).alias("first"))
+    return t.where(F.col("everywhere") >= threshold).select("lang", "source", "key", "open", "n", "total", "first")
+
+
+def _id_slot() -> Column:
+    return F.pmod(F.xxhash64("doc"), F.lit(1 << prefilter.BITS))
+
+
+def _prefix_slots(level: DataFrame) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]):
+        for b in batches:
+            slots = [_slot(lang, key) for lang, key in zip(b.column("lang").to_pylist(), b.column("key").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64())], ["slot"])
+    return level.where("open").select("lang", "key").mapInArrow(run, "slot long")
 
 
 def kept_terms(docs: DataFrame, threshold: int = 3) -> DataFrame:
-    """(lang, source, term, n): occurrences by source of the terms that at least
-    ``threshold`` documents of a language hold (sources where a term occurs)."""
+    """(lang, source, term, n, total, first): occurrences, by source and in all, of the
+    terms that at least ``threshold`` documents of a language hold, for each source where a
+    term occurs; ``first`` marks one row of each term."""
     spark = docs.sparkSession
     rows = small_batches(docs).select(doc_key().alias("doc"), "text", F.coalesce("lang", F.lit("")).alias("lang"),
-                                      F.coalesce("source", F.lit("")).alias("source"))
+                                      F.coalesce("source", F.lit("")).alias("source")).withColumn("slot", _id_slot())
+    repeated = prefilter.bitmap(rows.groupBy("doc", "slot").count().where("count > 1").select("slot"))
+    repeated = spark.sparkContext.broadcast(repeated) if repeated.any() else None       # 2 ** BITS bits
     found, length, parent, kept = [], FIRST_LEVEL, 0, None
     while True:
-        path = scratch_path(spark, f"prefixes-{length}")
-        _level(rows, length, parent, kept, threshold).write.parquet(path)      # read for the documents and the counts
-        level = spark.read.parquet(path)
-        frequent = level.select("lang", "key", "open", "slot", F.explode("ids").alias("id")).groupBy("lang", "key", "open", "slot") \
-            .agg(F.count_distinct("id").alias("documents")).where(F.col("documents") >= threshold)
-        frequent = settle(frequent.drop("documents"))
-        counts = level.where("NOT open").groupBy("lang", "source", "key").agg(F.sum("n").alias("n"))
-        found.append(counts.join(frequent.where("NOT open"), ["lang", "key"], "left_semi")
-                     .select("lang", "source", F.col("key").cast("string").alias("term"), "n"))
-        still = frequent.where("open").select("slot")
-        if not still.take(1):
+        level = settle(_level(rows, length, parent, kept, repeated, threshold))
+        found.append(level.where("NOT open").select("lang", "source", F.col("key").cast("string").alias("term"),
+                                                       "n", "total", "first"))
+        bits = prefilter.bitmap(_prefix_slots(level))
+        if not bits.any():
             break
-        kept = spark.sparkContext.broadcast(prefilter.bitmap(still))       # 2 ** BITS bits
+        kept = spark.sparkContext.broadcast(bits)
         parent, length = length, 2 * length
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return settle(out)
+    return out
 
 
 _WIDE = DecimalType(38, 0)
@@ -142,8 +233,11 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def _share(count: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(SCALE (count + 1) / (total + terms)), exact for counts of 19 digits."""
-    return F.lit(1) + _div(F.lit(SCALE).cast(_WIDE) * (count + 1).cast(DecimalType(20, 0)), (total + terms).cast(_WIDE))
+    """1 + floor(SCALE (count + 1) / (total + terms)), exact for counts of 19 digits: in longs
+    where the product fits one."""
+    small = _div(F.lit(SCALE) * (count + 1), total + terms)
+    large = _div(F.lit(SCALE).cast(_WIDE) * (count + 1).cast(DecimalType(20, 0)), (total + terms).cast(_WIDE))
+    return F.lit(1) + F.when(count < 9 * 10 ** 9, small).otherwise(large)
 
 
 def _distance(p: Column, q: Column) -> Column:
@@ -151,31 +245,38 @@ def _distance(p: Column, q: Column) -> Column:
     return _div((p - q) * (p - q), q)
 
 
-def _groups(docs: DataFrame, kept: DataFrame, totals: DataFrame) -> DataFrame:
+def _groups(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """A row for each (lang, source) of ``docs``: N and first share (of count 0) of the
     group, N and V of its language, its number within the language and the language's sources."""
     named = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
-    langs = totals.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("total").alias("lang_words"))
-    sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("words"))
-    g = named.join(sizes, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["words", "terms", "lang_words"])
+    sizes = settle(kept.groupBy("lang", "source").agg(F.sum("n").alias("words"), F.count_if("first").alias("firsts"),
+                                                      F.count(F.lit(1)).alias("cells")))
+    langs = sizes.groupBy("lang").agg(F.sum("firsts").alias("terms"), F.sum("words").alias("lang_words"),
+                                      F.sum("cells").alias("lang_cells"))
+    g = named.join(sizes.drop("firsts", "cells"), ["lang", "source"], "left").join(langs, "lang", "left") \
+        .na.fill(0, ["words", "terms", "lang_words", "lang_cells"])
     by_name = Window.partitionBy("lang").orderBy("source")             # a row for each source
     return settle(g.withColumn("number", F.row_number().over(by_name) - 1)
                   .withColumn("sources", F.count(F.lit(1)).over(Window.partitionBy("lang")))
                   .withColumn("least", F.when(F.col("terms") > 0, _share(F.lit(0), F.col("words"), F.col("terms")))))
 
 
-def _with_group(df: DataFrame, groups: DataFrame) -> DataFrame:
-    """``df`` (lang, source, term, ...) with its group's columns."""
-    small = groups.withColumn("of", F.struct("lang", "source")).drop("lang", "source")
-    return join_small(df.withColumn("of", F.struct("lang", "source")), small, "of", F.xxhash64("term")).drop("of")
+def _cells(kept: DataFrame, groups: DataFrame) -> DataFrame:
+    """(lang, source, term, number, sources, buckets, p, q): the shares of a group and of its
+    language, for every term that the group has."""
+    size = F.greatest(F.lit(BUCKET), F.least(F.lit(TILE), F.col("sources") * F.col("sources")))
+    small = groups.withColumn("buckets", F.ceil(F.col("lang_cells") / size)) \
+        .withColumn("of", F.struct("lang", "source")).drop("lang", "source")
+    t = join_small(kept.withColumn("of", F.struct("lang", "source")), small, "of", F.xxhash64("term"))
+    return t.select("lang", "source", "term", "number", "sources", "buckets",
+                    _share(F.col("n"), F.col("words"), F.col("terms")).alias("p"),
+                    _share(F.col("total"), F.col("lang_words"), F.col("terms")).alias("q"))
 
 
-def term_divergence(cells: DataFrame, totals: DataFrame, most: int) -> DataFrame:
+def term_divergence(cells: DataFrame, most: int) -> DataFrame:
     """(lang, source, item, value, rank): the terms in which a group exceeds its language."""
-    t = cells.join(totals, ["lang", "term"])
-    p, q = F.col("p"), _share(F.col("total"), F.col("lang_words"), F.col("terms"))
-    t = t.withColumn("q", q).where(p > F.col("q")).select("lang", "source", F.col("term").alias("item"),
-                                                          _distance(p, F.col("q")).alias("value"))
+    p, q = F.col("p"), F.col("q")
+    t = cells.where(p > q).select("lang", "source", F.col("term").alias("item"), _distance(p, q).alias("value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     return t.withColumn("rank", rank).where(F.col("rank") <= most)
 
@@ -208,17 +309,16 @@ def _tiles(key: tuple, sides: pa.Table, cells: pa.Table) -> pa.Table:
 
 def pair_divergence(cells: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, item, value, rank): every other source of the language."""
-    sizes = cells.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("buckets"))
-    g = settle(groups.join(sizes, "lang", "left").na.fill(1, ["buckets"]))
     sides = F.explode(F.sequence(F.lit(0), F.floor((F.col("sources") - 1) / SIDE)))
-    left = g.select("lang", "number", "least", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"), "sources") \
+    size = F.greatest(F.lit(BUCKET), F.least(F.lit(TILE), F.col("sources") * F.col("sources")))
+    buckets = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("lang_cells") / size), F.lit(1)) - 1))
+    left = groups.select("lang", "number", "least", "sources", buckets.alias("bucket")) \
         .select("lang", "bucket", sides.alias("side"), "number", "least").toDF("of", "deal", "row", "number", "least")
-    by_lang = g.select("lang", "buckets").distinct().withColumnRenamed("lang", "of")
-    right = cells.join(by_lang, F.col("lang") == F.col("of")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.col("buckets"))) \
+    right = cells.withColumn("bucket", F.pmod(F.xxhash64("term"), F.col("buckets"))) \
         .select("lang", "bucket", sides.alias("side"), "term", "number", "p")
     sums = left.groupBy("of", "deal", "row").cogroup(right.groupBy("lang", "bucket", "side")).applyInArrow(_tiles, "lang string, a long, b long, value long") \
         .groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
-    names = g.select(F.col("lang").alias("l"), F.col("number").cast("long").alias("n"), "source")
+    names = groups.select(F.col("lang").alias("l"), F.col("number").cast("long").alias("n"), "source")
     out = sums.join(names, (F.col("lang") == F.col("l")) & (F.col("a") == F.col("n"))).drop("l", "n") \
         .join(names.withColumnRenamed("source", "item"), (F.col("lang") == F.col("l")) & (F.col("b") == F.col("n")))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
@@ -228,12 +328,10 @@ def pair_divergence(cells: DataFrame, groups: DataFrame) -> DataFrame:
 def source_audit(docs: DataFrame, threshold: int = 3, most: int = 200) -> DataFrame:
     """(lang, source, part, item, value, rank) of both parts."""
     kept = kept_terms(docs, threshold)
-    totals = settle(kept.groupBy("lang", "term").agg(F.sum("n").alias("total")))
-    groups = _groups(docs, kept, totals)
-    cells = _with_group(kept, groups).withColumn("p", _share(F.col("n"), F.col("words"), F.col("terms")))
-    cells = settle(cells.select("lang", "source", "term", "number", "sources", "p", "terms", "lang_words"))
+    groups = _groups(docs, kept)
+    cells = settle(_cells(kept, groups))
     parts = [pair_divergence(cells, groups).withColumn("part", F.lit("pair")),
-             term_divergence(cells, totals, most).withColumn("part", F.lit("term"))]
+             term_divergence(cells, most).withColumn("part", F.lit("term"))]
     return parts[0].unionByName(parts[1]).select("lang", "source", "part", "item", "value", F.col("rank").cast("int").alias("rank"))
 
 

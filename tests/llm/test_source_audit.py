@@ -55,28 +55,29 @@ def corpus(prose):
     return rows + [(307, "same id", "id", "q")] * 5 + [(None, "no id", "id", "q")] * 4
 
 
-@pytest.mark.parametrize("first, side, tile, held", [(3, 256, 1_000_000, 400_000), (1, 2, 6, 7)])
-def test_against_plain_python(docs, prose, monkeypatch, first, side, tile, held):
-    for name, value in (("FIRST_LEVEL", first), ("SIDE", side), ("TILE", tile), ("HELD", held)):
+@pytest.mark.parametrize("first, side, tile, held, words, bucket", [(8, 256, 1_000_000, 500_000, 1_000_000, 100_000), (1, 2, 6, 7, 20, 9)])
+def test_against_plain_python(docs, prose, monkeypatch, first, side, tile, held, words, bucket):
+    for name, value in (("FIRST_LEVEL", first), ("SIDE", side), ("TILE", tile), ("HELD", held), ("WORDS", words), ("BUCKET", bucket)):
         monkeypatch.setattr(m, name, value)
     rows = corpus(prose)
     assert result(m.source_audit(docs(rows, extra=True), most=15)) == plain(rows, most=15)
 
 
 def test_prefixes_are_refined_and_discarded(spark, docs):
-    rows = docs([(i, f"shared{'ab'[i % 2]} rare{'abcdefghijkl'[i]} own{'abcdefghijkl'[i]} zz", "en", "a") for i in range(12)])
-    rows = rows.selectExpr("doc_id AS doc", "text", "lang", "source")
-    level = m._level(rows, 3, 0, None, 3)
-    prefixes = {bytes(r.key) for r in level.collect() if r.open}
-    assert prefixes == {b"sha", b"rar", b"own"}
+    rows = docs([(i, f"shared{'ab'[i % 2]} rare{'abcdefghijkl'[i]} {'abcdefghijkl'[i]}own zz", "en", "a") for i in range(12)])
+    rows = rows.selectExpr("doc_id AS doc", "text", "lang", "source", "0L AS slot")
+    level = m._level(rows, 3, 0, None, None, 3)
+    assert {bytes(r.key) for r in level.collect() if r.open} == {b"sha", b"rar"}
     one = spark.createDataFrame([(m._slot("en", b"sha"),)], "slot long")
     kept = spark.sparkContext.broadcast(prefilter.bitmap(one))
-    assert {bytes(r.key) for r in m._level(rows, 7, 3, kept, 3).collect()} == {b"shareda", b"sharedb"}
+    got = m._level(rows, 7, 3, kept, None, 1).collect()
+    assert {bytes(r.key) for r in got} == {b"shareda", b"sharedb"} and {r.n for r in got} == {6}
 
 
 def test_a_full_filter_changes_nothing(docs, prose, monkeypatch):
-    rows = corpus(prose)[:60]
-    monkeypatch.setattr(m.prefilter, "bitmap", lambda slots: m.np.full((1 << prefilter.BITS) // 8, 255, m.np.uint8))
+    rows, real = corpus(prose), prefilter.bitmap
+    full_one = m.np.full((1 << prefilter.BITS) // 8, 255, m.np.uint8)
+    monkeypatch.setattr(m.prefilter, "bitmap", lambda slots: full_one if real(slots).any() else real(slots))
     assert result(m.source_audit(docs(rows))) == plain(rows)
 
 
