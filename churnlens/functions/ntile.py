@@ -42,12 +42,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def join_counted(df: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join with ``small``, which is broadcast once its rows were counted and
+def join_counted(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join with ``small``, which is broadcast once its rows were counted and
     are few, and joined by a shuffle otherwise."""
     small = settled(small)
     few = small.limit(OFFSETS_TO_BROADCAST + 1).count() <= OFFSETS_TO_BROADCAST
-    return df.join(F.broadcast(small) if few else small, on=on, how="inner")
+    return df.join(F.broadcast(small) if few else small, on=on, how=how)
 
 
 def ntile_from_rank(rn: Column, total: Column, n: int) -> Column:
@@ -115,9 +115,14 @@ def ntiles(df: DataFrame, n: int, specs: Sequence[tuple[str, bool, str]], group:
     """Several NTILEs over the same rows, one per (order column, descending, output
     name); ``tie`` is unique within a group.
 
-    The input is checkpointed once.  Each order sorts only (group, column, tie); the
-    tiles come together in one aggregation and are joined back once.
+    Integers, dates and decimals go by ``selection``, which counts and compares and
+    sorts no rows.  For other types the input is checkpointed once, each order sorts only
+    (group, column, tie), and the tiles come together in one aggregation and are joined back once.
     """
+    from .selection import can_select, select_ntiles
+
+    if can_select(df, [tie, *(c for c, _, _ in specs)]):
+        return select_ntiles(df, n, specs, group, tie)
     base = settled(df)
     narrow = None
     for column, descending, name in specs:

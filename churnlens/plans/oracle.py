@@ -90,15 +90,13 @@ def with_(*ctes: str) -> str:
 # A1-A4 whole-history RFM
 # ---------------------------------------------------------------------------
 def rfm_base_cte(p: Params = DEFAULT) -> str:
+    """One row per buyer; the day after everyone's last purchase is read off the grouped rows."""
     return f"""rfm_base AS (
-  SELECT e.user_id, max(e.event_time) AS last_order_ts,
-         max(CAST(e.event_time AS DATE)) AS last_order_date, sd.standard_date,
-         CAST(datediff('day', max(CAST(e.event_time AS DATE)), sd.standard_date) AS INTEGER) AS recency,
-         count(*) AS frequency, sum(e.price) AS monetary
-  FROM ev e CROSS JOIN (SELECT max(CAST(event_time AS DATE)) + 1 AS standard_date
-                        FROM ev WHERE event_type = '{p.purchase_type}') sd
-  WHERE e.event_type = '{p.purchase_type}'
-  GROUP BY e.user_id, sd.standard_date)"""
+  SELECT user_id, latest AS last_order_ts, CAST(latest AS DATE) AS last_order_date,
+         CAST(max(latest) OVER () AS DATE) + 1 AS standard_date,
+         CAST(CAST(max(latest) OVER () AS DATE) + 1 - CAST(latest AS DATE) AS INTEGER) AS recency, frequency, monetary
+  FROM (SELECT user_id, max(event_time) AS latest, count(*) AS frequency, sum(price) AS monetary
+        FROM ev WHERE event_type = '{p.purchase_type}' GROUP BY user_id))"""
 
 
 def rfm_score_cte(p: Params = DEFAULT) -> str:
@@ -149,24 +147,19 @@ FROM rfm_score GROUP BY rfm_segment"""
 # A5, A6, A9-A11 snapshot RFM (naive: as-of history per snapshot)
 # ---------------------------------------------------------------------------
 def monthly_base_cte(p: Params = DEFAULT) -> str:
-    g = p.grain
-    return f"""hist AS (
-  SELECT c.snapshot_date, c.period_start, e.user_id, e.event_time, e.price
-  FROM cal c JOIN ev e ON CAST(e.event_time AS DATE) <= c.snapshot_date
-  WHERE e.event_type = '{p.purchase_type}'),
-sd AS (SELECT snapshot_date, max(CAST(event_time AS DATE)) + 1 AS standard_date
-       FROM hist GROUP BY snapshot_date),
-lp AS (SELECT snapshot_date, user_id, max(CAST(event_time AS DATE)) AS last_purchase
-       FROM hist GROUP BY snapshot_date, user_id),
-rec AS (SELECT lp.user_id, lp.snapshot_date, sd.standard_date,
-               CAST(datediff('day', lp.last_purchase, sd.standard_date) AS INTEGER) AS recency
-        FROM lp JOIN sd ON lp.snapshot_date = sd.snapshot_date),
-ms AS (SELECT snapshot_date, user_id, count(*) AS month_freq, sum(price) AS month_monetary
-       FROM hist WHERE {_pstart('event_time', g)} = period_start
-       GROUP BY snapshot_date, user_id),
-mbase AS (SELECT ms.user_id, ms.snapshot_date, rec.standard_date, rec.recency,
-                 ms.month_freq, ms.month_monetary
-          FROM ms LEFT JOIN rec ON ms.user_id = rec.user_id AND ms.snapshot_date = rec.snapshot_date)"""
+    """What a buyer bought in a snapshot's period, and by ASOF joins the buyer's and
+    everyone's latest purchase day up to the snapshot."""
+    return f"""bought AS (
+  SELECT user_id, price, CAST(event_time AS DATE) AS day, {_pstart('event_time', p.grain)} AS period_start
+  FROM ev WHERE event_type = '{p.purchase_type}'),
+mbase AS (
+  SELECT b.user_id, c.snapshot_date, anyone.day + 1 AS standard_date,
+         CAST(anyone.day + 1 - own.day AS INTEGER) AS recency, b.month_freq, b.month_monetary
+  FROM cal c
+  JOIN (SELECT user_id, period_start, count(*) AS month_freq, sum(price) AS month_monetary
+        FROM bought GROUP BY ALL) b USING (period_start)
+  ASOF JOIN (SELECT DISTINCT user_id, day FROM bought) own ON own.user_id = b.user_id AND c.snapshot_date >= own.day
+  ASOF JOIN (SELECT DISTINCT day FROM bought) anyone ON c.snapshot_date >= anyone.day)"""
 
 
 def monthly_rfm_cte(p: Params = DEFAULT) -> str:
@@ -447,21 +440,16 @@ GROUP BY ALL"""
 W = WEEKLY_EVENTS
 
 
-def _trail(n: int) -> str:
-    return f"""SELECT c.snapshot_date, c.segment, e.event_type, '{n} day' AS "interval", count(*) AS event_cnt
-  FROM ev e JOIN cu c ON e.user_id = c.user_id
-  WHERE e.event_time >= c.snapshot_date - INTERVAL {n} DAY AND e.event_time < c.snapshot_date
-  GROUP BY c.snapshot_date, c.segment, e.event_type"""
-
-
 def _activity_ctes() -> list[str]:
-    parts = "\n  UNION ALL\n".join(_trail(n) for n in W.trailing_days)
+    """Events of a user's days, for each snapshot and length of the window that ends before it."""
+    lengths = ", ".join(f"({n})" for n in W.trailing_days)
     return [*churn_all(EV_CLICKS, W),
-            "cu AS (SELECT DISTINCT user_id, snapshot_date, segment FROM churn)",
-            f"tot AS (\n{parts})",
-            """act AS (SELECT snapshot_date, segment, event_type, "interval",
-                CAST(sum(event_cnt) AS BIGINT) AS event_cnt
-         FROM tot GROUP BY snapshot_date, segment, event_type, "interval")"""]
+            "daily AS (SELECT user_id, CAST(event_time AS DATE) AS day, event_type, count(*) AS k FROM ev GROUP BY ALL)",
+            f"""act AS (
+  SELECT status.snapshot_date, status.segment, daily.event_type, w.n || ' day' AS "interval", CAST(sum(daily.k) AS BIGINT) AS event_cnt
+  FROM (VALUES {lengths}) w(n), churn status JOIN daily USING (user_id)
+  WHERE status.snapshot_date - daily.day BETWEEN 1 AND w.n
+  GROUP BY ALL)"""]
 
 
 def q_pre_snapshot_activity() -> str:
@@ -485,36 +473,30 @@ GROUP BY c.snapshot_date, c.segment, e.event_type"""
 
 
 def q_next_period_behaviour() -> str:
-    g = W.grain
-    return with_(EV_CLICKS, f"""fpu AS (SELECT user_id, {_pstart('min(event_time)', g)} AS first_date
-        FROM ev WHERE event_type = '{W.purchase_type}' GROUP BY user_id)""", f"""a1 AS (
-  SELECT a.user_id, f.first_date, a.category_id, a.event_type
-  FROM ev a JOIN fpu f ON a.user_id = f.user_id
-  WHERE {_pstart('a.event_time', g)} = CAST(f.first_date + {_step(g)} AS DATE))""") + f"""
-SELECT user_id, first_date, count(DISTINCT category_id) AS category_cnt,
-       CAST(sum(CASE WHEN event_type = '{W.view_type}' THEN 1 ELSE 0 END) AS BIGINT) AS view_cnt,
-       CAST(sum(CASE WHEN event_type = '{W.cart_type}' THEN 1 ELSE 0 END) AS BIGINT) AS cart_cnt,
-       max(CASE WHEN event_type = '{W.purchase_type}' THEN 1 ELSE 0 END) AS tf_purchase
-FROM a1 GROUP BY user_id, first_date"""
+    bought = f"event_type = '{W.purchase_type}'"
+    first = f"min(event_time) FILTER (WHERE {bought}) OVER (PARTITION BY user_id)"
+    return with_(EV_CLICKS) + f"""
+SELECT user_id, joined AS first_date, count(DISTINCT category_id) AS category_cnt,
+       count(*) FILTER (WHERE event_type = '{W.view_type}') AS view_cnt,
+       count(*) FILTER (WHERE event_type = '{W.cart_type}') AS cart_cnt, CAST(bool_or({bought}) AS INTEGER) AS tf_purchase
+FROM (SELECT *, {_pstart(first, W.grain)} AS joined FROM ev)
+WHERE {_pstart('event_time', W.grain)} = CAST(joined + {_step(W.grain)} AS DATE)
+GROUP BY ALL"""
 
 
 LASTCAL = """lastcal AS (SELECT snapshot_date, row_number() OVER (ORDER BY snapshot_date DESC) AS k FROM cal)"""
 
 
 def q_high_segment_behaviour() -> str:
-    g = W.grain
-    return with_(*monthly_ctes(EV_CLICKS, W), LASTCAL, f"""evd AS (
-  SELECT {_pend(_pstart('event_time', g), g)} AS snapshot_date, user_id, event_type FROM ev)""", f"""vt AS (
-  SELECT d.snapshot_date, d.user_id, s.rfm_segment,
-         count(CASE WHEN d.event_type = '{W.view_type}' THEN 1 END) AS view_cnt,
-         count(CASE WHEN d.event_type = '{W.cart_type}' THEN 1 END) AS cart_cnt,
-         count(CASE WHEN d.event_type = '{W.purchase_type}' THEN 1 END) AS purchase_cnt
-  FROM evd d JOIN mrfm s ON d.snapshot_date = s.snapshot_date AND d.user_id = s.user_id
-  GROUP BY d.snapshot_date, d.user_id, s.rfm_segment)""") + f"""
-SELECT CASE WHEN l.k <= {W.current_n} THEN 'current' ELSE 'past' END AS point_of_view,
-       v.user_id, v.snapshot_date, v.view_cnt, v.cart_cnt, v.purchase_cnt
-FROM vt v JOIN lastcal l ON v.snapshot_date = l.snapshot_date
-WHERE v.rfm_segment IN ('VIP', 'GROWTH', 'LOYAL')"""
+    """A count of each kind of event in the snapshot's period, as a subquery of its own."""
+    def events(kind: str) -> str:
+        return f"""(SELECT count(*) FROM ev WHERE ev.user_id = high.user_id AND ev.event_type = '{kind}'
+          AND {_pstart('ev.event_time', W.grain)} = {_pstart('high.snapshot_date', W.grain)})"""
+    later = "(SELECT count(*) FROM cal WHERE cal.snapshot_date > high.snapshot_date)"
+    return with_(*monthly_ctes(EV_CLICKS, W)) + f"""
+SELECT if({later} < {W.current_n}, 'current', 'past') AS point_of_view, high.user_id, high.snapshot_date,
+       {events(W.view_type)} AS view_cnt, {events(W.cart_type)} AS cart_cnt, {events(W.purchase_type)} AS purchase_cnt
+FROM mrfm high WHERE high.rfm_segment IN ('VIP', 'GROWTH', 'LOYAL')"""
 
 
 # ---------------------------------------------------------------------------

@@ -42,6 +42,33 @@ def test_ntiles_keep_null_keys(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, exp.collect()))
 
 
+@pytest.mark.parametrize("few, bins, group", [(20_000, 4096, ()), (30, 4096, ("g",))])
+def test_selected_tiles_match_windows(spark, monkeypatch, few, bins, group):
+    """Integers, decimals and dates with heavy ties, nulls, negative values and a hot key."""
+    from churnlens.functions import selection
+    monkeypatch.setattr(selection, "FEW", few)
+    monkeypatch.setattr(selection, "BINS", bins)
+    rnd = random.Random(4)
+    rows = [(u * 7 - 300, rnd.choice([0, 0, 0, None, 2]), rnd.choice([None, 1, 1, 1, 1, -5, rnd.randrange(10**6)]),
+             rnd.randrange(-50, 10**9), rnd.randrange(20_000)) for u in range(400)]
+    df = spark.createDataFrame(rows, "user_id long, g int, k int, cents long, day int").selectExpr(
+        "user_id", "g", "k", "CAST(cents / 100 AS DECIMAL(28,2)) AS money", "date_add(DATE'1990-01-01', day) AS day").repartition(5)
+    got = ntiles(df, 5, [("k", True, "a"), ("money", False, "b"), ("day", True, "c")], group=group)
+    w = Window.partitionBy(*group)
+    exp = df.select("*", F.ntile(5).over(w.orderBy(F.col("k").desc(), "user_id")).alias("a"),
+                    F.ntile(5).over(w.orderBy("money", "user_id")).alias("b"),
+                    F.ntile(5).over(w.orderBy(F.col("day").desc(), "user_id")).alias("c"))
+    assert got.columns == exp.columns and sorted(map(str, got.collect())) == sorted(map(str, exp.collect()))
+
+
+def test_selection_sorts_no_rows_for_a_tile(spark):
+    df = spark.range(50_000).selectExpr("id AS user_id", "CAST(id % 97 AS INT) AS k")
+    plan = ntiles(df, 5, [("k", True, "a")])._jdf.queryExecution().toString()
+    assert "Window" not in plan and "rangepartitioning" not in plan and "SortMergeJoin" not in plan
+    counts = {r.a: r["count"] for r in ntiles(df, 5, [("k", True, "a")]).groupBy("a").count().collect()}
+    assert counts == {t: 10_000 for t in range(1, 6)}
+
+
 def test_fewer_rows_than_tiles(spark):
     df = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "user_id long, k int")
     got = {r.user_id: r.t for r in ntile(df, 5, [F.col("k").asc()], "t").collect()}
