@@ -22,32 +22,47 @@ from .ntile import in_order, join_counted, settled
 
 
 def _running(batches):
-    """Adds the partition's number and the sum of ``_w`` before each row."""
-    pid, carry = TaskContext.get().partitionId(), 0
+    """Adds the partition's number and, for each weight ``_w0, _w1, ...``, its sum before each row."""
+    pid, carry = TaskContext.get().partitionId(), {}
     for b in batches:
-        w = b.column("_w").to_numpy(zero_copy_only=False).astype(np.int64)
-        upto = np.cumsum(w) + carry
+        names = [c for c in b.schema.names if c.startswith("_w") and c[2:].isdigit()]
+        sums = []
+        for c in names:
+            w = b.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto = np.cumsum(w) + carry.get(c, 0)
+            sums.append(pa.array(upto - w))
+            carry[c] = int(upto[-1]) if len(upto) else carry.get(c, 0)
         yield pa.RecordBatch.from_arrays(
-            [*b.columns, pa.array(np.full(b.num_rows, pid, np.int64)), pa.array(upto - w)],
-            [*b.schema.names, "_pid", "_in"])
-        carry = int(upto[-1]) if len(upto) else carry
+            [*b.columns, pa.array(np.full(b.num_rows, pid, np.int64)), *sums],
+            [*b.schema.names, "_pid", *[f"_in{c[2:]}" for c in names]])
 
 
-def prefix_sum(df: DataFrame, order: Sequence[Column], weight: str, out: str,
-               group: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
-    """Add ``out`` = sum of the integer column ``weight`` over the rows strictly before
-    each row in ``order`` within ``group`` (``order`` must be a total order)."""
+def prefix_sums(df: DataFrame, order: Sequence[Column], weights: dict[str, str],
+                group: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
+    """For each output name of ``weights`` the sum of its integer column over the rows
+    strictly before each row in ``order`` within ``group`` (``order`` must be a total
+    order): one range order for all of them."""
     keys = [F.coalesce(F.col(g).cast("string"), F.lit("\0null")).alias(f"_g{i}") for i, g in enumerate(group)]
     by = [f"_g{i}" for i in range(len(group))]
-    src = df.select("*", *keys, F.coalesce(F.col(weight).cast("long"), F.lit(0)).alias("_w"))
-    schema = StructType([*src.schema.fields, StructField("_pid", LongType()), StructField("_in", LongType())])
+    n = range(len(weights))
+    src = df.select("*", *keys, *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(f"_w{i}")
+                                  for i, c in enumerate(weights.values())])
+    schema = StructType([*src.schema.fields, StructField("_pid", LongType()), *[StructField(f"_in{i}", LongType()) for i in n]])
     pos = settled(in_order(src, [F.col(g).asc() for g in group] + list(order), num_partitions)
                   .mapInArrow(_running, schema))
-    totals = pos.groupBy("_pid", *by).agg(F.sum("_w").alias("_tot"), F.min("_in").alias("_first"))
+    totals = pos.groupBy("_pid", *by).agg(*[F.sum(f"_w{i}").alias(f"_tot{i}") for i in n],
+                                          *[F.min(f"_in{i}").alias(f"_first{i}") for i in n])
     w_prefix = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *by, "_first", F.coalesce(F.sum("_tot").over(w_prefix), F.lit(0)).alias("_off"))
+    offsets = totals.select("_pid", *by, *[
+        (F.coalesce(F.sum(f"_tot{i}").over(w_prefix), F.lit(0)) - F.col(f"_first{i}")).alias(f"_off{i}") for i in n])
     joined = join_counted(pos, offsets, ["_pid", *by])
-    return joined.select(*df.columns, (F.col("_off") + F.col("_in") - F.col("_first")).alias(out))
+    return joined.select(*df.columns, *[(F.col(f"_off{i}") + F.col(f"_in{i}")).alias(out) for i, out in enumerate(weights)])
+
+
+def prefix_sum(df: DataFrame, order: Sequence[Column], weight: str, out: str,
+               group: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
+    """``prefix_sums`` of one column."""
+    return prefix_sums(df, order, {out: weight}, group, num_partitions)
 
 
 def average_ranks(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:

@@ -152,4 +152,5 @@ def last_purchase_category(events: DataFrame, churn: DataFrame, params: Params =
     status = churn.groupBy("user_id").agg(F.max_by("segment", "snapshot_date").alias("segment"))
     return (n.join(status, "user_id")
             .groupBy("segment", "category_id", "category_code")
-            .agg(F.sum("n").alias("last_purchase_cnt")))
+            .agg(F.sum("n").alias("last_purchase_cnt"))
+            .orderBy("segment", F.desc("last_purchase_cnt"), "category_id", "category_code"))

@@ -56,7 +56,7 @@ def cohort_retention(events: DataFrame, params: Params = DEFAULT, ages: DataFram
         "revenue_per_user",
         money(F.sum("period_revenue").over(running)).alias("cumulative_revenue"),
         F.sum("revenue_per_user").over(running).alias("cumulative_revenue_per_user"),
-    )
+    ).orderBy("cohort_date", "cohort_age")
 
 
 def cohort_age_metrics(events: DataFrame, params: Params = DEFAULT, ages: DataFrame | None = None) -> DataFrame:

@@ -121,7 +121,7 @@ def segment_transition_uplift(mrfm: DataFrame) -> DataFrame:
                     money(F.col("_curr")).alias("total_curr_amount"),
                     money(F.col("_diff")).alias("total_diff_amount"),
                     ratio(F.col("_diff"), F.col("_ndiff")).alias("avg_diff_amount"),
-                    "avg_uplift_pct")
+                    "avg_uplift_pct").orderBy("prev_segment", "curr_segment", "snapshot_month")
 
 
 def segment_path(mrfm: DataFrame, calendar: Calendar) -> DataFrame:

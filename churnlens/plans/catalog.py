@@ -101,13 +101,19 @@ def monthly_rfm_df(spark, sf_dir):
                  lambda: mart(monthly.monthly_rfm(monthly_base_df(spark, sf_dir))))
 
 
-def churn_df(spark, sf_dir):
-    return _memo(spark, sf_dir, "churn", lambda: mart(churn.churn_status(
+def churn_intervals_df(spark, sf_dir):
+    return _memo(spark, sf_dir, "churn_intervals", lambda: mart(churn.churn_intervals(
         order_events(spark, sf_dir), orders_calendar(spark, sf_dir), up=user_period_df(spark, sf_dir))))
 
 
-def churn_transition_df(spark, sf_dir):
-    return _memo(spark, sf_dir, "churn_trans", lambda: churn.churn_transition(churn_df(spark, sf_dir)))
+def churn_df(spark, sf_dir):
+    """A row per user and snapshot, where that is what is asked for."""
+    return _memo(spark, sf_dir, "churn", lambda: churn.expand_intervals(
+        churn_intervals_df(spark, sf_dir), orders_calendar(spark, sf_dir)))
+
+
+def last_status_df(spark, sf_dir):
+    return churn.last_status(churn_intervals_df(spark, sf_dir), orders_calendar(spark, sf_dir))
 
 
 def category_events(spark, sf_dir):
@@ -212,16 +218,15 @@ def q_churn_status(spark, sf_dir):
 
 
 def q_churn_stats(spark, sf_dir):
-    return present(churn.churn_stats(churn_df(spark, sf_dir)))
+    return present(churn.interval_stats(churn_intervals_df(spark, sf_dir), orders_calendar(spark, sf_dir)))
 
 
 def q_churn_transition(spark, sf_dir):
-    return present(churn_transition_df(spark, sf_dir))
+    return present(churn.interval_transition(churn_intervals_df(spark, sf_dir), orders_calendar(spark, sf_dir)))
 
 
 def q_churn_loss_estimate(spark, sf_dir):
-    return present(churn.churn_loss_estimate(churn_df(spark, sf_dir), churn_transition_df(spark, sf_dir),
-                                             orders_calendar(spark, sf_dir)))
+    return present(churn.interval_loss_estimate(churn_intervals_df(spark, sf_dir), orders_calendar(spark, sf_dir)))
 
 
 def category_dim_df(spark, sf_dir):
@@ -245,17 +250,16 @@ def q_monthly_rfm_category_attributed(spark, sf_dir):
 
 
 def q_last_purchase_category_purchases_only(spark, sf_dir):
-    return category.last_purchase_category(category_events(spark, sf_dir), churn_df(spark, sf_dir),
+    return category.last_purchase_category(category_events(spark, sf_dir), last_status_df(spark, sf_dir),
                                            purchases_only=True)
 
 
 def q_churn_loss_estimate_dedup(spark, sf_dir):
-    return present(churn.churn_loss_estimate(churn_df(spark, sf_dir), churn_transition_df(spark, sf_dir),
-                                             orders_calendar(spark, sf_dir), dedup=True))
+    return present(churn.interval_loss_estimate(churn_intervals_df(spark, sf_dir), orders_calendar(spark, sf_dir), dedup=True))
 
 
 def q_last_purchase_category(spark, sf_dir):
-    return category.last_purchase_category(category_events(spark, sf_dir), churn_df(spark, sf_dir))
+    return category.last_purchase_category(category_events(spark, sf_dir), last_status_df(spark, sf_dir))
 
 
 def _activity(spark, sf_dir):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.ntile import join_counted, settled
-from ..functions.ranks import average_ranks, exact_median, prefix_sum
+from ..functions.ranks import average_ranks, prefix_sums
 from .distributions import chi2_sf_udf, f_sf_udf, norm_sf2_udf, t_sf2, t_sf2_udf
 
 Z975 = 1.959963984540054  # 97.5% normal quantile (95% two-sided intervals)
@@ -248,19 +248,27 @@ def spearman(df: DataFrame, x: str, ys: Sequence[str]) -> DataFrame:
     t-approximation p-value.  Ranks come from distributed prefix sums over
     distinct values; Pearson correlation of the ranks is a Spark aggregate."""
     sub = df.select(x, *ys).dropna()
-    # a value's rank is joined to its rows behind a count, so one with many rows needs no shuffle
-    ranked = sub
-    for c in dict.fromkeys([x, *ys]):
-        r = average_ranks(sub, c).select(F.col(c), F.col("avg_rank").alias(f"_r_{c}"))
-        ranked = join_counted(ranked, r, [c])
-    outs = []
-    for y in ys:
-        outs.append(ranked.agg(F.lit(y).alias("metric"),
-                               F.corr(f"_r_{x}", f"_r_{y}").alias("spearman_rho"),
-                               F.count(F.lit(1)).alias("n")))
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
+    # all metrics as long rows: one order for the ranks of every column, and the correlation from
+    # counts of (x, y), so neither depends on the number of metrics
+    names = list(dict.fromkeys([x, *ys]))
+
+    def melted(columns: Sequence[str], *keep: str) -> DataFrame:
+        pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
+        return sub.selectExpr(*keep, f"stack({len(columns)}, {pairs}) AS (metric, value)")
+    ranks = settled(average_ranks(melted(names), "value", ("metric",)).select("metric", "value", "avg_rank"))
+    joint = melted(ys, f"CAST(`{x}` AS DOUBLE) AS _x").groupBy("metric", "_x", "value").agg(F.count(F.lit(1)).alias("k"))
+    of_x = ranks.where(F.col("metric") == x).select(F.col("value").alias("_x"), F.col("avg_rank").alias("rx"))
+    joint = join_counted(join_counted(joint, of_x, ["_x"]), ranks, ["metric", "value"])
+    k, rx, ry = F.col("k"), F.col("rx"), F.col("avg_rank")
+    sums = joint.groupBy("metric").agg(F.sum(k).alias("n"), *[F.sum(k * v).alias(a) for a, v in (
+        ("sx", rx), ("sy", ry), ("sxx", rx * rx), ("syy", ry * ry), ("sxy", rx * ry))])
+    n = F.col("n")
+    spread = F.sqrt((n * F.col("sxx") - F.col("sx") * F.col("sx")) * (n * F.col("syy") - F.col("sy") * F.col("sy")))
+    rho = F.when(spread > 0, (n * F.col("sxy") - F.col("sx") * F.col("sy")) / spread)
+    # a metric without rows has its own row, as an aggregate without groups does
+    every = df.sparkSession.createDataFrame([(y,) for y in ys], "metric string")
+    res = every.join(F.broadcast(sums.withColumn("spearman_rho", rho).select("metric", "spearman_rho", "n")), "metric", "left") \
+        .withColumn("n", F.coalesce("n", F.lit(0)))
     dof = (F.col("n") - 2).cast("double")
     t = F.col("spearman_rho") * F.sqrt(F.try_divide(dof, 1.0 - F.pow(F.col("spearman_rho"), 2)))
     res = res.select("metric", "spearman_rho", F.when(F.abs(F.col("spearman_rho")) >= 1.0, F.lit(0.0))
@@ -303,26 +311,36 @@ def wilcoxon_signed_rank(wide: DataFrame, before_col: str = "before_value", afte
     rank_biserial_std = (W+ - W-) / (m (m + 1) / 2) over the m non-zero pairs.
     """
     _require(wide, [before_col, after_col, *group])
-    d = wide.select(*group, (F.col(after_col).try_cast("double") - F.col(before_col).try_cast("double"))
-                    .alias("d")).dropna()
-    d = settled(d)   # read by the mean, the median and the ranks
-    base = d.groupBy(*group).agg(F.count(F.lit(1)).alias("n_all"), F.avg("d").alias("mean_diff"))
-    med = exact_median(d, "d", group)
-    nz = d.where(F.col("d") != 0).select(*group, F.abs("d").alias("ad"), (F.col("d") > 0).alias("pos"))
-    # one row per distinct |d|: tie count and positive count; ranks from a prefix sum
-    counts = nz.groupBy(*group, "ad").agg(F.count(F.lit(1)).alias("cnt"),
-                                          F.count(F.when(F.col("pos"), 1)).alias("npos"))
-    ranked = prefix_sum(counts, [F.col("ad").asc()], "cnt", "_before", group)
-    avg_rank = F.col("_before") + (F.col("cnt") + 1) / 2.0
-    rs = ranked.groupBy(*group).agg(
-        F.sum(avg_rank * F.col("npos")).alias("w_plus"),
-        F.sum(avg_rank * (F.col("cnt") - F.col("npos"))).alias("w_minus"),
-        F.sum("cnt").alias("m"),
-        F.sum(F.pow(F.col("cnt"), 3) - F.col("cnt")).alias("ties"))
-    if group:
-        j = base.join(med, list(group), "left").join(rs, list(group), "left")
-    else:
-        j = _single(base, med, rs)
+    keys = list(group) or ["_all"]
+    d = wide.select(*group, *([] if group else [F.lit(0).alias("_all")]),
+                    (F.col(after_col).try_cast("double") - F.col(before_col).try_cast("double")).alias("d")).dropna(subset=["d"])
+    # one ordered histogram: the differences by size, with how many are above and below zero.
+    # Signed ranks need the rows of smaller size; the median's place follows from the same sums, as the
+    # negative differences lie in the opposite order below the zeros and the positive ones above.
+    counts = d.groupBy(*keys, F.abs("d").alias("ad")).agg(
+        F.count_if(F.col("d") > 0).alias("npos"), F.count_if(F.col("d") < 0).alias("nneg"),
+        F.count_if(F.col("d") == 0).alias("nzero"), F.sum("d").alias("total"))
+    hist = prefix_sums(counts, [F.col("ad").asc()], {"pos_before": "npos", "neg_before": "nneg"}, keys)
+    sizes = hist.groupBy(*keys).agg(F.sum("nneg").alias("below"), F.sum("nzero").alias("zeros"),
+                                    (F.sum("npos") + F.sum("nneg") + F.sum("nzero")).alias("n_all"))
+    h = join_counted(hist, sizes, keys)
+    cnt = F.col("npos") + F.col("nneg")
+    avg_rank = F.col("pos_before") + F.col("neg_before") + (cnt + 1) / 2.0
+
+    def at(k):
+        """The difference at place ``k`` of the signed order, in the row that holds it."""
+        negative = F.col("below") - F.col("neg_before")
+        positive = F.col("below") + F.col("zeros") + F.col("pos_before")
+        return F.max(F.when((k > negative - F.col("nneg")) & (k <= negative), -F.col("ad"))
+                     .when((k > F.col("below")) & (k <= F.col("below") + F.col("nzero")), F.lit(0.0))
+                     .when((k > positive) & (k <= positive + F.col("npos")), F.col("ad")))
+    j = h.groupBy(*keys).agg(
+        F.max("n_all").alias("n_all"), F.sum("total").alias("total"),
+        ((at(F.floor((F.col("n_all") + 1) / 2)) + at(F.floor(F.col("n_all") / 2) + 1)) / 2.0).alias("median"),
+        F.sum(F.when(cnt > 0, avg_rank * F.col("npos"))).alias("w_plus"),
+        F.sum(F.when(cnt > 0, avg_rank * F.col("nneg"))).alias("w_minus"),
+        F.sum(cnt).alias("m"), F.sum(F.pow(cnt, 3) - cnt).alias("ties"))
+    j = j.withColumn("mean_diff", F.col("total") / F.col("n_all"))
     m = F.coalesce(F.col("m"), F.lit(0)).cast("double")
     stat = F.least("w_plus", "w_minus")
     mean = m * (m + 1) / 4.0
@@ -338,15 +356,6 @@ def wilcoxon_signed_rank(wide: DataFrame, before_col: str = "before_value", afte
         F.try_divide(F.col("w_plus") - F.col("w_minus"), m * (m + 1) / 2.0).alias("rank_biserial_std"))
 
 
-def _single(base: DataFrame, med: DataFrame, rs: DataFrame) -> DataFrame:
-    """Put three one-row aggregates side by side (ungrouped test)."""
-    return base.select("*", med.select("median").scalar().alias("median"),
-                       rs.select("w_plus").scalar().alias("w_plus"),
-                       rs.select("w_minus").scalar().alias("w_minus"),
-                       rs.select("m").scalar().alias("m"),
-                       rs.select("ties").scalar().alias("ties"))
-
-
 def test_battery(tables: dict[str, tuple[DataFrame, Sequence[str]]], id_col: str = "user_id",
                  period_col: str = "point_of_view") -> DataFrame:
     """T8. Wilcoxon before/after tests for several (table, metric) pairs in one

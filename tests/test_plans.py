@@ -70,3 +70,67 @@ def test_segment_path_fails_on_orders_outside_its_calendar(spark, monkeypatch, f
     monkeypatch.setattr(catalog, "ORDERS_CALENDAR", Calendar(dt.date(*first), dt.date(*last)))
     with pytest.raises(ValueError, match="1995-01-01 to 2001-08-01"):
         catalog.queries()["segment_path"](spark, SF)
+
+
+def test_churn_statistics_read_intervals_only(spark):
+    """A15-A17 make no row per user and snapshot: what they read are a few intervals a user, and
+    every table between is bounded by the calendar."""
+    from churnlens.plans import catalog
+    sf = "/root/testdata/sf0.001"
+    intervals, rows = catalog.churn_intervals_df(spark, sf), catalog.churn_df(spark, sf)
+    purchases = catalog.user_period_df(spark, sf).count()
+    cal = catalog.orders_calendar(spark, sf)
+    assert intervals.count() <= 4 * purchases and intervals.count() < rows.count() / 2
+    assert intervals.selectExpr("sum(last_idx - first_idx + 1)").first()[0] == rows.count()
+    assert churn._user_counts(intervals, cal).count() <= 4 * cal.n
+    for query in ("churn_stats", "churn_transition", "churn_loss_estimate", "last_purchase_category"):
+        plan = catalog.queries()[query](spark, sf)._jdf.queryExecution().toString()
+        assert "sequence(first_idx" not in plan, query
+
+
+@pytest.mark.parametrize("grain, first, last", [("month", "2020-01-01", "2020-07-01"), ("week", "2020-01-06", "2020-03-30")])
+def test_intervals_equal_rows(spark, events, grain, first, last):
+    """The statistics of the intervals equal those of the expanded rows, also where purchases lie
+    outside the calendar."""
+    import datetime as dt
+    import random
+    rnd = random.Random(3)
+    day = dt.date(2019, 11, 1)
+    ev = events([(u, str(day + dt.timedelta(days=rnd.randrange(330))), rnd.choice(["purchase", "purchase", "view"]), rnd.randrange(1, 90))
+                 for u in range(40) for _ in range(rnd.randrange(1, 9))])
+    cal = Calendar(dt.date.fromisoformat(first), dt.date.fromisoformat(last), grain)
+    params = churn.DEFAULT.with_(grain=grain, active_days=20, risk_days=45)
+    intervals = churn.churn_intervals(ev, cal, params)
+    rows = churn.churn_status(ev, cal, params).cache()
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+    trans = churn.churn_transition(rows)
+    assert rows.select("segment").distinct().count() == 4 and trans.count() > 10
+    assert same(churn.interval_stats(intervals, cal), churn.churn_stats(rows))
+    assert same(churn.interval_transition(intervals, cal), trans)
+    for dedup in (False, True):
+        assert same(churn.interval_loss_estimate(intervals, cal, dedup), churn.churn_loss_estimate(rows, trans, cal, dedup))
+    rows.unpersist()
+
+
+def test_result_tables_are_ordered(spark):
+    """A10, A12, A16 and A19 come in the order of the original's result tables."""
+    from churnlens.plans import catalog
+    orders = {"segment_transition_uplift": ["prev_segment", "curr_segment", "snapshot_month"],
+              "cohort_retention": ["cohort_date", "cohort_age"],
+              "churn_transition": ["snapshot_date", "prev_segment", "curr_segment"],
+              "last_purchase_category": ["segment", "-last_purchase_cnt", "category_id"]}
+    for name, columns in orders.items():
+        rows = catalog.queries()[name](spark, "/root/testdata/sf0.001").collect()
+        keys = [tuple(-r[c[1:]] if c[0] == "-" else r[c] for c in columns) for r in rows]
+        assert len(keys) > 5 and keys == sorted(keys), name
+
+
+def test_one_order_for_a_test_battery(spark):
+    """The median and the signed ranks of all metrics come from one range order."""
+    from churnlens.stats import tests as st
+    df = spark.range(400).selectExpr("id % 200 AS user_id", "IF(id < 200, 'past', 'current') AS point_of_view",
+                                     "CAST(id % 7 AS DOUBLE) AS a", "CAST(id % 11 AS DOUBLE) AS b")
+    plan = st.test_battery({"t": (df, ["a", "b"])})._jdf.queryExecution().toString()
+    assert plan.count("SinglePartition") == 0
+    physical = plan[plan.index("== Physical Plan"):]
+    assert physical.count("Exchange hashpartitioning") <= 1 and "SortMergeJoin" not in physical
