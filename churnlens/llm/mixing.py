@@ -5,10 +5,13 @@ Targets: sources in code-point order (null last) weigh 5, 2, 1, repeating, and s
 and what is left over is shared again by weight.  The end state needs one number, the
 words for each unit of weight, found over the sources sorted by size for each weight.
 
-Quotas: the total is a number of blocks of ``block`` words.  Sainte-Lague gives the
-blocks to sources by their highest quotients target / (2k - 1); the same rule gives a
-source's blocks to its shards.  Only the quotients near the divisor are listed (at
-most twice as many as there are parties), for the rest rounding already decides.
+Quotas: a source has its words, ``max_repeat`` times over, in blocks of ``block`` words; the
+last block may be shorter, and a source of a few words is one short block.  Sainte-Lague
+gives blocks to sources by their highest quotients (target in blocks of the source's
+mean size) / (2k - 1), never more than a source has: what it cannot hold is given again to the others.
+The same rule gives a source's blocks to its shards.  Only the quotients near the
+divisor are listed (at most twice as many as there are parties), for the rest rounding
+already decides.
 
 Blocks: a shard lays its documents out in a seeded order, ``max_repeat`` times over,
 and cuts that into blocks.  A seeded affine permutation numbers the blocks of each
@@ -87,6 +90,22 @@ def sainte_lague(parties: DataFrame, within: list[str], weight: str, order: str,
         .drop("_all", "_n", "_seats", "_sure", "_most", "_open", "_won")
 
 
+def capped_seats(parties: DataFrame, weight: str, order: str, cap: str) -> DataFrame:
+    """Adds ``quota``: as many seats as the weights sum to, by the highest quotients, at most
+    ``cap`` (not less than the weight) a party.  A party that would get more keeps its cap, and the
+    rest is given among the others, which can only add to what they have."""
+    left, full, open_ = int(parties.agg(F.round(F.coalesce(F.sum(weight), F.lit(0.0)))).first()[0]), None, parties
+    while True:
+        given = settle(sainte_lague(open_, [], weight, order, F.lit(left)))
+        over = given.where(F.col("quota") > F.col(cap))
+        cut = over.agg(F.sum(cap)).first()[0]
+        if cut is None:
+            return given if full is None else full.unionByName(given)
+        kept = over.withColumn("quota", F.col(cap).cast("long"))
+        full = kept if full is None else full.unionByName(kept)
+        open_, left = given.where(F.col("quota") <= F.col(cap)).drop("quota"), left - int(cut)
+
+
 def mix_sources(docs: DataFrame, seed: int = 17, block: int = 64, shard_words: int = 1_000_000,
                 budget: float = 1.5, max_repeat: int = 2, weights: tuple[int, ...] = WEIGHTS,
                 keep: list[str] | None = None) -> DataFrame:
@@ -99,18 +118,20 @@ def mix_sources(docs: DataFrame, seed: int = 17, block: int = 64, shard_words: i
     d = d.withColumn("order", _hash(F.col("id"), seed))
     sizes = settle(d.groupBy("source").agg(F.sum("size").alias("source_size")))
     s = source_targets(sizes, budget, max_repeat, weights)
-    blocks = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block)
-    s = sainte_lague(s, [], "target", "rank", blocks)
+    most = F.lit(max_repeat) * F.col("source_size")
+    s = s.withColumn("most", F.ceil(most / block))
+    s = s.withColumn("share", F.coalesce(F.try_divide(F.col("target") * F.col("most"), most.cast("double")), F.lit(0.0)))
+    s = capped_seats(settle(s), "share", "rank", "most").drop("most", "share")
     s = settle(s.withColumn("shards", F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)))
                .withColumnRenamed("quota", "source_quota"))
     d = join_small(d, s, "source", F.col("id"))
     d = d.withColumn("shard", F.pmod(_hash(F.col("id"), seed + 1), F.col("shards")))
 
     parts = settle(d.groupBy("rank", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("seats")))
-    parts = sainte_lague(parts, ["rank"], "words", "shard", F.col("seats"))
-    m = F.floor(F.col("words") / block)
-    parts = parts.withColumn("blocks", m).withColumn("all_blocks", F.floor(F.lit(max_repeat) * F.col("words") / block)) \
-        .withColumn("quota", F.least("quota", "all_blocks")).drop("seats")
+    parts = parts.withColumn("blocks", F.floor(F.col("words") / block)) \
+        .withColumn("all_blocks", F.ceil(F.lit(max_repeat) * F.col("words") / block))
+    # no shard gets more than its blocks, as the seats are no more than the weights
+    parts = sainte_lague(parts, ["rank"], "all_blocks", "shard", F.col("seats")).drop("seats")
     parts = settle(parts.withColumn("part", F.col("rank") * 1_000_000_007 + F.col("shard")).drop("rank", "shard"))
 
     place = Window.partitionBy("rank", "shard").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -207,17 +228,19 @@ s2 AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(su
        FROM s1 WINDOW below AS (ORDER BY cap::DOUBLE / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s3 AS (SELECT *, max(CASE WHEN lev <= cap::DOUBLE / w THEN lev END) OVER () AS fits FROM s2),
 s4 AS (SELECT source, source_size, rk, least(cap::DOUBLE, w * fits) AS target FROM s3),
-q AS (SELECT sum(target) AS total, CAST(round(sum(target) / 64) AS BIGINT) AS seats, count(*) AS n FROM s4),
-quo AS (SELECT rk, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, rk, k) AS r, seats
-        FROM (SELECT rk, target, seats, unnest(range(1, CAST(ceil(target * (seats + n + 2) / total + 2) AS BIGINT))) AS k FROM s4, q)),
+s4b AS (SELECT *, CASE WHEN most > 0 THEN target * most / (2 * source_size)::DOUBLE ELSE 0 END AS share
+        FROM (SELECT *, (2 * source_size + 63) // 64 AS most FROM s4)),
+quo AS (SELECT rk, row_number() OVER (ORDER BY share / (2 * k - 1) DESC, rk, k) AS r,
+          (SELECT CAST(round(sum(share)) AS BIGINT) FROM s4b) AS seats
+        FROM (SELECT rk, share, unnest(range(1, most + 1)) AS k FROM s4b)),
 s5 AS (SELECT s4.*, CAST(ceil(greatest(source_size / 1000000.0, 0.0000001)) AS BIGINT) AS shards,
          (SELECT count(*) FROM quo WHERE quo.rk = s4.rk AND r <= seats) AS quota FROM s4),
 e AS (SELECT d.*, rk, source_size, target, quota, h2 % shards AS shard FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source),
 p0 AS (SELECT rk, shard, CAST(sum(size) AS BIGINT) AS words, any_value(quota) AS quota FROM e GROUP BY rk, shard),
-pq AS (SELECT rk, shard, row_number() OVER (PARTITION BY rk ORDER BY words::DOUBLE / (2 * k - 1) DESC, shard, k) AS r, quota
-       FROM (SELECT rk, shard, words, quota, unnest(range(1, quota + 1)) AS k FROM p0)),
-p AS (SELECT rk, shard, words, words // 64 AS blocks, 2 * words // 64 AS all_blocks,
-        least((SELECT count(*) FROM pq WHERE pq.rk = p0.rk AND pq.shard = p0.shard AND r <= pq.quota), 2 * words // 64) AS quota FROM p0),
+pq AS (SELECT rk, shard, row_number() OVER (PARTITION BY rk ORDER BY most::DOUBLE / (2 * k - 1) DESC, shard, k) AS r, quota
+       FROM (SELECT rk, shard, (2 * words + 63) // 64 AS most, quota, unnest(range(1, (2 * words + 63) // 64 + 1)) AS k FROM p0)),
+p AS (SELECT rk, shard, words, words // 64 AS blocks, (2 * words + 63) // 64 AS all_blocks,
+        (SELECT count(*) FROM pq WHERE pq.rk = p0.rk AND pq.shard = p0.shard AND r <= pq.quota) AS quota FROM p0),
 f AS (SELECT e.doc_id, e.size, e.source_size, e.target, e.rk * 1000000007 + e.shard AS part, p.words, p.blocks, p.all_blocks, p.quota,
         CAST(coalesce(sum(e.size) OVER (PARTITION BY e.rk, e.shard ORDER BY e.ord, e.doc_id, e.size
                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS st,

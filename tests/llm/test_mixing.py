@@ -84,6 +84,36 @@ def test_mix(docs, prose, shard_words):
     assert other != again
 
 
+def test_small_sources_get_their_share(docs, prose):
+    """Sources below a block, with the production block: near the target, and the whole total."""
+    size = {"a": 4, "b": 20, "c": 31, "d": 63, "e": 5000}
+    rows = [(i, prose(n, seed=i), "en", s) for i, (s, n) in enumerate(size.items())]
+    got = m.mix_sources(docs(rows)).collect()
+    want = shares(size)
+    for r in got:
+        assert abs(r.taken - want[r.row.source]) <= 64 and r.taken <= 2 * r["size"]
+    many = {f"s{i:04d}": 20 for i in range(2000)}
+    want = shares(many)
+    rows = [(i, prose(20, seed=i % 50), "en", s) for i, s in enumerate(many)]
+    got = m.mix_sources(docs(rows)).collect()
+    assert all(abs(r.taken - want[r.row.source]) <= 40 for r in got)
+    assert abs(sum(r.taken for r in got) - 60_000) <= 64
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_capped_seats(spark, seed):
+    """The highest quotients among those that a party can hold."""
+    rnd = random.Random(seed)
+    caps = [rnd.choice([1, 1, 1, 2, 40, 700]) for _ in range(60)]
+    weights = [c * rnd.choice([1.0, 0.4, 0.4, 0.75]) for c in caps]
+    offers = sorted(((-w / (2 * k - 1), i, k) for i, (w, c) in enumerate(zip(weights, caps)) for k in range(1, c + 1)))
+    won = [0] * len(caps)
+    for _, i, _ in offers[:int(sum(weights) + 0.5)]:
+        won[i] += 1
+    df = spark.createDataFrame(list(zip(range(len(caps)), weights, caps)), "k long, w double, c long")
+    assert [r.quota for r in sorted(m.capped_seats(df, "w", "k", "c").collect())] == won
+
+
 def test_a_block_comes_twice_only_when_all_came_once(docs, prose):
     rows = [(i, prose(64, seed=i), "en", "b" if i else "a") for i in range(40)]
     taken = [r.taken for r in m.mix_sources(docs(rows), block=64).collect() if r.row.doc_id]
