@@ -5,7 +5,8 @@ lower-cased.  Keys of ``min_chars`` code points or more are hashed to 128 bits.
 shard of the hashes builds a minimal perfect hash over its distinct line hashes; the
 slot of a hash indexes an array of 16-bit fingerprints, an array of document counts
 (which stop at ``min_docs``: more is not asked) and an array of the largest doc_id.
-The documents' line hashes, packed by block, probe these arrays; no line is joined.
+The documents' line hashes, packed by block, probe these arrays; no line is joined.  Hashes
+that a large share of all records hold are summed up apart from the blocks (``exchange.py``).
 A key found in ``min_docs`` documents stays only in the largest doc_id that holds it.
 
 Cases: a null or empty text is one empty line; repeated rows of a doc_id are one
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from .common import documents, from_key
-from .exchange import apply, by_block, judge, summarise
+from .exchange import Known, apply, by_block, judge, summarise
 from .line_index import PerfectHash
 
 RECORD = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("doc", "<i8")])
@@ -96,7 +97,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
         return {payload[i:i + 16]: int.from_bytes(payload[i + 16:i + 24], "little", signed=True)
                 for i in range(0, len(payload), RECORD.itemsize)}
 
-    def rewrite(doc: int, raw: bytes, last: dict) -> tuple:
+    def rewrite(doc: int, raw: bytes, last: Known) -> tuple:
         lines = raw.split(b"\n")
         if not last:
             return len(lines), 0, raw
@@ -105,7 +106,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
             return len(lines), 0, raw
         return len(lines), len(lines) - sum(keep), b"\n".join(x for x, k in zip(lines, keep) if k)
 
-    answers = judge(summarise(docs, units, shrink, RECORD), verdicts, RECORD)
+    answers = judge(summarise(docs, units, shrink, RECORD), shrink, verdicts, RECORD)
     out = apply(docs, answers, rewrite, load,
                 [("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("raw", pa.binary())],
                 "n_lines long, n_dropped long, raw binary")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from .common import NO_ID, documents, from_key
-from .exchange import apply, by_block, judge, summarise
+from .exchange import Known, apply, by_block, judge, summarise
 
 UNIT_WORDS, MIN_WORDS, WINDOW, REACH = 5, 25, 11, 3
 RECORD = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("n", "<u4")])
@@ -100,7 +100,7 @@ def units(raw: bytes) -> list[tuple[int, int, int, bytes]]:
     return list(zip(start[first].tolist(), end[last].tolist(), (last - first + 1).tolist(), digests))
 
 
-def repeated_spans(doc: int, raw: bytes, first: dict, min_words: int) -> list[tuple[int, int, int, int]]:
+def repeated_spans(doc: int, raw: bytes, first: Known | dict, min_words: int) -> list[tuple[int, int, int, int]]:
     """(start, end, words, first document) of the passages to remove, in bytes."""
     out, run, ahead, source = [], None, 0, None
     for pos, (start, end, words, digest) in enumerate(units(raw)):
@@ -157,7 +157,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return {payload[i:i + 16]: seen for i, seen in zip(range(0, len(payload), RECORD.itemsize),
                                                            zip(r["doc"].tolist(), r["pos"].tolist()))}
 
-    def rewrite(doc: int, raw: bytes, first: dict) -> tuple:
+    def rewrite(doc: int, raw: bytes, first: Known) -> tuple:
         spans = repeated_spans(doc, raw, first, min_words) if first else []
         if not spans:
             return raw, []
@@ -172,7 +172,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             at = end
         return b"".join([*keep, raw[at:]]), out
 
-    answers = judge(summarise(docs, digests, shrink, RECORD), verdicts, RECORD)
+    answers = judge(summarise(docs, digests, shrink, RECORD), shrink, verdicts, RECORD)
     out = apply(docs, answers, rewrite, load, [("raw", pa.binary()), ("spans", _SPAN)],
                 "raw binary, spans array<struct<start:long,end:long,n_words:long,first_doc_id:long>>")
     return out.select(from_key("doc").alias("doc_id"), F.decode("raw", "UTF-8").alias("text"), "spans")

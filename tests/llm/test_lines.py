@@ -101,6 +101,85 @@ def test_odd_lines(docs):
     assert got_lines(docs(ODD, extra=True)) == brute_lines(ODD)
 
 
+HOT = "A line that a third of all documents hold, wherever their ids lie"
+
+
+def far_apart(spark, n):
+    """n documents with ids far apart; every third holds HOT, all hold a line of their own."""
+    return spark.range(n, numPartitions=4).selectExpr(
+        "xxhash64(id) AS doc_id",
+        f"concat(if(id % 3 = 0, '{HOT}\\n', ''), 'own line of document ', id, ' with more than forty characters') AS text")
+
+
+def records_of_calls(spark, n, monkeypatch):
+    """The records of HOT in the largest call of a shard, and the heavy digests."""
+    from churnlens.llm import exchange
+    from churnlens.llm.line_dedup import RECORD, line_digests
+    seen = {}
+
+    def keep(summary, hot, shrink, dtype, whole=exchange._of_heavy):
+        seen["hot"], seen["merged"] = hot, whole(summary, hot, shrink, dtype)
+        return seen["merged"]
+
+    def rest(summary, hot, dtype, whole=exchange._without):
+        seen["rest"] = whole(summary, hot, dtype)
+        return seen["rest"]
+    monkeypatch.setattr(exchange, "_of_heavy", keep)
+    monkeypatch.setattr(exchange, "_without", rest)
+    out = line_dedup(far_apart(spark, n))
+    monkeypatch.undo()
+    want = np.frombuffer(line_digests(HOT.encode(), 40)[0], "<u8")[0]
+
+    def most(df):
+        held = {}
+        for r in df.collect():
+            got = np.frombuffer(bytes(r.payload), RECORD)
+            held[r.shard] = held.get(r.shard, 0) + int((got["hi"] == want).sum())
+        return max(held.values(), default=0)
+    return out, seen["hot"], most(seen["merged"]), most(seen["rest"])
+
+
+@pytest.mark.parametrize("n", [6_000, 24_000])
+def test_a_hot_line_with_ids_far_apart_is_split(spark, monkeypatch, n):
+    out, hot, merged, rest = records_of_calls(spark, n, monkeypatch)
+    assert len(hot) == 1 and rest == 0
+    assert merged <= 6 * 8                                # six a chunk, whatever n is
+    assert out.agg({"n_dropped": "sum"}).first()[0] == n // 3 - 1
+    last = far_apart(spark, n).where(f"text LIKE '{HOT}%'").agg({"doc_id": "max"}).first()[0]
+    assert [r.doc_id for r in out.where(f"n_lines = 2 AND n_dropped = 0").collect()] == [last]
+
+
+def test_heavy_digests_against_counts(spark, monkeypatch):
+    from churnlens.llm import exchange
+    from churnlens.llm.line_dedup import RECORD
+    rnd = np.random.default_rng(8)
+    monkeypatch.setattr(exchange, "HELD", 500)            # taken along in the closures of the test
+    hi = np.minimum(rnd.zipf(1.3, 20_000), 5_000).astype(np.uint64) << np.uint64(40)
+    rows = []
+    for k in range(0, len(hi), 50):
+        r = np.zeros(50, RECORD)
+        r["hi"], r["doc"] = hi[k:k + 50], np.arange(k, k + 50)
+        rows.append((0, k, 50, bytearray(r.tobytes())))
+    df = spark.createDataFrame(rows, exchange._PACKED).repartition(4)
+    shards = exchange._shards(spark)
+    keys, n = np.unique(hi, return_counts=True)
+    hot = exchange.heavy(df, RECORD)
+    assert len(hot) <= shards and set(hot) <= set(keys[n >= len(hi) / shards])
+    assert set(hot) >= set(keys[n >= 2 * len(hi) / shards + 2 * (len(hi) / 500 + 4)])
+    left = sum(r.n for r in exchange._without(df, hot, RECORD).collect())
+    assert left == int(n[~np.isin(keys, hot)].sum())
+
+
+def test_a_hot_passage_with_ids_far_apart(docs, prose):
+    passage = prose(60, seed=9)
+    rows = [(i * 1_000_003 * (-1) ** i, f"{prose(30, seed=100 + i)} own{i} {passage if i % 3 == 0 else ''} {prose(30, seed=900 + i)}")
+            for i in range(400)]
+    spans = got_spans(docs(rows))
+    assert spans == brute_spans(rows)
+    first = min(d for d, t in rows if passage in t)
+    assert len(spans) == len([d for d, t in rows if passage in t]) - 1 and {s[4] for s in spans} == {first}
+
+
 # --- substring dedup ---------------------------------------------------------
 def brute_spans(rows, min_words=25):
     first = {}
