@@ -1,16 +1,19 @@
 """Benchmark decontamination (operator 8).
 
 For every benchmark item of n words, windows of n words slide over the texts.  A window
-is a multiset of ``SHINGLE``-word shingles, its SimHash the majority bit over their hashes.
-The items' fingerprints of one size are cut into eight 8-bit blocks: a window within
-``radius`` bits of an item agrees with it up to ``radius // 8`` bits in at least one block
-(pigeonhole), so a table look-up for each block finds every item within the radius.  What
+is a multiset of ``SHINGLE``-word shingles, its SimHash of 128 bits the majority bit over
+their hashes.  The items' fingerprints of one size are cut into four 32-bit blocks, each with a
+sorted table of its values: a window within ``radius`` bits of an item agrees with it up to a
+quarter of the radius in at least one block (pigeonhole), so a search of each table finds every
+item within the radius.  At the default radius of 39 a table passes 1 % of random values, the
+four of them 4 %; the whole fingerprint lets about one in 100,000 of all pairs through.  What
 it finds is verified by the exact weighted-shingle similarity (the sum of the smaller
 counts over the sum of the larger), ``threshold`` or more.
 
 A window that shares no shingle with any item has similarity 0 and gets no fingerprint;
-that is the only windows left out.  At the default radius of 23 of 64 bits a window of
-similarity 0.8 (10 bits apart on average) lies 4.6 standard deviations inside.
+that is the only windows left out.  A window of similarity 0.8 (20 bits apart on average) lies
+4.6 standard deviations inside the radius.  Windows meet tables a tile at a time, as lists of
+index pairs, so memory does not grow with the product of text and items.
 
 The items are a query set: they go to the tasks in blocks of about ``ITEM_BYTES`` of text,
 each one broadcast, however many there are.
@@ -37,8 +40,12 @@ from xxhash import xxh64_intdigest
 
 from .common import documents, each_text, small_batches
 
-SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 23
+SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 39
 ITEM_BYTES = 2 << 20
+#: Bits of a fingerprint, and blocks that it is cut into.
+BITS, BLOCKS = 128, 4
+#: Windows whose fingerprints are held at once, and pairs of a tile.
+RUN, TILE = 8192, 1 << 20
 #: Words whose hashes a task remembers.
 CACHE = 200_000
 
@@ -82,35 +89,87 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def _bits(h: np.ndarray) -> np.ndarray:
-    """Rows of 64 values +1 or -1."""
-    return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
+    """Rows of BITS values +1 or -1: the hash, and the hash mixed once more."""
+    more = (h ^ h >> np.uint64(32)) * _ODD
+    more = (more ^ more >> np.uint64(29)) * _ODD
+    both = np.stack([h, more ^ more >> np.uint64(32)], axis=1)
+    return np.unpackbits(both.view(np.uint8), axis=1).astype(np.int8) * np.int8(2) - np.int8(1)
 
 
 def window_fingerprints(h: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """The SimHash of the ``length`` shingles from each start."""
-    sums = np.zeros((len(h) + 1, 64), np.int32)
-    np.cumsum(_bits(h), axis=0, out=sums[1:])
-    return np.packbits(sums[starts + length] > sums[starts], axis=1).view(">u8").ravel().astype(np.uint64)
+    """The SimHash of the ``length`` shingles from each start, as rows of BLOCKS words."""
+    sums = np.zeros((len(h) + 1, BITS), np.int32)
+    np.cumsum(_bits(h), axis=0, dtype=np.int32, out=sums[1:])
+    return np.packbits(sums[starts + length] > sums[starts], axis=1).view(np.uint32)
 
 
 class HammingBlocks:
-    """Finds all fingerprints within ``radius`` bits by tables over eight 8-bit blocks."""
+    """Finds all fingerprints within ``radius`` bits by sorted tables of their blocks."""
 
     def __init__(self, prints: np.ndarray, radius: int):
         self.prints, self.radius = prints, radius
-        blocks = prints.view(np.uint8).reshape(-1, 8)
-        far = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None, None] ^ blocks[None])
-        self.near = (far <= radius // 8).transpose(2, 0, 1)          # block, value, item
-
-    def find(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) index pairs within the radius."""
-        at = windows.view(np.uint8).reshape(-1, 8)
-        maybe = np.zeros((len(windows), len(self.prints)), bool)
-        for k in range(8):
-            maybe |= self.near[k][at[:, k]]
-        w, i = np.nonzero(maybe)
-        close = np.bitwise_count(windows[w] ^ self.prints[i]) <= self.radius
-        return w[close], i[close]
+        #: Bits that may differ within each block: one more in every block is over the radius.
+        self.within = [(radius + BLOCKS - b) // BLOCKS - 1 for b in range(BLOCKS)]
+        self.tables = [self._table(prints[:, b]) for b in range(BLOCKS)]
+
+    @staticmethod
+    def _table(block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted values, where each one's members begin (and the end), the members."""
+        members = np.argsort(block, kind="stable")
+        values, begin = np.unique(block[members], return_index=True)
+        return values, np.r_[begin, len(block)], members
+
+    def candidates(self, windows: np.ndarray):
+        """(block, windows, items): index pairs that agree in a block, by tiles."""
+        for b, (values, begin, members) in enumerate(self.tables):
+            if self.within[b] < 0:
+                continue
+            mine, first = np.unique(windows[:, b], return_inverse=True)
+            order = np.argsort(first, kind="stable")
+            start = np.searchsorted(first[order], np.arange(len(mine) + 1))
+            wide = min(len(values), 4096)
+            high = max(1, TILE // wide)
+            for y in range(0, len(mine), high):
+                for x in range(0, len(values), wide):
+                    apart = np.bitwise_count(mine[y:y + high, None] ^ values[None, x:x + wide])
+                    r, c = np.nonzero(apart <= self.within[b])
+                    for w, i in _expand(r + y, c + x, start, order, begin, members):
+                        yield b, w, i
+
+    def find(self, windows: np.ndarray):
+        """(window, item) index pairs within the radius, by tiles, each pair once: from the
+        first block in which it agrees."""
+        for b, w, i in self.candidates(windows):
+            apart = np.bitwise_count(windows[w] ^ self.prints[i])
+            close = apart.sum(axis=1) <= self.radius
+            close &= ~(apart[:, :b] <= self.within[:b]).any(axis=1)
+            if close.any():
+                yield w[close], i[close]
+
+
+def _expand(r, c, start, order, begin, members):
+    """The pairs of rows behind pairs of values, about TILE at a time."""
+    times = (start[r + 1] - start[r]) * (begin[c + 1] - begin[c])
+    part = (np.cumsum(times) - 1) // TILE
+    for s, e in _runs(part):
+        if e == s + 1 and times[s] > TILE:      # one value of very many windows or items
+            for w in order[start[r[s]]:start[r[s] + 1]]:
+                held = members[begin[c[s]]:begin[c[s] + 1]]
+                for x in range(0, len(held), TILE):
+                    yield np.full(len(held[x:x + TILE]), w), held[x:x + TILE]
+            continue
+        n = times[s:e]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        items = np.repeat(begin[c[s:e] + 1] - begin[c[s:e]], n)
+        yield (order[np.repeat(start[r[s:e]], n) + at // items], members[np.repeat(begin[c[s:e]], n) + at % items])
+
+
+def _runs(a: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of equal values."""
+    if not len(a):
+        return []
+    cuts = np.flatnonzero(a[1:] != a[:-1]) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(a)]))
 
 
 class Items:
@@ -177,22 +236,30 @@ class Items:
         np.add.at(near, np.clip(places - length + 1, 0, last), 1)
         np.add.at(near, np.clip(places, 0, last) + 1, -1)
         starts = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+        for x, y in _runs(starts // RUN):
+            self._run(h, size, n, length, starts[x:y], best)
+
+    def _run(self, h, size, n, length, starts, best):
         low = int(starts[0])
         part = h[low:int(starts[-1]) + length]
-        w, i = self.index[size, n].find(window_fingerprints(part, starts - low, length))
         members = self.members[size, n]
-        for k in np.unique(i).tolist():
-            item = members[k]
-            count, m = Counter(self.hashes[item].tolist()), len(self.hashes[item])
-            inside = np.r_[0, np.cumsum(np.isin(part, self.hashes[item]))]
-            for s in starts[w[i == k]].tolist():
-                most = int(inside[s - low + length] - inside[s - low])
-                if most < self.threshold * (length + m - most):
-                    continue
-                both = sum((Counter(h[s:s + length].tolist()) & count).values())
-                found = both / (length + m - both)
-                if found >= self.threshold and found > best.get(item, (0.0,))[0]:
-                    best[item] = found, s, s + length + size - 1
+        for w, i in self.index[size, n].find(window_fingerprints(part, starts - low, length)):
+            order = np.lexsort((w, i))
+            w, i = w[order], i[order]
+            for x, y in _runs(i):
+                item = members[int(i[x])]
+                mine = self.hashes[item]
+                inside = np.r_[0, np.cumsum(np.isin(part, mine))]
+                at = starts[w[x:y]]
+                most = inside[at - low + length] - inside[at - low]
+                maybe = at[most >= self.threshold * (length + len(mine) - most)]
+                count = Counter(mine.tolist()) if len(maybe) else None
+                for s in maybe.tolist():
+                    both = sum((Counter(h[s:s + length].tolist()) & count).values())
+                    found = both / (length + len(mine) - both)
+                    old = best.get(item)
+                    if found >= self.threshold and (old is None or (found, -s) > (old[0], -old[1])):
+                        best[item] = found, s, s + length + size - 1
 
 
 def item_blocks(benchmark: DataFrame) -> list[int]:

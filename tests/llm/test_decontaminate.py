@@ -89,17 +89,54 @@ def test_spans(docs, bench, prose):
     assert text[hit.start:hit.end].strip("().") == item.strip(".") and hit.similarity == 1.0
 
 
-def test_hamming_blocks_find_all():
+def flipped(rnd, prints, most):
+    """Copies of fingerprints with up to ``most`` bits changed."""
+    out = prints.copy()
+    for row in out:
+        for b in rnd.choice(m.BITS, int(rnd.integers(0, most + 1)), replace=False):
+            row[b // 32] ^= np.uint32(1 << int(b % 32))
+    return out
+
+
+def pairs(tiles):
+    return [p for *_, w, i in tiles for p in zip(w.tolist(), i.tolist())]
+
+
+@pytest.mark.parametrize("tile", [1 << 20, 64])
+def test_hamming_blocks_find_all(monkeypatch, tile):
+    monkeypatch.setattr(m, "TILE", tile)
     rnd = np.random.default_rng(4)
-    prints = rnd.integers(0, 2 ** 63, 50).astype(np.uint64)
-    windows = prints[rnd.integers(0, 50, 400)].copy()
-    for k in range(len(windows)):
-        for b in rnd.choice(64, int(rnd.integers(0, 30)), replace=False):
-            windows[k] ^= np.uint64(1 << int(b))
-    for radius in (0, 5, 15, 23):
-        w, i = m.HammingBlocks(prints, radius).find(windows)
-        far = np.bitwise_count(windows[:, None] ^ prints[None])
-        assert set(zip(w.tolist(), i.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(far <= radius))))
+    prints = rnd.integers(0, 2 ** 32, (50, m.BLOCKS), np.uint32)
+    prints[40:] = prints[:10]                                   # equal items
+    windows = np.concatenate([flipped(rnd, prints[rnd.integers(0, 50, 400)], 60), prints[:5], prints[:5]])
+    far = np.bitwise_count(windows[:, None] ^ prints[None]).sum(axis=2)
+    for radius in (0, 2, 15, 39, 60):
+        found = pairs(m.HammingBlocks(prints, radius).find(windows))
+        assert len(found) == len(set(found))
+        assert set(found) == set(zip(*(x.tolist() for x in np.nonzero(far <= radius))))
+
+
+def test_the_index_is_selective():
+    rnd = np.random.default_rng(5)
+    prints, windows = (rnd.integers(0, 2 ** 32, (k, m.BLOCKS), np.uint32) for k in (1000, 2000))
+    index = m.HammingBlocks(prints, m.RADIUS)
+    assert len(set(pairs(index.candidates(windows)))) < 0.05 * 2_000_000
+    assert len(pairs(index.find(windows))) < 200
+
+
+def test_many_items_that_share_a_phrase_with_a_long_text(prose):
+    """A text that repeats a phrase of all items: no memory for windows x items."""
+    import tracemalloc
+    phrase = "one phrase that all hold"
+    items = [(k, f"{prose(18, seed=k)} {phrase} {prose(17, seed=9000 + k)}".encode()) for k in range(2000)]
+    text = " ".join(f"{phrase} {prose(3, seed=70_000 + k)}" for k in range(6000)) + " " + items[77][1].decode()
+    looked = m.Items(items, 0.8, m.RADIUS)
+    tracemalloc.start()
+    hits = looked.search(text.encode())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) > 240_000 and [h["item_id"] for h in hits] == [77] and hits[0]["similarity"] == 1.0
+    assert peak < 200e6
 
 
 def test_odd_and_empty(odd, empty, bench, prose):
