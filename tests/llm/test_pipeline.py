@@ -41,7 +41,7 @@ def test_queries_are_registered():
     import __spark_entry__ as e
     names = list(e.queries())
     assert [n for n in names if n.startswith("op")] == [n for n in queries.QUERIES] and "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
