@@ -27,7 +27,7 @@ from .rfm import score
 def user_period(events: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """The shared fact: one row per (user, purchase period).
 
-    columns: user_id, period_start, cnt, spend (decimal), last_date, first_ts
+    columns: user_id, period_start, cnt, spend (decimal), last_date, first_ts, last_ts
     A partial (map-side) aggregate runs before the shuffle, so a user with a
     huge share of the rows still ships one row per task and period.
     """
@@ -37,6 +37,7 @@ def user_period(events: DataFrame, params: Params = DEFAULT) -> DataFrame:
         F.sum("price").alias("spend"),
         F.max(F.to_date("event_time")).alias("last_date"),
         F.min("event_time").alias("first_ts"),
+        F.max("event_time").alias("last_ts"),
     )
 
 

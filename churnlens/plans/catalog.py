@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..config import WEEKLY_EVENTS
-from ..functions.dates import Calendar
-from ..operators import behaviour, category, churn, cohort, compare, monthly, rfm
+from ..functions.dates import Calendar, py_add_periods
+from ..operators import active_users, behaviour, category, churn, cohort, compare, increment, monthly, rfm
 from ..session import ensure_checkpoint_dir
 from ..sources import tables
 from ..sources.logs import load_events, read_events, read_raw_log
@@ -450,6 +450,57 @@ def q_mart_round_trip(spark, sf_dir):
     return back.select("user_id", "snapshot_date", "rfm_segment", F.col("month_monetary").cast("double").alias("month_monetary"))
 
 
+# ---- snapshots appended from a stored state --------------------------------
+APPENDED = 3
+
+
+def appended_root(spark, sf_dir):
+    """All orders up to the third last month stored at once, then the last three months
+    appended one by one."""
+    def build():
+        root, ev, cal = _scratch(spark), order_events(spark, sf_dir), orders_calendar(spark, sf_dir)
+        increment.seed(ev, root, py_add_periods(cal.last, -APPENDED, cal.grain), buckets=8)
+        for k in range(1 - APPENDED, 1):
+            increment.append_period(ev, root, py_add_periods(cal.last, k, cal.grain))
+        return root
+    return _memo(spark, sf_dir, "appended", build)
+
+
+def q_appended_churn_status(spark, sf_dir):
+    df = read_mart(spark, appended_root(spark, sf_dir), "monthly_churn")
+    return present(_money_cols(df.select("user_id", "snapshot_date", "segment", "ltv"), "ltv"))
+
+
+def q_appended_monthly_rfm(spark, sf_dir):
+    return present(_money_cols(read_mart(spark, appended_root(spark, sf_dir), "monthly_rfm"), "month_monetary"))
+
+
+def q_appended_rfm_base(spark, sf_dir):
+    root = appended_root(spark, sf_dir)
+    return present(_money_cols(increment.stored_rfm_base(spark, root, orders_calendar(spark, sf_dir).last), "monetary"))
+
+
+def q_appended_cohort_retention(spark, sf_dir):
+    ages = increment.stored_cohort_ages(spark, appended_root(spark, sf_dir))
+    return present(cohort.cohort_retention(order_events(spark, sf_dir), ages=ages))
+
+
+# ---- distinct users at any grain -------------------------------------------
+def activity_bitmaps_df(spark, sf_dir):
+    def build():
+        up = user_period_df(spark, sf_dir)
+        return mart(active_users.activity_bitmaps(up, active_users.number_users(up)))
+    return _memo(spark, sf_dir, "bitmaps", build)
+
+
+def q_active_users_by_grain(spark, sf_dir):
+    return active_users.active_users_by_grain(activity_bitmaps_df(spark, sf_dir))
+
+
+def q_cohort_retention_by_grain(spark, sf_dir):
+    return present(active_users.cohort_retention_by_grain(activity_bitmaps_df(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Registered queries in dependency order (upstream marts first)."""
     return {
@@ -498,4 +549,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "test_summary": q_test_summary,
         "log_round_trip": q_log_round_trip,
         "mart_round_trip": q_mart_round_trip,
+        "appended_churn_status": q_appended_churn_status,
+        "appended_monthly_rfm": q_appended_monthly_rfm,
+        "appended_rfm_base": q_appended_rfm_base,
+        "appended_cohort_retention": q_appended_cohort_retention,
+        "active_users_by_grain": q_active_users_by_grain,
+        "cohort_retention_by_grain": q_cohort_retention_by_grain,
     }

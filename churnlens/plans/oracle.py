@@ -855,6 +855,31 @@ SELECT user_id, snapshot_date, rfm_segment, CAST(month_monetary AS DOUBLE) AS mo
 FROM mrfm WHERE rfm_segment <> 'REGULAR'"""
 
 
+def _grain_ctes() -> list[str]:
+    """Each purchase as raw rows, once per grain (months in a period: 1, 3, 12)."""
+    return [EV_ORDERS, """buys AS (
+  SELECT g.grain, g.months, user_id, CAST(date_trunc(g.grain, event_time) AS DATE) AS period_start
+  FROM ev, (VALUES ('month', 1), ('quarter', 3), ('year', 12)) g(grain, months) WHERE event_type = 'purchase')"""]
+
+
+def q_active_users_by_grain() -> str:
+    return with_(*_grain_ctes()) + """
+SELECT grain, period_start, count(DISTINCT user_id) AS active_users FROM buys GROUP BY ALL"""
+
+
+def q_cohort_retention_by_grain() -> str:
+    return with_(*_grain_ctes()) + f"""
+SELECT grain, cohort_date, cohort_age, first_user, active_users, {_ratio('active_users', 'first_user')} AS retention_rate
+FROM (SELECT grain, cohort_date, CAST(date_diff('month', cohort_date, period_start) // months AS INTEGER) AS cohort_age,
+             max(size) AS first_user, count(DISTINCT user_id) AS active_users
+      FROM (SELECT grain, months, user_id, min(period_start) AS cohort_date FROM buys GROUP BY ALL)
+      JOIN (SELECT grain, cohort_date, count(*) AS size
+            FROM (SELECT grain, user_id, min(period_start) AS cohort_date FROM buys GROUP BY ALL) GROUP BY ALL)
+        USING (grain, cohort_date)
+      JOIN (SELECT grain, user_id, period_start FROM buys) USING (grain, user_id)
+      GROUP BY ALL)"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "rfm_base": q_rfm_base(),
@@ -902,5 +927,11 @@ def oracle_sql() -> dict[str, str]:
         "segment_age_normal_equations": q_segment_age_normal_equations(),
         "log_round_trip": q_log_round_trip(),
         "mart_round_trip": q_mart_round_trip(),
+        "appended_churn_status": q_churn_status(),
+        "appended_monthly_rfm": q_monthly_rfm(),
+        "appended_rfm_base": q_rfm_base(),
+        "appended_cohort_retention": q_cohort_retention(),
+        "active_users_by_grain": q_active_users_by_grain(),
+        "cohort_retention_by_grain": q_cohort_retention_by_grain(),
     }
     return out

@@ -11,7 +11,8 @@ parallel and read back with column pruning and filter pushdown.
 * ``create_if_absent`` S5/S6: write each table only if it does not exist yet.
 * ``read_mart``        S9: projected / filtered load (pushed to the scan).
 * ``read_jdbc``        S4: partitioned JDBC read for an external SQL store.
-* ``write_bucketed``   user-keyed marts bucketed for shuffle-free joins.
+* ``write_bucketed``   user-keyed marts bucketed for shuffle-free joins;
+  ``attach_bucketed``  makes such a table known to another session.
 * ``register``         S3: named temp view for SQL users.
 """
 
@@ -105,7 +106,7 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: Mapping[str
 
 
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None,
-                   mode: str = "overwrite") -> str:
+                   mode: str = "overwrite", partition_by: Sequence[str] = ()) -> str:
     """Save ``df`` as a catalog table bucketed and sorted by ``key``.
 
     Tables bucketed the same way on the join key (e.g. the user-keyed marts
@@ -114,12 +115,25 @@ def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str
     location.
     """
     w = df.write.mode(mode).format("parquet").bucketBy(buckets, key).sortBy(key)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
     if path:
         w = w.option("path", path)
     w.saveAsTable(table)
     return table
 
 
+def attach_bucketed(spark: SparkSession, table: str, path: str, key: str, buckets: int) -> DataFrame:
+    """The table that ``write_bucketed`` saved at ``path``, made known to this session's catalog
+    with its buckets, so that no catalog has to be shared between sessions."""
+    if not spark.catalog.tableExists(table):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+        location = path.replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) "
+                  f"INTO {buckets} BUCKETS LOCATION '{location}'")
+    return spark.table(table)
+
+
 def register(df: DataFrame, name: str) -> DataFrame:
     """S3: expose a frame to ``spark.sql`` under ``name``."""
     df.createOrReplaceTempView(name)
