@@ -42,12 +42,17 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(small: DataFrame) -> DataFrame:
+    """``small`` written and counted: to be broadcast where its rows are few, else joined by a shuffle."""
+    small = settled(small)
+    few = small.limit(OFFSETS_TO_BROADCAST + 1).count() <= OFFSETS_TO_BROADCAST
+    return F.broadcast(small) if few else small
+
+
 def join_counted(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join with ``small``, which is broadcast once its rows were counted and
     are few, and joined by a shuffle otherwise."""
-    small = settled(small)
-    few = small.limit(OFFSETS_TO_BROADCAST + 1).count() <= OFFSETS_TO_BROADCAST
-    return df.join(F.broadcast(small) if few else small, on=on, how=how)
+    return df.join(counted(small), on=on, how=how)
 
 
 def ntile_from_rank(rn: Column, total: Column, n: int) -> Column:

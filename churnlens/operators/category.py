@@ -8,11 +8,33 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Params
 from ..functions.dates import Calendar, add_periods, period_end, period_sequence, period_start
-from ..functions.ntile import join_counted
+from ..functions.ntile import counted, join_counted, settled
 from ..sources.tables import purchases
 from ._util import money, ratio
 
 
+#: Categories of one user that meet the user's snapshots under one join key.
+CATEGORIES_A_PART = 4096
+
+
+def _held_categories(m: DataFrame, uc: DataFrame, part: int) -> DataFrame:
+    """Snapshot rows ``m`` joined with the categories ``uc`` that their user had bought by then.
+
+    A user's pairs are snapshots x categories, so a user of very many categories is split:
+    users with more than ``part`` categories are counted first, their categories are dealt to
+    parts by hash, their snapshot rows are repeated for each part, and both sides meet
+    on (user, part).  A key so holds about ``part`` x snapshots pairs at most.  There are at
+    most (rows / part) such users; all others have the one part 0.
+    """
+    parts = F.ceil(F.count(F.lit(1)) / F.lit(part)).cast("int").alias("parts")
+    heavy = counted(uc.groupBy("user_id").agg(parts).where("parts > 1"))
+    n = F.coalesce("parts", F.lit(1))
+    left = m.join(heavy, "user_id", "left").withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).drop("parts")
+    right = uc.join(heavy, "user_id", "left").withColumn(
+        "part", F.pmod(F.xxhash64("category_id"), n).cast("int")).drop("parts")
+    return left.join(right, ["user_id", "part"]).where(F.col("first_start") <= F.col("snap_start")).drop("part")
+
+
 def _expand_to_snapshots(df: DataFrame, key: str, calendar: Calendar) -> DataFrame:
     """Rows keyed by (key, period_start) -> one row per calendar snapshot from the
     row's period up to the period before the key's next row (LEAD over the key's
@@ -50,7 +72,8 @@ def category_dim_asof(events: DataFrame, calendar: Calendar, params: Params = DE
 
 
 def monthly_rfm_category(events: DataFrame, mrfm: DataFrame, calendar: Calendar,
-                         params: Params = DEFAULT, dim: DataFrame | None = None) -> DataFrame:
+                         params: Params = DEFAULT, dim: DataFrame | None = None,
+                         part: int = CATEGORIES_A_PART) -> DataFrame:
     """A7. Per (snapshot, category, segment): mean recency and summed frequency /
     spend of the users who bought the category on or before the snapshot, and
     the share of the snapshot's spend.
@@ -60,19 +83,21 @@ def monthly_rfm_category(events: DataFrame, mrfm: DataFrame, calendar: Calendar,
     without a snapshot row form a NULL-segment group with NULL figures.
 
     Plan: (user, category) first-purchase period; snapshot rows joined to the
-    user's categories on user_id with first period <= snapshot period (at most
+    user's categories with first period <= snapshot period (at most
     #snapshots x #categories pairs per user, whatever the user's raw row
-    count).  The NULL-segment group exists where more users had bought the
+    count; users of more than ``part`` categories are split, see
+    ``_held_categories``).  The NULL-segment group exists where more users had bought the
     category by then than were active; that needs only running counts per
     (category, period), never the users x categories x snapshots expansion.
     """
     g = calendar.grain
     p = purchases(events, params.purchase_type)
-    uc = p.groupBy("user_id", "category_id").agg(
-        F.min(period_start(F.col("event_time"), g)).alias("first_start"))
+    # read by the count of heavy users, the join and the buyers so far
+    uc = settled(p.groupBy("user_id", "category_id").agg(
+        F.min(period_start(F.col("event_time"), g)).alias("first_start")))
     m = mrfm.select("user_id", "snapshot_date", "rfm_segment", "recency", "month_freq",
                     "month_monetary", period_start(F.col("snapshot_date"), g).alias("snap_start"))
-    act = m.join(uc, "user_id").where(F.col("first_start") <= F.col("snap_start"))
+    act = _held_categories(m, uc, part)
     seg = act.groupBy("snapshot_date", "category_id", "rfm_segment").agg(
         F.sum("recency").alias("_rsum"), F.count("recency").alias("_rn"),
         F.sum("month_freq").alias("sum_frequency"),

@@ -134,3 +134,70 @@ def test_one_order_for_a_test_battery(spark):
     assert plan.count("SinglePartition") == 0
     physical = plan[plan.index("== Physical Plan"):]
     assert physical.count("Exchange hashpartitioning") <= 1 and "SortMergeJoin" not in physical
+
+
+def test_user_keyed_marts_join_without_a_shuffle(spark, tmp_path):
+    """A13, A18, A20 and A25 over bucketed marts: no exchange below their joins."""
+    from churnlens.config import WEEKLY_EVENTS as W
+    from churnlens.operators import behaviour, cohort
+    from churnlens.plans.marts import CO_LOCATED, bucketed_name, put_bucketed
+    root, orders, clicks = f"file:{tmp_path}", tables.order_events(spark, SF), tables.click_events(spark, SF)
+    cal, wcal = Calendar.from_data(orders), Calendar.from_data(clicks, grain="week")
+    keep = {"spark.sql.autoBroadcastJoinThreshold": "-1", **CO_LOCATED}
+    plain = {}
+    try:
+        for bucketed in (False, True):
+            put = (lambda n, df: put_bucketed(df, root, n, 4)) if bucketed else (lambda n, df: df)
+            up, mrfm = put("up", monthly.user_period(orders)), put("mrfm", monthly.monthly_rfm(monthly.monthly_rfm_base(orders, cal)))
+            ev = put("ev", clicks)
+            ch = put("ch", churn.churn_status(clicks, wcal, W))
+            wm = put("wm", monthly.monthly_rfm(monthly.monthly_rfm_base(clicks, wcal, W), W))
+            if bucketed:
+                for k, v in keep.items():
+                    spark.conf.set(k, v)
+            results = {"A13": cohort.cohort_segment_retention(orders, mrfm, up=up), "A18": behaviour.pre_snapshot_activity(ev, ch, wcal, W),
+                       "A20": behaviour.churn_event_funnel(ev, ch, wcal, W), "A25": behaviour.high_segment_behaviour(ev, wm, wcal, W)}
+            for name, df in results.items():
+                rows = sorted(map(str, df.collect()))
+                if not bucketed:
+                    plain[name] = rows
+                    continue
+                assert rows == plain[name] and rows, name
+                plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+                assert "SortMergeJoin" in plan, name
+                assert "Exchange" not in plan[plan.index("SortMergeJoin"):], (name, plan)
+    finally:
+        for k in keep:
+            spark.conf.unset(k)
+        for n in ("up", "mrfm", "ev", "ch", "wm"):
+            spark.sql(f"DROP TABLE IF EXISTS {bucketed_name(root, n)}")
+
+
+def test_a_user_of_many_categories_is_split(spark, events):
+    """A user with most of the (snapshot, category) pairs meets them in many tasks; the result
+    does not depend on the size of the parts."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from churnlens.operators import category
+    rows = [(1, f"2020-0{m}-0{1 + c % 9}", "purchase", 1 + c, f"c{c}", f"code{c}") for m in (1, 2, 3) for c in range(200)]
+    rows += [(u, f"2020-0{1 + u % 3}-11", "purchase", u, f"c{u % 50}", None) for u in range(2, 80)]
+    ev = events(rows)
+    cal = Calendar(dt.date(2020, 1, 1), dt.date(2020, 3, 1))
+    mrfm = monthly.monthly_rfm(monthly.monthly_rfm_base(ev, cal)).cache()
+    same = [sorted(map(str, category.monthly_rfm_category(ev, mrfm, cal, part=part).collect())) for part in (7, 4096)]
+    assert same[0] == same[1] and len(same[0]) > 400
+    uc = ev.groupBy("user_id", "category_id").agg(F.trunc(F.min("event_time"), "month").alias("first_start"))
+    m = mrfm.select("user_id", "rfm_segment", F.trunc("snapshot_date", "month").alias("snap_start"))
+    keep = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    try:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+        held = category._held_categories(m, uc, 7).where("user_id = 1")
+        sizes = [r["count"] for r in held.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    finally:
+        for k in keep:
+            spark.conf.unset(k)
+    assert sum(sizes) == 600 and len(sizes) >= 5 and max(sizes) < 300
+    mrfm.unpersist()
