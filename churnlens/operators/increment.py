@@ -17,6 +17,10 @@ Tables under ``root``:
                             written last, so a period without a row was not finished and is done anew.
 
 The last period may be appended again (late events), any other must follow it.
+
+The first build keeps the (user, period) purchases bucketed by user too: the state, the status runs
+and the cohorts read them with no further shuffle, and a task writes the status rows of its own
+users, so the rows of all users and snapshots, by far the most, are never shuffled.
 """
 
 from __future__ import annotations
@@ -37,12 +41,17 @@ from .cohort import cohort_base
 from .monthly import monthly_rfm, monthly_rfm_base, user_period
 
 MONEY = "decimal(18,2)"
+#: Purchases for each bucket of users, and the least buckets, where ``seed`` is given no number.
+BUCKET_PURCHASES, LEAST_BUCKETS = 500_000, 8
+
+
+def _root_name(root: str) -> str:
+    return hashlib.sha1(root.rstrip("/").encode()).hexdigest()[:12]
 
 
 def _state_table(root: str, period: dt.date) -> tuple[str, str]:
     """Catalog name and folder of the state at the end of ``period``."""
-    name = hashlib.sha1(root.rstrip("/").encode()).hexdigest()[:12]
-    return f"user_state_{name}_{period:%Y%m%d}", mart_path(root, f"user_state/{period}")
+    return f"user_state_{_root_name(root)}_{period:%Y%m%d}", mart_path(root, f"user_state/{period}")
 
 
 def read_state(spark: SparkSession, root: str, period: dt.date) -> DataFrame:
@@ -77,14 +86,24 @@ def _write_by(df: DataFrame, root: str, name: str, by: str) -> None:
     write_mart(df.hint("rebalance", by), root, name, partition_by=(by,))
 
 
-def seed(events: DataFrame, root: str, through: dt.date, params: Params = DEFAULT, buckets: int = 64) -> None:
+def _seed_user_period(events: DataFrame, root: str, params: Params, buckets: int) -> DataFrame:
+    """The (user, period) purchases, bucketed by user: one file a bucket."""
+    table = f"seed_user_period_{_root_name(root)}"
+    write_bucketed(user_period(events, params).repartition(buckets, "user_id"), table, "user_id", buckets,
+                   path=mart_path(root, "_seed_user_period"))
+    return events.sparkSession.table(table)
+
+
+def seed(events: DataFrame, root: str, through: dt.date, params: Params = DEFAULT, buckets: int | None = None) -> None:
     """Build the tables from the whole history up to the period that starts at ``through``, in
-    one pass over the periods (the operators of the full build)."""
+    one pass over the periods (the operators of the full build).  Without ``buckets`` their
+    number grows with the purchases."""
     g = params.grain
     events = events.where(F.col("event_time") < _instant(events, py_add_periods(through, 1, g)))
     cal = Calendar(Calendar.from_data(events, grain=g).first, through, g)
-    write_mart(user_period(events, params), root, "_seed_user_period")
-    up = read_mart(events.sparkSession, root, "_seed_user_period")
+    if buckets is None:
+        buckets = max(LEAST_BUCKETS, -(-purchases(events, params.purchase_type).count() // BUCKET_PURCHASES))
+    up = _seed_user_period(events, root, params, buckets)
     here = F.col("period_start") == F.lit(through)
     state = up.groupBy("user_id").agg(
         F.min("period_start").alias("first_start"), F.max("last_date").alias("last_date"), F.max("last_ts").alias("last_ts"),
@@ -94,7 +113,8 @@ def seed(events: DataFrame, root: str, through: dt.date, params: Params = DEFAUL
     _write_state(state, root, through, buckets)
     base = monthly_rfm_base(events, cal, params, up=up)
     _write_by(monthly_rfm(base, params), root, "monthly_rfm", "snapshot_date")
-    _write_by(churn_status(events, cal, params, up=up), root, "monthly_churn", "snapshot_date")
+    # a file for each bucket and snapshot
+    write_mart(churn_status(events, cal, params, up=up), root, "monthly_churn", partition_by=("snapshot_date",))
     ages = cohort_base(events, params, up=up).groupBy("cohort_date", "cohort_age", "order_date").agg(
         F.count(F.lit(1)).alias("active_users"), F.sum("revenue").alias("period_revenue"), F.sum("orders").alias("orders"))
     _write_by(ages, root, "cohort_ages", "order_date")

@@ -94,3 +94,24 @@ def test_append_reads_its_month_and_never_shuffles_the_state(spark, events):
     # from the join down to the state's scan, its first child
     state_side = plan[plan.index("SortMergeJoin"):plan.index("SelectedBucketsCount")]
     assert state_side.count("FileScan") == 1 and "Exchange" not in state_side, plan
+
+
+def test_buckets_grow_with_the_purchases(spark, events, monkeypatch):
+    ev, root = _events(events, 120), _tmp()
+    monkeypatch.setattr(increment, "BUCKET_PURCHASES", 9)
+    increment.seed(ev, root, dt.date(2020, 4, 1))
+    bought = ev.where("event_type = 'purchase' AND event_time < '2020-05-01'").count()
+    assert read_mart(spark, root, "periods").first().buckets == -(-bought // 9) > increment.LEAST_BUCKETS
+
+
+def test_first_build_shuffles_no_row_by_user_again(spark, events):
+    """The status runs and the cohorts read the purchases bucketed by user; the runs are not
+    filtered by an interpreted function."""
+    ev, root = _events(events, 120), _tmp()
+    up = increment._seed_user_period(ev, root, DEFAULT, 4)
+    same(up, monthly.user_period(ev))
+    cal = Calendar.from_data(ev)
+    for df in (churn.churn_status(ev, cal, up=up), cohort.cohort_base(ev, up=up)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(user_id" not in plan and "Window" in plan, plan
+    assert "explode(filter" not in churn.churn_status(ev, cal, up=up)._jdf.queryExecution().optimizedPlan().toString()
