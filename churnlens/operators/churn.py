@@ -104,8 +104,8 @@ def churn_intervals(events: DataFrame, calendar: Calendar, params: Params = DEFA
                    run(C.CHURN_ACTIVE, after, F.least("to", a - 1)),
                    run(C.CHURN_AT_RISK, F.greatest(after, a), F.least("to", r - 1)),
                    run(C.CHURN_CHURNED, F.greatest(after, r), F.col("to")))
-    runs = F.filter(runs, lambda x: x["first_idx"] <= x["last_idx"])
-    return u.select("user_id", "idx", "spend", F.explode(runs).alias("x")).select(
+    # empty runs are dropped after the explode: a filter of the array would run interpreted, row by row
+    return u.select("user_id", "idx", "spend", F.explode(runs).alias("x")).where("x.first_idx <= x.last_idx").select(
         "user_id", "x.segment", "x.first_idx", "x.last_idx",
         F.when(F.col("x.first_idx") == F.col("idx"), F.col("spend")).alias("spend"))
 
