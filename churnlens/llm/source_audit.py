@@ -151,6 +151,72 @@ class _Held:
         return out
 
 
+class _Numbers(dict):
+    """Value -> its number, from 1."""
+
+    def __missing__(self, value: int) -> int:
+        self[value] = at = len(self) + 1
+        return at
+
+
+class _HeldFirst(_Held):
+    """The first level, whose keys have at most 8 bytes: words are cut and keyed as arrays of
+    integers, and only the different keys of a few MB of text are numbered one by one."""
+
+    def __init__(self, length: int, parent: int, bits: np.ndarray | None):
+        super().__init__(length, parent, bits)
+        self.complete, self.longer = _Numbers(), _Numbers()     # by the key's bytes as an integer, zeros after them
+
+    def add(self, lang: str, source: str, doc: int | None, text: bytes) -> None:
+        self.texts.append((self.groups.setdefault((lang, source, doc), len(self.groups)), text.translate(_TO_TERMS)))
+        self.words += len(text)
+        if self.words > 4 * WORDS:
+            self.add_up()
+
+    def add_up(self) -> None:
+        if not self.texts:
+            return
+        group = np.array([g for g, _ in self.texts])
+        begin = np.cumsum([1] + [len(t) + 1 for _, t in self.texts])
+        raw = b" " + b" ".join([t for _, t in self.texts]) + b" " * 8
+        self.texts, self.words = [], 0
+        word = np.frombuffer(raw, np.uint8) != 32
+        edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+        start, size = edge[::2], edge[1::2] - edge[::2]
+        eight = np.ndarray((len(raw) - 7,), ">u8", raw, strides=(1,))[start].astype(np.uint64)
+        cut = (64 - 8 * np.minimum(size, self.length)).astype(np.uint64)
+        value, key = eight >> cut << cut, np.empty(len(start), np.int64)
+        for numbers, sign, at in ((self.complete, 1, size <= self.length), (self.longer, -1, size > self.length)):
+            different, where = np.unique(value[at], return_inverse=True)
+            key[at] = sign * np.fromiter(map(numbers.__getitem__, different.tolist()), np.int64, len(different))[where]
+        text = np.searchsorted(begin, start, "right") - 1
+        pair, n = np.unique((text << 32) | (key + (1 << 31)), return_counts=True)
+        self.cells.append(np.stack([(group[pair >> 32] << 32) | (pair & 0xFFFFFFFF), n, np.ones(len(pair), np.int64)]))
+        self.size += len(pair)
+        if self.size > 4 * WORDS:
+            self.cells = [self.summed()]
+            self.size = self.cells[0].shape[1]
+
+    def full(self) -> bool:
+        return len(self.complete) + len(self.longer) + len(self.groups) > HELD or self.size > 4 * WORDS
+
+    def rows(self) -> pa.RecordBatch:
+        self.add_up()
+        cells, n, d = self.summed()
+        group, key = cells >> 32, (cells & 0xFFFFFFFF) - (1 << 31)
+        langs, sources, ids = (pa.array([g[i] for g in self.groups], t).take(group)
+                               for i, t in enumerate((pa.string(), pa.string(), pa.int64())))
+        # the complete keys by number, then the longer ones
+        values = np.array([*self.complete, *self.longer], ">u8").view("S8").tolist()
+        name = pa.array(values, pa.binary()).take(np.where(key > 0, key, len(self.complete) - key) - 1)
+        out = pa.RecordBatch.from_arrays(
+            [langs, sources, name, pa.array(key < 0), pa.array(np.where(key < 0, 0, n)),
+             pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), d, 0)), ids],
+            ["lang", "source", "key", "open", "n", "documents", "id"])
+        self.__init__(self.length, self.parent, self.bits)
+        return out
+
+
 def _level(rows: DataFrame, length: int, parent: int, kept, repeated, threshold: int) -> DataFrame:
     """(lang, source, key, open, n, total, first) of the keys in ``threshold`` documents or
     more; ``total`` is the language's n, and ``first`` marks one row of each key.
@@ -160,7 +226,7 @@ def _level(rows: DataFrame, length: int, parent: int, kept, repeated, threshold:
     first ``length`` bytes are (``open``).  Documents whose id other rows may have, by the
     filter ``repeated``, are counted by id."""
     def run(batches: Iterable[pa.RecordBatch]):
-        held = _Held(length, parent, None if kept is None else kept.value)
+        held = (_Held if parent or length > 8 else _HeldFirst)(length, parent, None if kept is None else kept.value)
         again = None if repeated is None else repeated.value
         for b in batches:
             docs_ = b.column("doc")

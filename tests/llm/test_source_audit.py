@@ -97,3 +97,28 @@ def test_bitmap(spark):
 def test_odd_and_empty(odd, empty):
     assert result(m.source_audit(odd)) == plain(full(ODD))
     assert m.source_audit(empty).count() == 0
+
+
+@pytest.mark.parametrize("words", [3, 1_000_000])
+def test_first_level_as_arrays_counts_like_the_words_one_by_one(prose, monkeypatch, words):
+    monkeypatch.setattr(m, "WORDS", words)
+    texts = [prose(30, seed=i) for i in range(20)] + ["", "  ", "été abcdefgh abcdefghi abcdefgh ÉÉÉÉÉ 日本語日本語", "a\0b A"]
+    counted = []
+    for held in (m._Held(8, 0, None), m._HeldFirst(8, 0, None)):
+        for i, t in enumerate(texts):
+            held.add("en" if i % 2 else "", f"s{i % 3}", i % 4 or None, t.encode())
+        batch, again = held.rows(), held.rows()
+        assert again.num_rows == 0
+        counted.append(sorted(map(str, batch.to_pylist())))
+    assert counted[0] == counted[1]
+
+
+def test_first_level_numbers_only_different_keys(monkeypatch):
+    """Words are not looked up one by one."""
+    asked = []
+    real = m._Numbers.__missing__
+    monkeypatch.setattr(m._Numbers, "__missing__", lambda self, v: asked.append(v) or real(self, v))
+    held = m._HeldFirst(8, 0, None)
+    held.add("en", "s", None, b"one two one two one " * 1000)
+    batch = held.rows()
+    assert len(asked) == 2 and sorted(batch.column("n").to_pylist()) == [2000, 3000]
